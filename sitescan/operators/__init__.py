@@ -2,7 +2,7 @@
 
 from sitescan.operators.expression import (
     annotate_expression, expression_conflicts, expression_rows, expression_summary, first_fold_change,
-    translate_names,
+    first_translated, translate_names,
 )
 from sitescan.operators.filters import project_sites, rule_filter, sample_peaks, skipped_count, split_by_sequence
 from sitescan.operators.intervals import genes_around, hits_in_slices, nearby_genes
@@ -20,7 +20,7 @@ from sitescan.operators.stats import (
 __all__ = [
     "annotate_expression", "chunk_sequences", "contig_lengths", "cooccupancy_flags", "distinct_genes",
     "expand_sites", "expression_conflicts", "expression_rows", "expression_summary", "extract_sequences",
-    "first_fold_change", "first_per_key", "gene_string", "genes_around", "hits_in_slices", "kmers",
+    "first_fold_change", "first_per_key", "first_translated", "gene_string", "genes_around", "hits_in_slices", "kmers",
     "locate_sites", "motif_cutoffs", "motif_log_odds", "nearby_genes", "peak_gene_stats", "peak_site_stats",
     "project_sites", "prune_chunks", "resize_sites", "rule_filter", "sample_peaks", "scan", "scan_motifs",
     "scan_words", "site_hits", "skipped_count", "split_by_sequence", "translate_names", "with_file_order",

@@ -37,6 +37,18 @@ def translate_names(rows: DataFrame, annotation: DataFrame) -> DataFrame:
     )
 
 
+def first_translated(rows: DataFrame, annotation: DataFrame) -> DataFrame:
+    """(gene_id, fold_change) by gene name: only the first row of each name can win, so one row per name
+    goes into the join however many rows a name has."""
+    first = rows.groupBy("gene_name").agg(
+        F.min_by("fold_change", "row_ord").alias("fold_change"), F.min("row_ord").alias("row_ord")
+    )
+    names = annotation.select("gene_name", F.col("gene_id").alias("_gene_id"))
+    return first_fold_change(
+        first.join(names, "gene_name").select("row_ord", F.col("_gene_id").alias("gene_id"), "fold_change")
+    )
+
+
 def first_fold_change(rows: DataFrame) -> DataFrame:
     """(gene_id, fold_change): the first row of each gene wins."""
     return rows.groupBy("gene_id").agg(F.min_by("fold_change", "row_ord").alias("fold_change"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.defaults import BACKGROUND, PSEUDOCOUNT, SCORE_MULT
@@ -18,32 +18,20 @@ PANEL_CELLS = 200_000
 def motif_log_odds(counts: DataFrame, pseudocount: float = PSEUDOCOUNT, background: float = BACKGROUND) -> DataFrame:
     """(motif, pos, base, count) -> the same with ``log_odds``; a base without a row counts 0.
 
-    ``log2(((count + pseudo) / (total + 4 * pseudo)) / background)``. A ``motif_ord`` column is kept, or
-    made from the order of the names.
+    ``log2(((count + pseudo) / (total + 4 * pseudo)) / background)``. A ``motif_ord`` column is kept; without
+    one the motifs are taken in the order of their names.
     """
-    if "motif_ord" in counts.columns:
-        order = F.min("motif_ord")
-    else:
-        order = F.lit(None).cast("int")
+    order = [F.min("motif_ord").alias("motif_ord")] if "motif_ord" in counts.columns else []
+    kept = ["motif", "motif_ord"] if order else ["motif"]
     wide = counts.groupBy("motif", "pos").agg(
-        order.alias("motif_ord"),
-        *[F.sum(F.when(F.col("base") == b, F.col("count")).otherwise(0.0)).alias(b) for b in BASES],
+        *order, *[F.sum(F.when(F.col("base") == b, F.col("count")).otherwise(0.0)).alias(b) for b in BASES]
     )
     total = sum(F.col(b) for b in BASES) + F.lit(4 * pseudocount)
     cells = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("count")) for b in BASES]))
-    tall = wide.select("motif", "motif_ord", "pos", total.alias("_total"), cells.alias("_cell")).select(
-        "motif", "motif_ord", "pos", "_cell.base", F.col("_cell.count").alias("count"),
+    return wide.select(*kept, "pos", total.alias("_total"), cells.alias("_cell")).select(
+        *kept, "pos", "_cell.base", F.col("_cell.count").alias("count"),
         F.log2((F.col("_cell.count") + pseudocount) / F.col("_total") / F.lit(background)).alias("log_odds"),
     )
-    if "motif_ord" in counts.columns:
-        return tall
-    # Metadata-sized: one row per motif.
-    names = counts.select("motif").distinct().withColumn(
-        "motif_ord", F.row_number().over(Window.orderBy("motif")) - 1
-    )
-    return tall.drop("motif_ord").join(names, "motif").select(
-        "motif", "motif_ord", "pos", "base", "count", "log_odds"
-    )
 
 
 def motif_cutoffs(motifs: DataFrame, score_mult: float = SCORE_MULT) -> DataFrame:
@@ -63,7 +51,7 @@ class Motif(NamedTuple):
     cutoff: float
 
 
-def _motif(name: str, cells: list, score_mult: float, cutoffs: dict[str, float] | None) -> Motif:
+def _motif(name: str, order: int, cells: list, score_mult: float, cutoffs: dict[str, float] | None) -> Motif:
     length = max(c["pos"] for c in cells) + 1
     weights = np.full((length, 4), np.nan)
     for c in cells:
@@ -72,7 +60,7 @@ def _motif(name: str, cells: list, score_mult: float, cutoffs: dict[str, float]
         raise ValueError(f"motif {name!r} lacks a weight for some position and base")
     best = sum(float(row.max()) for row in weights)
     cutoff = score_mult * best if cutoffs is None else cutoffs[name]
-    return Motif(name, cells[0]["motif_ord"], weights, float(cutoff))
+    return Motif(name, order, weights, float(cutoff))
 
 
 def motif_panels(
@@ -81,20 +69,33 @@ def motif_panels(
 ) -> Iterator[list[Motif]]:
     """Motif table -> panels of at most ``max_cells`` weights (1.6 MB), the only thing the scan ships to
     its tasks. A larger table gives several panels, each scanned in turn, so its size has no limit."""
+    if "motif_ord" not in motifs.columns:
+        motifs = motifs.withColumn("motif_ord", F.lit(0))
+    columns = ["motif", "motif_ord", "pos", "base", "log_odds"]
+    first = motifs.select(*columns).limit(max_cells + 1).collect()
+    if len(first) <= max_cells:
+        if first:
+            yield _panel(first, 0, score_mult, cutoffs)
+        return
     sizes = motifs.groupBy("motif").agg(F.count(F.lit(1)).alias("n"), F.min("motif_ord").alias("o"))
-    groups: list[list[str]] = [[]]
-    filled = 0
+    names: list[str] = []
+    filled = start = 0
     for row in sizes.orderBy("o", "motif").toLocalIterator():
-        if groups[-1] and filled + row["n"] > max_cells:
-            groups.append([])
-            filled = 0
-        groups[-1].append(row["motif"])
+        if names and filled + row["n"] > max_cells:
+            yield _panel(_cells(motifs, names, columns), start, score_mult, cutoffs)
+            start += len(names)
+            names, filled = [], 0
+        names.append(row["motif"])
         filled += row["n"]
-    for names in groups:
-        if not names:
-            continue
-        part = motifs if len(groups) == 1 else motifs.where(F.col("motif").isin(names))
-        cells: dict[str, list] = {n: [] for n in names}
-        for row in part.select("motif", "motif_ord", "pos", "base", "log_odds").collect():
-            cells[row["motif"]].append(row)
-        yield [_motif(n, cells[n], score_mult, cutoffs) for n in names]
+    yield _panel(_cells(motifs, names, columns), start, score_mult, cutoffs)
+
+
+def _cells(motifs: DataFrame, names: list[str], columns: list[str]) -> list:
+    return motifs.where(F.col("motif").isin(names)).select(*columns).collect()
+
+
+def _panel(rows: list, start: int, score_mult: float, cutoffs: dict[str, float] | None) -> list[Motif]:
+    by_name: dict[str, list] = {}
+    for row in sorted(rows, key=lambda r: (r["motif_ord"], r["motif"], r["pos"])):
+        by_name.setdefault(row["motif"], []).append(row)
+    return [_motif(n, start + i, cells, score_mult, cutoffs) for i, (n, cells) in enumerate(by_name.items())]

@@ -36,6 +36,7 @@ _ARROW = pa.schema([
 
 _SLICE_BYTES = 1 << 20
 _WORD_FORMS = 256
+_BROADCAST_FORMS = 100_000
 _PACK = 6  # bases per lookup table: 4**6 doubles stay in the first-level cache
 
 _CODE = np.full(256, 4, dtype=np.uint8)
@@ -263,6 +264,8 @@ def _scan_words_native(chunks: DataFrame, words: list[str], overlap: int) -> Dat
         table = spark.createDataFrame(
             [f for f in forms if len(f[0]) == k], "seq string, strand string, hit_ord int"
         )
+        if len(forms) <= _BROADCAST_FORMS:  # a list from the caller: its size is known
+            table = F.broadcast(table)
         windows = kmers(chunks, k, overlap=overlap).withColumn("seq", F.upper("kmer")).drop("kmer")
         parts.append(windows.join(table, "seq").select(
             "chr_n", "start", F.lit(k).alias("hit_len"), "seq", F.lit("list").alias("source"), "strand",

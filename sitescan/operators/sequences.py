@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.defaults import CHUNK_OVERLAP, CHUNK_SIZE
+from sitescan.operators.grouping import per_row
 
 
 def chunk_sequences(seqs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -21,10 +22,12 @@ def chunk_sequences(seqs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     raw = seqs.select("chr_n", F.col("seq").cast("binary").alias("_raw")).withColumn(
         "_n", F.octet_length("_raw").cast("bigint")
     )
-    starts = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(size).cast("bigint"))
+    # An empty sequence gives null, hence no row; a filter would be pushed below and compute seq again.
+    starts = F.when(
+        F.col("_n") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(size).cast("bigint"))
+    )
     return (
-        raw.where(F.col("_n") > 0)
-        .select("chr_n", "_raw", "_n", F.posexplode(starts).alias("chunk_id", "chunk_start"))
+        raw.select("chr_n", "_raw", "_n", F.posexplode(starts).alias("chunk_id", "chunk_start"))
         .select(
             "chr_n",
             F.col("chunk_id").cast("bigint").alias("chunk_id"),
@@ -88,7 +91,9 @@ def prune_chunks(chunks: DataFrame, located: DataFrame, size: int = CHUNK_SIZE)
 
     The distinct keys combine map-side, so a hot locus costs one key per task.
     """
-    touched = located.select("chr_n", F.explode(_chunk_ids(size)).alias("chunk_id")).distinct()
+    touched = per_row(
+        located.select("chr_n", F.explode(_chunk_ids(size)).alias("chunk_id")), ["chr_n", "chunk_id"]
+    )
     return chunks.join(touched, ["chr_n", "chunk_id"], "left_semi")
 
 
@@ -109,14 +114,12 @@ def extract_sequences(located: DataFrame, chunks: DataFrame, size: int = CHUNK_S
     pieces = located.withColumn("_chunk", F.explode_outer(_chunk_ids(size))).join(
         side, (F.col("chr_n") == F.col("_chr")) & (F.col("_chunk") == F.col("_cid")), "left"
     )
-    return (
-        pieces.select(*[F.col(f"`{k}`") for k in keys], "_chunk", piece.alias("_piece"))
-        .groupBy(*[F.col(f"`{k}`") for k in keys])
-        .agg(F.expr("listagg(_piece, X'') within group (order by _chunk)").alias("_seq"))
-        .select(
-            *[F.col(f"`{k}`") for k in keys],
-            F.coalesce(F.col("_seq").cast("string"), F.lit("")).alias("seq"),
-        )
+    joined = per_row(
+        pieces.select(*[F.col(f"`{k}`") for k in keys], "_chunk", piece.alias("_piece")), keys,
+        F.expr("listagg(_piece, X'') within group (order by _chunk)").alias("_seq"),
+    )
+    return joined.select(
+        *[F.col(f"`{k}`") for k in keys], F.coalesce(F.col("_seq").cast("string"), F.lit("")).alias("seq")
     )
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.defaults import BIOTYPE, DIST_GENES, HIT_BIN_BITS
+from sitescan.operators.grouping import per_row
 from sitescan.operators.intervals import genes_around, hits_in_slices, nearby_genes
 from sitescan.operators.sequences import SLICE_COLUMNS
 
 GENE_STATS = ("n_genes", "n_updown_total", "n_upreg", "n_downreg")
 
 
-def _keys(df: DataFrame) -> list[Column]:
+def _columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
@@ -42,13 +43,12 @@ def peak_gene_stats(
     ``annotate_expression``). The peak travels through one left join and one grouping; there is no join back.
     """
     pairs = nearby_genes(peaks, genes, dist, biotype, how="left", bits=bits)
-    return pairs.groupBy(*_keys(peaks)).agg(*gene_counts())
+    return per_row(pairs, peaks.columns, *gene_counts())
 
 
 def distinct_genes(pairs: DataFrame, order_col: str) -> DataFrame:
     """(gene_id, chr_n, pos0, biotype, fold_change): each gene once, as its first peak saw it."""
     cols = ["chr_n", "pos0", "biotype", "fold_change"]
-    # count(*) of a peak is not needed, so only four columns and the order enter the map-side combine.
     return pairs.groupBy("gene_id").agg(*[F.min_by(c, order_col).alias(c) for c in cols])
 
 
@@ -56,15 +56,13 @@ def peak_site_stats(peaks: DataFrame, hits: DataFrame, bits: int = HIT_BIN_BITS)
     """Located peaks with ``n_su, n_su_list, n_su_pssm``; slice columns are dropped."""
     keep = [c for c in peaks.columns if c not in SLICE_COLUMNS]
     pairs = hits_in_slices(peaks, hits.select("chr_n", "start", "hit_len", "source"), "left", bits)
-    return (
-        pairs.groupBy(*_keys(peaks))
-        .agg(
-            F.count("hit_source").alias("n_su"),
-            F.count_if(F.col("hit_source") == "list").alias("n_su_list"),
-            F.count_if(F.col("hit_source") == "pssm").alias("n_su_pssm"),
-        )
-        .select(*[F.col(f"`{c}`") for c in keep], "n_su", "n_su_list", "n_su_pssm")
+    counted = per_row(
+        pairs, peaks.columns,
+        F.count("hit_source").alias("n_su"),
+        F.count_if(F.col("hit_source") == "list").alias("n_su_list"),
+        F.count_if(F.col("hit_source") == "pssm").alias("n_su_pssm"),
     )
+    return counted.select(*[F.col(f"`{c}`") for c in keep], "n_su", "n_su_list", "n_su_pssm")
 
 
 def reported_start(pos_ini_shift: Column | str = "slice_shift", one_based: bool = False) -> Column:
@@ -86,10 +84,9 @@ def gene_string(
     """Sites with ``gene_up,gene_down,...`` in gene order; an empty string without genes."""
     pairs = genes_around(sites, genes, dist, label_mode, how="left", bits=bits)
     item = F.concat(F.col("gene_id"), F.lit("_"), F.col("updown")).alias("_item")
-    return (
-        pairs.select(*_keys(sites), item, F.col("gene_ord").alias("_gord"))
-        .groupBy(*_keys(sites))
-        .agg(F.expr("coalesce(listagg(_item, ',') within group (order by _gord), '')").alias(name))
+    listed = F.expr("coalesce(listagg(_item, ',') within group (order by _gord), '')").alias(name)
+    return per_row(
+        pairs.select(*_columns(sites), item, F.col("gene_ord").alias("_gord")), sites.columns, listed
     )
 
 
@@ -106,4 +103,4 @@ def cooccupancy_flags(
     ]
     if not flags:
         return located
-    return pairs.groupBy(*_keys(located)).agg(*flags)
+    return per_row(pairs, located.columns, *flags)

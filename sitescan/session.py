@@ -56,3 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: read several times, survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan, shuffled over all task slots when it comes in fewer splits than there are slots.
+
+    For small inputs under CPU-heavy steps (sequence derivation, scans). A large input has enough splits and
+    is left alone. Belongs directly on the scan, where counting the splits runs nothing.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)

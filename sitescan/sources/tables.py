@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitescan.operators.expression import expression_rows, first_fold_change, translate_names
+from sitescan.operators.expression import (
+    expression_rows, first_fold_change, first_translated, translate_names,
+)
 from sitescan.operators.filters import column_name
 from sitescan.operators.ordering import with_file_order, with_ordinal
 
@@ -69,10 +71,14 @@ def read_expression_rows(
     annotation: DataFrame | None = None, sep: str = ";",
 ) -> DataFrame:
     """One row per identifier before the first one wins; input of ``expression_conflicts`` too."""
+    rows = _expression_rows(spark, path, id_col, value_col, name_col, annotation, sep)
+    return rows if annotation is None else translate_names(rows, annotation)
+
+
+def _expression_rows(spark, path, id_col, value_col, name_col, annotation, sep) -> DataFrame:
     if (name_col is None) != (annotation is None):
         raise ValueError("translating names needs both name_col and annotation")
-    rows = expression_rows(read_raw_expression(spark, path, id_col, value_col, name_col, sep))
-    return rows if annotation is None else translate_names(rows, annotation)
+    return expression_rows(read_raw_expression(spark, path, id_col, value_col, name_col, sep))
 
 
 def read_expression(
@@ -80,4 +86,5 @@ def read_expression(
     annotation: DataFrame | None = None, sep: str = ";",
 ) -> DataFrame:
     """(gene_id, fold_change): log2 values turned into signed fold changes, first row per gene."""
-    return first_fold_change(read_expression_rows(spark, path, id_col, value_col, name_col, annotation, sep))
+    rows = _expression_rows(spark, path, id_col, value_col, name_col, annotation, sep)
+    return first_fold_change(rows) if annotation is None else first_translated(rows, annotation)

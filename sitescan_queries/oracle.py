@@ -280,6 +280,10 @@ select gene_id, arg_min(chr_n, peak_id) as chr_n, any_value(pos0) as pos0, any_v
     "a6_expression_conflicts": _with(["expr_rows", "expr"], """
 select gene_id, round(any_value(e.fold_change), 6) as fold_change, count(*) as n_conflicts
 from expr_rows r join expr e using (gene_id) where r.fold_change <> e.fold_change group by 1"""),
+    "a6_translated_conflicts": _with(["translated"], """
+, first as (select gene_id, arg_min(fold_change, row_ord) as fold_change from translated group by 1)
+select gene_id, round(any_value(f.fold_change), 6) as fold_change, count(*) as n_conflicts
+from translated t join first f using (gene_id) where t.fold_change <> f.fold_change group by 1"""),
     "a7_gene_string": _with(["peaks", "gene_table"], f"""
 select p.peak_id, coalesce(string_agg(g.gene_id || '_' || g.updown, ',' order by g.gene_ord), '') as str_genes_rnaseq_near
 from peaks p left join gene_table g

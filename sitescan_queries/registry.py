@@ -227,8 +227,8 @@ def j2_genes_with_expression(v: Views) -> DataFrame:
 
 @query
 def j3_translated_expression(v: Views) -> DataFrame:
-    rows = ops.translate_names(ops.expression_rows(v.raw_expression), v.genes)
-    return ops.first_fold_change(rows).select("gene_id", _r6("fold_change"))
+    rows = ops.expression_rows(v.raw_expression)
+    return ops.first_translated(rows, v.genes).select("gene_id", _r6("fold_change"))
 
 
 @query
@@ -322,6 +322,12 @@ def a6_expression_conflicts(v: Views) -> DataFrame:
     )
 
 
+@query
+def a6_translated_conflicts(v: Views) -> DataFrame:
+    rows = ops.translate_names(ops.expression_rows(v.raw_expression), v.genes)
+    return ops.expression_conflicts(rows).select("gene_id", _r6("fold_change"), "n_conflicts")
+
+
 @query
 def a7_gene_string(v: Views) -> DataFrame:
     return ops.gene_string(v.peaks, v.gene_table, DIST_ORIGIN).select("peak_id", "str_genes_rnaseq_near")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sitescan.operators import (
     annotate_expression, chunk_sequences, expression_rows, first_fold_change, motif_log_odds,
 )
+from sitescan.session import spread
 
 OVERLAP = 15
 DIST = 100
@@ -40,7 +41,7 @@ class Views:
     @property
     def seqs(self) -> DataFrame:
         letters = F.regexp_replace("text", "[^A-Za-z]", "")
-        return self.table("documents").select(
+        return spread(self.table("documents").select("doc_id", "text")).select(
             F.expr("concat('chr', doc_id)").alias("chr_n"), F.translate(letters, LETTERS, BASES).alias("seq")
         )
 
