@@ -73,19 +73,21 @@ def expression_summary(raw: DataFrame, annotation: DataFrame | None = None) -> D
 
     With an ``annotation`` the identifiers are the gene's name translated, once per identifier in the row.
     """
-    usable = raw.where(parse_number("raw_value").isNotNull())
     rows = expression_rows(raw)
-    total = usable.agg(F.count(F.lit(1)).alias("n_rows"))
     if annotation is not None:
         rows = translate_names(rows, annotation)
         n = F.sum("n_rows")
     else:
         n = F.count(F.lit(1))
-    # Two-level count: genes are folded map-side, then one row per gene is counted.
+    zero = F.lit(0).cast("bigint")
+    usable = raw.where(parse_number("raw_value").isNotNull()).agg(
+        F.count(F.lit(1)).alias("n_rows"), zero.alias("n_ids"), zero.alias("n_genes")
+    )
+    # Genes are folded map-side, then one row per gene is counted.
     genes = rows.groupBy("gene_id").agg(n.alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_ids"), F.count(F.lit(1)).alias("n_genes")
+        zero.alias("n_rows"), F.coalesce(F.sum("n"), zero).alias("n_ids"), F.count(F.lit(1)).alias("n_genes")
     )
-    return total.join(F.broadcast(genes))  # one row each
+    return usable.unionByName(genes).agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_ids", "n_genes")])
 
 
 def annotate_expression(genes: DataFrame, expression: DataFrame) -> DataFrame:

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitescan.session import cut_lineage
 
-BUCKET_BITS = 20
-
-
 def with_file_order(df: DataFrame, name: str = "row_ord") -> DataFrame:
     """Tags the rows of a file scan with ``struct(file, block, row)``, which sorts in input order.
 
@@ -28,36 +25,29 @@ def with_file_order(df: DataFrame, name: str = "row_ord") -> DataFrame:
     )
 
 
-def _dense(df: DataFrame, order: Sequence[Column], bucket: Sequence[Column], name: str) -> DataFrame:
-    keys = [f"_b{i}" for i in range(len(bucket))]
-    tagged = df.select("*", *[b.alias(k) for b, k in zip(bucket, keys)])
-    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per bucket of up to a million rows (or per file split): small whatever the table's size.
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (
-        tagged.withColumn("_rank", rank)
-        .join(bases, keys)
-        .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + F.col("_rank") - 1).alias(name))
-    )
-
-
 def with_ordinal(df: DataFrame, order_col: str, name: str = "ordinal") -> DataFrame:
     """Adds the dense 0-based ordinal of each row in the order of ``order_col`` (unique, not null).
 
-    ``order_col`` is an integer column, or the struct of :func:`with_file_order`. The rows are counted per
-    order bucket, the counts are summed up over the buckets, and each row is ranked inside its bucket, so no
-    task ever sees more than one bucket. A file order depends on how the scan was split, so it is cut off
-    from the scan first (reliable checkpoint) and replaced by the ordinal.
+    The rows are range-partitioned by the order column and numbered inside their partition; the rows before
+    each partition come from one count per partition, the only thing that is put in one place. Range bounds
+    are sampled anew whenever a plan runs (and a file order depends on how the scan was split), so the
+    numbered rows are stored before they are used twice. The column of :func:`with_file_order` is dropped.
     """
-    if df.schema[order_col].dataType.typeName() == "struct":
-        df = cut_lineage(df)
-        out = _dense(
-            df, [F.col(f"{order_col}.row")], [F.col(f"{order_col}.file"), F.col(f"{order_col}.block")], name
-        )
-        return out.drop(order_col)
-    return _dense(df, [F.col(order_col)], [F.shiftright(F.col(order_col).cast("bigint"), BUCKET_BITS)], name)
+    numbered = cut_lineage(
+        df.repartitionByRange(order_col)
+        .sortWithinPartitions(order_col)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_at", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    columns = [c for c in df.columns if c != order_col or df.schema[c].dataType.typeName() != "struct"]
+    # One row per shuffle partition: small whatever the table's size.
+    return numbered.join(F.broadcast(bases), part == F.col("_part")).select(
+        *[F.col(f"`{c}`") for c in columns],
+        (F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name),
+    )
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:

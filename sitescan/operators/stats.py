@@ -49,7 +49,10 @@ def peak_gene_stats(
 def distinct_genes(pairs: DataFrame, order_col: str) -> DataFrame:
     """(gene_id, chr_n, pos0, biotype, fold_change): each gene once, as its first peak saw it."""
     cols = ["chr_n", "pos0", "biotype", "fold_change"]
-    return pairs.groupBy("gene_id").agg(*[F.min_by(c, order_col).alias(c) for c in cols])
+    # First fold to one row per gene and spelling of its chromosome with a fixed-width buffer (a hash
+    # aggregate, map-side); only then pick the first spelling.
+    folded = pairs.groupBy("gene_id", *cols).agg(F.min(order_col).alias("_first"))
+    return folded.groupBy("gene_id").agg(*[F.min_by(c, "_first").alias(c) for c in cols])
 
 
 def peak_site_stats(peaks: DataFrame, hits: DataFrame, bits: int = HIT_BIN_BITS) -> DataFrame:

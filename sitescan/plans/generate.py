@@ -59,7 +59,7 @@ def generate(
     """The three tables as lazy DataFrames.
 
     ``peaks`` is (peak_id, chr_n, pos_ini, pos_end, ...) with a unique, ordered ``peak_id``. Peaks on a
-    chromosome without sequence leave all three tables. ``materialize=True`` checkpoints the per-peak gene
+    chromosome without sequence leave all three tables. ``materialize=True`` stores the per-peak gene
     counts and the hits, which two of the tables share.
     """
     located = locate_sites(peaks, contig_lengths(chunks), clamp=clamp)

@@ -53,9 +53,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: read several times, survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to a table in the shared folder and read back.
+
+    Used where a result is read several times or must not change between two reads. It survives lost
+    executors, and unlike a checkpoint it is pruned by column and has a known size.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
