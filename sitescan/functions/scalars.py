@@ -69,18 +69,18 @@ def gene_origin(strand: Column | str, start: Column | str, end: Column | str) ->
     return F.when(_col(strand) == "+", _col(start)).otherwise(_col(end))
 
 
-def direction_label(fold_change: Column | str, mode: str = "reference") -> Column:
+def direction_label(fold_change: Column | str, mode: str = "inherited") -> Column:
     """Direction of a gene in the co-occupancy report.
 
-    ``reference`` keeps the inherited (inverted) labels: negative is ``upreg``, anything else,
+    ``inherited`` keeps the inverted labels of the original report: negative is ``upreg``, anything else,
     missing included, is ``downreg``. ``signed`` labels by sign and gives null for zero and missing.
     """
     fc = _col(fold_change)
-    if mode == "reference":
+    if mode == "inherited":
         return F.when(fc < 0, "upreg").otherwise("downreg")
     if mode == "signed":
         return F.when((fc > 0) & ~F.isnan(fc), "upreg").when(fc < 0, "downreg")
-    raise ValueError(f"unknown label mode {mode!r}: use 'reference' or 'signed'")
+    raise ValueError(f"unknown label mode {mode!r}: use 'inherited' or 'signed'")
 
 
 def resize_bounds(pos_ini: Column | str, pos_end: Column | str, length: int) -> tuple[Column, Column]:

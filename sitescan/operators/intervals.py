@@ -108,7 +108,7 @@ def genes_around(
     sites: DataFrame,
     genes: DataFrame,
     dist: int = DIST_GENES,
-    label_mode: str = "reference",
+    label_mode: str = "inherited",
     how: str = "inner",
     bits: int | None = None,
 ) -> DataFrame:

@@ -81,7 +81,7 @@ def reported_start(pos_ini_shift: Column | str = "slice_shift", one_based: bool
 
 
 def gene_string(
-    sites: DataFrame, genes: DataFrame, dist: int = DIST_GENES, label_mode: str = "reference",
+    sites: DataFrame, genes: DataFrame, dist: int = DIST_GENES, label_mode: str = "inherited",
     name: str = "str_genes_rnaseq_near", bits: int | None = None,
 ) -> DataFrame:
     """Sites with ``gene_up,gene_down,...`` in gene order; an empty string without genes."""

@@ -38,7 +38,7 @@ def cooccupancy(
     dist_sites: int = DIST_SITES,
     dist_genes: int = DIST_GENES,
     score_mult: float = SCORE_MULT,
-    label_mode: str = "reference",
+    label_mode: str = "inherited",
     one_based: bool = False,
     clamp: bool = False,
     overlap: int = CHUNK_OVERLAP,
@@ -111,7 +111,7 @@ def run_cooccupancy(
     dist_genes: int = DIST_GENES,
     score_mult: float = SCORE_MULT,
     score_report: bool = False,
-    label_mode: str = "reference",
+    label_mode: str = "inherited",
     fasta_genome: str | None = None,
 ) -> CooccupancyTables:
     """Files in, ``<prefix>_sites_genes`` and ``<prefix>_other_tf`` out.

@@ -7,6 +7,8 @@ lies on contigs without a sequence, and some start below position 1.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,25 +40,25 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
+    @cached_property
     def seqs(self) -> DataFrame:
         letters = F.regexp_replace("text", "[^A-Za-z]", "")
         return spread(self.table("documents").select("doc_id", "text")).select(
             F.expr("concat('chr', doc_id)").alias("chr_n"), F.translate(letters, LETTERS, BASES).alias("seq")
         )
 
-    @property
+    @cached_property
     def chunks(self) -> DataFrame:
         return chunk_sequences(self.seqs, overlap=OVERLAP)
 
-    @property
+    @cached_property
     def peaks(self) -> DataFrame:
         return self.table("events").selectExpr(
             "cast(event_id as bigint) as peak_id", f"{CHR_N} as chr_n",
             f"cast({POS_INI} as bigint) as pos_ini", f"cast({POS_END} as bigint) as pos_end",
         )
 
-    @property
+    @cached_property
     def genes(self) -> DataFrame:
         return self.table("part").selectExpr(
             "concat('G', p_partkey) as gene_id",
@@ -68,7 +70,7 @@ class Views:
             "case when p_type = 'ECONOMY' then 'pseudogene' else 'protein_coding' end as biotype",
         )
 
-    @property
+    @cached_property
     def raw_expression(self) -> DataFrame:
         return self.table("orders").selectExpr(
             "cast(o_orderkey as bigint) as row_ord",
@@ -81,11 +83,11 @@ class Views:
             "else cast((o_custkey % 9 - 4) * 0.5 as string) end as raw_value",
         )
 
-    @property
+    @cached_property
     def expression(self) -> DataFrame:
         return first_fold_change(expression_rows(self.raw_expression))
 
-    @property
+    @cached_property
     def motif_counts(self) -> DataFrame:
         """Three motifs, 7, 6 and 5 positions long, with one strong base per position."""
         offset = (
@@ -103,11 +105,11 @@ class Views:
             .agg(F.count(F.lit(1)).cast("double").alias("count"))
         )
 
-    @property
+    @cached_property
     def motifs(self) -> DataFrame:
         return motif_log_odds(self.motif_counts)
 
-    @property
+    @cached_property
     def sites(self) -> DataFrame:
         """A sites table with columns of its own; blank and missing chromosomes occur."""
         return self.table("events").selectExpr(
@@ -117,7 +119,7 @@ class Views:
             "concat('S', event_type) as seq", "event_type as source", "cast(value as double) as score_pssm",
         )
 
-    @property
+    @cached_property
     def gene_table(self) -> DataFrame:
         """A genes table as the generate job writes it, in the order ``gene_ord``."""
         return annotate_expression(self.genes, self.expression).select(

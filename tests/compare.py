@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -37,7 +38,7 @@ def rows_of(columns, data) -> list[tuple]:
 
 
 def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
-    """None when equal, else what differs."""
+    """None when equal, else what differs. Doubles are compared to six decimals."""
     df = query(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
     res = con.sql(sql)
@@ -65,6 +66,8 @@ if __name__ == "__main__":
         spark__driver__memory="12g", spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
+    for pair in filter(None, os.environ.get("COMPARE_CONF", "").split(",")):
+        spark.conf.set(*pair.split("=", 1))
     sf_dir = f"/root/testdata/sf{sf}"
     con = connect(sf_dir)
     oracle = entry.oracle_sql()
