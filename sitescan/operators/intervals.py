@@ -25,12 +25,15 @@ def bits_for(dist: int) -> int:
     return max((2 * max(int(dist), 0) - 1).bit_length(), 12)
 
 
-def _bins(df: DataFrame, lo: Column, hi: Column, bits: int, first: str, outer: bool) -> DataFrame:
+def _bins(df: DataFrame, key: Column, lo: Column, hi: Column, bits: int, side: str, outer: bool) -> DataFrame:
     # least/greatest: an inverted interval still meets its partners between its two ends.
-    a = F.shiftright(F.least(lo, hi).cast("bigint"), bits)
-    b = F.shiftright(F.greatest(lo, hi).cast("bigint"), bits)
+    first = F.shiftright(F.least(lo, hi).cast("bigint"), bits)
+    last = F.shiftright(F.greatest(lo, hi).cast("bigint"), bits)
     spread = F.explode_outer if outer else F.explode
-    return df.withColumn(first, a).withColumn(f"{first}_bin", spread(F.sequence(a, b)))
+    return df.select(
+        "*", key.alias(f"_{side}_key"), first.alias(f"_{side}_first"),
+        spread(F.sequence(first, last)).alias(f"_{side}_bin"),
+    )
 
 
 def binned_join(
@@ -49,15 +52,15 @@ def binned_join(
     With ``how='left'`` a left row that touches k bins may come back with up to k empty partners; the
     callers group by the left row afterwards and count partners, so that is harmless.
     """
-    lhs = _bins(left.withColumn("_lk", left_key), *left_span, bits, "_lf", how == "left")
-    rhs = _bins(right.withColumn("_rk", right_key), *right_span, bits, "_rf", False)
+    lhs = _bins(left, left_key, *left_span, bits, "l", how == "left")
+    rhs = _bins(right, right_key, *right_span, bits, "r", False)
     on = (
-        (F.col("_lk") == F.col("_rk"))
-        & (F.col("_lf_bin") == F.col("_rf_bin"))
-        & (F.col("_lf_bin") == F.greatest("_lf", "_rf"))
+        (F.col("_l_key") == F.col("_r_key"))
+        & (F.col("_l_bin") == F.col("_r_bin"))
+        & (F.col("_l_bin") == F.greatest("_l_first", "_r_first"))
         & residual
     )
-    return lhs.join(rhs, on, how).drop("_lk", "_rk", "_lf", "_rf", "_lf_bin", "_rf_bin")
+    return lhs.join(rhs, on, how).drop("_l_key", "_r_key", "_l_first", "_r_first", "_l_bin", "_r_bin")
 
 
 def _gene_side(genes: DataFrame, biotype: str | None) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import NamedTuple
+from collections.abc import Callable, Sequence
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitescan.defaults import CHUNK_OVERLAP, CHUNK_SIZE, DIST_GENES, DIST_SITES, SCORE_MULT
@@ -24,9 +24,19 @@ GENES = "str_genes_rnaseq_near"
 _OVERLAID = ("chr_n", "pos_ini", "pos_end", "seq", "source", "score_pssm", "tf_name")
 
 
-class CooccupancyTables(NamedTuple):
-    sites: DataFrame
-    other_tf: DataFrame
+class CooccupancyTables:
+    """The two tables; each plan is built when it is first asked for. ``site_id`` orders the sites."""
+
+    def __init__(self, make_sites: Callable[[], DataFrame], make_other: Callable[[], DataFrame]):
+        self._make_sites, self._make_other = make_sites, make_other
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return self._make_sites()
+
+    @cached_property
+    def other_tf(self) -> DataFrame:
+        return self._make_other()
 
 
 def cooccupancy(
@@ -61,26 +71,36 @@ def cooccupancy(
     hits = scan(
         prune_chunks(chunks, located, chunk_size), motifs=motifs, score_mult=score_mult, overlap=overlap
     )
-    flagged = cooccupancy_flags(gene_string(located, genes, dist_genes, label_mode, GENES), hits, names)
+    named = gene_string(located, genes, dist_genes, label_mode, GENES)
     if materialize:
-        hits, flagged = cut_lineage(hits), cut_lineage(flagged)
+        hits, named = cut_lineage(hits), cut_lineage(named)
 
     tail = [F.col(f"`{c}`") for c in (GENES, *names)]
-    sites_out = flagged.select(SITE_ID, *carried, *tail)
-    found = site_hits(flagged, hits, one_based)
-    from_hit = {
-        "chr_n": "chr_n", "pos_ini": "hit_pos_ini", "pos_end": "hit_pos_end", "seq": "hit_seq",
-        "source": "hit_source", "score_pssm": "hit_score", "tf_name": "hit_tf_name",
-    }
-    overlaid = [
-        F.col(f"_own.`{c}`").alias(c) if c in own else F.col(from_hit[c]).alias(c) for c in _OVERLAID
-    ]
-    rest = [F.col(f"_own.`{c}`").alias(c) for c in own if c not in _OVERLAID]
-    other = found.select(
-        SITE_ID, *overlaid, *rest, *tail, "hit_pos_ini", "hit_pos_end", "hit_seq", "hit_score",
-        "hit_tf_name", "hit_strand", "hit_ord",
-    )
-    return CooccupancyTables(sites_out, other)
+
+    def sites_table() -> DataFrame:
+        return cooccupancy_flags(named, hits, names).select(SITE_ID, *carried, *tail)
+
+    def hits_table() -> DataFrame:
+        # A site in the hits table has its hits at hand, so its flags need no second pass over the scan;
+        # the group of a site is as large as its own hits.
+        of_site = Window.partitionBy(SITE_ID)
+        found = site_hits(named, hits, one_based).withColumns({
+            n: F.coalesce(F.max(F.when(F.col("hit_tf_name") == n, 1)).over(of_site), F.lit(0)) for n in names
+        })
+        from_hit = {
+            "chr_n": "chr_n", "pos_ini": "hit_pos_ini", "pos_end": "hit_pos_end", "seq": "hit_seq",
+            "source": "hit_source", "score_pssm": "hit_score", "tf_name": "hit_tf_name",
+        }
+        overlaid = [
+            F.col(f"_own.`{c}`").alias(c) if c in own else F.col(from_hit[c]).alias(c) for c in _OVERLAID
+        ]
+        rest = [F.col(f"_own.`{c}`").alias(c) for c in own if c not in _OVERLAID]
+        return found.select(
+            SITE_ID, *overlaid, *rest, *tail, "hit_pos_ini", "hit_pos_end", "hit_seq", "hit_score",
+            "hit_tf_name", "hit_strand", "hit_ord",
+        )
+
+    return CooccupancyTables(sites_table, hits_table)
 
 
 def _located(sites: DataFrame, own: list[str], chunks: DataFrame, dist: int, clamp: bool) -> DataFrame:

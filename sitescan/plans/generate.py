@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +25,52 @@ from sitescan.sources import (
 PEAK_ID = "peak_id"
 
 
-class GenerateTables(NamedTuple):
-    """``peak_id`` orders the peaks; ``site_order()`` orders the sites."""
+class GenerateTables:
+    """The three tables; each plan is built when it is first asked for.
 
-    peaks: DataFrame
-    sites: DataFrame
-    genes: DataFrame
+    ``peak_id`` orders the peaks; ``site_order()`` orders the sites.
+    """
+
+    def __init__(self, peaks: DataFrame, located: DataFrame, genes: DataFrame, dist: int, counted, hits,
+                 one_based: bool, materialize: bool):
+        self._columns, self._located, self._genes, self._dist = peaks.columns, located, genes, dist
+        self._make_counted, self._make_hits = counted, hits
+        self._one_based, self._keep = one_based, cut_lineage if materialize else lambda df: df
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        """Located peaks with their gene counts."""
+        return self._keep(self._make_counted())
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Word and motif hits in contig coordinates."""
+        return self._keep(self._make_hits())
+
+    @cached_property
+    def peaks(self) -> DataFrame:
+        extra = [c for c in self._columns if c not in (PEAK_ID, "chr_n", "pos_ini", "pos_end")]
+        return peak_site_stats(self.counted, self.hits).select(
+            PEAK_ID, "chr_n", "pos_ini", "pos_end", *extra, "n_genes", "n_su", "n_su_list", "n_su_pssm",
+            *GENE_STATS[1:],
+        )
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return site_hits(self.counted, self.hits, self._one_based).select(
+            PEAK_ID, "chr_n",
+            F.col("hit_pos_ini").alias("pos_ini"), F.col("hit_pos_end").alias("pos_end"),
+            F.col("hit_seq").alias("seq"), F.col("hit_source").alias("source"),
+            F.col("hit_score").alias("score_pssm"), F.col("n_genes").alias("n_genes_near"),
+            "n_updown_total", "n_upreg", "n_downreg",
+            F.col("hit_strand").alias("strand"), "hit_ord",
+        )
+
+    @cached_property
+    def genes(self) -> DataFrame:
+        narrow = self._located.select(PEAK_ID, "chr_n", "pos_ini", "pos_end")
+        near = nearby_genes(narrow, self._genes, self._dist)
+        return distinct_genes(near, PEAK_ID)
 
 
 def site_order() -> list[Column]:
@@ -64,29 +104,14 @@ def generate(
     """
     located = locate_sites(peaks, contig_lengths(chunks), clamp=clamp)
     with_expression = annotate_expression(genes, expression)
-    counted = peak_gene_stats(located, with_expression, dist)
-    hits = scan(
-        prune_chunks(chunks, located, chunk_size), words, motifs, score_mult, cutoffs, float32, overlap
-    )
-    if materialize:
-        counted, hits = cut_lineage(counted), cut_lineage(hits)
-
-    sites = site_hits(counted, hits, one_based).select(
-        PEAK_ID, "chr_n",
-        F.col("hit_pos_ini").alias("pos_ini"), F.col("hit_pos_end").alias("pos_end"),
-        F.col("hit_seq").alias("seq"), F.col("hit_source").alias("source"),
-        F.col("hit_score").alias("score_pssm"), F.col("n_genes").alias("n_genes_near"),
-        "n_updown_total", "n_upreg", "n_downreg",
-        F.col("hit_strand").alias("strand"), "hit_ord",
-    )
-    extra = [c for c in peaks.columns if c not in (PEAK_ID, "chr_n", "pos_ini", "pos_end")]
-    peaks_out = peak_site_stats(counted, hits).select(
-        PEAK_ID, "chr_n", "pos_ini", "pos_end", *extra, "n_genes", "n_su", "n_su_list", "n_su_pssm",
-        *GENE_STATS[1:],
+    return GenerateTables(
+        peaks, located, with_expression, dist,
+        counted=lambda: peak_gene_stats(located, with_expression, dist),
+        hits=lambda: scan(
+            prune_chunks(chunks, located, chunk_size), words, motifs, score_mult, cutoffs, float32, overlap
+        ),
+        one_based=one_based, materialize=materialize,
     )
-    near = nearby_genes(located.select(PEAK_ID, "chr_n", "pos_ini", "pos_end"), with_expression, dist)
-    genes_out = distinct_genes(near.withColumn("_order", F.col(PEAK_ID)), "_order")
-    return GenerateTables(peaks_out, sites, genes_out)
 
 
 def run_generate(

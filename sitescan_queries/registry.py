@@ -270,16 +270,16 @@ def j8_peak_context_on_hits(v: Views) -> DataFrame:
     )
 
 
-def _cooccupancy(v: Views, materialize: bool = False):
+def _cooccupancy(v: Views):
     return cooccupancy(
         v.sites, v.gene_table, v.chunks, v.motifs, ["M0", "M1", "M2"], DIST_SITES, DIST_ORIGIN, MULT,
-        overlap=OVERLAP, materialize=materialize,
+        overlap=OVERLAP,
     )
 
 
 @query
 def j9_hits_overlaid_by_site(v: Views) -> DataFrame:
-    return _cooccupancy(v, materialize=True).other_tf.select(
+    return _cooccupancy(v).other_tf.select(
         "site_id", "chr_n", "pos_ini", "pos_end", "seq", "source", "score_pssm", "hit_pos_ini", "hit_pos_end",
         "hit_seq",
     )
@@ -540,7 +540,7 @@ def p3_cooccupancy_sites(v: Views) -> DataFrame:
 
 @query
 def p3_cooccupancy_hits(v: Views) -> DataFrame:
-    return _cooccupancy(v, materialize=True).other_tf.select(
+    return _cooccupancy(v).other_tf.select(
         "site_id", "chr_n", "pos_ini", "seq", "source", "score_pssm", "tf_name", "str_genes_rnaseq_near",
         *[F.col(n).cast("bigint").alias(n) for n in ("M0", "M1", "M2")],
         "hit_pos_ini", "hit_pos_end", "hit_seq", _r6("hit_score"),
