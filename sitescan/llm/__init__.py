@@ -1,5 +1,4 @@
 """Operators of a training-data pipeline: one module for each, and the queries registered for them.
 
-Nothing outside this package and ``corpus_pipeline`` imports it. Executors need the package on their
-path (``--py-files`` on a cluster).
+Nothing outside this package and ``corpus_pipeline`` imports it.
 """

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,12 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose function travels with the code of this package, so executors need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(
     df: DataFrame, key: list[Column], text: Column, kernel: Callable[[], Callable[[list], dict]], schema: str,
 ) -> DataFrame:
@@ -80,10 +88,10 @@ def map_texts(
                 made = work(part.column(at).to_pylist())
                 arrays = [part.column(i) for i in range(part.num_columns) if i != at]
                 names = [n for n in part.schema.names if n != "_text"]
-                arrays += [pa.array(made[name], type=kind) for name, kind in tail]
+                arrays += [x if isinstance(x := made[name], pa.Array) else pa.array(x, type=kind) for name, kind in tail]
                 yield pa.RecordBatch.from_arrays(arrays, names=names + [name for name, _ in tail])
 
-    return source.mapInArrow(run, f"{head}, {schema}" if head else schema)
+    return map_batches(source, run, f"{head}, {schema}" if head else schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitescan.llm.bpe import encode_texts
 from sitescan.llm.common import table
 from sitescan.llm.compression import quality_rules
+from sitescan.llm.credentials import scan_credentials
 from sitescan.llm.decontamination import find_contamination
 from sitescan.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, judge_urls
 
+TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
+
+
+def spans_text(spans: Column) -> Column:
+    """``kind:start:end`` joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -20,6 +35,25 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("findings")
+    base = F.filter(spans, lambda s: s["kind"].isin("assign", "access", "hex"))
+    return scan_credentials(docs).select(
+        "doc_id", *[count_kind(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encode_texts(docs, TOKENIZER).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -31,7 +65,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op9_url_filter, op10_quality_rules)
+    f.__name__: f for f in (
+        op1_benchmark_decontamination, op3_credential_linking, op4_bpe, op9_url_filter, op10_quality_rules,
+    )
 }
 
 
