@@ -12,6 +12,7 @@ from sitescan.llm.common import table
 from sitescan.llm.compression import quality_rules
 from sitescan.llm.credentials import scan_credentials
 from sitescan.llm.decontamination import find_contamination
+from sitescan.llm.near_duplicates import near_duplicate_classes
 from sitescan.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, judge_urls
 
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
@@ -54,6 +55,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicate_classes(docs, keep=["doc_id"])
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -66,7 +72,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_benchmark_decontamination, op3_credential_linking, op4_bpe, op9_url_filter, op10_quality_rules,
+        op1_benchmark_decontamination, op3_credential_linking, op4_bpe, op6_simhash_vantage_point,
+        op9_url_filter, op10_quality_rules,
     )
 }
 
