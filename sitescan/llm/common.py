@@ -94,6 +94,24 @@ def map_texts(
     return map_batches(source, run, f"{head}, {schema}" if head else schema)
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(value of the first column, the other columns) of each run of equal values, across batches."""
+    now, held = None, []
+    for batch in batches:
+        key, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            if held and key[low] != now:
+                yield now, [np.concatenate(c) for c in zip(*held)]
+                held = []
+            now = key[low]
+            held.append([c[low:high] for c in rest])
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held)]
+
+
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about ``most`` bytes of text each, whole rows always."""
     lengths = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index("_text"))).fill_null(0))

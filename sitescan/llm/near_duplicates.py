@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitescan.llm.common import columns_of, free_name, map_batches, map_texts, stored
+from sitescan.llm.common import columns_of, free_name, map_batches, map_texts, runs, stored
 
 SHINGLE = 3
 SEED = 42
@@ -230,28 +230,10 @@ def link_fingerprints(unique: DataFrame, radius: int = RADIUS, shard: int = SHAR
             )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        current = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                query = np.concatenate([h[0] for h in held])
-                fps = np.concatenate([h[1] for h in held])
-                if not query.all():
-                    a, b = shard_links(fps[~query], fps[query], radius)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            leaf, query, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1), len(leaf)]
-            for low, high in zip(cuts, cuts[1:]):
-                if low == high:
-                    continue
-                if leaf[low] != current:
-                    yield from flush()
-                    held, current = [], leaf[low]
-                held.append((query[low:high], fps[low:high]))
-        yield from flush()
+        for _, (query, fps) in runs(batches):
+            if not query.all():
+                a, b = shard_links(fps[~query], fps[query], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     sent = map_batches(unique.select("fp"), send, "leaf int, query boolean, fp bigint")
     together = sent.repartition("leaf").sortWithinPartitions("leaf")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitescan.llm.bpe import encode_texts
-from sitescan.llm.common import table
+from sitescan.llm.class_lm import fit, score
+from sitescan.llm.common import remainder, table
 from sitescan.llm.compression import quality_rules
 from sitescan.llm.credentials import scan_credentials
 from sitescan.llm.decontamination import find_contamination
@@ -36,6 +37,15 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 7) == 2
+    model = fit(docs.where(~held_out))
+    return score(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op3_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("findings")
@@ -72,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_benchmark_decontamination, op3_credential_linking, op4_bpe, op6_simhash_vantage_point,
+        op1_benchmark_decontamination, op2_brown_class_lm, op3_credential_linking, op4_bpe, op6_simhash_vantage_point,
         op9_url_filter, op10_quality_rules,
     )
 }
