@@ -14,6 +14,8 @@ from sitescan.llm.compression import quality_rules
 from sitescan.llm.credentials import scan_credentials
 from sitescan.llm.decontamination import find_contamination
 from sitescan.llm.near_duplicates import near_duplicate_classes
+from sitescan.llm.quality_model import fit_quality, score_quality
+from sitescan.llm.toxicity import fit_toxicity, score_toxicity
 from sitescan.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, judge_urls
 
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
@@ -65,11 +67,25 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    chain = fit_toxicity(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, chain).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicate_classes(docs, keep=["doc_id"])
 
 
+def op7_quality_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 3) == 1
+    machine = fit_quality(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return score_quality(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -82,8 +98,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_benchmark_decontamination, op2_brown_class_lm, op3_credential_linking, op4_bpe, op6_simhash_vantage_point,
-        op9_url_filter, op10_quality_rules,
+        op1_benchmark_decontamination, op2_brown_class_lm, op3_credential_linking, op4_bpe, op5_toxicity_crf,
+        op6_simhash_vantage_point, op7_quality_factorisation, op9_url_filter, op10_quality_rules,
     )
 }
 
