@@ -14,6 +14,7 @@ from sitescan.llm.compression import quality_rules
 from sitescan.llm.credentials import scan_credentials
 from sitescan.llm.decontamination import find_contamination
 from sitescan.llm.near_duplicates import near_duplicate_classes
+from sitescan.llm.personal_data import KINDS, find_personal_data
 from sitescan.llm.quality_model import fit_quality, score_quality
 from sitescan.llm.toxicity import fit_toxicity, score_toxicity
 from sitescan.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, judge_urls
@@ -86,6 +87,18 @@ def op7_quality_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = F.array(*map(F.lit, KINDS))
+    named = F.transform("findings", lambda s: F.struct(F.get(kinds, s["k"]).alias("kind"), s["start"], s["end"]))
+    found = find_personal_data(docs, keep=["doc_id"]).select("doc_id", named.alias("found"))
+    base = F.filter("found", lambda s: s["kind"] != KINDS[-1])
+    return found.select(
+        "doc_id", *[count_kind(F.col("found"), k).alias(f"n_{k}") for k in KINDS[:-1]],
+        F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"),
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -99,7 +112,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_benchmark_decontamination, op2_brown_class_lm, op3_credential_linking, op4_bpe, op5_toxicity_crf,
-        op6_simhash_vantage_point, op7_quality_factorisation, op9_url_filter, op10_quality_rules,
+        op6_simhash_vantage_point, op7_quality_factorisation, op8_personal_data,
+        op9_url_filter, op10_quality_rules,
     )
 }
 
