@@ -147,24 +147,17 @@ def addresses(points: np.ndarray, forest: list, radius: int) -> tuple[np.ndarray
     return columns[0], columns[1].astype(bool), columns[2]
 
 
-def close_pairs(home: np.ndarray, queries: np.ndarray, h: np.ndarray, q: np.ndarray, radius: int, out: list) -> None:
-    """Appends (query rows, home rows) of the pairs within ``radius``, pruned by vantage points of the shard."""
-    if not len(h) or not len(q):
-        return
-    if len(h) * len(q) > BLOCK and len(h) > 32:
-        point = home[h[len(h) // 2]]
-        far_h, far_q = distances(home[h], point), distances(queries[q], point)
-        shells = np.unique(far_h)
-        if len(shells) > 1:
-            for d in shells:
-                close_pairs(home, queries, h[far_h == d], q[np.abs(far_q - d) <= radius], radius, out)
-            return
-    step = max(1, BLOCK // len(h))
-    for at in range(0, len(q), step):
-        block = q[at:at + step]
-        a, b = np.nonzero(np.bitwise_count((queries[block][:, None] ^ home[h][None, :]).view(np.uint64)) <= radius)
-        if len(a):
-            out.append((block[a], h[b]))
+class Links:
+    """Which points hang together; pairs are folded in block by block and not kept."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.root[a], self.root[b]
+        new = a != b
+        if new.any():
+            self.root = stars(len(self.root), a[new], b[new])[self.root]
 
 
 def stars(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,32 +175,39 @@ def stars(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def join_close(points: np.ndarray, h: np.ndarray, q: np.ndarray, radius: int, links: Links) -> None:
+    """Links the points ``q`` with the points ``h`` within ``radius``, pruned by vantage points of the shard."""
+    if not len(h) or not len(q):
+        return
+    if len(h) * len(q) > BLOCK and len(h) > 32:
+        point = points[h[len(h) // 2]]
+        far_h, far_q = distances(points[h], point), distances(points[q], point)
+        shells = np.unique(far_h)
+        if len(shells) > 1:
+            for d in shells:
+                join_close(points, h[far_h == d], q[np.abs(far_q - d) <= radius], radius, links)
+            return
+    step = max(1, BLOCK // len(h))
+    for at in range(0, len(q), step):
+        block = q[at:at + step]
+        a, b = np.nonzero(np.bitwise_count((points[block][:, None] ^ points[h][None, :]).view(np.uint64)) <= radius)
+        links.add(block[a], h[b])
+
+
 def shard_links(home: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (fingerprint, smallest fingerprint) of the links of a shard with itself and its queries."""
-    pairs: list = []
-    everyone = np.arange(len(home))
-    close_pairs(home, home, everyone, everyone, radius, pairs)
-    pairs = [(a, b) for x, y in pairs if len((keep := x < y).nonzero()[0]) for a, b in [(x[keep], y[keep])]]
-    if len(queries):
-        same = parity(queries) == parity(home[:1])[0]
-        for rows, reach in (
-            (np.flatnonzero(same), radius - radius % 2), (np.flatnonzero(~same), radius - 1 + radius % 2),
-        ):
-            found: list = []
-            close_pairs(home, queries, everyone, rows, reach, found)
-            pairs += [(x + len(home), y) for x, y in found]
-    if not pairs:
-        return home[:0], home[:0]
-    a, b = (np.concatenate(c) for c in zip(*pairs))
     points = np.concatenate([home, queries])
-    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    order = np.argsort(points[used], kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    values = points[used][order]
-    root = stars(len(used), place[at[:len(a)]], place[at[len(a):]])
-    moved = root != np.arange(len(root))
-    return values[moved], values[root[moved]]
+    own, links = np.arange(len(home)), Links(len(points))
+    join_close(points, own, own, radius, links)
+    same = np.append(np.zeros(len(home), bool), parity(queries) == parity(home[:1])[0])
+    other = np.append(np.zeros(len(home), bool), ~same[len(home):])
+    join_close(points, own, np.flatnonzero(same), radius - radius % 2, links)
+    join_close(points, own, np.flatnonzero(other), radius - 1 + radius % 2, links)
+    low = np.full(len(points), np.iinfo(np.int64).max)
+    np.minimum.at(low, links.root, points)
+    root = low[links.root]
+    moved = root != points
+    return points[moved], root[moved]
 
 
 def link_fingerprints(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
@@ -237,22 +237,24 @@ def link_fingerprints(unique: DataFrame, radius: int = RADIUS, shard: int = SHAR
 
     sent = map_batches(unique.select("fp"), send, "leaf int, query boolean, fp bigint")
     together = sent.repartition("leaf").sortWithinPartitions("leaf")
-    return map_batches(together, search, "a bigint, b bigint").distinct()
+    return map_batches(together, search, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: for each node of the edges ``a, b`` the smallest node it is connected with.
 
-    Rounds of large-star and small-star until a round changes nothing. Minima are combined before the
-    shuffle, and the join that hands them out has one row a node on one side, so a hub can be split.
+    Rounds of large-star and small-star until only stars are left. Minima are combined before the shuffle, and
+    the join that hands them out has one row a node on one side, so a hub can be split.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
+        # In a star every edge leads from a node with no other edge to one that leads nowhere.
+        ends = now.select(F.explode(F.array(
+            F.struct(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+            F.struct(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+        )).alias("e")).groupBy("e.u").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        if ends.where("up > 1 or up = 1 and down = 1").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
         both = now.union(now.select("b", "a"))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
