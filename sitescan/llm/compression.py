@@ -19,7 +19,9 @@ LEVEL = 3
 CHUNK_BYTES = 4096
 #: (fewest bytes, lowest ratio, highest ratio) of compressed to plain bytes for a text or chunk of that many
 #: bytes. A whole text outside its band is rejected.
-BANDS = ((0, 0.0, 9.0), (256, 0.10, 1.0), (1024, 0.10, 0.90), (4096, 0.10, 0.80), (16384, 0.08, 0.75), (65536, 0.06, 0.70))
+BANDS = (
+    (0, 0.0, 9.0), (256, 0.20, 0.92), (1024, 0.15, 0.75), (4096, 0.12, 0.68), (16384, 0.10, 0.64), (65536, 0.08, 0.60),
+)
 #: A text is also rejected when more than this share of its chunks lies outside the band of their length.
 BAD_CHUNKS = 0.5
 
