@@ -73,9 +73,9 @@ def luhn(digits: Column) -> Column:
 
 
 def _octets(value: Column) -> Column:
-    bare = lambda p: F.regexp_replace(p, "^0+", "")
+    bare = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
     return F.forall(
-        F.split(value, r"\."), lambda p: (F.length(bare(p)) < 4) & (F.coalesce(bare(p).cast("int"), F.lit(0)) <= 255)
+        F.split(value, r"\."), lambda p: (F.length(bare(p)) < 4) & F.coalesce(bare(p).try_cast("int") <= 255, F.lit(False))
     )
 
 
