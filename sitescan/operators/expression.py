@@ -55,14 +55,18 @@ def first_fold_change(rows: DataFrame) -> DataFrame:
 
 
 def expression_conflicts(rows: DataFrame) -> DataFrame:
-    """(gene_id, fold_change, n_conflicts): genes with later rows that differ from the one kept."""
+    """(gene_id, fold_change, n_conflicts): genes with later rows that differ from the one kept.
+
+    A missing value (NaN) differs from everything, another NaN included.
+    """
     n = F.sum("n_rows") if "n_rows" in rows.columns else F.count(F.lit(1))
     per_value = rows.groupBy("gene_id", "fold_change").agg(n.alias("n"), F.min("row_ord").alias("row_ord"))
+    same = F.when(F.isnan("fold_change"), F.lit(1)).otherwise(F.col("n"))
     return (
         per_value.groupBy("gene_id")
         .agg(
             F.min_by("fold_change", "row_ord").alias("fold_change"),
-            (F.sum("n") - F.min_by("n", "row_ord")).alias("n_conflicts"),
+            (F.sum("n") - F.min_by(same, "row_ord")).alias("n_conflicts"),
         )
         .where(F.col("n_conflicts") > 0)
     )

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitescan.operators.ordering import with_ordinal
+
 SITE_COLUMNS = ("chr_n", "pos_ini", "pos_end")
 
 
@@ -66,7 +68,7 @@ def site_key_columns(df: DataFrame) -> tuple[str, str, str]:
 
 
 def split_by_sequence(df: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, skipped): rows whose ``chr_n`` has a sequence, and the others."""
+    """(kept, skipped): rows whose ``chr_n`` has a sequence, be it an empty one, and the others."""
     known = contigs.select("chr_n").distinct()
     return df.join(known, "chr_n", "left_semi"), df.join(known, "chr_n", "left_anti")
 
@@ -79,9 +81,12 @@ def skipped_count(df: DataFrame, contigs: DataFrame) -> DataFrame:
 def sample_peaks(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Random subset of ``n`` rows; ``n <= 0`` keeps all.
 
-    The random order is a hash of the row's values and the seed, so a re-run task or another
-    partitioning draws the same rows.
+    The random order is a hash of the row's values and the seed, so a re-run task or another partitioning draws
+    the same rows. The rows are ranked by range partition: any ``n`` is drawn without one task seeing it all.
+    Rows that are equal in every column have equal hashes and any of them may be drawn.
     """
     if n <= 0:
         return df
-    return df.orderBy(F.xxhash64(F.lit(seed), *[_quoted(c) for c in df.columns])).limit(n)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(_quoted(c).cast("string"), F.lit("")) for c in df.columns]))
+    ranked = with_ordinal(df.select(*[_quoted(c) for c in df.columns], draw.alias("_draw")), "_draw", "_rank")
+    return ranked.where(F.col("_rank") < n).select(*[_quoted(c) for c in df.columns])

@@ -85,10 +85,12 @@ def nearby_genes(
     biotype: str | None = BIOTYPE,
     how: str = "inner",
     bits: int | None = None,
+    keep_start: bool = False,
 ) -> DataFrame:
     """Genes whose body overlaps ``[pos_ini - dist, pos_end + dist]``, both ends inclusive.
 
-    Adds ``gene_id, pos0, biotype`` (and ``fold_change`` when the genes carry it) to the peak columns.
+    Adds ``gene_id, pos0, biotype`` (and ``fold_change`` when the genes carry it, ``g_start`` with
+    ``keep_start``) to the peak columns.
     """
     d = F.lit(int(dist)).cast("bigint")
     side = _gene_side(genes, biotype)
@@ -104,6 +106,8 @@ def nearby_genes(
         bits_for(dist) if bits is None else bits,
         how,
     )
+    if keep_start:
+        joined = joined.withColumn("g_start", F.col("_g_start"))
     return joined.drop("_contig", "_g_start", "_g_end")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from sitescan.defaults import BACKGROUND, PSEUDOCOUNT, SCORE_MULT
 
 BASES = "ACGT"
+#: Weights (8 bytes each) up to which all motifs go to every task at once.
 PANEL_CELLS = 200_000
 
 
@@ -30,14 +30,21 @@ def motif_log_odds(counts: DataFrame, pseudocount: float = PSEUDOCOUNT, backgrou
     cells = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("count")) for b in BASES]))
     return wide.select(*kept, "pos", total.alias("_total"), cells.alias("_cell")).select(
         *kept, "pos", "_cell.base", F.col("_cell.count").alias("count"),
-        F.log2((F.col("_cell.count") + pseudocount) / F.col("_total") / F.lit(background)).alias("log_odds"),
+        # No count and no pseudocount: the base cannot occur. Spark's logarithm of zero would be null.
+        F.when((F.col("_cell.count") + pseudocount == 0) & (F.col("_total") > 0), F.lit(float("-inf"))).otherwise(
+            F.log2((F.col("_cell.count") + pseudocount) / F.nullif("_total", F.lit(0.0)) / F.lit(background))
+        ).alias("log_odds"),
     )
 
 
 def motif_cutoffs(motifs: DataFrame, score_mult: float = SCORE_MULT) -> DataFrame:
-    """(motif, max_score, cutoff): the best score is the sum of the column maxima."""
+    """(motif, max_score, cutoff): the best score is the sum of the column maxima, taken in position order.
+
+    The scan applies these very values, so a reported cutoff is the one a window had to reach.
+    """
     best = motifs.groupBy("motif", "pos").agg(F.max("log_odds").alias("best"))
-    return best.groupBy("motif").agg(F.sum("best").alias("max_score")).select(
+    maxima = F.array_sort(F.collect_list(F.struct("pos", "best")))  # as long as the motif
+    return best.groupBy("motif").agg(F.aggregate(maxima, F.lit(0.0), lambda s, x: s + x["best"]).alias("max_score")).select(
         "motif", "max_score", (F.col("max_score") * F.lit(float(score_mult))).alias("cutoff")
     )
 
@@ -51,51 +58,34 @@ class Motif(NamedTuple):
     cutoff: float
 
 
-def _motif(name: str, order: int, cells: list, score_mult: float, cutoffs: dict[str, float] | None) -> Motif:
+def motif_rows(
+    motifs: DataFrame, score_mult: float = SCORE_MULT, cutoffs: dict[str, float] | None = None
+) -> DataFrame:
+    """One row a motif: ``motif, motif_ord, cells (pos, base, log_odds), cutoff``."""
+    if "motif_ord" not in motifs.columns:
+        motifs = motifs.withColumn("motif_ord", F.lit(0))
+    rows = motifs.groupBy("motif").agg(
+        F.min("motif_ord").alias("motif_ord"), F.collect_list(F.struct("pos", "base", "log_odds")).alias("cells")
+    )
+    if cutoffs is None:
+        return rows.join(motif_cutoffs(motifs, score_mult).select("motif", "cutoff"), "motif")
+    given = F.create_map(*[F.lit(x) for kv in cutoffs.items() for x in (kv[0], float(kv[1]))]) if cutoffs else None
+    return rows.withColumn("cutoff", given[F.col("motif")] if cutoffs else F.lit(None).cast("double"))
+
+
+def make_motif(name: str, order: int, cells: list, cutoff: float | None) -> Motif:
     length = max(c["pos"] for c in cells) + 1
     weights = np.full((length, 4), np.nan)
     for c in cells:
-        weights[c["pos"], BASES.index(c["base"])] = c["log_odds"]
+        weights[c["pos"], BASES.index(c["base"])] = np.nan if c["log_odds"] is None else c["log_odds"]
     if np.isnan(weights).any():
         raise ValueError(f"motif {name!r} lacks a weight for some position and base")
-    best = sum(float(row.max()) for row in weights)
-    cutoff = score_mult * best if cutoffs is None else cutoffs[name]
+    if cutoff is None:
+        raise KeyError(name)
     return Motif(name, order, weights, float(cutoff))
 
 
-def motif_panels(
-    motifs: DataFrame, score_mult: float = SCORE_MULT, cutoffs: dict[str, float] | None = None,
-    max_cells: int = PANEL_CELLS,
-) -> Iterator[list[Motif]]:
-    """Motif table -> panels of at most ``max_cells`` weights (1.6 MB), the only thing the scan ships to
-    its tasks. A larger table gives several panels, each scanned in turn, so its size has no limit."""
-    if "motif_ord" not in motifs.columns:
-        motifs = motifs.withColumn("motif_ord", F.lit(0))
-    columns = ["motif", "motif_ord", "pos", "base", "log_odds"]
-    first = motifs.select(*columns).limit(max_cells + 1).collect()
-    if len(first) <= max_cells:
-        if first:
-            yield _panel(first, 0, score_mult, cutoffs)
-        return
-    sizes = motifs.groupBy("motif").agg(F.count(F.lit(1)).alias("n"), F.min("motif_ord").alias("o"))
-    names: list[str] = []
-    filled = start = 0
-    for row in sizes.orderBy("o", "motif").toLocalIterator():
-        if names and filled + row["n"] > max_cells:
-            yield _panel(_cells(motifs, names, columns), start, score_mult, cutoffs)
-            start += len(names)
-            names, filled = [], 0
-        names.append(row["motif"])
-        filled += row["n"]
-    yield _panel(_cells(motifs, names, columns), start, score_mult, cutoffs)
-
-
-def _cells(motifs: DataFrame, names: list[str], columns: list[str]) -> list:
-    return motifs.where(F.col("motif").isin(names)).select(*columns).collect()
-
-
-def _panel(rows: list, start: int, score_mult: float, cutoffs: dict[str, float] | None) -> list[Motif]:
-    by_name: dict[str, list] = {}
-    for row in sorted(rows, key=lambda r: (r["motif_ord"], r["motif"], r["pos"])):
-        by_name.setdefault(row["motif"], []).append(row)
-    return [_motif(n, start + i, cells, score_mult, cutoffs) for i, (n, cells) in enumerate(by_name.items())]
+def longest_motif(motifs: DataFrame | None) -> int:
+    """Positions of the longest motif; 0 without motifs."""
+    last = motifs.agg(F.max("pos")).first()[0] if motifs is not None else None
+    return 0 if last is None else last + 1

@@ -51,9 +51,12 @@ def with_ordinal(df: DataFrame, order_col: str, name: str = "ordinal") -> DataFr
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """First row per key in the order of ``order_col``.
+    """First row per key in the order of ``order_col``, which must be unique within a key.
 
-    ``min_by`` per column combines map-side; a window would send every row of a hot key to one task.
+    ``min_by`` of the whole row combines map-side; a window would send every row of a hot key to one task.
     """
     others = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*[F.min_by(c, order_col).alias(c) for c in others]).select(*df.columns)
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), order_col).alias("_row")
+    return df.groupBy(*keys).agg(row).select(*[
+        F.col(f"_row.`{c}`").alias(c) if c in others else F.col(f"`{c}`") for c in df.columns
+    ])

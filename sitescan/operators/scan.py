@@ -4,12 +4,14 @@ Every chunk is scanned once, however many sites cover it; the hits are then matc
 ``hits_in_slices``. A window's score does not depend on the site around it, so the hits inside a site are
 exactly the contig's hits that lie wholly inside its slice.
 
-The default path hands Arrow batches to numpy: one vector operation covers all bases of a batch. The
-native path explodes windows in the JVM; it takes any number of words and is the cross-check.
+Arrow batches go to numpy: one vector operation covers all bases of a batch, and all words of one length are
+looked up at once by the number their bases make. The native path explodes windows in the JVM; it is the
+cross-check.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
@@ -19,10 +21,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescan.defaults import CHUNK_OVERLAP, SCORE_MULT
+from sitescan.defaults import SCORE_MULT
 from sitescan.functions import reverse_complement
-from sitescan.operators.motifs import BASES, Motif, motif_panels
-from sitescan.operators.sequences import check_window, kmers
+from sitescan.operators.motifs import BASES, PANEL_CELLS, Motif, make_motif, motif_rows
+from sitescan.operators.ordering import with_ordinal
+from sitescan.operators.sequences import check_window, chunk_layout, kmers
+from sitescan.session import cut_lineage
 
 HIT_SCHEMA = (
     "chr_n string, start bigint, hit_len int, seq string, source string, strand string, "
@@ -35,8 +39,8 @@ _ARROW = pa.schema([
 ])
 
 _SLICE_BYTES = 1 << 20
-_WORD_FORMS = 256
-_BROADCAST_FORMS = 100_000
+_BLOCK_CHUNKS = 2048  # chunks that meet a panel in one group when the panels are too many for every task
+_CODE_BASES = 31  # bases whose number fits 64 bits
 _PACK = 6  # bases per lookup table: 4**6 doubles stay in the first-level cache
 
 _CODE = np.full(256, 4, dtype=np.uint8)
@@ -52,7 +56,7 @@ class _Bases:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, owned: np.ndarray):
         self.data, self.offsets, self.owned = data, offsets, owned
         self.codes = _CODE[data]
-        self.packed: dict[int, np.ndarray] = {}
+        self.packed: dict = {}
 
     def packs(self, k: int) -> np.ndarray:
         """Base-4 number of the k bases from each position; other letters count as A here."""
@@ -66,11 +70,29 @@ class _Bases:
             self.packed[k] = number
         return self.packed[k]
 
+    def numbers(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Base-4 number of the k (at most 31) bases from each position, and whether all are ACGT."""
+        n = len(self.codes) - k + 1
+        bad = np.concatenate([[0], np.cumsum(self.codes > 3)])
+        return self._number(k)[:n], bad[k:] == bad[:n]
+
+    def _number(self, k: int) -> np.ndarray:
+        if ("n", k) not in self.packed:
+            if k == 1:
+                made = np.where(self.codes > 3, 0, self.codes).astype(np.int64)
+            else:
+                half = k // 2
+                left, right = self._number(k - half), self._number(half)
+                n = len(self.codes) - k + 1
+                made = left[:n] * 4 ** half + right[k - half:k - half + n]
+            self.packed["n", k] = made
+        return self.packed["n", k]
+
     def inside(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows that start in a chunk's own part and end within its bases, and their chunks."""
+        """Which windows start in a chunk's own part and end within its bases, and the chunks of those."""
         row = np.searchsorted(self.offsets, at, side="right") - 1
         ok = (at - self.offsets[row] < self.owned[row]) & (at + length <= self.offsets[row + 1])
-        return at[ok], row[ok]
+        return ok, row[ok]
 
     def text(self, at: np.ndarray, length: int, upper: bool) -> pa.Array:
         letters = self.data[at[:, None] + np.arange(length)]
@@ -105,7 +127,8 @@ def _motif_windows(bases: _Bases, weights: np.ndarray, cutoff: float, single: bo
     rough = _window_scores(bases, weights)
     slack = 1e-4 if single else 1e-9
     at = np.flatnonzero(rough >= cutoff - slack * max(1.0, abs(cutoff)))
-    at, row = bases.inside(at, length)
+    ok, row = bases.inside(at, length)
+    at = at[ok]
     padded = np.column_stack([weights, np.full(length, np.nan)])  # any other letter: no score
     score = np.zeros(len(at))
     for j in range(length):
@@ -116,14 +139,75 @@ def _motif_windows(bases: _Bases, weights: np.ndarray, cutoff: float, single: bo
     return at[ok], row[ok], score[ok]
 
 
-def _word_windows(bases: _Bases, folded: np.ndarray, word: str) -> np.ndarray:
-    n = len(folded) - len(word) + 1
-    if n < 1:
-        return np.empty(0, dtype=np.int64)
-    same = folded[:n] == ord(word[0])
-    for j in range(1, len(word)):
-        same &= folded[j:j + n] == ord(word[j])
-    return np.flatnonzero(same)
+class WordTable:
+    """The forms (word or reverse complement) of one length, found together.
+
+    Forms of ACGT alone are looked up by the number of their first bases, any others compared letter by letter.
+    A form that several words share stands once, with all its words.
+    """
+
+    def __init__(self, length: int, forms: list[tuple[str, str, int]]):
+        self.length = length
+        by_form: dict[str, list[tuple[str, int]]] = {}
+        for form, strand, order in forms:
+            by_form.setdefault(form, []).append((strand, order))
+        self.forms = sorted(by_form)
+        self.sizes = np.array([len(by_form[f]) for f in self.forms], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        owners = [o for f in self.forms for o in by_form[f]]
+        self.strands = [o[0] for o in owners]
+        self.orders = np.array([o[1] for o in owners], dtype=np.int32)
+        self.letters = np.array([list(f.encode()) for f in self.forms], dtype=np.uint8).reshape(-1, length)
+        self.k = min(length, _CODE_BASES)
+        plain = [i for i, f in enumerate(self.forms) if set(f) <= set(BASES)]
+        self.odd = [i for i in range(len(self.forms)) if i not in set(plain)]
+        codes = [reduce(lambda n, c: n * 4 + BASES.index(c), self.forms[i][:self.k], 0) for i in plain]
+        order = np.argsort(np.array(codes, dtype=np.int64), kind="stable")
+        self.codes = np.array(codes, dtype=np.int64)[order]
+        self.plain = np.array(plain, dtype=np.int64)[order]
+
+    def find(self, bases: _Bases, folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, forms) of every match."""
+        n = len(folded) - self.length + 1
+        found = []
+        if n > 0 and len(self.codes):
+            numbers, good = bases.numbers(self.k)
+            keys = np.unique(self.codes)
+            place = np.searchsorted(keys, numbers[:n])
+            place[place == len(keys)] = 0
+            at = np.flatnonzero((keys[place] == numbers[:n]) & good[:n])
+            # Longer words may agree in the bases the number covers.
+            low = np.searchsorted(self.codes, numbers[at], side="left")
+            many = np.searchsorted(self.codes, numbers[at], side="right") - low
+            form = self.plain[np.repeat(low, many) + _within(many)]
+            at = np.repeat(at, many)
+            for j in range(self.k, self.length):
+                same = folded[at + j] == self.letters[form, j]
+                at, form = at[same], form[same]
+            found.append((at, form))
+        for i in self.odd if n > 0 else []:
+            same = folded[:n] == self.letters[i, 0]
+            for j in range(1, self.length):
+                same &= folded[j:j + n] == self.letters[i, j]
+            at = np.flatnonzero(same)
+            found.append((at, np.full(len(at), i, dtype=np.int64)))
+        none = np.empty(0, dtype=np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none)
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of the runs of the given sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def word_tables(words: list[str]) -> list[WordTable]:
+    forms: dict[int, list[tuple[str, str, int]]] = {}
+    for order, word in enumerate(words):
+        other = reverse_complement(word)
+        for form, strand in [(word, "+")] + ([(other, "-")] if other != word else []):
+            forms.setdefault(len(word), []).append((form, strand, order))
+    return [WordTable(k, f) for k, f in sorted(forms.items())]
 
 
 def _scan_slice(chr_n: pa.Array, start: np.ndarray, bases: _Bases, words, panel, single: bool):
@@ -136,8 +220,8 @@ def _scan_slice(chr_n: pa.Array, start: np.ndarray, bases: _Bases, words, panel,
                 pa.array(np.full(n, length, dtype=np.int32)),
                 bases.text(at, length, upper=source == "list"),
                 pa.repeat(source, n),
-                pa.repeat(strand, n),
-                pa.array(np.full(n, order, dtype=np.int32)),
+                strand if isinstance(strand, pa.Array) else pa.repeat(strand, n),
+                order if isinstance(order, pa.Array) else pa.array(np.full(n, order, dtype=np.int32)),
                 pa.repeat(name, n) if name is not None else pa.nulls(n, pa.string()),
                 pa.array(score) if score is not None else pa.nulls(n, pa.float64()),
             ],
@@ -146,12 +230,18 @@ def _scan_slice(chr_n: pa.Array, start: np.ndarray, bases: _Bases, words, panel,
 
     if words:
         folded = _UPPER[bases.data]
-        for order, word in enumerate(words):
-            other = reverse_complement(word)
-            for form, strand in [(word, "+")] + ([(other, "-")] if other != word else []):
-                at, row = bases.inside(_word_windows(bases, folded, form), len(form))
-                if len(at):
-                    yield batch(at, row, len(form), "list", strand, order, None, None)
+        for table in words:
+            at, form = table.find(bases, folded)
+            ok, row = bases.inside(at, table.length)
+            at, form = at[ok], form[ok]
+            if len(at):
+                many = table.sizes[form]
+                owner = np.repeat(table.starts[form], many) + _within(many)
+                at, row = np.repeat(at, many), np.repeat(row, many)
+                yield batch(
+                    at, row, table.length, "list", pa.array(table.strands, pa.string()).take(pa.array(owner)),
+                    pa.array(table.orders[owner]), None, None,
+                )
     for motif in panel:
         for weights, strand in ((motif.weights, "+"), (motif.weights[::-1, ::-1], "-")):
             at, row, score = _motif_windows(bases, weights, motif.cutoff, single)
@@ -159,30 +249,28 @@ def _scan_slice(chr_n: pa.Array, start: np.ndarray, bases: _Bases, words, panel,
                 yield batch(at, row, len(weights), "pssm", strand, motif.order, motif.name, score)
 
 
-def _scanner(words: list[str], panel: list[Motif], single: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            rows = max(1, int(whole.num_rows * _SLICE_BYTES / max(whole.nbytes, 1)))
-            for first in range(0, whole.num_rows, rows):
-                part = whole.slice(first, rows)
-                column = part.column("bases")
-                if isinstance(column, pa.LargeBinaryArray):
-                    column = column.cast(pa.binary())
-                _, off_buf, data_buf = column.buffers()
-                if data_buf is None:
-                    continue
-                off = np.frombuffer(off_buf, dtype=np.int32)[column.offset:column.offset + len(column) + 1]
-                data = np.frombuffer(data_buf, dtype=np.uint8)[off[0]:off[-1]]
-                bases = _Bases(data, (off - off[0]).astype(np.int64), part.column("chunk_len").to_numpy())
-                yield from _scan_slice(
-                    part.column("chr_n"), part.column("chunk_start").to_numpy(), bases, words, panel, single
-                )
-
-    return run
+def _scan_batch(whole: pa.RecordBatch, words: list[WordTable], panel: list[Motif], single: bool) -> Iterator[pa.RecordBatch]:
+    rows = max(1, int(whole.num_rows * _SLICE_BYTES / max(whole.nbytes, 1)))
+    for first in range(0, whole.num_rows, rows):
+        part = whole.slice(first, rows)
+        column = part.column("bases")
+        if isinstance(column, pa.LargeBinaryArray):
+            column = column.cast(pa.binary())
+        _, off_buf, data_buf = column.buffers()
+        if data_buf is None:
+            continue
+        off = np.frombuffer(off_buf, dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+        data = np.frombuffer(data_buf, dtype=np.uint8)[off[0]:off[-1]]
+        if len(data):
+            bases = _Bases(data, (off - off[0]).astype(np.int64), part.column("chunk_len").to_numpy())
+            yield from _scan_slice(
+                part.column("chr_n"), part.column("chunk_start").to_numpy(), bases, words, panel, single
+            )
 
 
-# The scan ships with the task, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(__import__("sitescan"))
+def _ship() -> None:
+    """The scan travels with its tasks, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules["sitescan"])
 
 
 def _clean_words(words: Sequence[str]) -> list[str]:
@@ -199,7 +287,7 @@ def scan(
     score_mult: float = SCORE_MULT,
     cutoffs: dict[str, float] | None = None,
     float32: bool = False,
-    overlap: int = CHUNK_OVERLAP,
+    max_cells: int = PANEL_CELLS,
 ) -> DataFrame:
     """Hits of the words and motifs on both strands, in contig coordinates (``start`` is 0-based).
 
@@ -207,52 +295,98 @@ def scan(
     a word given twice hits twice. Motifs: ``score >= cutoff`` (``score_mult`` of the best score unless
     ``cutoffs`` names them); ``seq`` keeps its case; letters other than ACGT give no hit. ``float32``
     rounds the scores to single precision before the test.
+
+    Words of any number and motifs of up to ``max_cells`` weights go to every task, and the chunks are read
+    once where they lie. A larger motif table stays in Spark: its panels meet blocks of chunks in a shuffle.
     """
-    spark = chunks.sparkSession
     words = _clean_words(words)
-    for w in words:
-        check_window(len(w), overlap)
-    parts = []
-    if len(words) * 2 > _WORD_FORMS:
-        parts.append(_scan_words_native(chunks, words, overlap))
-        words = []
-    panels = list(motif_panels(motifs, score_mult, cutoffs)) if motifs is not None else []
-    for panel in panels:
-        for m in panel:
-            check_window(len(m.weights), overlap)
+    overlap = chunk_layout(chunks)[1]
+    for length in {len(w) for w in words}:
+        check_window(length, overlap)
     source = chunks.select("chr_n", "chunk_start", "chunk_len", "bases")
-    for i, panel in enumerate(panels or ([[]] if words else [])):
-        parts.append(source.mapInArrow(_scanner(words if i == 0 else [], panel, float32), HIT_SCHEMA))
+    panel, large = [], None
+    if motifs is not None:
+        # Stored: measured first, then read for the one way or the other.
+        rows = cut_lineage(motif_rows(motifs, score_mult, cutoffs))
+        cells, last = rows.agg(F.sum(F.size("cells")), F.max(F.array_max("cells.pos"))).first()
+        if cells:
+            check_window(last + 1, overlap)
+        if cells and cells > max_cells:
+            large = _scan_panels(chunks, rows, cells, float32, max_cells)
+        elif cells:
+            found = sorted(rows.collect(), key=lambda r: (r["motif_ord"], r["motif"]))
+            panel = [make_motif(r["motif"], i, r["cells"], r["cutoff"]) for i, r in enumerate(found)]
+    _ship()
+    parts = [large] if large is not None else []
+    if words or panel:
+        # Plain values: the tables are made once in each task.
+        shared = chunks.sparkSession.sparkContext.broadcast((words, [tuple(m) for m in panel]))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given, motifs_ = shared.value
+            tables, own = word_tables(given), [Motif(*m) for m in motifs_]
+            for whole in batches:
+                yield from _scan_batch(whole, tables, own, float32)
+
+        parts.append(source.mapInArrow(run, HIT_SCHEMA))
     if not parts:
-        return spark.createDataFrame([], HIT_SCHEMA)
+        return chunks.sparkSession.createDataFrame([], HIT_SCHEMA)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def scan_words(
-    chunks: DataFrame, words: Sequence[str], method: str = "arrow", overlap: int = CHUNK_OVERLAP
-) -> DataFrame:
+def _scan_panels(chunks: DataFrame, rows: DataFrame, cells: int, single: bool, max_cells: int) -> DataFrame:
+    """Motifs too many for every task: panels of them, packed inside Spark, meet blocks of chunks.
+
+    The chunks are read once and shuffled to the panels; a group holds one block and one panel.
+    """
+    n_panels = -(-cells // max_cells)
+    n_blocks = max(1, chunks.count() // _BLOCK_CHUNKS)
+    place = F.struct("motif_ord", "motif").alias("_place")
+    numbered = with_ordinal(rows.select("motif", "cells", "cutoff", place), "_place", "motif_ord")
+    panels = numbered.withColumn("panel", F.pmod(F.xxhash64("motif"), F.lit(n_panels)).cast("int")).groupBy("panel").agg(
+        F.collect_list(F.struct("motif", "motif_ord", "cells", "cutoff")).alias("motifs")
+    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    block = F.pmod(F.xxhash64("chr_n", "chunk_id"), F.lit(n_blocks)).cast("int")
+    spread = chunks.select(
+        "chr_n", "chunk_start", "chunk_len", "bases", block.alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_panels - 1))).alias("panel"),
+    )
+    _ship()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            motifs = right.column("motifs").to_pylist()[0]
+            own = [make_motif(m["motif"], m["motif_ord"], m["cells"], m["cutoff"]) for m in motifs]
+            for whole in left.to_batches():
+                found += list(_scan_batch(whole, [], own, single))
+        return pa.Table.from_batches(found, schema=_ARROW)
+
+    return spread.groupBy("panel", "block").cogroup(panels.groupBy("panel", "block")).applyInArrow(run, HIT_SCHEMA)
+
+
+def scan_words(chunks: DataFrame, words: Sequence[str], method: str = "arrow") -> DataFrame:
     """Exact words on both strands; ``method='native'`` joins windows with the word table in the JVM."""
     if method == "arrow":
-        return scan(chunks, words=words, overlap=overlap)
+        return scan(chunks, words=words)
     if method == "native":
-        return _scan_words_native(chunks, _clean_words(words), overlap)
+        return _scan_words_native(chunks, _clean_words(words))
     raise ValueError(f"unknown method {method!r}")
 
 
 def scan_motifs(
     chunks: DataFrame, motifs: DataFrame, score_mult: float = SCORE_MULT,
     cutoffs: dict[str, float] | None = None, float32: bool = False, method: str = "arrow",
-    overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
     """Weighted motifs on both strands; ``method='native'`` sums column expressions over JVM windows."""
     if method == "arrow":
-        return scan(chunks, motifs=motifs, score_mult=score_mult, cutoffs=cutoffs, float32=float32, overlap=overlap)
+        return scan(chunks, motifs=motifs, score_mult=score_mult, cutoffs=cutoffs, float32=float32)
     if method == "native":
-        return _scan_motifs_native(chunks, motifs, score_mult, cutoffs, float32, overlap)
+        return _scan_motifs_native(chunks, motifs, score_mult, cutoffs, float32)
     raise ValueError(f"unknown method {method!r}")
 
 
-def _scan_words_native(chunks: DataFrame, words: list[str], overlap: int) -> DataFrame:
+def _scan_words_native(chunks: DataFrame, words: list[str]) -> DataFrame:
     spark = chunks.sparkSession
     forms = []
     for order, word in enumerate(words):
@@ -264,9 +398,7 @@ def _scan_words_native(chunks: DataFrame, words: list[str], overlap: int) -> Dat
         table = spark.createDataFrame(
             [f for f in forms if len(f[0]) == k], "seq string, strand string, hit_ord int"
         )
-        if len(forms) <= _BROADCAST_FORMS:  # a list from the caller: its size is known
-            table = F.broadcast(table)
-        windows = kmers(chunks, k, overlap=overlap).withColumn("seq", F.upper("kmer")).drop("kmer")
+        windows = kmers(chunks, k).withColumn("seq", F.upper("kmer")).drop("kmer")
         parts.append(windows.join(table, "seq").select(
             "chr_n", "start", F.lit(k).alias("hit_len"), "seq", F.lit("list").alias("source"), "strand",
             "hit_ord", F.lit(None).cast("string").alias("tf_name"),
@@ -277,32 +409,32 @@ def _scan_words_native(chunks: DataFrame, words: list[str], overlap: int) -> Dat
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _scan_motifs_native(chunks, motifs, score_mult, cutoffs, single, overlap) -> DataFrame:
+def _scan_motifs_native(chunks, motifs, score_mult, cutoffs, single) -> DataFrame:
     spark = chunks.sparkSession
     parts = []
-    for panel in motif_panels(motifs, score_mult, cutoffs):
-        for m in panel:
-            k = len(m.weights)
-            windows = kmers(chunks, k, overlap=overlap)
-            for weights, strand in ((m.weights, "+"), (m.weights[::-1, ::-1], "-")):
-                score = F.lit(0.0)
-                for j, row in enumerate(weights):
-                    letter = F.upper(F.substring("kmer", j + 1, 1))
-                    pick = F.when(letter == BASES[0], F.lit(float(row[0])))
-                    for b in range(1, 4):
-                        pick = pick.when(letter == BASES[b], F.lit(float(row[b])))
-                    score = score + pick
-                if single:
-                    score = score.cast("float").cast("double")
-                parts.append(
-                    windows.select("*", score.alias("score_pssm"))
-                    .where(F.col("score_pssm") >= m.cutoff)
-                    .select(
-                        "chr_n", "start", F.lit(k).alias("hit_len"), F.col("kmer").alias("seq"),
-                        F.lit("pssm").alias("source"), F.lit(strand).alias("strand"),
-                        F.lit(m.order).alias("hit_ord"), F.lit(m.name).alias("tf_name"), "score_pssm",
-                    )
+    rows = sorted(motif_rows(motifs, score_mult, cutoffs).collect(), key=lambda r: (r["motif_ord"], r["motif"]))
+    for m in [make_motif(r["motif"], i, r["cells"], r["cutoff"]) for i, r in enumerate(rows)]:
+        k = len(m.weights)
+        windows = kmers(chunks, k)
+        for weights, strand in ((m.weights, "+"), (m.weights[::-1, ::-1], "-")):
+            score = F.lit(0.0)
+            for j, row in enumerate(weights):
+                letter = F.upper(F.substring("kmer", j + 1, 1))
+                pick = F.when(letter == BASES[0], F.lit(float(row[0])))
+                for b in range(1, 4):
+                    pick = pick.when(letter == BASES[b], F.lit(float(row[b])))
+                score = score + pick
+            if single:
+                score = score.cast("float").cast("double")
+            parts.append(
+                windows.select("*", score.alias("score_pssm"))
+                .where(F.col("score_pssm") >= m.cutoff)
+                .select(
+                    "chr_n", "start", F.lit(k).alias("hit_len"), F.col("kmer").alias("seq"),
+                    F.lit("pssm").alias("source"), F.lit(strand).alias("strand"),
+                    F.lit(m.order).alias("hit_ord"), F.lit(m.name).alias("tf_name"), "score_pssm",
                 )
+            )
     if not parts:
         return spark.createDataFrame([], HIT_SCHEMA)
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +46,21 @@ def peak_gene_stats(
     return per_row(pairs, peaks.columns, *gene_counts())
 
 
-def distinct_genes(pairs: DataFrame, order_col: str) -> DataFrame:
-    """(gene_id, chr_n, pos0, biotype, fold_change): each gene once, as its first peak saw it."""
+def distinct_genes(pairs: DataFrame, order_col: str, keep_order: bool = False) -> DataFrame:
+    """(gene_id, chr_n, pos0, biotype, fold_change): each gene once, as its first peak saw it.
+
+    ``keep_order`` adds ``gene_ord``, which sorts by first occurrence: the first peak, then the gene's start
+    (``pairs`` then carry ``g_start``). It is unique.
+    """
     cols = ["chr_n", "pos0", "biotype", "fold_change"]
+    lead = F.col("g_start") if keep_order else F.lit(0)
     # First fold to one row per gene and spelling of its chromosome with a fixed-width buffer (a hash
     # aggregate, map-side); only then pick the first spelling.
-    folded = pairs.groupBy("gene_id", *cols).agg(F.min(order_col).alias("_first"))
-    return folded.groupBy("gene_id").agg(*[F.min_by(c, "_first").alias(c) for c in cols])
+    folded = pairs.groupBy("gene_id", *cols).agg(F.min(order_col).alias("_first"), F.min(lead).alias("_lead"))
+    first = F.min_by(F.struct(*cols, "_first", "_lead"), "_first").alias("_row")
+    row = folded.groupBy("gene_id").agg(first)
+    order = [F.struct(F.col("_row._first").alias("first"), F.col("_row._lead").alias("start"), "gene_id").alias("gene_ord")]
+    return row.select("gene_id", *[F.col(f"_row.{c}").alias(c) for c in cols], *(order if keep_order else []))
 
 
 def peak_site_stats(peaks: DataFrame, hits: DataFrame, bits: int = HIT_BIN_BITS) -> DataFrame:
@@ -80,30 +88,51 @@ def reported_start(pos_ini_shift: Column | str = "slice_shift", one_based: bool
     return F.when(F.col("hit_source") == "list", first + 1).otherwise(first)
 
 
+def _per_key(sites: DataFrame, key: str | None, pairs: Callable[[DataFrame], DataFrame], bounds: Sequence[str], *aggregates: Column) -> DataFrame:
+    """``sites`` with the aggregates over their pairs.
+
+    With a unique ``key`` only the key and the bounds are paired and grouped, and the row is joined back once;
+    without one the whole row travels through the pairs.
+    """
+    if key is None:
+        return per_row(pairs(sites), sites.columns, *aggregates)
+    narrow = sites.select(F.col(f"`{key}`").alias("_id"), *[F.col(f"`{c}`") for c in bounds if c != key])
+    found = pairs(narrow).groupBy("_id").agg(*aggregates)
+    made = [F.col(f"`{c}`") for c in found.columns if c != "_id"]
+    return sites.join(found, F.col(f"`{key}`") == F.col("_id")).select(*_columns(sites), *made)
+
+
 def gene_string(
     sites: DataFrame, genes: DataFrame, dist: int = DIST_GENES, label_mode: str = "inherited",
-    name: str = "str_genes_rnaseq_near", bits: int | None = None,
+    name: str = "str_genes_rnaseq_near", bits: int | None = None, key: str | None = None,
 ) -> DataFrame:
-    """Sites with ``gene_up,gene_down,...`` in gene order; an empty string without genes."""
-    pairs = genes_around(sites, genes, dist, label_mode, how="left", bits=bits)
-    item = F.concat(F.col("gene_id"), F.lit("_"), F.col("updown")).alias("_item")
+    """Sites with ``gene_up,gene_down,...`` in gene order; an empty string without genes.
+
+    ``key`` names a column that is unique and never null; the sites' other columns then stay out of the pairs.
+    """
+    item = F.when(F.col("gene_id").isNotNull(), F.concat(F.col("gene_id"), F.lit("_"), F.col("updown")))
     listed = F.expr("coalesce(listagg(_item, ',') within group (order by _gord), '')").alias(name)
-    return per_row(
-        pairs.select(*_columns(sites), item, F.col("gene_ord").alias("_gord")), sites.columns, listed
-    )
+
+    def pairs(left: DataFrame) -> DataFrame:
+        found = genes_around(left, genes, dist, label_mode, how="left", bits=bits)
+        return found.select(*_columns(left), item.alias("_item"), F.col("gene_ord").alias("_gord"))
+
+    return _per_key(sites, key, pairs, ("chr_n", "pos_ini", "pos_end"), listed)
 
 
 def cooccupancy_flags(
-    located: DataFrame, hits: DataFrame, names: Sequence[str], bits: int = HIT_BIN_BITS
+    located: DataFrame, hits: DataFrame, names: Sequence[str], bits: int = HIT_BIN_BITS, key: str | None = None,
 ) -> DataFrame:
-    """Located sites with one 0/1 column per motif name."""
+    """Located sites with one 0/1 column per motif name; ``key`` as in :func:`gene_string`."""
     clash = set(names) & set(located.columns)
     if clash:
         raise ValueError(f"motif names {sorted(clash)} are also site columns")
-    pairs = hits_in_slices(located, hits.select("chr_n", "start", "hit_len", "tf_name"), "left", bits)
+    if not names:
+        return located
     flags = [
         F.coalesce(F.max(F.when(F.col("hit_tf_name") == n, 1)), F.lit(0)).alias(n) for n in names
     ]
-    if not flags:
-        return located
-    return per_row(pairs, located.columns, *flags)
+    narrow = hits.select("chr_n", "start", "hit_len", "tf_name")
+    return _per_key(
+        located, key, lambda left: hits_in_slices(left, narrow, "left", bits), ("chr_n", *SLICE_COLUMNS), *flags
+    )

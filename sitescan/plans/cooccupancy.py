@@ -8,14 +8,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitescan.defaults import CHUNK_OVERLAP, CHUNK_SIZE, DIST_GENES, DIST_SITES, SCORE_MULT
-from sitescan.operators.filters import SITE_COLUMNS, site_key_columns
+from sitescan.defaults import DIST_GENES, DIST_SITES, PSEUDOCOUNT, SCORE_MULT
+from sitescan.operators.filters import SITE_COLUMNS, site_key_columns, skipped_count
 from sitescan.operators.motifs import motif_cutoffs
 from sitescan.operators.ordering import with_ordinal
 from sitescan.operators.scan import scan
 from sitescan.operators.sequences import contig_lengths, locate_sites, prune_chunks
 from sitescan.operators.sites import expand_sites, site_hits
 from sitescan.operators.stats import cooccupancy_flags, gene_string
+from sitescan.plans.generate import stored_chunks, window_overlap
 from sitescan.session import cut_lineage
 from sitescan.sources import read_fasta_chunks, read_genes, read_motifs, read_table, write_table
 
@@ -25,10 +26,13 @@ _OVERLAID = ("chr_n", "pos_ini", "pos_end", "seq", "source", "score_pssm", "tf_n
 
 
 class CooccupancyTables:
-    """The two tables; each plan is built when it is first asked for. ``site_id`` orders the sites."""
+    """The two tables; each plan is built when it is first asked for. ``site_id`` orders the sites.
 
-    def __init__(self, make_sites: Callable[[], DataFrame], make_other: Callable[[], DataFrame]):
-        self._make_sites, self._make_other = make_sites, make_other
+    ``skipped`` has one row, ``n_skipped``: the sites whose chromosome has no sequence, which leave both tables.
+    """
+
+    def __init__(self, make_sites: Callable[[], DataFrame], make_other: Callable[[], DataFrame], skipped: DataFrame):
+        self._make_sites, self._make_other, self.skipped = make_sites, make_other, skipped
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -51,8 +55,7 @@ def cooccupancy(
     label_mode: str = "inherited",
     one_based: bool = False,
     clamp: bool = False,
-    overlap: int = CHUNK_OVERLAP,
-    chunk_size: int = CHUNK_SIZE,
+    float32: bool = False,
     materialize: bool = False,
 ) -> CooccupancyTables:
     """Both tables as lazy DataFrames.
@@ -65,20 +68,21 @@ def cooccupancy(
     clash = set(own) & {*names, GENES}
     if clash:
         raise ValueError(f"site columns {sorted(clash)} would be overwritten by the report")
-    located = _located(sites, own, chunks, dist_sites, clamp)
+    contigs = contig_lengths(chunks)
+    located, skipped = _located(sites, own, contigs, dist_sites, clamp)
     carried = [F.col(f"_own.`{c}`").alias(c) for c in own]
 
     hits = scan(
-        prune_chunks(chunks, located, chunk_size), motifs=motifs, score_mult=score_mult, overlap=overlap
+        prune_chunks(chunks, located), motifs=motifs, score_mult=score_mult, float32=float32
     )
-    named = gene_string(located, genes, dist_genes, label_mode, GENES)
+    named = gene_string(located, genes, dist_genes, label_mode, GENES, key=SITE_ID)
     if materialize:
         hits, named = cut_lineage(hits), cut_lineage(named)
 
     tail = [F.col(f"`{c}`") for c in (GENES, *names)]
 
     def sites_table() -> DataFrame:
-        return cooccupancy_flags(named, hits, names).select(SITE_ID, *carried, *tail)
+        return cooccupancy_flags(named, hits, names, key=SITE_ID).select(SITE_ID, *carried, *tail)
 
     def hits_table() -> DataFrame:
         # A site in the hits table has its hits at hand, so its flags need no second pass over the scan;
@@ -100,11 +104,13 @@ def cooccupancy(
             "hit_tf_name", "hit_strand", "hit_ord",
         )
 
-    return CooccupancyTables(sites_table, hits_table)
+    return CooccupancyTables(sites_table, hits_table, skipped)
 
 
-def _located(sites: DataFrame, own: list[str], chunks: DataFrame, dist: int, clamp: bool) -> DataFrame:
-    """Sites on a known contig, their own columns packed aside, with the expanded slice."""
+def _located(
+    sites: DataFrame, own: list[str], contigs: DataFrame, dist: int, clamp: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Sites on a known contig, their own columns packed aside, with the expanded slice; and how many are not."""
     keys = site_key_columns(sites.select(*[F.col(f"`{c}`") for c in own]))
     packed = sites.select(
         SITE_ID,
@@ -114,9 +120,8 @@ def _located(sites: DataFrame, own: list[str], chunks: DataFrame, dist: int, cla
             for k, n in zip(keys, SITE_COLUMNS)
         ],
     )
-    return locate_sites(
-        expand_sites(packed, dist), contig_lengths(chunks), "search_ini", "search_end", clamp
-    ).drop("search_ini", "search_end")
+    located = locate_sites(expand_sites(packed, dist), contigs, "search_ini", "search_end", clamp)
+    return located.drop("search_ini", "search_end"), skipped_count(packed.select("chr_n"), contigs)
 
 
 def run_cooccupancy(
@@ -132,23 +137,32 @@ def run_cooccupancy(
     score_mult: float = SCORE_MULT,
     score_report: bool = False,
     label_mode: str = "inherited",
+    one_based: bool = False,
+    clamp: bool = False,
+    float32: bool = False,
+    pseudocount: float = PSEUDOCOUNT,
     fasta_genome: str | None = None,
 ) -> CooccupancyTables:
-    """Files in, ``<prefix>_sites_genes`` and ``<prefix>_other_tf`` out.
+    """Files in, ``<prefix>_sites_genes`` and ``<prefix>_other_tf`` out; ``skipped`` of the result counts the
+    sites without a sequence.
 
     ``names`` renames motif files for display; without it a motif is called after its file.
     """
     sites = with_ordinal(read_table(spark, sites_path, row_order=True), "row_ord", SITE_ID)
     genes = with_ordinal(read_genes(spark, genes_path, row_order=True), "row_ord", "gene_ord")
-    motifs = read_motifs(spark, motif_path, names=names)
+    motifs = cut_lineage(read_motifs(spark, motif_path, pseudocount, names=names))
     if score_report:
         motif_cutoffs(motifs, score_mult).show(truncate=False)
     order = motifs.groupBy("motif").agg(F.min("motif_ord").alias("o")).orderBy("o", "motif")
     columns = [r["motif"] for r in order.toLocalIterator()]
-    chunks = cut_lineage(read_fasta_chunks(spark, fasta_path, genome=fasta_genome))
+    sites = cut_lineage(sites)
+    keys = site_key_columns(sites.drop(SITE_ID))
+    named = sites.select(F.col(f"`{keys[0]}`").alias("chr_n"))
+    overlap = window_overlap(motifs=motifs)
+    chunks = stored_chunks(read_fasta_chunks(spark, fasta_path, overlap=overlap, genome=fasta_genome), named)
     tables = cooccupancy(
-        cut_lineage(sites), cut_lineage(genes), chunks, motifs, columns, dist_sites, dist_genes, score_mult,
-        label_mode, materialize=True,
+        sites, cut_lineage(genes), chunks, motifs, columns, dist_sites, dist_genes, score_mult,
+        label_mode, one_based, clamp, float32, materialize=True,
     )
     own_ids = [SITE_ID]
     write_table(tables.sites, f"{output_prefix}_sites_genes", order_by=[SITE_ID], drop=own_ids)

@@ -8,12 +8,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitescan.defaults import CHUNK_SIZE
 from sitescan.functions import fasta_id
 from sitescan.operators.filters import project_sites, rule_filter
 from sitescan.operators.ordering import with_ordinal
 from sitescan.operators.sequences import contig_lengths, extract_sequences, locate_sites
 from sitescan.operators.sites import resize_sites
+from sitescan.plans.generate import stored_chunks
 from sitescan.session import cut_lineage
 from sitescan.sources import read_fasta_chunks, read_table, write_fasta
 
@@ -33,11 +33,11 @@ def filtered_sites(
 
 
 def fasta_records(
-    filtered: DataFrame, chunks: DataFrame, clamp: bool = False, chunk_size: int = CHUNK_SIZE
+    filtered: DataFrame, chunks: DataFrame, clamp: bool = False
 ) -> DataFrame:
     """(ordinal, id, seq); sites without a sequence leave a gap in the ordinals."""
     located = locate_sites(filtered, contig_lengths(chunks), clamp=clamp)
-    return extract_sequences(located, chunks, chunk_size).select(
+    return extract_sequences(located, chunks).select(
         "ordinal", fasta_id("ordinal", "chr_n", "pos_ini", "pos_end").alias("id"), "seq"
     )
 
@@ -51,11 +51,12 @@ def run_fasta_export(
     default_pass: bool = True,
     cols: Sequence[int | str] = (0, 1, 2),
     length: int = 0,
+    clamp: bool = False,
     fasta_genome: str | None = None,
 ) -> DataFrame:
     """A ``;`` table in, FASTA parts in record order out; returns the filtered sites."""
     sites = read_table(spark, sites_path, row_order=True)
     filtered = cut_lineage(filtered_sites(sites, "row_ord", rules, default_pass, cols, length))
-    chunks = read_fasta_chunks(spark, fasta_path, genome=fasta_genome)
-    write_fasta(fasta_records(filtered, cut_lineage(chunks)), output_path)
+    chunks = stored_chunks(read_fasta_chunks(spark, fasta_path, genome=fasta_genome), filtered)
+    write_fasta(fasta_records(filtered, chunks, clamp), output_path)
     return filtered

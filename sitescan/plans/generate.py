@@ -8,10 +8,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitescan.defaults import CHUNK_OVERLAP, CHUNK_SIZE, CORE_WORDS, DIST_GENES, SCORE_MULT
+from sitescan.defaults import CHUNK_OVERLAP, CORE_WORDS, DIST_GENES, PSEUDOCOUNT, SCORE_MULT
 from sitescan.operators.expression import annotate_expression
 from sitescan.operators.filters import sample_peaks
 from sitescan.operators.intervals import nearby_genes
+from sitescan.operators.motifs import longest_motif
 from sitescan.operators.ordering import with_ordinal
 from sitescan.operators.scan import scan
 from sitescan.operators.sequences import contig_lengths, locate_sites, prune_chunks
@@ -68,9 +69,10 @@ class GenerateTables:
 
     @cached_property
     def genes(self) -> DataFrame:
+        """Each gene once; ``gene_ord`` sorts by the first peak near it, then by the gene's own position."""
         narrow = self._located.select(PEAK_ID, "chr_n", "pos_ini", "pos_end")
-        near = nearby_genes(narrow, self._genes, self._dist)
-        return distinct_genes(near, PEAK_ID)
+        near = nearby_genes(narrow, self._genes, self._dist, keep_start=True)
+        return distinct_genes(near, PEAK_ID, keep_order=True)
 
 
 def site_order() -> list[Column]:
@@ -92,8 +94,6 @@ def generate(
     one_based: bool = False,
     clamp: bool = False,
     float32: bool = False,
-    overlap: int = CHUNK_OVERLAP,
-    chunk_size: int = CHUNK_SIZE,
     materialize: bool = False,
 ) -> GenerateTables:
     """The three tables as lazy DataFrames.
@@ -107,13 +107,22 @@ def generate(
     return GenerateTables(
         peaks, located, with_expression, dist,
         counted=lambda: peak_gene_stats(located, with_expression, dist),
-        hits=lambda: scan(
-            prune_chunks(chunks, located, chunk_size), words, motifs, score_mult, cutoffs, float32, overlap
-        ),
+        hits=lambda: scan(prune_chunks(chunks, located), words, motifs, score_mult, cutoffs, float32),
         one_based=one_based, materialize=materialize,
     )
 
 
+def window_overlap(words: Sequence[str] = (), motifs: DataFrame | None = None) -> int:
+    """Bases a chunk must carry beyond its own: the longest word or motif less one, or the usual number."""
+    return max(CHUNK_OVERLAP, max(map(len, words), default=0) - 1, longest_motif(motifs) - 1)
+
+
+def stored_chunks(chunks: DataFrame, sites: DataFrame) -> DataFrame:
+    """The chunks of the chromosomes the sites lie on, stored; the others are not."""
+    named = sites.where("chr_n is not null").select(F.col("chr_n").alias("_site_chr")).distinct()
+    return cut_lineage(chunks.join(named, F.col("chr_n") == F.col("_site_chr"), "left_semi"))
+
+
 def run_generate(
     spark: SparkSession,
     bed_path: str,
@@ -133,6 +142,9 @@ def run_generate(
     name_col: int | None = None,
     expression_sep: str = ";",
     one_based: bool = False,
+    clamp: bool = False,
+    float32: bool = False,
+    pseudocount: float = PSEUDOCOUNT,
     fasta_genome: str | None = None,
 ) -> GenerateTables:
     """Files in, three ``;`` tables out: ``<prefix>_peaks``, ``<prefix>_binding_sites``, ``<prefix>_genes``."""
@@ -143,19 +155,22 @@ def run_generate(
         spark, expression_path, id_col, value_col, name_col,
         annotation if name_col is not None else None, sep=expression_sep,
     )
-    motifs = read_motifs(spark, motif_path) if motif_path else None
+    motifs = cut_lineage(read_motifs(spark, motif_path, pseudocount)) if motif_path else None
     cutoffs = None
     if motifs is not None and score_cutoff is not None:
         cutoffs = {r["motif"]: score_cutoff for r in motifs.select("motif").distinct().toLocalIterator()}
-    chunks = cut_lineage(read_fasta_chunks(spark, fasta_path, genome=fasta_genome))
+    overlap = window_overlap(words, motifs)
+    chunks = stored_chunks(read_fasta_chunks(spark, fasta_path, overlap=overlap, genome=fasta_genome), peaks)
     tables = generate(
         peaks, annotation, cut_lineage(expression), chunks, words, motifs, score_mult, cutoffs, dist,
-        one_based, materialize=True,
+        one_based, clamp, float32, materialize=True,
     )
     write_table(
         tables.sites, f"{output_prefix}_binding_sites", order_by=site_order(),
         drop=[PEAK_ID, "strand", "hit_ord"],
     )
-    write_table(tables.genes, f"{output_prefix}_genes", order_by=["gene_id"])
+    write_table(
+        tables.genes, f"{output_prefix}_genes", order_by=["gene_ord"], drop=["gene_ord"],
+    )
     write_table(tables.peaks, f"{output_prefix}_peaks", order_by=[PEAK_ID], drop=[PEAK_ID])
     return tables

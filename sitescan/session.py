@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,27 +30,42 @@ def build_session(app_name: str = "sitescan", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session without that setting (local
-    tests) gets a temporary folder of its own.
+    The session names it in ``spark.checkpoint.dir``; there is no other place that would do on a cluster.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    current = context.getCheckpointDir()
-    if named:
-        if current is None:
-            context.setCheckpointDir(named)
-        return named
-    if current is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sitescan-"))
-        current = context.getCheckpointDir()
-    return current
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "job") -> Iterator[str]:
+    """One folder for all that a job stores; it goes when the block ends, with every table in it.
+
+    What is to outlive the job must be written elsewhere first. Without such a block the stages lie in the
+    shared folder until whoever runs the session clears it.
+    """
+    path = scratch_path(spark, name)
+    _SCRATCH.append(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.remove(path)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New, unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """New, unused path in the job's folder, or else in the shared folder."""
+    above = _SCRATCH[-1] if _SCRATCH else shared_dir(spark).rstrip("/")
+    return f"{above}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -61,13 +77,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A file scan, shuffled over all task slots when it comes in fewer splits than there are slots.
-
-    For small inputs under CPU-heavy steps (sequence derivation, scans). A large input has enough splits and
-    is left alone. Belongs directly on the scan, where counting the splits runs nothing.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)

@@ -1,20 +1,23 @@
 """FASTA, read line by line: no task ever holds a whole chromosome.
 
 Lines are numbered inside their file split, the splits of a file are chained through one small summary
-row each, and the bases are regrouped into chunks by position.
+row each, and the bases are regrouped into chunks by position. A packed (gzip) file is one split: unpack large
+genomes, or keep one file per chromosome.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitescan.defaults import CHUNK_OVERLAP, CHUNK_SIZE
+from sitescan.operators.sequences import with_layout
 from sitescan.session import cut_lineage
 
 
 def _lines(spark: SparkSession, path: str, genome: str | None) -> DataFrame:
-    """(chr_n, offset, n, bases): each text line with its 0-based offset in its record."""
+    """(chr_n, offset, n, bases): each text line with its 0-based offset in its record; the head line, whose
+    ``bases`` are null, comes with offset 0, so a record without bases is there too."""
     text = spark.read.text(path)
     head = F.col("value").startswith(">")
     bases = F.when(~head, F.regexp_replace("value", r"\s", "").cast("binary"))
@@ -63,7 +66,7 @@ def _lines(spark: SparkSession, path: str, genome: str | None) -> DataFrame:
         lines.join(
             chained.select("_file", "_block", "_base", "_carried", "_carried_head"), ["_file", "_block"]
         )
-        .where(F.col("n") > 0)
+        .where((F.col("n") > 0) | F.col("bases").isNull())
         .select(
             F.coalesce("_name", "_carried").alias("chr_n"), (here - record).alias("offset"), "n", "bases"
         )
@@ -79,36 +82,50 @@ def read_fasta_chunks(
 
     A record is called after the first word of its ``>`` line. With ``genome`` the files follow the
     one-record-per-chromosome layout ``<genome>_<chr>.fasta`` and the name comes from the file.
-    Record names must be unique.
+    Two records of one name end the job with an error; a record without bases is one empty chunk.
     """
     first = F.greatest(F.floor((F.col("offset") - overlap) / size), F.lit(0))
-    last = F.floor((F.col("offset") + F.col("n") - 1) / size)
+    last = F.greatest(F.floor((F.col("offset") + F.col("n") - 1) / size), first)
     begin = F.col("chunk_id") * size
     lo = F.greatest(F.col("offset"), begin)
     hi = F.least(F.col("offset") + F.col("n"), begin + size + overlap)
+    head = F.col("bases").isNull()
     pieces = (
         _lines(spark, path, genome)
         .withColumn("chunk_id", F.explode(F.sequence(first, last)))
-        .where(hi > lo)
+        .where((hi > lo) | head)
         .select(
-            "chr_n", "chunk_id", lo.alias("_lo"),
-            F.substring("bases", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"),
+            "chr_n", "chunk_id", lo.alias("_lo"), head.cast("int").alias("_head"),
+            F.coalesce(
+                F.substring("bases", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int")), F.lit(b"")
+            ).alias("_piece"),
         )
     )
     start = (F.col("chunk_id") * size).cast("bigint")
-    return (
-        pieces.groupBy("chr_n", "chunk_id")
-        .agg(F.expr("listagg(_piece, X'') within group (order by _lo)").alias("bases"))
+    grouped = pieces.groupBy("chr_n", "chunk_id").agg(
+        F.expr("listagg(_piece, X'') within group (order by _lo)").alias("_bases"), F.sum("_head").alias("_heads")
+    )
+    bases = F.when(F.col("_heads") > 1, _twins()).otherwise(F.col("_bases"))
+    # Made from the checked bases, so that a read of the lengths alone meets the check too.
+    return with_layout(
+        grouped.select("chr_n", F.col("chunk_id").cast("bigint").alias("chunk_id"), start.alias("chunk_start"), bases.alias("bases"))
         .select(
-            "chr_n", F.col("chunk_id").cast("bigint").alias("chunk_id"), start.alias("chunk_start"),
+            "chr_n", "chunk_id", "chunk_start",
             F.least(F.lit(size), F.octet_length("bases")).cast("bigint").alias("chunk_len"), "bases",
-        )
+        ),
+        size, overlap,
     )
 
 
+def _twins() -> Column:
+    return F.raise_error(F.concat(F.lit("more than one FASTA record is called "), F.col("chr_n"))).cast("binary")
+
+
 def read_fasta(spark: SparkSession, path: str, genome: str | None = None) -> DataFrame:
-    """(chr_n, seq), one row per record: for records that fit in a row (less than 2 GB). The jobs use
+    """(chr_n, seq), one row per record: a helper for records that fit in a row (less than 2 GB). The jobs use
     ``read_fasta_chunks``."""
-    return _lines(spark, path, genome).groupBy("chr_n").agg(
-        F.expr("listagg(bases, X'') within group (order by offset)").cast("string").alias("seq")
+    grouped = _lines(spark, path, genome).groupBy("chr_n").agg(
+        F.expr("listagg(coalesce(bases, X''), X'') within group (order by offset)").alias("_bases"),
+        F.count_if(F.col("bases").isNull()).alias("_heads"),
     )
+    return grouped.select("chr_n", F.when(F.col("_heads") > 1, _twins()).otherwise(F.col("_bases")).cast("string").alias("seq"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitescan.functions.scalars import is_missing
 from sitescan.operators.expression import (
     expression_rows, first_fold_change, first_translated, translate_names,
 )
@@ -20,29 +21,79 @@ def read_bed(
 ) -> DataFrame:
     """Headerless BED: ``chr_n, pos_ini, pos_end`` and text columns ``col_3 ...`` up to ``n_cols``.
 
-    Starts are taken as they stand (not shifted to 1-based). Comment lines and ``track``/``browser`` lines,
-    which have no start, are dropped. ``row_order`` adds the input order as ``row_ord``.
+    Starts are taken as they stand (not shifted to 1-based). Comment lines and ``track``/``browser`` lines are
+    dropped; any other row whose start or end is no whole number ends the job with the row in the message.
+    ``row_order`` adds the input order as ``row_ord``.
     """
     if n_cols < 3:
         raise ValueError("a BED table has at least three columns")
-    schema = "chr_n string, pos_ini bigint, pos_end bigint" + "".join(
-        f", col_{i} string" for i in range(3, n_cols)
-    )
+    names = ["chr_n", "pos_ini", "pos_end", *(f"col_{i}" for i in range(3, n_cols))]
+    schema = ", ".join(f"{n} string" for n in names)
     df = spark.read.schema(schema).csv(path, sep=sep, header=False, comment="#", quote="")
     if row_order:
         df = with_file_order(df)
-    return df.where(F.col("pos_ini").isNotNull())
+    whole = r"^\s*[+-]?[0-9]+\s*$"
+    bad = F.raise_error(F.concat(F.lit("BED row without whole start and end: "), F.concat_ws(
+        sep, *[F.coalesce(F.col(n), F.lit("")) for n in names[:3]]
+    )))
+    number = lambda c: F.when(F.rlike(F.coalesce(F.col(c), F.lit("")), F.lit(whole)), F.trim(c).cast("bigint")).otherwise(bad)
+    return df.where(~F.rlike("chr_n", F.lit(r"^(track|browser)(\s|$)")) | F.col("pos_ini").isNotNull()).select(
+        "chr_n", *[number(c).alias(c) for c in ("pos_ini", "pos_end")], *[c for c in df.columns if c not in names[:3]]
+    )
 
 
 def read_table(
     spark: SparkSession, path: str, sep: str = ";", schema: str | T.StructType | None = None,
     row_order: bool = False,
 ) -> DataFrame:
-    """Delimited table with a header. Give a schema to save the extra pass that infers the types."""
+    """Delimited table with a header; a cell that says "missing" is null, whatever its column's type.
+
+    Give a schema to save the extra pass that infers the types.
+    """
     reader = spark.read.option("sep", sep).option("header", True).option("escape", '"')
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return with_file_order(df) if row_order else df
+    text = reader.csv(path)  # names only: all columns as text
+    if row_order:
+        text = with_file_order(text)
+    names = [c for c in text.columns if c != "row_ord" or not row_order]
+    kinds = _as_struct(spark, schema) if schema is not None else _inferred(text, names)
+    if len(kinds.fields) != len(names):
+        raise ValueError(f"{len(names)} columns in the file, {len(kinds.fields)} in the schema")
+    cells = [
+        _cell(F.col(f"`{n}`"), f.dataType, schema is not None).alias(f.name) for n, f in zip(names, kinds.fields)
+    ]
+    return text.select(*cells, *([F.col("row_ord")] if row_order else []))
+
+
+def _as_struct(spark: SparkSession, schema: str | T.StructType) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+
+def _cell(cell: Column, kind: T.DataType, declared: bool) -> Column:
+    """A column declared as a number keeps the difference between "no number" and no cell."""
+    value = _present(cell).try_cast(kind)
+    if declared and isinstance(kind, T.DoubleType):
+        value = F.when(F.lower(F.trim(cell)).isin("nan", "-nan"), F.lit(float("nan"))).otherwise(value)
+    return value
+
+
+def _present(cell: Column) -> Column:
+    return F.when(~is_missing(cell), cell)
+
+
+def _inferred(text: DataFrame, names: list[str]) -> T.StructType:
+    """Whole numbers, numbers or text, by every cell that is not missing."""
+    cells = [_present(F.trim(F.col(f"`{n}`"))) for n in names]
+    tests = []
+    for i, c in enumerate(cells):
+        tests += [
+            F.count(c).alias(f"n{i}"), F.count(c.try_cast("bigint")).alias(f"w{i}"), F.count(c.try_cast("double")).alias(f"d{i}")
+        ]
+    found = text.agg(*tests).first()
+    kind = lambda i: (
+        T.StringType() if not found[f"n{i}"] or found[f"d{i}"] < found[f"n{i}"]
+        else T.LongType() if found[f"w{i}"] == found[f"n{i}"] else T.DoubleType()
+    )
+    return T.StructType([T.StructField(n, kind(i)) for i, n in enumerate(names)])
 
 
 def read_genes(spark: SparkSession, path: str, sep: str = ";", row_order: bool = False) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sitescan.defaults import CORE_WORDS
-from sitescan_queries.views import BASES, DIST, DIST_ORIGIN, DIST_SITES, LETTERS, MULT
+from sitescan_queries.views import BASES, DIST, DIST_ORIGIN, DIST_SITES, LETTERS, MULT, NOT_LETTERS, OTHER
 
 CTE: dict[str, tuple[list[str], str]] = {}
 
@@ -33,9 +33,10 @@ _INI = "((user_id * 37 + event_id) % 1500 - 5)"
 
 _cte("seqs", [], f"""
 select 'chr' || doc_id as chr_n,
-       translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}') as seq
+       case when doc_id % 50 = 7 then '' else translate(regexp_replace(
+           regexp_replace(text, '{NOT_LETTERS}', '', 'g'), '{OTHER}', 'N', 'g'), '{LETTERS}', '{BASES}') end as seq
 from documents""")
-_cte("contigs", ["seqs"], "select chr_n, length(seq) as n from seqs where length(seq) > 0")
+_cte("contigs", ["seqs"], "select chr_n, length(seq) as n from seqs")
 _cte("peaks", [], f"""
 select cast(event_id as bigint) as peak_id, {_CHR} as chr_n, cast({_INI} as bigint) as pos_ini,
        cast({_INI} + 50 + event_id % 150 as bigint) as pos_end
@@ -109,12 +110,13 @@ from peaks p join (select peaks.peak_id, {_STATS} from peaks left join near usin
 using (peak_id)""")
 
 # Motifs
+_PLACE = "((l_linenumber - 1) % (7 - l_suppkey % 3))"
 _OFFSET = "case when l_quantity <= 35 then 0 when l_quantity <= 42 then 1 when l_quantity <= 46 then 2 else 3 end"
 _cte("counts", [], f"""
-select 'M' || (l_suppkey % 3) as motif, cast(l_linenumber - 1 as bigint) as pos,
-       substr('ACGT', cast(1 + ({_OFFSET} + l_linenumber * (1 + l_suppkey % 3) + l_suppkey % 3) % 4 as bigint), 1) as base,
+select 'M' || (l_suppkey % 3) as motif, cast({_PLACE} as bigint) as pos,
+       substr('ACGT', cast(1 + ({_OFFSET} + {_PLACE} * (1 + l_suppkey % 3) + l_suppkey % 3) % 4 as bigint), 1) as base,
        cast(count(*) as double) as count
-from lineitem where l_linenumber <= 7 - l_suppkey % 3 group by all""")
+from lineitem group by all""")
 _cte("motifs", ["counts"], """
 select motif, pos, base, coalesce(c.count, 0.0) as count,
        log2(((coalesce(c.count, 0.0) + 0.5)
@@ -196,6 +198,22 @@ left join (select site_id, cast(max(cast(tf_name = 'M0' as int)) as bigint) as M
                   cast(max(cast(tf_name = 'M2' as int)) as bigint) as M2
            from site_motif_hits group by 1) f using (site_id)""")
 
+
+
+def _counted_words(length: int, order: str, which: str) -> str:
+    """Hits of the given words, counted; the words are the first bases of the sequences."""
+    return f"""
+, given as (select distinct upper(substr(seq, 1, {length})) as w from seqs
+            where regexp_matches(upper(substr(seq, 1, {length})), '^[ACGT]{{{length}}}$')),
+words as (select w, {order} as word_ord from given where {which}),
+forms as (select w as form, '+' as strand, word_ord from words union all
+          select translate(reverse(w), 'ACGT', 'TGCA'), '-', word_ord from words
+          where translate(reverse(w), 'ACGT', 'TGCA') <> w),
+places as ({_windows(f"select {length} as len")})
+select word_ord, form as seq, strand, count(*) as n, cast(sum(start) as bigint) as sum_start
+from places join forms on upper(places.w) = form group by all"""
+
+
 _SLICE = "case when s1 > s0 then substr(seq, s0 + 1, s1 - s0) else '' end"
 _RULE = "(coalesce(source = 'click', false) or coalesce(chr_n = 'chr0', false))"
 _RESIZE = """
@@ -211,30 +229,39 @@ select site_id, nullif(chr_n, '') as chr_n, pos_ini, pos_end, seq, source, score
     "s3_genes_scan": _with(["gene_table"], """
 select gene_id, chr_n, pos0, biotype, round(fold_change, 6) as fold_change from gene_table"""),
     "s4_expression_scan": _with(["expr"], "select gene_id, round(fold_change, 6) as fold_change from expr"),
-    "s5_fasta_scan": _with(["seqs"], "select chr_n, seq from seqs where length(seq) > 0"),
+    "s5_fasta_scan": _with(["seqs"], "select chr_n, seq from seqs"),
     "s5_fasta_chunks": _with(["seqs"], """
 select chr_n, cast(c as bigint) as chunk_id, cast(c * 1000 as bigint) as chunk_start,
        cast(least(1000, length(seq) - c * 1000) as bigint) as chunk_len, substr(seq, c * 1000 + 1, 1015) as bases
-from (select chr_n, seq, unnest(range(0, (length(seq) + 999) // 1000)) as c from seqs)"""),
+from (select chr_n, seq, unnest(range(0, greatest((length(seq) + 999) // 1000, 1))) as c from seqs)"""),
     "s6_chromosome_pruning": _with(["seqs", "peaks"], """
 select chr_n, length(seq) as n from seqs where chr_n in (select chr_n from peaks)"""),
     "s7_motif_log_odds": _with(["motifs"], """
 select motif, pos, base, count, round(log_odds, 6) as log_odds from motifs"""),
+    "s7_without_pseudocount": _with(["counts"], """
+, fewer as (select * from counts where not (base = 'A' and pos % 2 = 0)),
+cells as (select motif, pos, base, coalesce(c.count, 0.0) as n,
+                 sum(coalesce(c.count, 0.0)) over (partition by motif, pos) as total
+          from (select distinct motif, pos, unnest(['A', 'C', 'G', 'T']) as base from fewer)
+          left join fewer c using (motif, pos, base))
+select motif, pos, base, case when n > 0 then round(log2(n / total / 0.25), 6) end as log_odds, n = 0 as impossible
+from cells"""),
     "s8_motif_files": _with(["motifs"], "select motif, pos, base, count from motifs"),
     "s9_annotation_scan": _with(["genes"], "select * from genes"),
     "k1_table_sink": _with(["peaks"], """
-select concat_ws(';', peak_id, chr_n, pos_ini, pos_end) as value, count(*) as n from peaks group by 1"""),
-    "k2_fasta_sink": _with(["located"], "select '>' || peak_id as value, count(*) as n from located group by 1"),
+select concat_ws(';', peak_id, chr_n, pos_ini, pos_end) as value, count(*) as n from peaks group by 1
+union all select 'peak_id;chr_n;pos_ini;pos_end', 1"""),
+    "k2_fasta_sink": _with(["located", "seqs"], f"""
+select cast(peak_id as varchar) as id, {_SLICE} as seq, 3 as n_lines from located join seqs using (chr_n)"""),
     "f1_rule_filter_exclude": _with(["sites"], f"select site_id, chr_n, source from sites where not {_RULE}"),
     "f1_rule_filter_include": _with(["sites"], f"select site_id, chr_n, source from sites where {_RULE}"),
-    "f2_project_sites": _with(["sites"], "select chr_n, pos_ini, pos_end, site_id from sites where chr_n <> ''"),
+    "f2_project_sites": _with(["sites"], "select chr_n, pos_ini, pos_end, site_id from sites where chr_n <> '' or chr_n is null"),
     "f3_blank_chromosome": _with(["sites"], """
 select count(*) as n_rows, count(chr_n) as n_named, count(*) filter (where chr_n = '') as n_blank
 from sites where chr_n <> '' or chr_n is null"""),
     "f4_coding_genes": _with(["peaks", "genes"], """
-select g.gene_id, count(*) as n from peaks p join genes g on g.contig = substr(p.chr_n, 4)
- and g.g_start <= p.pos_end and g.g_end >= p.pos_ini
-where g.biotype = 'pseudogene' group by 1"""),
+select g.gene_id, g.biotype, count(*) as n from peaks p join genes g on g.contig = substr(p.chr_n, 4)
+ and g.g_start <= p.pos_end and g.g_end >= p.pos_ini group by all"""),
     "f5_sites_with_sequence": _with(["peaks", "seqs"], "select * from peaks where chr_n in (select chr_n from seqs)"),
     "f5_sites_without_sequence": _with(["peaks", "seqs"], """
 select * from peaks where chr_n not in (select chr_n from seqs)"""),
@@ -278,12 +305,16 @@ select gene_id, arg_min(chr_n, peak_id) as chr_n, any_value(pos0) as pos0, any_v
     "a4_distinct_chromosomes": _with(["peaks"], "select distinct chr_n from peaks"),
     "a5_first_fold_change": _with(["expr"], "select gene_id, round(fold_change, 6) as fold_change from expr"),
     "a6_expression_conflicts": _with(["expr_rows", "expr"], """
-select gene_id, round(any_value(e.fold_change), 6) as fold_change, count(*) as n_conflicts
-from expr_rows r join expr e using (gene_id) where r.fold_change <> e.fold_change group by 1"""),
+select gene_id, round(any_value(e.fold_change), 6) as fold_change,
+       case when isnan(any_value(e.fold_change)) then count(*) - 1
+            else count(*) filter (where r.fold_change <> e.fold_change) end as n_conflicts
+from expr_rows r join expr e using (gene_id) group by 1 having n_conflicts > 0"""),
     "a6_translated_conflicts": _with(["translated"], """
 , first as (select gene_id, arg_min(fold_change, row_ord) as fold_change from translated group by 1)
-select gene_id, round(any_value(f.fold_change), 6) as fold_change, count(*) as n_conflicts
-from translated t join first f using (gene_id) where t.fold_change <> f.fold_change group by 1"""),
+select gene_id, round(any_value(f.fold_change), 6) as fold_change,
+       case when isnan(any_value(f.fold_change)) then count(*) - 1
+            else count(*) filter (where t.fold_change <> f.fold_change) end as n_conflicts
+from translated t join first f using (gene_id) group by 1 having n_conflicts > 0"""),
     "a7_gene_string": _with(["peaks", "gene_table"], f"""
 select p.peak_id, coalesce(string_agg(g.gene_id || '_' || g.updown, ',' order by g.gene_ord), '') as str_genes_rnaseq_near
 from peaks p left join gene_table g
@@ -305,11 +336,13 @@ select motif, round(max_score, 6) as max_score, round(0.9 * max_score, 6) as cut
     "a11_score_report": _with(["best"], f"""
 select motif, round(max_score, 4) as max_score, round({MULT} * max_score, 4) as cutoff from best"""),
     "w1_row_ordinal": _with(["sites"], """
-select site_id, row_number() over (order by site_id) - 1 as ordinal from sites where source = 'click'"""),
+select site_id, row_number() over (order by site_id * 7919 % 1000003 * 1000000 + site_id) - 1 as ordinal from sites"""),
     "w2_kmer_windows": _with(["seqs"], f"""
 select w as kmer, count(*) as n, cast(sum(start) as bigint) as sum_start from ({_windows('select 6 as len')}) group by 1"""),
     "w3_first_row_per_key": _with(["peaks"], """
 select * from peaks qualify row_number() over (partition by chr_n order by peak_id) = 1"""),
+    "o1_sample_peaks": _with(["peaks"], """
+select * from peaks order by md5(concat_ws('|', '7', peak_id, chr_n, pos_ini, pos_end)) limit 100"""),
     "o2_hit_order": _with(["peak_hits"], """
 select peak_id, source, pos_ini, seq, row_number() over (partition by peak_id order by source, hit_ord,
          case when source = 'pssm' and strand = '+' then 1 else 0 end, pos_ini) as place
@@ -324,6 +357,8 @@ select *, pos_ini - {DIST_SITES} as search_ini, pos_end + {DIST_SITES} as search
     "x4_reverse_complement": _with(["seqs"], """
 select chr_n, translate(reverse(upper(seq)), 'ACGT', 'TGCA') as seq from seqs"""),
     "x5_word_scan": _with(["word_hits"], "select chr_n, start, seq, strand, word_ord from word_hits"),
+    "x5_many_words": _with(["seqs"], _counted_words(8, "row_number() over (order by w) - 1", "true")),
+    "x5_long_word": _with(["seqs"], _counted_words(80, "0", "w = (select max(w) from given)")),
     "x6_motif_scan": _with(["motif_hits"], """
 select chr_n, start, seq, strand, tf_name, round(score_pssm, 6) as score_pssm from motif_hits"""),
     "x7_panel_scan_around_sites": _with(["wide", "motif_hits"], f"""
@@ -344,8 +379,8 @@ from (select row_ord, unnest(string_split(raw_id, '|')) as part from raw_express
     "t6_fasta_id": _with(["peaks"], """
 select (peak_id + 1) || '_' || chr_n || '_' || pos_ini || '_' || pos_end as id from peaks"""),
     "t7_forward_coordinates": _with(["peak_hits"], """
-select peak_id, pos_ini as hit_pos_ini, pos_end as hit_pos_end, tf_name as hit_tf_name
-from peak_hits where source = 'pssm' and strand = '-'"""),
+select peak_id, strand as hit_strand, pos_ini as hit_pos_ini, pos_end as hit_pos_end, tf_name as hit_tf_name
+from peak_hits where source = 'pssm'"""),
     "p1_generate_peaks": _with(["located", "peak_stats", "peak_hits"], """
 select s.peak_id, s.chr_n, s.pos_ini, s.pos_end, s.n_genes, count(h.source) as n_su,
        count(*) filter (where h.source = 'list') as n_su_list, count(*) filter (where h.source = 'pssm') as n_su_pssm,
@@ -357,6 +392,16 @@ select peak_id, chr_n, pos_ini, pos_end, seq, source, round(score_pssm, 6) as sc
     "p1_generate_genes": _with(["near_located"], """
 select gene_id, arg_min(chr_n, peak_id) as chr_n, any_value(pos0) as pos0, any_value(biotype) as biotype,
        round(any_value(fold_change), 6) as fold_change from near_located group by 1"""),
+    "p1_gene_order": _with(["near_located", "genes", "peaks"], f"""
+, written as (select n.gene_id, arg_min(n.chr_n, n.peak_id) as chr_n, any_value(n.pos0) as pos0,
+                     any_value(n.fold_change) as fold_change, min(n.peak_id) as first_peak, min(g.g_start) as g_start
+              from near_located n join genes g using (gene_id) group by 1)
+select p.peak_id, coalesce(string_agg(
+         w.gene_id || '_' || case when w.fold_change < 0 then 'upreg' else 'downreg' end, ','
+         order by w.first_peak, w.g_start, w.gene_id), '') as str_genes_rnaseq_near
+from peaks p left join written w
+  on w.chr_n = p.chr_n and w.pos0 > p.pos_ini - {DIST_ORIGIN} and w.pos0 < p.pos_end + {DIST_ORIGIN}
+group by 1"""),
     "p2_fasta_export": _with(["sites", "contigs", "seqs"], f"""
 , kept as (select chr_n, {_RESIZE.format(t=120)}, row_number() over (order by site_id) as ordinal
            from sites where coalesce(source <> 'click', true) and (chr_n <> '' or chr_n is null)),
@@ -366,6 +411,8 @@ placed as (select k.*, case when pos_ini - 1 < 0 then greatest(n + pos_ini - 1,
 select ordinal || '_' || chr_n || '_' || pos_ini || '_' || pos_end as id, {_SLICE} as seq
 from placed join seqs using (chr_n)"""),
     "p3_cooccupancy_sites": _with(["site_flags"], "select * from site_flags"),
+    "p3_skipped_sites": _with(["sites", "contigs"], """
+select count(*) as n_skipped from sites where chr_n is null or chr_n not in (select chr_n from contigs)"""),
     "p3_cooccupancy_hits": _with(["site_flags", "site_motif_hits"], """
 select site_id, chr_n, pos_ini, seq, source, score_pssm, tf_name, str_genes_rnaseq_near, M0, M1, M2,
        hit_pos_ini, hit_pos_end, hit_seq, round(hit_score, 6) as hit_score

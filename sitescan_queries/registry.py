@@ -14,6 +14,7 @@ from sitescan.functions import (
     contig, direction_label, fasta_id, gene_origin, parse_number, revcomp, signed_fold_change, split_ids,
 )
 from sitescan.plans import cooccupancy, fasta_records, filtered_sites, generate
+from sitescan.plans.generate import window_overlap
 from sitescan.session import scratch_path
 from sitescan_queries.views import DIST, DIST_ORIGIN, DIST_SITES, MULT, OVERLAP, Views
 
@@ -31,7 +32,7 @@ def _r6(col: str):
 
 
 def _located(v: Views, **kwargs) -> DataFrame:
-    return ops.locate_sites(v.peaks, ops.contig_lengths(v.chunks), **kwargs)
+    return ops.locate_sites(v.peaks, v.contigs, **kwargs)
 
 
 # --- sources and sinks: written to the shared folder from the given tables and read back ---------------
@@ -102,6 +103,17 @@ def s7_motif_log_odds(v: Views) -> DataFrame:
     return v.motifs.select("motif", F.col("pos").cast("bigint").alias("pos"), "base", "count", _r6("log_odds"))
 
 
+@query
+def s7_without_pseudocount(v: Views) -> DataFrame:
+    """A base that was never counted cannot occur: its log-odds are minus infinity."""
+    counts = v.motif_counts.where("not (base = 'A' and pos % 2 = 0)")
+    odds = ops.motif_log_odds(counts, pseudocount=0.0).select("motif", F.col("pos").cast("bigint").alias("pos"), "base", "log_odds")
+    return odds.select(
+        "motif", "pos", "base", F.round(F.when(F.col("log_odds") > float("-inf"), F.col("log_odds")), 6).alias("log_odds"),
+        (F.col("log_odds") == float("-inf")).alias("impossible"),
+    )
+
+
 @query
 def s8_motif_files(v: Views) -> DataFrame:
     """Two motifs per file: the second one is left out."""
@@ -140,16 +152,20 @@ def s9_annotation_scan(v: Views) -> DataFrame:
 def k1_table_sink(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "peaks")
     io.write_table(v.peaks, path, order_by=["peak_id"])
-    return v.spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("value not like 'peak_id%'")
+    # Every part has the header, and how many parts there are is not part of the result.
+    n = F.when(F.col("value") == "peak_id;chr_n;pos_ini;pos_end", F.lit(1)).otherwise(F.count(F.lit(1))).alias("n")
+    return v.spark.read.text(path).groupBy("value").agg(n)
 
 
 @query
 def k2_fasta_sink(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "out")
-    located = ops.locate_sites(v.peaks, ops.contig_lengths(v.chunks))
-    seqs = ops.extract_sequences(located, v.chunks)
+    seqs = ops.extract_sequences(_located(v), v.chunks)
     io.write_fasta(seqs.select(F.col("peak_id").alias("ordinal"), F.col("peak_id").cast("string").alias("id"), "seq"), path)
-    return v.spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("value like '>%'")
+    # Records are split at their ``>``, so ids and bases are read back together.
+    records = v.spark.read.option("lineSep", ">").text(path).where("value <> ''")
+    lines = F.split("value", "\n")
+    return records.select(lines[0].alias("id"), lines[1].alias("seq"), F.size(lines).cast("bigint").alias("n_lines"))
 
 
 # --- filters and projections ----------------------------------------------------------------------------
@@ -167,7 +183,7 @@ def f1_rule_filter_include(v: Views) -> DataFrame:
 
 @query
 def f2_project_sites(v: Views) -> DataFrame:
-    return ops.project_sites(v.sites, [1, "pos_ini", 3], keep=["site_id"]).where("chr_n is not null")
+    return ops.project_sites(v.sites, [1, "pos_ini", 3], keep=["site_id"])
 
 
 @query
@@ -181,24 +197,26 @@ def f3_blank_chromosome(v: Views) -> DataFrame:
 
 @query
 def f4_coding_genes(v: Views) -> DataFrame:
-    return ops.nearby_genes(v.peaks, v.genes, 0, biotype="pseudogene").groupBy("gene_id").agg(
-        F.count(F.lit(1)).alias("n")
+    coding, other = (
+        ops.nearby_genes(v.peaks, v.genes, 0, **kind).groupBy("gene_id", "biotype").agg(F.count(F.lit(1)).alias("n"))
+        for kind in ({}, {"biotype": "pseudogene"})
     )
+    return coding.unionByName(other)
 
 
 @query
 def f5_sites_with_sequence(v: Views) -> DataFrame:
-    return ops.split_by_sequence(v.peaks, v.seqs)[0]
+    return ops.split_by_sequence(v.peaks, v.contigs)[0]
 
 
 @query
 def f5_sites_without_sequence(v: Views) -> DataFrame:
-    return ops.split_by_sequence(v.peaks, v.seqs)[1]
+    return ops.split_by_sequence(v.peaks, v.contigs)[1]
 
 
 @query
 def f6_skipped_count(v: Views) -> DataFrame:
-    return ops.skipped_count(v.peaks, v.seqs)
+    return ops.skipped_count(v.peaks, v.contigs)
 
 
 @query
@@ -243,7 +261,7 @@ def j5_sequence_fetch(v: Views) -> DataFrame:
 
 @query
 def j6_all_motifs_per_site(v: Views) -> DataFrame:
-    hits = ops.scan_motifs(v.chunks, v.motifs, MULT, overlap=OVERLAP)
+    hits = ops.scan_motifs(v.chunks, v.motifs, MULT)
     return ops.site_hits(_located(v), hits).groupBy("peak_id", F.col("hit_tf_name").alias("tf_name")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -251,7 +269,7 @@ def j6_all_motifs_per_site(v: Views) -> DataFrame:
 
 @query
 def j7_all_words_per_site(v: Views) -> DataFrame:
-    hits = ops.scan_words(v.chunks, CORE_WORDS, overlap=OVERLAP)
+    hits = ops.scan_words(v.chunks, CORE_WORDS)
     return ops.site_hits(_located(v), hits).groupBy("peak_id", F.col("hit_ord").cast("bigint").alias("word_ord")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -259,7 +277,7 @@ def j7_all_words_per_site(v: Views) -> DataFrame:
 
 def _generate(v: Views):
     return generate(
-        v.peaks, v.genes, v.expression, v.chunks, CORE_WORDS, v.motifs, MULT, dist=DIST, overlap=OVERLAP
+        v.peaks, v.genes, v.expression, v.chunks, CORE_WORDS, v.motifs, MULT, dist=DIST
     )
 
 
@@ -273,7 +291,6 @@ def j8_peak_context_on_hits(v: Views) -> DataFrame:
 def _cooccupancy(v: Views):
     return cooccupancy(
         v.sites, v.gene_table, v.chunks, v.motifs, ["M0", "M1", "M2"], DIST_SITES, DIST_ORIGIN, MULT,
-        overlap=OVERLAP,
     )
 
 
@@ -295,7 +312,7 @@ def a1_peak_gene_stats(v: Views) -> DataFrame:
 
 @query
 def a2_peak_site_stats(v: Views) -> DataFrame:
-    hits = ops.scan(v.chunks, CORE_WORDS, v.motifs, MULT, overlap=OVERLAP)
+    hits = ops.scan(v.chunks, CORE_WORDS, v.motifs, MULT)
     return ops.peak_site_stats(_located(v), hits)
 
 
@@ -330,14 +347,14 @@ def a6_translated_conflicts(v: Views) -> DataFrame:
 
 @query
 def a7_gene_string(v: Views) -> DataFrame:
-    return ops.gene_string(v.peaks, v.gene_table, DIST_ORIGIN).select("peak_id", "str_genes_rnaseq_near")
+    return ops.gene_string(v.peaks, v.gene_table, DIST_ORIGIN, key="peak_id").select("peak_id", "str_genes_rnaseq_near")
 
 
 @query
 def a8_cooccupancy_flags(v: Views) -> DataFrame:
-    hits = ops.scan_motifs(v.chunks, v.motifs, MULT, overlap=OVERLAP)
+    hits = ops.scan_motifs(v.chunks, v.motifs, MULT)
     names = ["M0", "M1", "M2", "absent"]
-    return ops.cooccupancy_flags(_located(v), hits, names).select("peak_id", *names)
+    return ops.cooccupancy_flags(_located(v), hits, names, key="peak_id").select("peak_id", *names)
 
 
 @query
@@ -365,13 +382,14 @@ def a11_score_report(v: Views) -> DataFrame:
 
 @query
 def w1_row_ordinal(v: Views) -> DataFrame:
-    picked = ops.rule_filter(v.sites, [("source", "click")], False)
-    return ops.with_ordinal(picked, "site_id").select("site_id", "ordinal")
+    """All rows, in an order unrelated to the one they are stored in."""
+    scrambled = v.sites.withColumn("place", F.expr("site_id * 7919 % 1000003 * 1000000 + site_id"))
+    return ops.with_ordinal(scrambled, "place").select("site_id", "ordinal")
 
 
 @query
 def w2_kmer_windows(v: Views) -> DataFrame:
-    return ops.kmers(v.chunks, 6, overlap=OVERLAP).groupBy("kmer").agg(
+    return ops.kmers(v.chunks, 6).groupBy("kmer").agg(
         F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start")
     )
 
@@ -403,8 +421,8 @@ def o2_hit_order(v: Views) -> DataFrame:
 
 @query
 def o3_union_of_hits(v: Views) -> DataFrame:
-    words = ops.scan_words(v.chunks, CORE_WORDS, overlap=OVERLAP)
-    motifs = ops.scan_motifs(v.chunks, v.motifs, MULT, overlap=OVERLAP)
+    words = ops.scan_words(v.chunks, CORE_WORDS)
+    motifs = ops.scan_motifs(v.chunks, v.motifs, MULT)
     return words.unionByName(motifs).groupBy("chr_n", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start")
     )
@@ -435,23 +453,50 @@ def x4_reverse_complement(v: Views) -> DataFrame:
 
 @query
 def x5_word_scan(v: Views) -> DataFrame:
-    return ops.scan_words(v.chunks, CORE_WORDS, overlap=OVERLAP).select(
+    return ops.scan_words(v.chunks, CORE_WORDS).select(
         "chr_n", "start", "seq", "strand", F.col("hit_ord").cast("bigint").alias("word_ord")
     )
 
 
+def _words_of(v: Views, length: int) -> DataFrame:
+    """The first bases of the sequences, as far as they are ACGT alone."""
+    return v.seqs.select(F.upper(F.substring("seq", 1, length)).alias("w")).where(
+        F.rlike("w", F.lit(f"^[ACGT]{{{length}}}$"))
+    ).distinct()
+
+
+def _counted(hits: DataFrame) -> DataFrame:
+    return hits.groupBy(F.col("hit_ord").cast("bigint").alias("word_ord"), "seq", "strand").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start")
+    )
+
+
+@query
+def x5_many_words(v: Views) -> DataFrame:
+    """Every word of eight bases that begins a sequence: about as many words as there are sequences."""
+    words = sorted(r.w for r in _words_of(v, 8).collect())  # at most 4**8
+    return _counted(ops.scan_words(v.chunks, words))
+
+
+@query
+def x5_long_word(v: Views) -> DataFrame:
+    """The greatest word of 80 bases that begins a sequence; the chunks overlap by 79 for it."""
+    word = _words_of(v, 80).agg(F.max("w")).first()[0]
+    return _counted(ops.scan_words(v.chunked(window_overlap([word]), 1000), [word]))
+
+
 @query
 def x6_motif_scan(v: Views) -> DataFrame:
-    return ops.scan_motifs(v.chunks, v.motifs, MULT, overlap=OVERLAP).select(
+    return ops.scan_motifs(v.chunks, v.motifs, MULT).select(
         "chr_n", "start", "seq", "strand", "tf_name", _r6("score_pssm")
     )
 
 
 @query
 def x7_panel_scan_around_sites(v: Views) -> DataFrame:
-    hits = ops.scan_motifs(v.chunks, v.motifs, MULT, overlap=OVERLAP)
+    hits = ops.scan_motifs(v.chunks, v.motifs, MULT)
     wide = ops.locate_sites(
-        ops.expand_sites(v.peaks, DIST_SITES), ops.contig_lengths(v.chunks), "search_ini", "search_end"
+        ops.expand_sites(v.peaks, DIST_SITES), v.contigs, "search_ini", "search_end"
     )
     return ops.site_hits(wide, hits).select(
         "peak_id", "hit_pos_ini", "hit_pos_end", "hit_seq", "hit_tf_name", _r6("hit_score")
@@ -461,8 +506,7 @@ def x7_panel_scan_around_sites(v: Views) -> DataFrame:
 @query
 def x8_length_guard(v: Views) -> DataFrame:
     """Windows longer than most sequences: short sequences give none."""
-    chunks = ops.chunk_sequences(v.seqs, 4096, 1999)
-    return ops.kmers(chunks, 2000, overlap=1999).groupBy("chr_n").agg(F.count(F.lit(1)).alias("n_windows"))
+    return ops.kmers(v.chunked(1999), 2000).groupBy("chr_n").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
 @query
@@ -499,8 +543,8 @@ def t6_fasta_id(v: Views) -> DataFrame:
 
 @query
 def t7_forward_coordinates(v: Views) -> DataFrame:
-    hits = ops.scan_motifs(v.chunks, v.motifs, MULT, overlap=OVERLAP).where("strand = '-'")
-    return ops.site_hits(_located(v), hits).select("peak_id", "hit_pos_ini", "hit_pos_end", "hit_tf_name")
+    hits = ops.scan_motifs(v.chunks, v.motifs, MULT)
+    return ops.site_hits(_located(v), hits).select("peak_id", "hit_strand", "hit_pos_ini", "hit_pos_end", "hit_tf_name")
 
 
 # --- composite jobs -----------------------------------------------------------------------------------------
@@ -524,6 +568,13 @@ def p1_generate_genes(v: Views) -> DataFrame:
     return _generate(v).genes.select("gene_id", "chr_n", "pos0", "biotype", _r6("fold_change"))
 
 
+@query
+def p1_gene_order(v: Views) -> DataFrame:
+    """The genes table in its written order, given to the gene strings of the sites."""
+    genes = ops.with_ordinal(_generate(v).genes, "gene_ord", "place").withColumnRenamed("place", "gene_ord")
+    return ops.gene_string(v.peaks, genes, DIST_ORIGIN, key="peak_id").select("peak_id", "str_genes_rnaseq_near")
+
+
 @query
 def p2_fasta_export(v: Views) -> DataFrame:
     kept = filtered_sites(v.sites, "site_id", [("source", "click")], True, [1, 2, 3], 120)
@@ -538,6 +589,11 @@ def p3_cooccupancy_sites(v: Views) -> DataFrame:
     )
 
 
+@query
+def p3_skipped_sites(v: Views) -> DataFrame:
+    return _cooccupancy(v).skipped
+
+
 @query
 def p3_cooccupancy_hits(v: Views) -> DataFrame:
     return _cooccupancy(v).other_tf.select(

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitescan.operators import (
-    annotate_expression, chunk_sequences, expression_rows, first_fold_change, motif_log_odds,
+    annotate_expression, chunk_sequences, contig_lengths, expression_rows, first_fold_change, motif_log_odds,
 )
-from sitescan.session import spread
+from sitescan.session import cut_lineage
 
 OVERLAP = 15
 DIST = 100
@@ -25,6 +25,9 @@ MULT = 0.75
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTANacgtacgtacgtacgtacgtacgtan"
+#: Blanks, marks and digits go; what is left and not in LETTERS, letters of other alphabets above all, is N.
+NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]"
+OTHER = r"[^A-Za-z]"
 
 CHR_N = "case when event_id % 3 = 0 then 'chr0' else concat('chr', cast(floor(event_id / 9) as bigint)) end"
 POS_INI = "(user_id * 37 + event_id) % 1500 - 5"
@@ -42,14 +45,24 @@ class Views:
 
     @cached_property
     def seqs(self) -> DataFrame:
-        letters = F.regexp_replace("text", "[^A-Za-z]", "")
-        return spread(self.table("documents").select("doc_id", "text")).select(
-            F.expr("concat('chr', doc_id)").alias("chr_n"), F.translate(letters, LETTERS, BASES).alias("seq")
+        """Every 50th text is an empty sequence, which stays a contig."""
+        letters = F.regexp_replace(F.regexp_replace("text", NOT_LETTERS, ""), OTHER, "N")
+        return self.table("documents").select("doc_id", "text").select(
+            F.expr("concat('chr', doc_id)").alias("chr_n"),
+            F.when(F.col("doc_id") % 50 == 7, "").otherwise(F.translate(letters, LETTERS, BASES)).alias("seq"),
         )
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunk_sequences(self.seqs, overlap=OVERLAP)
+        """Stored, as the jobs do: the texts are read once however often a query needs the sequences."""
+        return self.chunked(OVERLAP)
+
+    def chunked(self, overlap: int, size: int = 4096) -> DataFrame:
+        return cut_lineage(chunk_sequences(self.seqs, size, overlap))
+
+    @cached_property
+    def contigs(self) -> DataFrame:
+        return contig_lengths(self.chunks)
 
     @cached_property
     def peaks(self) -> DataFrame:
@@ -90,17 +103,15 @@ class Views:
     @cached_property
     def motif_counts(self) -> DataFrame:
         """Three motifs, 7, 6 and 5 positions long, with one strong base per position."""
+        place = "((l_linenumber - 1) % (7 - l_suppkey % 3))"
         offset = (
             "case when l_quantity <= 35 then 0 when l_quantity <= 42 then 1 "
             "when l_quantity <= 46 then 2 else 3 end"
         )
-        base = f"substring('ACGT', 1 + ({offset} + l_linenumber * (1 + l_suppkey % 3) + l_suppkey % 3) % 4, 1)"
+        base = f"substring('ACGT', 1 + ({offset} + {place} * (1 + l_suppkey % 3) + l_suppkey % 3) % 4, 1)"
         return (
             self.table("lineitem")
-            .where("l_linenumber <= 7 - l_suppkey % 3")
-            .selectExpr(
-                "concat('M', l_suppkey % 3) as motif", "cast(l_linenumber - 1 as int) as pos", f"{base} as base"
-            )
+            .selectExpr("concat('M', l_suppkey % 3) as motif", f"cast({place} as int) as pos", f"{base} as base")
             .groupBy("motif", "pos", "base")
             .agg(F.count(F.lit(1)).cast("double").alias("count"))
         )

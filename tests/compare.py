@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -64,6 +65,7 @@ if __name__ == "__main__":
     spark = build_session(
         "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
         spark__driver__memory="12g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="compare-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     for pair in filter(None, os.environ.get("COMPARE_CONF", "").split(",")):

@@ -16,6 +16,14 @@ def test_first_row_wins_and_conflicts(spark, rows):
     assert tuple(expression_summary(raw).first()) == (4, 4, 2)
 
 
+def test_missing_values_differ_from_each_other(spark):
+    raw = spark.createDataFrame(
+        [(0, "g1", "NA", "n"), (1, "g1", "2", "n"), (2, "g1", "NA", "n"), (3, "g2", "1", "n"), (4, "g2", "NA", "n"), (5, "g2", "1", "n")], RAW
+    )
+    got = {r["gene_id"]: r["n_conflicts"] for r in expression_conflicts(expression_rows(raw)).collect()}
+    assert got == {"g1": 2, "g2": 1}
+
+
 def test_missing_value_is_kept_as_nan(spark):
     raw = spark.createDataFrame([(0, "g1", "NA", "n"), (1, "g1", "2", "n")], RAW)
     (row,) = first_fold_change(expression_rows(raw)).collect()

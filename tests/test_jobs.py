@@ -5,6 +5,7 @@ import pytest
 from sitescan import plans
 from sitescan import sources as io
 from sitescan.operators import chunk_sequences
+from sitescan.session import scratch
 
 
 @pytest.fixture
@@ -68,7 +69,8 @@ def test_generate(spark, inputs):
     assert [c[6:] for c in cut] == [["3", "3", "1", "1"]] * 2 + [["1", "0", "0", "0"]] * 5
     _, body = lines(inputs["out"] + "/x_genes")
     assert body == [
-        "E1;chr1;20;protein_coding;2.0", "E2;chr1;60;protein_coding;-2.0", "E3;chr1;10;protein_coding;0.0",
+        # By the first peak near them, then by their start.
+        "E3;chr1;10;protein_coding;0.0", "E1;chr1;20;protein_coding;2.0", "E2;chr1;60;protein_coding;-2.0",
         "E5;chr1;90;protein_coding;",
     ]
 
@@ -110,7 +112,7 @@ def test_cooccupancy(spark, inputs):
     assert head.endswith(";n_downreg;str_genes_rnaseq_near;AC")
     first, third = body[0].split(";"), body[2].split(";")
     # Labels are inherited inverted; origin 20 is inside (7 - 30, 8 + 30), 60 is not.
-    assert first[-2:] == ["E1_downreg,E3_downreg", "1"]
+    assert first[-2:] == ["E3_downreg,E1_downreg", "1"]
     assert third[-2:] == ["E5_downreg", "1"]
     head, body = lines(out + "/y_other_tf")
     names = head.split(";")
@@ -119,6 +121,46 @@ def test_cooccupancy(spark, inputs):
     assert (row["pos_ini"], row["seq"], row["source"], row["tf_name"]) == ("7", "GT", "pssm", "AC")
     assert (row["hit_pos_ini"], row["hit_seq"]) == ("7", "GT")
     assert tables.sites.count() == 7
+    assert tables.skipped.collect()[0].n_skipped == 0
+
+
+def test_genes_keep_the_order_of_the_peaks(spark, inputs, tmp_path):
+    (tmp_path / "p.bed").write_text("chr1\t101\t118\nchr1\t5\t10\n")
+    generate(spark, inputs)
+    assert [b.split(";")[0] for b in lines(inputs["out"] + "/x_genes")[1]] == ["E5", "E3", "E1", "E2"]
+
+
+def test_sites_without_a_sequence_are_counted(spark, inputs, tmp_path):
+    (tmp_path / "s.csv").write_text("chr_n;pos_ini;pos_end\nchr1;5;10\nchrZ;1;9\n;1;9\n")
+    (tmp_path / "g.csv").write_text("gene_id;chr_n;pos0;biotype;fold_change\n")
+    tables = plans.run_cooccupancy(
+        spark, str(tmp_path / "s.csv"), str(tmp_path / "g.csv"), inputs["fasta"], inputs["motif"], inputs["out"] + "/z"
+    )
+    assert (tables.skipped.first().n_skipped, tables.sites.count()) == (2, 1)
+
+
+def test_empty_sequences_keep_their_peaks(spark, inputs):
+    with open(inputs["fasta"], "a") as f:
+        f.write(">chrZ\n")
+    generate(spark, inputs)
+    assert "chrZ;1;9;0;0;0;0;0;0;0" in lines(inputs["out"] + "/x_peaks")[1]
+
+
+def test_words_of_any_length(spark, inputs):
+    word = inputs["chr1"][100:190].replace("N", "A")
+    tables = plans.run_generate(
+        spark, inputs["bed"], inputs["expr"], inputs["gtf"], inputs["fasta"], inputs["out"] + "/w", words=[word, "GCAAGTG"],
+    )
+    assert tables.sites.count() == 2
+
+
+def test_a_job_releases_its_folder(spark, inputs):
+    from pathlib import Path
+
+    with scratch(spark) as folder:
+        generate(spark, inputs)
+        assert list(Path(folder).glob("stage-*"))
+    assert not Path(folder).exists() and lines(inputs["out"] + "/x_peaks")[1]
 
 
 def test_cooccupancy_refuses_clashing_names(spark):

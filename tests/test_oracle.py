@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from sitescan_queries.oracle import ORACLE_SQL
+from sitescan_queries.registry import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
@@ -17,17 +19,13 @@ def con():
 
 
 def test_every_query_with_sql_is_registered():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"o1_sample_peaks"}
+    assert set(ORACLE_SQL) == set(QUERIES)
+    assert set(ORACLE_SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    sql = entry.oracle_sql().get(name)
-    if sql is None:
-        assert entry.queries()[name](spark, SF_DIR).collect()
-    else:
-        assert compare(spark, con, entry.queries()[name], sql, SF_DIR) is None
+    assert compare(spark, con, QUERIES[name], ORACLE_SQL[name], SF_DIR) is None
 
 
 def test_entry(spark):

@@ -10,8 +10,9 @@ from sitescan.operators import (
     chunk_sequences, contig_lengths, locate_sites, motif_cutoffs, motif_log_odds, scan, scan_motifs, scan_words,
     site_hits,
 )
-from sitescan.operators.motifs import motif_panels
+from sitescan.operators.motifs import motif_rows
 from sitescan.operators.scan import _Bases, _motif_windows
+from sitescan.plans.generate import window_overlap
 
 SEQ = "chr_n string, seq string"
 SITE = "peak_id bigint, chr_n string, pos_ini bigint, pos_end bigint"
@@ -118,7 +119,7 @@ def test_motif_scan_equals_brute_force(spark, rows, size, overlap):
     want = brute_motifs(seqs, motifs, 0.6)
     cols = ["chr_n", "start", "seq", "strand", "tf_name"]
     for method in ("arrow", "native"):
-        got = scan_motifs(chunks_of(spark, seqs, size, overlap), motifs, 0.6, method=method, overlap=overlap)
+        got = scan_motifs(chunks_of(spark, seqs, size, overlap), motifs, 0.6, method=method)
         assert want and rows(got, *cols) == want
 
 
@@ -145,21 +146,55 @@ def test_word_scan_equals_brute_force(spark, rows, size, overlap):
         key=lambda t: [str(x) for x in t],
     )
     for method in ("arrow", "native"):
-        got = scan_words(chunks_of(spark, seqs, size, overlap), words, method, overlap)
+        got = scan_words(chunks_of(spark, seqs, size, overlap), words, method)
         assert rows(got, "chr_n", "start", "seq", "hit_ord") == want
 
 
-def test_long_word_lists_go_native(spark, rows):
+@pytest.mark.parametrize("length", [5, 40])
+def test_word_lists_of_any_length_take_one_pass(spark, rows, length):
     r = random.Random(8)
-    words = ["".join(r.choices("ACGT", k=5)) for _ in range(200)]
-    chunks = chunks_of(spark, random_dna())
+    dna = random_dna()
+    dna["c3000"] = dna["c3000"].replace("N", "A")
+    words = ["".join(r.choices("ACGT", k=length)) for _ in range(1500)] + ["ACGTN" * (length // 5), "NACGT" * (length // 5)]
+    words += [dna["c3000"][i:i + length].upper() for i in range(0, 2000, 97)] * 2
+    # Words that agree in all that a 64-bit number holds.
+    words += [words[-1][:-1] + b for b in "ACGT"]
+    chunks = chunks_of(spark, dna, 500)
     got = scan(chunks, words=words)
-    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
-    want = scan_words(chunks, words[:100]).unionByName(
-        scan_words(chunks, words[100:]).selectExpr("*", "hit_ord + 100 as o").drop("hit_ord").withColumnRenamed("o", "hit_ord")
-    )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # The one Generate cuts the sequences into chunks.
+    assert plan.count("MapInArrow") == 1 and plan.count("Generate") == 1 and "Join" not in plan
     cols = ["chr_n", "start", "seq", "hit_ord", "strand"]
-    assert rows(got, *cols) == rows(want, *cols)
+    assert rows(got, *cols) == rows(scan_words(chunks, words, "native"), *cols) != []
+
+
+def test_windows_longer_than_the_usual_overlap(spark, rows):
+    seqs = random_dna()
+    word = seqs["c3000"][1000:1080].upper().replace("N", "A")
+    seqs["x"] = "T" * 3 + word.lower() + "G" + reverse_complement(word)
+    chunks = chunks_of(spark, seqs, 50, window_overlap([word]))
+    got = rows(scan_words(chunks, [word]).where("chr_n = 'x'"), "start", "strand")
+    assert got == [(3, "+"), (84, "-")]
+    r = random.Random(9)
+    cells = [("long", p, b, float(r.choice([1, 2, 3]))) for p in range(70) for b in "ACGT"]
+    motif = motif_log_odds(spark.createDataFrame(cells, "motif string, pos int, base string, count double"))
+    want = brute_motifs(seqs, motif, 0.25)
+    found = scan_motifs(chunks_of(spark, seqs, 50, window_overlap(motifs=motif)), motif, 0.25)
+    assert want and rows(found, "chr_n", "start", "seq", "strand", "tf_name") == want
+    with pytest.raises(ValueError, match="overlap of 69"):
+        scan_motifs(chunks_of(spark, seqs), motif)
+
+
+def test_no_pseudocount(spark, rows):
+    counts = [("m", 0, "A", 8.0), ("m", 1, "C", 4.0), ("m", 1, "G", 4.0)]
+    frame = spark.createDataFrame(counts, "motif string, pos int, base string, count double")
+    odds = motif_log_odds(frame, pseudocount=0.0)
+    assert rows(odds.where("base in ('A', 'T')"), "pos", "base", "log_odds") == [
+        (0, "A", 2.0), (0, "T", float("-inf")), (1, "A", float("-inf")), (1, "T", float("-inf")),
+    ]
+    assert rows(scan_motifs(chunks_of(spark, {"c": "ACAGATTT"}), odds), "start", "strand", "score_pssm") == [
+        (0, "+", 3.0), (2, "+", 3.0),
+    ]
 
 
 def test_word_hits_equal_those_of_the_reverse_complement(spark, rows):
@@ -169,13 +204,19 @@ def test_word_hits_equal_those_of_the_reverse_complement(spark, rows):
         assert a == rows(scan_words(chunks, [reverse_complement(w)]), "chr_n", "start", "seq")
 
 
-def test_panels_cover_every_motif_in_order(spark, rows):
+def test_motifs_too_many_for_a_task_give_the_same_hits(spark, rows):
+    chunks, motifs = chunks_of(spark, random_dna(), 100), random_motifs(spark)
+    whole, parts = scan(chunks, motifs=motifs, score_mult=0.6), scan(chunks, motifs=motifs, score_mult=0.6, max_cells=30)
+    assert "FlatMapCoGroupsInArrow" in parts._jdf.queryExecution().executedPlan().toString()
+    assert rows(whole) == rows(parts) != []
+    unnamed = motifs.drop("motif_ord")
+    assert rows(scan(chunks, motifs=unnamed)) == rows(scan(chunks, motifs=unnamed, max_cells=30))
+
+
+def test_cutoffs_reported_and_applied_are_the_same(spark):
     motifs = random_motifs(spark)
-    whole = [m for p in motif_panels(motifs) for m in p]
-    parts = list(motif_panels(motifs, max_cells=30))
-    assert len(parts) > 1
-    assert [(m.name, m.order) for p in parts for m in p] == [(m.name, m.order) for m in whole]
-    assert [m.name for m in whole] == ["m5", "m7", "m13"]
+    told = {r["motif"]: r["cutoff"] for r in motif_cutoffs(motifs, 0.6).collect()}
+    assert {r["motif"]: r["cutoff"] for r in motif_rows(motifs, 0.6).collect()} == told
 
 
 def test_words_and_motifs_in_one_pass(spark, rows):

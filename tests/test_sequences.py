@@ -3,7 +3,7 @@ import random
 import pytest
 
 from sitescan.operators import (
-    chunk_sequences, contig_lengths, extract_sequences, kmers, locate_sites, prune_chunks,
+    chunk_layout, chunk_sequences, contig_lengths, extract_sequences, kmers, locate_sites, prune_chunks,
 )
 
 SEQ = "chr_n string, seq string"
@@ -53,9 +53,9 @@ def test_clamped_extraction(spark, rows):
 def test_chunk_table(spark, rows):
     chunks = chunk_sequences(spark.createDataFrame([("c", "ACGTA"), ("e", "")], SEQ), 2, 1)
     assert rows(chunks.selectExpr("chunk_id", "chunk_start", "chunk_len", "cast(bases as string)")) == [
-        (0, 0, 2, "ACG"), (1, 2, 2, "GTA"), (2, 4, 1, "A")
+        (0, 0, 0, ""), (0, 0, 2, "ACG"), (1, 2, 2, "GTA"), (2, 4, 1, "A")
     ]
-    assert rows(contig_lengths(chunks)) == [("c", 5)]
+    assert rows(contig_lengths(chunks)) == [("c", 5), ("e", 0)]
 
 
 def test_pruning_keeps_touched_chunks_once(spark, rows):
@@ -70,12 +70,30 @@ def test_kmers(spark, rows, size, overlap):
     seqs = random_sequences()
     chunks = chunk_sequences(spark.createDataFrame(list(seqs.items()), SEQ), size, overlap)
     want = [(c, i, s[i:i + 5]) for c, s in seqs.items() for i in range(len(s) - 4)]
-    assert rows(kmers(chunks, 5, overlap=overlap)) == sorted(want, key=lambda t: [str(x) for x in t])
+    assert rows(kmers(chunks, 5)) == sorted(want, key=lambda t: [str(x) for x in t])
 
 
 def test_window_longer_than_the_overlap_is_refused(spark):
     chunks = chunk_sequences(spark.createDataFrame([("c", "ACGTA")], SEQ), 2, 1)
     with pytest.raises(ValueError, match="overlap"):
-        kmers(chunks, 3, overlap=1)
+        kmers(chunks, 3)
     with pytest.raises(ValueError, match="empty"):
-        kmers(chunks, 0, overlap=1)
+        kmers(chunks, 0)
+
+
+def test_chunks_tell_their_size(spark, rows, tmp_path):
+    chunks = chunk_sequences(spark.createDataFrame([("c", "ACGTACGTAC" * 30), ("e", "")], SEQ), 100, 7)
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    again = spark.read.parquet(str(tmp_path / "chunks"))
+    assert chunk_layout(chunks) == chunk_layout(again) == (100, 7)
+    sites = spark.createDataFrame([(0, "c", 1, 250), (1, "c", 95, 104), (2, "e", 1, 9)], SITE)
+    located = locate_sites(sites, contig_lengths(again))
+    assert dict(rows(extract_sequences(located, again), "site_id", "seq")) == {
+        0: ("ACGTACGTAC" * 25), 1: ("ACGTACGTAC" * 12)[94:104], 2: ""
+    }
+    for use in (lambda: extract_sequences(located, again, 4096), lambda: prune_chunks(again, located, 50)):
+        with pytest.raises(ValueError, match="100 bases long"):
+            use()
+    bare = spark.createDataFrame(again.collect(), "chr_n string, chunk_id long, chunk_start long, chunk_len long, bases binary")
+    with pytest.raises(ValueError, match="size"):
+        prune_chunks(bare, located)

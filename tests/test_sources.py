@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitescan import sources as io
-from sitescan.operators import expression_conflicts, extract_sequences, locate_sites, contig_lengths, with_ordinal
+from sitescan.operators import (
+    contig_lengths, expression_conflicts, extract_sequences, locate_sites, rule_filter, with_ordinal,
+)
 
 
 def put(folder, name, text):
@@ -21,6 +23,21 @@ def test_bed(spark, rows, tmp_path):
         io.read_bed(spark, path, n_cols=2)
 
 
+@pytest.mark.parametrize("line", ["chr1\t7.0\t9", "chr1\tabc\t9", "chr1\t5", "chr1"])
+def test_malformed_bed_rows_fail(spark, tmp_path, line):
+    path = put(tmp_path, "a.bed", f"browser position\nchr2\t5\t9\n{line}\n")
+    with pytest.raises(Exception, match="BED row without whole start and end: chr1"):
+        io.read_bed(spark, path).collect()
+
+
+def test_missing_cells_are_null(spark, rows, tmp_path):
+    path = put(tmp_path, "s.csv", "chr_n;pos_ini;score\nchr1;5;NA\nNA;;1.5\nchr2;7;nan\n")
+    df = io.read_table(spark, path)
+    assert df.dtypes == [("chr_n", "string"), ("pos_ini", "bigint"), ("score", "double")]
+    assert rows(df) == [(None, None, 1.5), ("chr1", 5, None), ("chr2", 7, None)]
+    assert rows(rule_filter(df, [("score", 1.5)], False), "score") == [(1.5,)]
+
+
 def test_file_order_over_many_splits(spark, tmp_path):
     """Order by file name and position, although the scan takes large files first and cuts them up."""
     lines = [f"chr{i}\t{i}\t{i + 1}\n" for i in range(4000)]
@@ -94,6 +111,18 @@ def test_fasta_named_by_file(spark, rows, tmp_path):
     assert rows(io.read_fasta(spark, str(tmp_path), genome="hg19")) == [("chr1", "ACGT")]
 
 
+def test_fasta_edges(spark, rows, tmp_path):
+    path = put(tmp_path, "a.fa", ">c1\nACGT\n>empty\n>c2\nGG\n>last\n")
+    chunks = io.read_fasta_chunks(spark, path, size=4, overlap=3)
+    assert rows(contig_lengths(chunks)) == [("c1", 4), ("c2", 2), ("empty", 0), ("last", 0)]
+    assert rows(io.read_fasta(spark, path)) == [("c1", "ACGT"), ("c2", "GG"), ("empty", ""), ("last", "")]
+    twice = put(tmp_path, "b.fa", ">c1\nAAAA\nCC\n>c1\nGGGGGG\n")
+    for use in (lambda: io.read_fasta_chunks(spark, twice), lambda: contig_lengths(io.read_fasta_chunks(spark, twice)),
+                lambda: io.read_fasta(spark, twice)):
+        with pytest.raises(Exception, match="more than one FASTA record is called c1"):
+            use().collect()
+
+
 def test_fasta_writer_keeps_the_order(spark, rows, tmp_path):
     chunks = io.read_fasta_chunks(spark, put(tmp_path, "a.fa", FASTA), size=4, overlap=3)
     sites = spark.range(60).selectExpr("id + 1 as ordinal", "'c2' as chr_n", "1 + id % 5 as pos_ini", "8L as pos_end")
