@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -30,15 +32,22 @@ def build_session(app_name: str = "sitescan", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and intermediate tables.
 
-    The session names it in ``spark.checkpoint.dir``; there is no other place that would do on a cluster.
+    The session names it in ``spark.checkpoint.dir``. Where that is unset, a local session, whose executors
+    are in the same process, gets a folder of its own, and a cluster session an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+    current = context.getCheckpointDir()
+    if named:
+        if current is None:
+            context.setCheckpointDir(named)
+        return named
+    if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sitescan-"))
+        current = context.getCheckpointDir()
+    return current
 
 
 _SCRATCH: list[str] = []
