@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,12 +86,9 @@ def find_credentials(text: str, reach: int = REACH) -> list[Span]:
     names = sorted([s for s in strong if s[0] == "access"] + identifiers + endpoints, key=lambda s: s[1:])
     if not names:
         return sorted(strong, key=_order)
-    taken = sorted((a, b) for _, a, b in strong)
-    inside = lambda s: _covered(taken, s[1], s[2])
+    inside, named = _Cover(strong), _Cover(endpoints + identifiers)
     weak += [("secret", *m.span()) for m in RANDOM.finditer(text) if random_looking(m.group())]
-    weak = [s for s in weak if not inside(s)]
-    own = sorted((a, b) for _, a, b in endpoints + identifiers)
-    weak = [s for s in weak if not _covered(own, s[1], s[2])]
+    weak = [s for s in weak if not inside(s) and not named(s)]
     secrets = sorted([s for s in strong if s[0] != "access"] + weak, key=lambda s: s[1:])
     if not secrets:
         return sorted(strong, key=_order)
@@ -108,10 +106,17 @@ def _order(span: Span) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def _covered(intervals: list[tuple[int, int]], first: int, last: int) -> bool:
-    """Whether a span overlaps one of the sorted intervals."""
-    at = bisect_left(intervals, (last, -1))
-    return any(b > first for _, b in intervals[max(0, at - 8):at])
+class _Cover:
+    """Whether a span overlaps one of many: starts sorted, each with the furthest end up to it."""
+
+    def __init__(self, spans: list[Span]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(accumulate((b for _, b in ordered), max))
+
+    def __call__(self, span: Span) -> bool:
+        at = bisect_left(self.starts, span[2])
+        return at > 0 and self.ends[at - 1] > span[1]
 
 
 def scan_credentials(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
