@@ -18,7 +18,7 @@ from sitescan.llm.toxicity import sample_rows
 
 #: Most labelled rows that the model is fitted to, and the bytes of text of all of them together.
 TRAIN_ROWS = 4_000
-TRAIN_BYTES = 12_000_000
+TRAIN_BYTES = 8_000_000
 SLOTS = 1 << 17
 RANK = 6
 EPOCHS = 12

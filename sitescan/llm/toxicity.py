@@ -12,18 +12,21 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescan.llm.common import columns_of, free_name, map_texts
+from sitescan.llm.common import columns_of, free_name, map_texts, stored
 
 #: Most labelled rows that the model is fitted to, and the bytes of text of all of them together.
 TRAIN_ROWS = 4_000
-TRAIN_BYTES = 12_000_000
+TRAIN_BYTES = 8_000_000
 SLOTS = 1 << 18
 STEPS = 20
+#: Tokens walked at once.
+PORTION = 100_000
 #: G statistic a word or beginning must reach, and how many times likelier it must be in toxic documents.
 SIGNIFICANT = 24.0
 RATIO = 8.0
@@ -57,7 +60,9 @@ class Chain:
     bias: float = 0.0
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, step: np.ndarray, width: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def marginals(
+    emit: np.ndarray, first: np.ndarray, step: np.ndarray, with_pairs: bool = True, width: int = 256
+) -> tuple[np.ndarray, np.ndarray | None]:
     """Chance of the toxic tag for each token of a batch of chains laid end to end, and expected transitions.
 
     ``emit`` is the log-odds of the toxic tag, ``first`` marks the tokens that begin a chain. The batch is cut
@@ -123,6 +128,8 @@ def marginals(emit: np.ndarray, first: np.ndarray, step: np.ndarray, width: int
         state, _ = unlink(state, at)
     both = ahead * behind
     chance = (both[..., 1] / both.sum(-1)).T.reshape(-1)[:n]
+    if not with_pairs:
+        return chance, None
     # Expected transitions into each token that does not begin a chain.
     previous = np.concatenate([incoming[None], ahead[:-1]])
     odds = np.stack([np.ones_like(e.T), e.T], -1)
@@ -139,33 +146,37 @@ def names_of(word: bytes) -> set[bytes]:
     return names | {b"p" + core[:k] for k in (4, 5, 6) if len(core) > k}
 
 
-def suspicious(rows: list[tuple[list[bytes], int]]) -> set[bytes]:
+def suspicious(words: list[bytes], counts: np.ndarray) -> set[bytes]:
     """Words and beginnings met in toxic documents so much more often than chance has it (G statistic).
 
-    What is counted are different words before them: copies of a document add nothing.
+    ``counts`` has, for each word and label, how many different words were met before it: copies of a document
+    add nothing.
     """
-    met: tuple[set, set] = (set(), set())
-    for words, label in rows:
-        met[label].update(zip(words, [b"", *words]))
-    seen: list[dict] = [{}, {}]
-    for label in (0, 1):
-        named: dict[bytes, set[bytes]] = {}
-        for word, before in met[label]:
-            if word not in named:
-                named[word] = names_of(word)
-            for name in named[word]:
-                seen[label][name] = seen[label].get(name, 0) + 1
-    sizes = [len(m) for m in met]
-    share, found = sizes[1] / max(sum(sizes), 1), set()
-    for name, n in seen[1].items():
-        other = seen[0].get(name, 0)
-        gain = n * math.log(n / ((n + other) * share)) if share < 1 else 0.0
+    seen: dict[bytes, np.ndarray] = {}
+    for word, met in zip(words, counts):
+        for name in names_of(word):
+            held = seen.get(name)
+            seen[name] = met if held is None else held + met
+    sizes, found = counts.sum(0), set()
+    share = sizes[1] / max(sizes.sum(), 1)
+    for name, (other, n) in seen.items():
+        if not n or share >= 1:
+            continue
+        gain = n * math.log(n / ((n + other) * share))
         gain += other * math.log(other / ((n + other) * (1 - share))) if other else 0.0
         if 2 * gain >= SIGNIFICANT and n * sizes[0] > RATIO * other * sizes[1]:
             found.add(name)
     return found
 
 
+def contexts(ids: np.ndarray, first: np.ndarray, labels: np.ndarray, words: int) -> np.ndarray:
+    """For each word and label the number of different words before it; a text's beginning counts as one."""
+    before = np.append(0, ids[:-1] + 1)
+    before[first] = 0
+    pairs = [np.unique((ids * (words + 1) + before)[labels == y]) // (words + 1) for y in (0, 1)]
+    return np.stack([np.bincount(p, minlength=words) for p in pairs], 1)
+
+
 def document_evidence(chance: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Log-odds of each document's most toxic token; its length alone does not raise it."""
     odds = np.log(np.clip(chance, 1e-12, 1 - 1e-12))
@@ -175,56 +186,75 @@ def document_evidence(chance: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[bytes, int]], steps: int = STEPS) -> Chain:
-    """Fits the chain by AdaGrad over all rows at once, then the document score to the labels.
+    """Fits the chain by AdaGrad over all rows, then the document score to the labels.
 
-    Rows are sorted first, so the result does not depend on the order in which they came.
+    Rows are sorted first, so the result does not depend on the order in which they came. A step walks the
+    rows portion by portion, which bounds the memory.
     """
     chain = Chain(np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(SLOTS), np.array([[1.0, -1.0], [0.0, 0.0]]))
-    split = [(text.lower().split(), label) for text, label in sorted(rows)]
-    split = [r for r in split if r[0]]
-    if not split:
-        return chain
-    marked = suspicious(split)
     index: dict[bytes, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for words, _ in split for w in words], dtype=np.int64)
-    ends = np.cumsum([0, *(len(words) for words, _ in split)])
-    kinds = np.array([features(w) for w in index], dtype=np.int64)
-    flags = np.array([not marked.isdisjoint(names_of(w)) for w in index])
-    label = np.array([y for _, y in split])
-    truth = flags[ids] & np.repeat(label == 1, np.diff(ends))
+    parts, label = [], []
+    for text, y in sorted(rows):
+        found = [index.setdefault(w, len(index)) for w in text.lower().split()]
+        if found:
+            parts.append(np.array(found, dtype=np.int64))
+            label.append(y)
+    if not parts:
+        return chain
+    ends, label = np.cumsum([0, *map(len, parts)]), np.array(label)
+    ids, words = np.concatenate(parts), list(index)
     first = np.zeros(len(ids), bool)
     first[ends[:-1]] = True
-    last = np.append(first[1:], True)
+    of_token = np.repeat(label, np.diff(ends))
+    marked = suspicious(words, contexts(ids, first, of_token, len(words)))
+    kinds = np.array([features(w) for w in words], dtype=np.int64)
+    flags = np.array([not marked.isdisjoint(names_of(w)) for w in words])
+    truth = flags[ids] & (of_token == 1)
     # Rare tags weigh more, or the clean ones would drown them.
-    weight = np.where(truth, min(20.0, max(1.0, (~truth).sum() / max(truth.sum(), 1) / 10)), 1.0)
+    heavy = min(20.0, max(1.0, (~truth).sum() / max(truth.sum(), 1) / 10))
     told = np.zeros((2, 2))
     np.add.at(told, (truth[:-1][~first[1:]].astype(int), truth[1:][~first[1:]].astype(int)), 1)
+    cuts = [0]
+    for k in range(1, len(ends)):
+        if k == len(ends) - 1 or ends[k] - ends[cuts[-1]] > PORTION:
+            cuts.append(k)
+
+    def portions():
+        of_word = [w[kinds].sum(1) for w in (chain.own, chain.before, chain.after)]
+        for a, b in zip(cuts, cuts[1:]):
+            at = slice(ends[a], ends[b])
+            own, start = ids[at], first[at]
+            emit = emissions(*(w[own] for w in of_word), start)
+            yield a, b, at, own, start, marginals(emit, start, chain.step)
+
     squares = [np.full(SLOTS, 1e-8) for _ in range(3)] + [np.full((2, 2), 1e-8)]
     for _ in range(steps):
-        chance, pairs = marginals(emissions(chain, ids, kinds, first, last), first, chain.step)
-        wrong = (truth - chance) * weight / len(ids) * 1000
-        by_word = np.bincount(ids, wrong, len(kinds))
-        prior = np.bincount(ids[:-1], np.where(first[1:], 0, wrong[1:]), len(kinds))
-        later = np.bincount(ids[1:], np.where(first[1:], 0, wrong[:-1]), len(kinds))
+        sums, met = np.zeros((3, len(words))), np.zeros((2, 2))
+        for _, _, at, own, start, (chance, pairs) in portions():
+            wrong = (truth[at] - chance) * np.where(truth[at], heavy, 1.0) / len(ids) * 1000
+            sums[0] += np.bincount(own, wrong, len(words))
+            sums[1] += np.bincount(own[:-1], np.where(start[1:], 0, wrong[1:]), len(words))
+            sums[2] += np.bincount(own[1:], np.where(start[1:], 0, wrong[:-1]), len(words))
+            met += pairs
         slopes = [
             np.bincount(kinds.ravel(), np.repeat(g, N_FEATURES), SLOTS) - 1e-5 * w
-            for g, w in ((by_word, chain.own), (prior, chain.before), (later, chain.after))
-        ] + [(told - pairs) / len(ids)]
+            for g, w in zip(sums, (chain.own, chain.before, chain.after))
+        ] + [(told - met) / len(ids)]
         for value, slope, square, rate in zip(
             (chain.own, chain.before, chain.after, chain.step), slopes, squares, (0.5, 0.05, 0.05, 0.1)
         ):
             square += slope * slope
             value += rate * slope / np.sqrt(square)
-    chance, _ = marginals(emissions(chain, ids, kinds, first, last), first, chain.step)
-    chain.scale, chain.bias = calibrate(document_evidence(chance, ends), label)
+    evidence = [document_evidence(chance, ends[a:b + 1] - ends[a]) for a, b, _, _, _, (chance, _) in portions()]
+    chain.scale, chain.bias = calibrate(np.concatenate(evidence), label)
     return chain
 
 
-def emissions(chain: Chain, ids: np.ndarray, kinds: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    own, before, after = (w[kinds].sum(1) for w in (chain.own, chain.before, chain.after))
-    emit = own[ids]
-    emit[1:] += np.where(first[1:], 0, before[ids[:-1]])
-    emit[:-1] += np.where(last[:-1], 0, after[ids[1:]])
+def emissions(own: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-odds of each token: its own, and what its neighbours in the same text say."""
+    emit = own.copy()
+    emit[1:] += np.where(first[1:], 0, before[:-1])
+    emit[:-1] += np.where(first[1:], 0, after[1:])
     return emit
 
 
@@ -244,24 +274,24 @@ def calibrate(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, most: int, size: int) -> list[tuple[bytes, int]]:
     """At most ``most`` labelled texts and ``size`` bytes, half of them of each label where there are enough.
 
-    Drawn by a hash of text and id, so the same rows give the same sample in any order. Rows without text or
-    label are left out; of an id labelled both ways the label 1 counts.
+    Drawn by a hash of the id, so the same rows give the same sample in any order. Rows without text or label
+    are left out; of an id labelled both ways the label 1 counts. Texts stay where they are: ids and lengths
+    are joined with the labels, and the drawn ids, whose number is bounded, fetch their texts.
     """
     marks = labels.groupBy(F.col(f"`{doc_id}`").alias("_at")).agg(F.max(f"`{label}`").alias("_label"))
-    pairs = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).where("_text is not null").join(
-        marks.where("_label is not null"), F.col("_id") == F.col("_at")
-    )
-    draw = F.pmod(F.xxhash64("_text", "_id"), F.lit(1 << 30))
-    counts = {r._label: (r.n, r.bytes) for r in pairs.groupBy("_label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_text")).alias("bytes")
-    ).collect()}
-    rows: list[tuple[bytes, int]] = []
-    for value in (0, 1):
-        n, total = counts.get(value, (0, 0))
-        share = min(1.0, most / 2 / max(n, 1), size / 2 / max(total, 1))
-        drawn = pairs.where((F.col("_label") == value) & (draw < int(share * (1 << 30)) + (share == 1.0)))
-        rows += [(bytes(r.t), value) for r in drawn.select(F.col("_text").cast("binary").alias("t")).collect()]
-    return rows
+    own, body = F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`")
+    narrow = docs.where(body.isNotNull()).select(own, F.octet_length(body).alias("_size"))
+    pairs = stored(narrow.join(marks.where("_label is not null"), F.col("_id") == F.col("_at")).select(
+        "_id", "_label", "_size", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 30)).alias("_draw")
+    ))
+    share = {}
+    for r in pairs.groupBy("_label").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).collect():
+        part = min(1.0, most / 2 / r.n, size / 2 / max(r.b, 1))
+        share[r["_label"]] = int(part * (1 << 30)) + (part == 1.0)
+    limit = F.when(F.col("_label") == 1, share.get(1, 0)).otherwise(share.get(0, 0))
+    drawn = pairs.where(F.col("_draw") < limit).select("_id", "_label").distinct()
+    texts = docs.where(body.isNotNull()).select(own, body.cast("binary").alias("_text"))
+    return [(bytes(r["_text"]), r["_label"]) for r in texts.join(F.broadcast(drawn), "_id").select("_text", "_label").collect()]
 
 
 def fit_toxicity(
@@ -282,34 +312,25 @@ def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text", remembered
 
     def kernel():
         model = Chain(**shared.value)
-        cache: list[dict] = [{}, {}]
-
-        def fresh(word: bytes) -> tuple[float, float, float]:
-            made = cache[1].get(word)
-            if made is None:
-                at = features(word)
-                made = float(model.own[at].sum()), float(model.before[at].sum()), float(model.after[at].sum())
-            if len(cache[0]) >= remembered:
-                cache[1], cache[0] = cache[0], {}
-            cache[0][word] = made
-            return made
+        index: dict[bytes, int] = {}
+        weights = np.zeros((3, 0))
 
         def work(texts: list) -> dict:
+            nonlocal weights
+            if len(index) > remembered:
+                index.clear()
+                weights = np.zeros((3, 0))
             split = [(t or b"").lower().split() for t in texts]
             ends = np.cumsum([0, *map(len, split)])
-            n = int(ends[-1])
-            parts = []
-            for words in split:
-                # A generation may end inside a text: what follows is then looked up among the old ones too.
-                get = cache[0].get
-                parts += [get(w) or fresh(w) for w in words]
-            own, before, after = np.array(parts, dtype=float).reshape(n, 3).T if n else np.zeros((3, 0))
+            n, place = int(ends[-1]), index.setdefault
+            ids = np.fromiter((place(w, len(index)) for words in split for w in words), np.int64, n)
+            if len(index) > weights.shape[1]:
+                at = np.array([features(w) for w in islice(index, weights.shape[1], None)], dtype=np.int64)
+                fresh = np.stack([w[at].sum(1) for w in (model.own, model.before, model.after)])
+                weights = np.concatenate([weights, fresh], 1)
             first = np.zeros(n, bool)
             first[ends[:-1][ends[:-1] < ends[1:]]] = True
-            emit = own.copy()
-            emit[1:] += np.where(first[1:], 0, before[:-1])
-            emit[:-1] += np.where(first[1:], 0, after[1:])
-            chance, _ = marginals(emit, first, model.step)
+            chance, _ = marginals(emissions(*weights[:, ids], first), first, model.step, with_pairs=False)
             evidence = document_evidence(chance, ends)
             score = np.where(np.diff(ends) > 0, 1 / (1 + np.exp(-np.clip(model.scale * evidence + model.bias, -500, 500))), 0.0)
             bad = chance >= OFFENDING
