@@ -109,7 +109,8 @@ def find_contamination(
     """
     windows = stored(item_windows(benchmark, n, item_id, item_text))
     hits = stored(window_hits(docs, windows, text))
-    found = gather_hits(hits)
+    # Stored, so that both sides of the join below are shuffled for it and a hot digest can be split.
+    found = stored(gather_hits(hits))
     key = free_name(docs, "digest")
     names = {c: free_name(docs, c) for c in ("n_words", "n_hit", "item_ids", "spans", "contaminated")}
     whole = text_of(text)
