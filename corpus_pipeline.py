@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitescan.llm.bpe import encode_texts
 from sitescan.llm.common import columns_of, free_name, stored, table
 from sitescan.llm.decontamination import decontaminate
-from sitescan.llm.near_duplicates import deduplicate
+from sitescan.llm.edited_copies import deduplicate_copies
 from sitescan.llm.personal_data import redact
 from sitescan.llm.queries import TOKENIZER
 from sitescan.llm.toxicity import fit_toxicity, score_toxicity
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    return deduplicate(docs)
+    """Of each class of near-duplicates, edited copies included, the document with the smallest id stays."""
+    return deduplicate_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,9 +309,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     """One row of each class: the smallest id, of rows that share it any one; rows without id come last."""
     fp, row = free_name(docs, "fp"), free_name(docs, "row")
     marked = stored(with_fingerprint(docs, text, fp).withColumn(row, F.monotonically_increasing_id()))
-    classes = _classes(marked, doc_id, fp, radius).select("_fp", "root")
-    own = F.col(f"`{doc_id}`")
+    return first_of_each(marked, _classes(marked, doc_id, fp, radius), doc_id, fp, row).select(*columns_of(docs))
+
+
+def first_of_each(marked: DataFrame, classes: DataFrame, doc_id: str, fp: str, row: str) -> DataFrame:
+    """The rows of ``marked`` that stay; ``classes`` has ``_fp, root``, ``row`` numbers the rows."""
+    classes, own = classes.select("_fp", "root"), F.col(f"`{doc_id}`")
     narrow = marked.select(F.struct(own.isNull().alias("n"), own.alias("i"), F.col(f"`{row}`").alias("r")).alias("k"), F.col(f"`{fp}`").alias("f"))
     kept = narrow.join(classes, F.col("f") == F.col("_fp")).groupBy("root").agg(F.min("k").alias("k"))
     kept = kept.select(F.col("k.r").alias("_kept"))
-    return marked.join(kept, F.col(f"`{row}`") == F.col("_kept")).select(*columns_of(docs))
+    return marked.join(kept, F.col(f"`{row}`") == F.col("_kept"))
