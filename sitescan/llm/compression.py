@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from itertools import groupby
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,8 +27,9 @@ BANDS = (
     (1024, 0.395, 0.600), (1536, 0.370, 0.560), (2048, 0.357, 0.540), (3072, 0.346, 0.517), (4096, 0.333, 0.493),
     (8192, 0.313, 0.472), (16384, 0.298, 0.449),
 )
-#: A text is also rejected when more than this share of its chunks lies outside the band of their length.
-BAD_CHUNKS = 0.5
+#: A text is also rejected when more than this share of its chunks lies outside the band of their length, or
+#: so many of them in a row: two are more than one full chunk.
+BAD_CHUNKS, BAD_RUN = 0.05, 2
 
 SYMBOLS = b"#*$%&|<>"
 _DROP = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -61,6 +63,10 @@ def band_of(size: int, bands: Sequence[tuple[int, float, float]] = BANDS) -> tup
     return next(((low, high) for least, low, high in reversed(bands) if size >= least), (0.0, float("inf")))
 
 
+def longest_run(marks: list[bool]) -> int:
+    return max((sum(1 for _ in run) for bad, run in groupby(marks) if bad), default=0)
+
+
 def ratios(text: bytes, press: zstandard.ZstdCompressor, chunk: int) -> tuple[float, list[tuple[int, float]]]:
     """Compressed to plain size of the whole text (1 if empty) and (size, ratio) of each chunk."""
     if not text:
@@ -75,7 +81,7 @@ def ratios(text: bytes, press: zstandard.ZstdCompressor, chunk: int) -> tuple[fl
 def quality_rules(
     docs: DataFrame, text: str = "text", level: int = LEVEL, chunk: int = CHUNK_BYTES,
     bands: Sequence[tuple[int, float, float]] = BANDS, bad_chunks: float = BAD_CHUNKS,
-    least_words: int = 50, most_repeat: int = 50,
+    least_words: int = 50, most_repeat: int = 50, bad_run: int = BAD_RUN,
 ) -> DataFrame:
     """Every row of ``docs`` with the counts, ``ratio``, chunk figures, ``base_failed`` and ``kept`` added.
 
@@ -84,17 +90,19 @@ def quality_rules(
     Rows that repeat are judged alike; names that clash with columns of ``docs`` get a trailing underscore.
     """
 
+    schema = f"{SCHEMA}, _bad_run bigint"
+
     def kernel():
         press = zstandard.ZstdCompressor(level=level)
 
         def work(texts: list) -> dict:
-            made: dict = {name.split()[0]: [] for name in SCHEMA.split(", ")}
+            made: dict = {name.split()[0]: [] for name in schema.split(", ")}
             for text in texts:
                 body = text or b""
                 whole, parts = ratios(body, press, chunk)
-                bad = sum(not (b := band_of(size, bands))[0] <= ratio <= b[1] for size, ratio in parts)
+                bad = [not (b := band_of(size, bands))[0] <= ratio <= b[1] for size, ratio in parts]
                 values = [r for _, r in parts] or [1.0]
-                row = (*rule_counts(body), whole, min(values), max(values), len(parts), bad)
+                row = (*rule_counts(body), whole, min(values), max(values), len(parts), sum(bad), longest_run(bad))
                 for column, value in zip(made.values(), row):
                     column.append(value)
             return made
@@ -105,7 +113,7 @@ def quality_rules(
     names = {c: free_name(docs, c) for c in (*added, "base_failed", "kept")}
     own = F.struct(*columns_of(docs)).alias("_row")
     size = F.length(F.col(f"`{text}`").cast("binary"))
-    judged = map_texts(docs, [own, size.alias("_size")], F.col(f"`{text}`").cast("binary"), kernel, SCHEMA)
+    judged = map_texts(docs, [own, size.alias("_size")], F.col(f"`{text}`").cast("binary"), kernel, schema)
     n_words, repeat, ratio = F.col("n_words"), F.col("n_repeat_words"), F.col("ratio")
     failed = (n_words < least_words) | (100 * repeat > most_repeat * n_words)
     low, high = F.lit(0.0), F.lit(float("inf"))
@@ -113,6 +121,7 @@ def quality_rules(
         fits = F.coalesce(F.col("_size"), F.lit(0)) >= least
         low, high = F.when(fits, band_low).otherwise(low), F.when(fits, band_high).otherwise(high)
     inside = ratio.between(low, high) & (F.col("n_bad_chunks") <= bad_chunks * F.col("n_chunks"))
+    inside = inside & (F.col("_bad_run") < bad_run)
     return judged.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], *[F.col(c).alias(names[c]) for c in added],
         failed.alias(names["base_failed"]), (~failed & inside).alias(names["kept"]),

@@ -37,3 +37,19 @@ def test_clean_prose_stays(spark):
 def test_classes():
     assert [b[0] for b in BANDS] == sorted({b[0] for b in BANDS}) and sum(256 <= b[0] < 4096 for b in BANDS) >= 8
     assert band_of(1023) == BANDS[4][1:] and band_of(1024) == BANDS[5][1:]
+
+
+def test_junk_inside_long_clean_text_goes(frame):
+    rng = random.Random(8)
+    # So many words that chunks and whole text are as compressible as prose.
+    known = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(1200)]
+    clean = lambda size: " ".join(rng.choice(known) for _ in range(size // 3))[:size]
+    advert = "buy the best watches here today\n" * 3000
+    head, tail = clean(120_000), clean(120_000)
+    docs = [(1, head + tail)]
+    for i, size in enumerate((16_384, 40_000)):
+        docs += [(10 + i, head + advert[:size] + tail), (20 + i, head + noise("base64", size) + tail)]
+    docs += [(30, head[:8192] + noise("base64", 4096)), (31, head + noise("base64", 110_000)), (32, head[:65_536] + advert[:65_536])]
+    got = {r.doc_id: r for r in quality_rules(frame(docs, clash=False)).collect()}
+    assert got[1].kept, got[1].ratio
+    assert not [i for i, r in got.items() if i > 1 and r.kept]
