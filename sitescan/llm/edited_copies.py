@@ -26,7 +26,7 @@ WORDS = 5
 #: Least similarity as a fraction, so that no rounding decides.
 SIMILAR = (4, 5)
 #: Postings one task should sort, and pairs a posting that are compared without another round.
-POSTINGS, PAIRS = 1 << 21, 4
+POSTINGS, PAIRS = 1 << 19, 4
 
 _MIX = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(1, 65)], dtype=np.uint64)
 _PACKED = "part int, docs binary, hashes binary, counts binary"
@@ -50,7 +50,7 @@ def _dealt(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else [0]
     packed = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in columns]
     heads = pa.array(part[cuts[:-1]].astype(np.int32), pa.int32())
-    return pa.RecordBatch.from_arrays([heads, *packed], names=["part", "docs", "hashes", "counts"])
+    return pa.RecordBatch.from_arrays([heads, *packed], names=["part", "docs", "hashes", "counts"][: 1 + len(packed)])
 
 
 def _whole(pieces: np.ndarray, kind: type) -> np.ndarray:
@@ -81,7 +81,17 @@ def shingle_sets(texts: DataFrame, total: int, size: int = WORDS, similar: tuple
                     continue
                 docs, sizes = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
                 hashes = np.concatenate(list(sets.values()))
-                yield _dealt(part_of(hashes), np.repeat(docs, sizes), hashes, np.zeros(len(hashes), "V0"))
+                part, held = part_of(hashes), np.repeat(docs, sizes)
+                order = np.argsort(part, kind="stable")
+                part, held, hashes = part[order], held[order], hashes[order]
+                # A sequence is named once for all its postings in a part.
+                at = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (held[1:] != held[:-1])))
+                many = np.diff(np.append(at, len(part))).astype(np.int32)
+                named = _dealt(part[at], held[at], np.zeros(len(at), "V0"), many)
+                posted = _dealt(part, hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [named.column(0), named.column(1), posted.column(1), named.column(3)], names=named.schema.names
+                )
                 # Sizes pass the next step as they are: their parts are negative.
                 yield _dealt(-1 - part_of(docs), docs, np.zeros(len(docs), "V0"), sizes)
 
@@ -91,7 +101,7 @@ def shingle_sets(texts: DataFrame, total: int, size: int = WORDS, similar: tuple
             if part < 0:
                 yield _dealt(np.full(len(docs), -1 - part), docs, np.zeros(len(docs), "V0"), _whole(counts, np.int64))
                 continue
-            hashes = _whole(hashes, np.int64)
+            docs, hashes = np.repeat(docs, _whole(counts, np.int32)), _whole(hashes, np.int64)
             order = np.lexsort((docs, hashes))
             docs, hashes = docs[order], hashes[order]
             new = np.append(True, (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1]))
