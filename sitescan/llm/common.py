@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sitescan.session import cut_lineage
 
@@ -94,6 +95,43 @@ def map_texts(
     return map_batches(source, run, f"{head}, {schema}" if head else schema)
 
 
+def map_column(
+    df: DataFrame, column: str, kernel: Callable[[], Callable[[pa.Array], dict]], schema: str,
+    keep: list[str] | None = None, most: int = 1 << 20,
+) -> DataFrame:
+    """The ``keep`` columns of ``df`` (all by default) followed by what ``kernel`` makes of ``column``.
+
+    The column goes to Python once, and comes back only if it is kept. ``kernel()`` runs once per task and
+    returns a function from an Arrow array of about ``most`` bytes, or one longer value, to a dict of columns
+    of the same length. Names of ``schema`` that clash with kept columns get a trailing underscore.
+    """
+    kept = df.columns if keep is None else list(keep)
+    # Numbered names: a column may be called like anything, inside.
+    sent = [*kept, *([] if column in kept else [column])]
+    source = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(sent)])
+    at, count, tail = sent.index(column), len(kept), kernel_types(df.sparkSession, schema)
+    head = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:count]]
+    own = [f"_{count + i}" for i in range(len(tail))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            work = work or kernel()
+            for part in slices(batch, most, at):
+                made = work(part.column(at))
+                arrays = part.columns[:count]
+                arrays += [x if isinstance(x := made[name], pa.Array) else pa.array(x, type=kind) for name, kind in tail]
+                yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:count] + own)
+
+    fields = StructType.fromDDL(schema).fields
+    typed = [f"`{o}` {f.dataType.simpleString()}" for o, f in zip(own, fields)]
+    made = map_batches(source, run, ", ".join(head + typed))
+    names, base = list(kept), df.select(*[F.col(f"`{c}`") for c in kept])
+    for name, _ in tail:
+        names.append(free_name(base, name))
+    return made.select(*[F.col(a).alias(b) for a, b in zip(made.columns, names)])
+
+
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(value of the first column, the other columns) of each run of equal values, across batches."""
     now, held = None, []
@@ -112,9 +150,10 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarr
         yield now, [np.concatenate(c) for c in zip(*held)]
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with about ``most`` bytes of text each, whole rows always."""
-    lengths = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index("_text"))).fill_null(0))
+def slices(batch: pa.RecordBatch, most: int = 4 << 20, at: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about ``most`` bytes of text each, whole rows always; ``at`` is the text's column."""
+    at = batch.schema.get_field_index("_text") if at is None else at
+    lengths = np.asarray(pc.binary_length(batch.column(at)).fill_null(0))
     ends, start = np.cumsum(lengths, dtype=np.int64), 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
@@ -125,6 +164,5 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
 
 def kernel_types(spark: SparkSession, schema: str) -> list[tuple[str, pa.DataType]]:
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
 
     return [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields]
