@@ -24,9 +24,7 @@ from pyspark.sql import functions as F
 from sitescan.defaults import SCORE_MULT
 from sitescan.functions import reverse_complement
 from sitescan.operators.motifs import BASES, PANEL_CELLS, Motif, make_motif, motif_rows
-from sitescan.operators.ordering import with_ordinal
 from sitescan.operators.sequences import check_window, chunk_layout, kmers
-from sitescan.session import cut_lineage
 
 HIT_SCHEMA = (
     "chr_n string, start bigint, hit_len int, seq string, source string, strand string, "
@@ -39,8 +37,8 @@ _ARROW = pa.schema([
 ])
 
 _SLICE_BYTES = 1 << 20
-_BLOCK_CHUNKS = 2048  # chunks that meet a panel in one group when the panels are too many for every task
-_CODE_BASES = 31  # bases whose number fits 64 bits
+_SEEDS = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16)  # letters a word is looked up by
+_BITS = 20
 _PACK = 6  # bases per lookup table: 4**6 doubles stay in the first-level cache
 
 _CODE = np.full(256, 4, dtype=np.uint8)
@@ -58,11 +56,11 @@ class _Bases:
         self.codes = _CODE[data]
         self.packed: dict = {}
 
-    def packs(self, k: int) -> np.ndarray:
-        """Base-4 number of the k bases from each position; other letters count as A here."""
+    def padded_packs(self, k: int) -> np.ndarray:
+        """Base-4 number of the k bases from each position; other letters, and all past the end, count as A here."""
         if k not in self.packed:
-            digits = np.where(self.codes > 3, 0, self.codes).astype(np.int16)
-            n = len(digits) - k + 1
+            digits = np.append(np.where(self.codes > 3, 0, self.codes), np.zeros(k - 1)).astype(np.int16)
+            n = len(self.codes)
             number = digits[:n].copy()
             for j in range(1, k):
                 number *= 4
@@ -70,23 +68,24 @@ class _Bases:
             self.packed[k] = number
         return self.packed[k]
 
-    def numbers(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Base-4 number of the k (at most 31) bases from each position, and whether all are ACGT."""
-        n = len(self.codes) - k + 1
-        bad = np.concatenate([[0], np.cumsum(self.codes > 3)])
-        return self._number(k)[:n], bad[k:] == bad[:n]
-
-    def _number(self, k: int) -> np.ndarray:
-        if ("n", k) not in self.packed:
-            if k == 1:
-                made = np.where(self.codes > 3, 0, self.codes).astype(np.int64)
-            else:
+    def letters(self, k: int) -> np.ndarray:
+        """The k (at most 8) upper-case letters from each position as one number, whatever letters they are."""
+        if ("letters", k) not in self.packed:
+            made = _UPPER[self.data].astype(np.uint64)
+            n = len(made) - k + 1
+            if k > 1:
                 half = k // 2
-                left, right = self._number(k - half), self._number(half)
-                n = len(self.codes) - k + 1
-                made = left[:n] * 4 ** half + right[k - half:k - half + n]
-            self.packed["n", k] = made
-        return self.packed["n", k]
+                left, right = self.letters(k - half), self.letters(half)
+                made = (left[:n] << np.uint64(8 * half)) | right[k - half:k - half + n]
+            self.packed["letters", k] = made
+        return self.packed["letters", k]
+
+    def seeds(self, k: int) -> np.ndarray:
+        """A number of the k letters from each position: the letters themselves up to 8, a mix of them beyond."""
+        if k <= 8:
+            return self.letters(k)
+        n = len(self.data) - k + 1
+        return _mix(self.letters(8)[:n], self.letters(8)[k - 8:k - 8 + n])
 
     def inside(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Which windows start in a chunk's own part and end within its bases, and the chunks of those."""
@@ -102,34 +101,55 @@ class _Bases:
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters)))
 
 
-def _window_scores(bases: _Bases, weights: np.ndarray) -> np.ndarray:
-    """Score of the window at each position, a few bases per table lookup."""
-    length = len(weights)
-    n = len(bases.data) - length + 1
-    total = np.zeros(n)
-    for j in range(0, length, _PACK):
-        part = weights[j:j + _PACK]
-        table = reduce(lambda acc, w: (acc[:, None] + w[None, :]).ravel(), part[1:], part[0])
-        total += table[bases.packs(len(part))[j:j + n]]
-    return total
+def _pack_scores(weights: np.ndarray) -> np.ndarray:
+    """Score of every run of ``_PACK`` bases under up to as many positions; bases beyond them count nothing."""
+    rows = [*weights, *np.zeros((_PACK - len(weights), 4))]
+    return reduce(lambda acc, w: (acc[:, None] + w[None, :]).ravel(), rows[1:], rows[0])
 
 
-def _motif_windows(bases: _Bases, weights: np.ndarray, cutoff: float, single: bool) -> tuple[np.ndarray, ...]:
-    """Positions, chunks and exact scores of the windows at or over the cutoff.
+class Lanes:
+    """The windows of up to 64 motifs and strands, proposed together.
 
-    The lookup pass only proposes (its sums may differ in the last bit, and it takes N for A); each
-    proposed window is scored again position by position.
+    A window can only reach a cutoff if each of its packs of bases, with the best that all other positions can
+    give, reaches it. For every pack of bases a number says by its bits for which lanes that holds; the numbers
+    of a window's packs are ANDed, and what is left proposes it to the lanes of its bits. Sums may differ from
+    the exact score in the last bit and other letters count as A, so a proposed window is scored again.
     """
-    length = len(weights)
-    if len(bases.data) < length:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, np.empty(0)
-    rough = _window_scores(bases, weights)
-    slack = 1e-4 if single else 1e-9
-    at = np.flatnonzero(rough >= cutoff - slack * max(1.0, abs(cutoff)))
+
+    def __init__(self, lanes: list[tuple[np.ndarray, float]], single: bool):
+        packs = max(-(-len(w) // _PACK) for w, _ in lanes)
+        self.masks = np.zeros((packs, 4 ** _PACK), np.uint64)
+        for bit, (weights, cutoff) in enumerate(lanes):
+            best = weights.max(axis=1)
+            limit = cutoff - (1e-4 if single else 1e-9) * max(1.0, abs(cutoff))
+            for k in range(packs):
+                part = weights[k * _PACK:(k + 1) * _PACK]
+                others = best[:k * _PACK].sum() + best[(k + 1) * _PACK:].sum()
+                good = _pack_scores(part) + others >= limit if len(part) else np.ones(4 ** _PACK, bool)
+                self.masks[k] |= good.astype(np.uint64) << np.uint64(bit)
+
+    def propose(self, bases: _Bases) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, lanes) of the windows left, by lane and position."""
+        codes = bases.padded_packs(_PACK)
+        left = self.masks[0][codes]
+        at = np.flatnonzero(left)
+        left = left[at]
+        for k in range(1, len(self.masks)):
+            # Beyond the end any code does: such windows don't lie inside a chunk.
+            left &= self.masks[k][codes[np.minimum(at + k * _PACK, len(codes) - 1)]]
+            some = left != 0
+            at, left = at[some], left[some]
+        bits = np.unpackbits(left.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lane, place = np.nonzero(bits.T)
+        return at[place], lane
+
+
+def _scored(bases: _Bases, at: np.ndarray, motif_weights: np.ndarray, cutoff: float, single: bool) -> tuple[np.ndarray, ...]:
+    """Positions, chunks and exact scores of the proposed windows at or over the cutoff."""
+    length = len(motif_weights)
     ok, row = bases.inside(at, length)
     at = at[ok]
-    padded = np.column_stack([weights, np.full(length, np.nan)])  # any other letter: no score
+    padded = np.column_stack([motif_weights, np.full(length, np.nan)])  # any other letter: no score
     score = np.zeros(len(at))
     for j in range(length):
         score += padded[j, bases.codes[at + j]]
@@ -139,78 +159,122 @@ def _motif_windows(bases: _Bases, weights: np.ndarray, cutoff: float, single: bo
     return at[ok], row[ok], score[ok]
 
 
-class WordTable:
-    """The forms (word or reverse complement) of one length, found together.
-
-    Forms of ACGT alone are looked up by the number of their first bases, any others compared letter by letter.
+class Panel:
+    """Motifs on both strands, in lanes of 64."""
+
+    def __init__(self, motifs: list[Motif], single: bool):
+        self.single = single
+        self.stranded = [(m, w, s) for m in motifs for w, s in ((m.weights, "+"), (m.weights[::-1, ::-1], "-"))]
+        # Motifs of like length share a group, so that short ones are not carried through all packs.
+        self.order = sorted(range(len(self.stranded)), key=lambda i: len(self.stranded[i][1]))
+        groups = [self.order[i:i + 64] for i in range(0, len(self.order), 64)]
+        self.groups = [(g, Lanes([(self.stranded[i][1], self.stranded[i][0].cutoff) for i in g], single)) for g in groups]
+
+    def find(self, bases: _Bases) -> Iterator[tuple]:
+        """(motif, strand, positions, chunks, scores) of the motifs with hits, in their order."""
+        found = {}
+        for group, lanes in self.groups:
+            at, lane = lanes.propose(bases)
+            cuts = np.searchsorted(lane, np.arange(len(group) + 1))
+            for i, low, high in zip(group, cuts, cuts[1:]):
+                if low < high:
+                    motif, weights, strand = self.stranded[i]
+                    hits = _scored(bases, at[low:high], weights, motif.cutoff, self.single)
+                    if len(hits[0]):
+                        found[i] = (motif, strand, *hits)
+        for i in sorted(found):
+            yield found[i]
+
+
+def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint64(0x9E3779B97F4A7C15)) ^ ((right * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(7))
+
+
+class WordIndex:
+    """All forms (word or reverse complement) of all lengths in one table.
+
+    A form is filed under the number of its first letters, as many as the largest of ``_SEEDS`` that it is long
+    enough for; any letters make a number, so words with other letters than ACGT are no special case. All bases of
+    a slice look up their numbers together, once a seed length: first in a table of bits that drops nearly all
+    others, then by binary search, and the remaining letters of what is left are compared.
     A form that several words share stands once, with all its words.
     """
 
-    def __init__(self, length: int, forms: list[tuple[str, str, int]]):
-        self.length = length
+    def __init__(self, words: list[str]):
         by_form: dict[str, list[tuple[str, int]]] = {}
-        for form, strand, order in forms:
-            by_form.setdefault(form, []).append((strand, order))
-        self.forms = sorted(by_form)
-        self.sizes = np.array([len(by_form[f]) for f in self.forms], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        owners = [o for f in self.forms for o in by_form[f]]
-        self.strands = [o[0] for o in owners]
-        self.orders = np.array([o[1] for o in owners], dtype=np.int32)
-        self.letters = np.array([list(f.encode()) for f in self.forms], dtype=np.uint8).reshape(-1, length)
-        self.k = min(length, _CODE_BASES)
-        plain = [i for i, f in enumerate(self.forms) if set(f) <= set(BASES)]
-        self.odd = [i for i in range(len(self.forms)) if i not in set(plain)]
-        codes = [reduce(lambda n, c: n * 4 + BASES.index(c), self.forms[i][:self.k], 0) for i in plain]
-        order = np.argsort(np.array(codes, dtype=np.int64), kind="stable")
-        self.codes = np.array(codes, dtype=np.int64)[order]
-        self.plain = np.array(plain, dtype=np.int64)[order]
-
-    def find(self, bases: _Bases, folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, forms) of every match."""
-        n = len(folded) - self.length + 1
+        for order, word in enumerate(words):
+            other = reverse_complement(word)
+            by_form.setdefault(word, []).append(("+", order))
+            if other != word:
+                by_form.setdefault(other, []).append(("-", order))
+        forms = sorted(by_form)
+        sizes = np.array([len(by_form[f]) for f in forms], np.int64)
+        owners = [o for f in forms for o in by_form[f]]
+        self.lengths = np.array([len(f.encode()) for f in forms], np.int64)
+        self.sizes, self.owner_starts = sizes, np.cumsum(sizes) - sizes
+        self.forward = np.array([o[0] == "+" for o in owners], bool)
+        self.orders = np.array([o[1] for o in owners], np.int32)
+        self.letters = np.frombuffer("".join(forms).encode(), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        seed = np.array(_SEEDS)[np.searchsorted(_SEEDS, self.lengths, side="right") - 1]
+        self.tables = []
+        own = _Bases(self.letters, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        for k in sorted(set(seed.tolist())):
+            chosen = np.flatnonzero(seed == k)
+            numbers = own.seeds(k)[self.starts[chosen]]
+            by = np.argsort(numbers, kind="stable")
+            bits = np.zeros(1 << _BITS, bool)
+            bits[_slot(numbers)] = True
+            keys, first, many = np.unique(numbers[by], return_index=True, return_counts=True)
+            self.tables.append((k, bits, keys, first, many, chosen[by]))
+
+    @classmethod
+    def of(cls, values: dict) -> WordIndex:
+        made = cls.__new__(cls)
+        vars(made).update(values)
+        return made
+
+    def find(self, bases: _Bases) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, forms) of every match, whatever chunk it ends in."""
+        folded, total = _UPPER[bases.data], len(bases.data)
         found = []
-        if n > 0 and len(self.codes):
-            numbers, good = bases.numbers(self.k)
-            keys = np.unique(self.codes)
-            place = np.searchsorted(keys, numbers[:n])
+        for k, bits, keys, first, many, forms in self.tables:
+            if total < k:
+                continue
+            numbers = bases.seeds(k)
+            at = np.flatnonzero(bits[_slot(numbers)])
+            place = np.searchsorted(keys, numbers[at])
             place[place == len(keys)] = 0
-            at = np.flatnonzero((keys[place] == numbers[:n]) & good[:n])
-            # Longer words may agree in the bases the number covers.
-            low = np.searchsorted(self.codes, numbers[at], side="left")
-            many = np.searchsorted(self.codes, numbers[at], side="right") - low
-            form = self.plain[np.repeat(low, many) + _within(many)]
-            at = np.repeat(at, many)
-            for j in range(self.k, self.length):
-                same = folded[at + j] == self.letters[form, j]
-                at, form = at[same], form[same]
-            found.append((at, form))
-        for i in self.odd if n > 0 else []:
-            same = folded[:n] == self.letters[i, 0]
-            for j in range(1, self.length):
-                same &= folded[j:j + n] == self.letters[i, j]
-            at = np.flatnonzero(same)
-            found.append((at, np.full(len(at), i, dtype=np.int64)))
+            same = keys[place] == numbers[at]
+            at, place = at[same], place[same]
+            form = forms[np.repeat(first[place], many[place]) + _within(many[place])]
+            at = np.repeat(at, many[place])
+            fits = at + self.lengths[form] <= total
+            at, form = at[fits], form[fits]
+            # Numbers of up to 8 letters are the letters; a mix has to be compared from the start.
+            done, j = [], k if k <= 8 else 0
+            while len(at):
+                over = self.lengths[form] == j
+                done.append((at[over], form[over]))
+                at, form = at[~over], form[~over]
+                same = folded[at + j] == self.letters[self.starts[form] + j]
+                at, form, j = at[same], form[same], j + 1
+            found += done
         none = np.empty(0, dtype=np.int64)
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none)
 
 
+def _slot(numbers: np.ndarray) -> np.ndarray:
+    return (numbers * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _BITS)
+
+
 def _within(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... inside each of the runs of the given sizes."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def word_tables(words: list[str]) -> list[WordTable]:
-    forms: dict[int, list[tuple[str, str, int]]] = {}
-    for order, word in enumerate(words):
-        other = reverse_complement(word)
-        for form, strand in [(word, "+")] + ([(other, "-")] if other != word else []):
-            forms.setdefault(len(word), []).append((form, strand, order))
-    return [WordTable(k, f) for k, f in sorted(forms.items())]
-
-
-def _scan_slice(chr_n: pa.Array, start: np.ndarray, bases: _Bases, words, panel, single: bool):
+def _scan_slice(chr_n: pa.Array, start: np.ndarray, bases: _Bases, words: WordIndex | None, panel: Panel | None):
     def batch(at, row, length, source, strand, order, name, score):
         n = len(at)
         return pa.RecordBatch.from_arrays(
@@ -228,28 +292,26 @@ def _scan_slice(chr_n: pa.Array, start: np.ndarray, bases: _Bases, words, panel,
             schema=_ARROW,
         )
 
-    if words:
-        folded = _UPPER[bases.data]
-        for table in words:
-            at, form = table.find(bases, folded)
-            ok, row = bases.inside(at, table.length)
-            at, form = at[ok], form[ok]
-            if len(at):
-                many = table.sizes[form]
-                owner = np.repeat(table.starts[form], many) + _within(many)
-                at, row = np.repeat(at, many), np.repeat(row, many)
+    if words is not None:
+        at, form = words.find(bases)
+        lengths = words.lengths[form]
+        for length in np.unique(lengths).tolist():
+            own = lengths == length
+            ok, row = bases.inside(at[own], length)
+            here, kind = at[own][ok], form[own][ok]
+            if len(here):
+                many = words.sizes[kind]
+                owner = np.repeat(words.owner_starts[kind], many) + _within(many)
+                strand = pa.array(["-", "+"]).take(pa.array(words.forward[owner].astype(np.int8)))
                 yield batch(
-                    at, row, table.length, "list", pa.array(table.strands, pa.string()).take(pa.array(owner)),
-                    pa.array(table.orders[owner]), None, None,
+                    np.repeat(here, many), np.repeat(row, many), length, "list", strand, pa.array(words.orders[owner]), None, None,
                 )
-    for motif in panel:
-        for weights, strand in ((motif.weights, "+"), (motif.weights[::-1, ::-1], "-")):
-            at, row, score = _motif_windows(bases, weights, motif.cutoff, single)
-            if len(at):
-                yield batch(at, row, len(weights), "pssm", strand, motif.order, motif.name, score)
+    if panel is not None:
+        for motif, strand, at, row, score in panel.find(bases):
+            yield batch(at, row, len(motif.weights), "pssm", strand, motif.order, motif.name, score)
 
 
-def _scan_batch(whole: pa.RecordBatch, words: list[WordTable], panel: list[Motif], single: bool) -> Iterator[pa.RecordBatch]:
+def _scan_batch(whole: pa.RecordBatch, words: WordIndex | None, panel: Panel | None) -> Iterator[pa.RecordBatch]:
     rows = max(1, int(whole.num_rows * _SLICE_BYTES / max(whole.nbytes, 1)))
     for first in range(0, whole.num_rows, rows):
         part = whole.slice(first, rows)
@@ -264,7 +326,7 @@ def _scan_batch(whole: pa.RecordBatch, words: list[WordTable], panel: list[Motif
         if len(data):
             bases = _Bases(data, (off - off[0]).astype(np.int64), part.column("chunk_len").to_numpy())
             yield from _scan_slice(
-                part.column("chr_n"), part.column("chunk_start").to_numpy(), bases, words, panel, single
+                part.column("chr_n"), part.column("chunk_start").to_numpy(), bases, words, panel
             )
 
 
@@ -296,73 +358,54 @@ def scan(
     ``cutoffs`` names them); ``seq`` keeps its case; letters other than ACGT give no hit. ``float32``
     rounds the scores to single precision before the test.
 
-    Words of any number and motifs of up to ``max_cells`` weights go to every task, and the chunks are read
-    once where they lie. A larger motif table stays in Spark: its panels meet blocks of chunks in a shuffle.
+    The chunks are read where they lie and never shuffled. All words go to every task as one table; motifs do in
+    panels of at most ``max_cells`` weights, each scanned in a pass of its own.
     """
     words = _clean_words(words)
     overlap = chunk_layout(chunks)[1]
     for length in {len(w) for w in words}:
         check_window(length, overlap)
-    source = chunks.select("chr_n", "chunk_start", "chunk_len", "bases")
-    panel, large = [], None
-    if motifs is not None:
-        # Stored: measured first, then read for the one way or the other.
-        rows = cut_lineage(motif_rows(motifs, score_mult, cutoffs))
-        cells, last = rows.agg(F.sum(F.size("cells")), F.max(F.array_max("cells.pos"))).first()
-        if cells:
-            check_window(last + 1, overlap)
-        if cells and cells > max_cells:
-            large = _scan_panels(chunks, rows, cells, float32, max_cells)
-        elif cells:
-            found = sorted(rows.collect(), key=lambda r: (r["motif_ord"], r["motif"]))
-            panel = [make_motif(r["motif"], i, r["cells"], r["cutoff"]) for i, r in enumerate(found)]
+    spark, source = chunks.sparkSession, chunks.select("chr_n", "chunk_start", "chunk_len", "bases")
+    panels = _panels(motifs, score_mult, cutoffs, max_cells, overlap) if motifs is not None else iter(())
     _ship()
-    parts = [large] if large is not None else []
-    if words or panel:
-        # Plain values: the tables are made once in each task.
-        shared = chunks.sparkSession.sparkContext.broadcast((words, [tuple(m) for m in panel]))
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = []
+    while True:
+        panel = next(panels, None)
+        if panel is None and (parts or not words):
+            break
+        # Plain values: the index is made once on the driver, the motifs' tables once in each task.
+        index = vars(WordIndex(words)) if words and not parts else None
+        shared = spark.sparkContext.broadcast((index, [tuple(m) for m in panel or ()]))
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             given, motifs_ = shared.value
-            tables, own = word_tables(given), [Motif(*m) for m in motifs_]
+            own = WordIndex.of(given) if given else None
+            panel = Panel([Motif(*m) for m in motifs_], float32) if motifs_ else None
             for whole in batches:
-                yield from _scan_batch(whole, tables, own, float32)
+                yield from _scan_batch(whole, own, panel)
 
         parts.append(source.mapInArrow(run, HIT_SCHEMA))
     if not parts:
-        return chunks.sparkSession.createDataFrame([], HIT_SCHEMA)
+        return spark.createDataFrame([], HIT_SCHEMA)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _scan_panels(chunks: DataFrame, rows: DataFrame, cells: int, single: bool, max_cells: int) -> DataFrame:
-    """Motifs too many for every task: panels of them, packed inside Spark, meet blocks of chunks.
-
-    The chunks are read once and shuffled to the panels; a group holds one block and one panel.
-    """
-    n_panels = -(-cells // max_cells)
-    n_blocks = max(1, chunks.count() // _BLOCK_CHUNKS)
-    place = F.struct("motif_ord", "motif").alias("_place")
-    numbered = with_ordinal(rows.select("motif", "cells", "cutoff", place), "_place", "motif_ord")
-    panels = numbered.withColumn("panel", F.pmod(F.xxhash64("motif"), F.lit(n_panels)).cast("int")).groupBy("panel").agg(
-        F.collect_list(F.struct("motif", "motif_ord", "cells", "cutoff")).alias("motifs")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    block = F.pmod(F.xxhash64("chr_n", "chunk_id"), F.lit(n_blocks)).cast("int")
-    spread = chunks.select(
-        "chr_n", "chunk_start", "chunk_len", "bases", block.alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_panels - 1))).alias("panel"),
-    )
-    _ship()
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            motifs = right.column("motifs").to_pylist()[0]
-            own = [make_motif(m["motif"], m["motif_ord"], m["cells"], m["cutoff"]) for m in motifs]
-            for whole in left.to_batches():
-                found += list(_scan_batch(whole, [], own, single))
-        return pa.Table.from_batches(found, schema=_ARROW)
-
-    return spread.groupBy("panel", "block").cogroup(panels.groupBy("panel", "block")).applyInArrow(run, HIT_SCHEMA)
+def _panels(
+    motifs: DataFrame, score_mult: float, cutoffs: dict[str, float] | None, max_cells: int, overlap: int,
+) -> Iterator[list[Motif]]:
+    """The motifs in their order, in panels of at most ``max_cells`` weights; the driver holds one at a time."""
+    rows = motif_rows(motifs, score_mult, cutoffs).orderBy("motif_ord", "motif")
+    panel, cells = [], 0
+    for order, r in enumerate(rows.toLocalIterator()):
+        made = make_motif(r["motif"], order, r["cells"], r["cutoff"])
+        check_window(len(made.weights), overlap)
+        if panel and cells + made.weights.size > max_cells:
+            yield panel
+            panel, cells = [], 0
+        panel.append(made)
+        cells += made.weights.size
+    if panel:
+        yield panel
 
 
 def scan_words(chunks: DataFrame, words: Sequence[str], method: str = "arrow") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.defaults import BIOTYPE, DIST_GENES, HIT_BIN_BITS
+from sitescan.functions import contig
+from sitescan.operators.counting import count_overlaps
 from sitescan.operators.grouping import per_row
 from sitescan.operators.intervals import genes_around, hits_in_slices, nearby_genes
 from sitescan.operators.sequences import SLICE_COLUMNS
@@ -35,15 +37,42 @@ def gene_counts() -> list[Column]:
 
 def peak_gene_stats(
     peaks: DataFrame, genes: DataFrame, dist: int = DIST_GENES, biotype: str | None = BIOTYPE,
-    bits: int | None = None,
+    bits: int | None = None, ordered: bool = False,
 ) -> DataFrame:
     """Peaks with ``n_genes, n_updown_total, n_upreg, n_downreg``; zeros for a peak without genes.
 
     ``peaks`` needs a column that makes its rows unique; ``genes`` carry ``fold_change`` (see
-    ``annotate_expression``). The peak travels through one left join and one grouping; there is no join back.
+    ``annotate_expression``). The counts come from sorted boundaries (see :mod:`counting`), not from pairs. That
+    holds for intervals that end at or after their start; the others take the pairs, unless ``ordered`` says that
+    there are none.
     """
-    pairs = nearby_genes(peaks, genes, dist, biotype, how="left", bits=bits)
-    return per_row(pairs, peaks.columns, *gene_counts())
+    fold, d = F.col("fold_change"), F.lit(int(dist)).cast("bigint")
+    some = genes if biotype is None else genes.where(F.col("biotype") == biotype)
+    weights = dict(zip(GENE_STATS, (
+        F.lit(1), fold.isNotNull().cast("int"), F.coalesce((fold > 0) & ~F.isnan(fold), F.lit(False)).cast("int"),
+        F.coalesce(fold < 0, F.lit(False)).cast("int"),
+    )))
+    weights["n_genes"] = F.col("gene_id").isNotNull().cast("int")
+    straight = F.coalesce(F.col("g_start") <= F.col("g_end"), F.lit(False))
+    lo, hi = F.col("pos_ini") - d, F.col("pos_end") + d
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return count_overlaps(
+            rows, contig("chr_n"), lo, hi, some if ordered else some.where(straight), F.col("contig"), F.col("g_start"),
+            F.col("g_end"), weights,
+        )
+
+    if ordered:
+        return counted(peaks)
+    plain = F.coalesce(lo <= hi, F.lit(True))
+    crossed = per_row(nearby_genes(peaks.where(~plain), genes, dist, biotype, "left", bits), peaks.columns, *gene_counts())
+    odd = nearby_genes(peaks.where(plain), some.where(~straight), dist, None, bits=bits)
+    odd = per_row(odd, peaks.columns, *gene_counts()).select(
+        F.struct(*_columns(peaks)).alias("_odd"), *[F.col(n).alias(f"_{n}") for n in GENE_STATS]
+    )
+    most = counted(peaks.where(plain)).join(odd, F.struct(*_columns(peaks)).eqNullSafe(F.col("_odd")), "left")
+    added = [(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n in GENE_STATS]
+    return most.select(*_columns(peaks), *added).unionByName(crossed)
 
 
 def distinct_genes(pairs: DataFrame, order_col: str, keep_order: bool = False) -> DataFrame:

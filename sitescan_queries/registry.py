@@ -307,7 +307,7 @@ def j9_hits_overlaid_by_site(v: Views) -> DataFrame:
 
 @query
 def a1_peak_gene_stats(v: Views) -> DataFrame:
-    return ops.peak_gene_stats(v.peaks, ops.annotate_expression(v.genes, v.expression), DIST)
+    return ops.peak_gene_stats(v.peaks, ops.annotate_expression(v.genes, v.expression), DIST, ordered=True)
 
 
 @query
