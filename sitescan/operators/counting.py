@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.session import cut_lineage
@@ -21,72 +21,62 @@ from sitescan.session import cut_lineage
 BIN_BITS = 12
 
 
-def at_most(positions: Column, limit: Column) -> Column:
-    """How many of the ascending ``positions`` are no greater than ``limit``: a binary search from the highest bit."""
-    top = F.length(F.bin(F.size(positions))) - 1
-    steps = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda b: F.call_function("shiftleft", F.lit(1), b))
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size(positions)) & (F.get(positions, at + step - 1) <= limit), at + step
-        ).otherwise(at),
+def at_most(positions: str, limit: str) -> str:
+    """SQL for how many of the ascending ``positions`` are no greater than ``limit``: a binary search by bits."""
+    steps = f"transform(sequence(length(bin(size({positions}))) - 1, 0, -1), b -> shiftleft(1, b))"
+    return (
+        f"aggregate({steps}, 0, (at, step) -> if(at + step <= size({positions}) "
+        f"and get({positions}, at + step - 1) <= {limit}, at + step, at))"
     )
 
 
-def boundary_bins(points: DataFrame, key: str, at: str, weights: Mapping[str, Column], bits: int = BIN_BITS) -> DataFrame:
-    """``key, _bin, _at, _sums, _before, _last``: the bins of each key, without gaps up to its last one.
+def boundary_bins(points: DataFrame, names: list[str], bits: int = BIN_BITS) -> DataFrame:
+    """``_side, _bin, _at, _sums, _before, _last``: the bins of each ``_side`` of ``points`` (``_side, _pos`` and
+    weights called ``names``), without gaps up to its last one.
 
     ``_at`` are the positions in the bin and ``_sums`` the running sums of the weights up to each of them;
-    ``_before`` are the sums of all earlier bins and ``_last`` says whether the key has no later one.
+    ``_before`` are the sums of all earlier bins and ``_last`` says whether the side has no later one.
     """
-    names = list(weights)
-    folded = points.where(F.col(at).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias(key), F.col(at).alias("_pos")).agg(
-        *[F.sum(w).alias(n) for n, w in weights.items()]
-    ).withColumn("_bin", F.shiftright("_pos", bits))
-    inside = Window.partitionBy(key, "_bin").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = folded.select(key, "_bin", "_pos", *names, F.struct(*[F.sum(n).over(inside).alias(n) for n in names]).alias("_sum"))
-    packed = running.groupBy(key, "_bin").agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "_sum"))).alias("_rows"), *[F.sum(n).alias(n) for n in names]
+    listed = ", ".join(names)
+    folded = points.groupBy("_side", "_pos").agg(*[F.sum(n).alias(n) for n in names])
+    inside = "(partition by _side, _bin order by _pos rows between unbounded preceding and current row)"
+    running = folded.selectExpr("*", f"shiftright(_pos, {bits}) as _bin").selectExpr(
+        "_side", "_bin", *names, f"struct(_pos, struct({', '.join(f'sum({n}) over {inside} as {n}' for n in names)}) as _sum) as _row"
+    )
+    packed = running.groupBy("_side", "_bin").agg(
+        F.expr("sort_array(collect_list(_row)) as _rows"), *[F.sum(n).alias(n) for n in names]
     )
     # One row a bin: at most the contig's length over the bin's width.
-    order = Window.partitionBy(key).orderBy("_bin")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    bins = packed.select(
-        key, "_bin", F.lead("_bin").over(order).alias("_next"), "_rows", F.struct(*names).alias("_own"),
-        F.struct(*[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in names]).alias("_before"),
+    earlier = "(partition by _side order by _bin rows between unbounded preceding and 1 preceding)"
+    bins = packed.selectExpr(
+        "_side", "_bin", "_rows", "lead(_bin) over (partition by _side order by _bin) as _next", f"struct({listed}) as _own",
+        f"struct({', '.join(f'coalesce(sum({n}) over {earlier}, 0L) as {n}' for n in names)}) as _before",
     )
     # Empty bins up to the next one carry the sums on, so that every lookup is an equi-join.
-    spread = bins.select("*", F.explode(F.sequence("_bin", F.coalesce(F.col("_next") - 1, "_bin"))).alias("_b"))
-    first = F.col("_b") == F.col("_bin")
-    total = F.struct(*[(F.col(f"_before.{n}") + F.col(f"_own.{n}")).alias(n) for n in names])
-    return spread.select(
-        key, F.col("_b").alias("_bin"),
-        F.when(first, F.transform("_rows", lambda r: r["_pos"])).otherwise(F.array().cast("array<bigint>")).alias("_at"),
-        F.when(first, F.transform("_rows", lambda r: r["_sum"])).otherwise(
-            F.array().cast("array<" + spread.schema["_before"].dataType.simpleString() + ">")
-        ).alias("_sums"),
-        F.when(first, F.col("_before")).otherwise(total).alias("_before"),
-        F.col("_next").isNull().alias("_last"),
+    spread = bins.selectExpr("*", "explode(sequence(_bin, coalesce(_next - 1, _bin))) as _b")
+    total = f"struct({', '.join(f'_before.{n} + _own.{n} as {n}' for n in names)})"
+    return spread.selectExpr(
+        "_side", "_b as _bin", "if(_b = _bin, transform(_rows, r -> r._pos), slice(transform(_rows, r -> r._pos), 1, 0)) as _at",
+        "if(_b = _bin, transform(_rows, r -> r._sum), slice(transform(_rows, r -> r._sum), 1, 0)) as _sums",
+        f"if(_b = _bin, _before, {total}) as _before", "_next is null as _last",
     )
 
 
-def sums_up_to(
-    rows: DataFrame, key: Column, limit: Column, bins: DataFrame, bin_key: str, names: list[str], out: str, bits: int = BIN_BITS,
-) -> DataFrame:
-    """``rows`` with ``out``: a struct of the sums over all boundaries of the key up to ``limit``, zeros without any."""
-    side = [F.col(c).alias(f"_{out}{c}") for c in ("_at", "_sums", "_before")]
-    last = bins.where("_last").select(F.col(bin_key).alias(f"_{out}_lastkey"), F.col("_bin").alias(f"_{out}_lastbin"))
-    placed = rows.withColumn(f"_{out}_key", key).withColumn(f"_{out}_limit", limit)
-    placed = placed.join(last, F.col(f"_{out}_key") == F.col(f"_{out}_lastkey"), "left")
-    wanted = F.least(F.shiftright(F.col(f"_{out}_limit"), bits), F.col(f"_{out}_lastbin"))
-    table = bins.select(F.col(bin_key).alias(f"_{out}_binkey"), F.col("_bin").alias(f"_{out}_bin"), *side)
-    found = placed.join(table, (F.col(f"_{out}_key") == F.col(f"_{out}_binkey")) & (wanted == F.col(f"_{out}_bin")), "left")
-    many = at_most(F.col(f"_{out}_at"), F.col(f"_{out}_limit"))
-    here = F.get(F.col(f"_{out}_sums"), many - 1)
-    sums = F.struct(*[
-        (F.coalesce(F.col(f"_{out}_before.{n}"), F.lit(0)) + F.coalesce(here[n], F.lit(0))).alias(n) for n in names
-    ])
-    return found.select(*[F.col(f"`{c}`") for c in rows.columns], sums.alias(out))
+def sums_up_to(rows: DataFrame, limit: str, bins: DataFrame, side: int, names: list[str], out: str, bits: int = BIN_BITS) -> DataFrame:
+    """``rows`` with ``out``: a struct of the sums over all boundaries of ``_k`` up to ``limit``, zeros without any."""
+    columns = [f"`{c}`" for c in rows.columns]
+    own = bins.where(f"_side.kind = {side}")
+    last = own.where("_last").selectExpr("_side.key as _lastkey", "_bin as _lastbin")
+    placed = rows.join(last, F.expr("_k = _lastkey"), "left").selectExpr(
+        *columns, f"{limit} as _limit", f"least(shiftright({limit}, {bits}), _lastbin) as _wanted"
+    )
+    table = own.selectExpr("_side.key as _binkey", "_bin", "_at", "_sums", "_before")
+    found = placed.join(table, F.expr("_k = _binkey and _wanted = _bin"), "left")
+    sums = ", ".join(f"coalesce(_before.{n}, 0L) + coalesce(_here.{n}, 0L) as {n}" for n in names)
+    # The search is a column of its own, so that it runs once for all sums.
+    return found.selectExpr(*columns, "_before", f"get(_sums, {at_most('_at', '_limit')} - 1) as _here").selectExpr(
+        *columns, f"struct({sums}) as {out}"
+    )
 
 
 def count_overlaps(
@@ -99,22 +89,16 @@ def count_overlaps(
     meet nothing.
     """
     names = list(weights)
-    narrow = right.select(right_key.alias("_key"), start.cast("bigint").alias("_s"), end.cast("bigint").alias("_e"), *[w.cast("bigint").alias(n) for n, w in weights.items()])
-    narrow = narrow.where("_s is not null and _e is not null")
-    own = {n: F.col(n) for n in names}
+    narrow = right.select(
+        right_key.alias("_key"), start.cast("bigint").alias("_s"), end.cast("bigint").alias("_e"),
+        *[w.cast("bigint").alias(n) for n, w in weights.items()],
+    ).where("_key is not null and _s is not null and _e is not null")
     # Both boundaries go through one grouping; the bins are read four times and their size is then known.
-    both = F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("_s").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("_e").alias("at"))
-    ))
-    points = narrow.where("_key is not null").select(both.alias("_b"), "_key", *names).select(
-        F.struct("_b.kind", F.col("_key").alias("key")).alias("_side"), F.col("_b.at").alias("_edge"), *names
-    )
-    bins = cut_lineage(boundary_bins(points, "_side", "_edge", own, bits))
-    starts, ends = (bins.where(F.col("_side.kind") == k).withColumn("_key", F.col("_side.key")) for k in (0, 1))
+    points = narrow.selectExpr("_key", "explode(array(struct(0 as kind, _s as at), struct(1 as kind, _e as at))) as _b", *names)
+    points = points.selectExpr("struct(_b.kind as kind, _key as key) as _side", "_b.at as _pos", *names)
+    bins = cut_lineage(boundary_bins(points, names, bits))
     whole = lo.isNotNull() & hi.isNotNull()
-    rows = left.withColumn("_k", F.when(whole, left_key)).withColumn("_lo", lo.cast("bigint")).withColumn("_hi", hi.cast("bigint"))
-    rows = sums_up_to(rows, F.col("_k"), F.col("_hi"), starts, "_key", names, "begun", bits)
-    rows = sums_up_to(rows, F.col("_k"), F.col("_lo") - 1, ends, "_key", names, "ended", bits)
-    return rows.select(
-        *[F.col(f"`{c}`") for c in left.columns], *[(F.col(f"begun.{n}") - F.col(f"ended.{n}")).alias(n) for n in names]
-    )
+    rows = left.select("*", F.when(whole, left_key).alias("_k"), lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"))
+    rows = sums_up_to(rows, "_hi", bins, 0, names, "_begun", bits)
+    rows = sums_up_to(rows, "_lo - 1", bins, 1, names, "_ended", bits)
+    return rows.selectExpr(*[f"`{c}`" for c in left.columns], *[f"_begun.{n} - _ended.{n} as {n}" for n in names])

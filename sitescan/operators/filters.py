@@ -82,11 +82,42 @@ def sample_peaks(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Random subset of ``n`` rows; ``n <= 0`` keeps all.
 
     The random order is a hash of the row's values and the seed, so a re-run task or another partitioning draws
-    the same rows. The rows are ranked by range partition: any ``n`` is drawn without one task seeing it all.
-    Rows that are equal in every column have equal hashes and any of them may be drawn.
+    the same rows. Rows are selected, not sorted: counts by the first digits of the hash tell below which hash
+    the ``n`` smallest lie, and only the rows below it are ranked. Rows that are equal in every column have equal
+    hashes and any of them may be drawn.
     """
     if n <= 0:
         return df
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(_quoted(c).cast("string"), F.lit("")) for c in df.columns]))
-    ranked = with_ordinal(df.select(*[_quoted(c) for c in df.columns], draw.alias("_draw")), "_draw", "_rank")
+    drawn = df.select(*[_quoted(c) for c in df.columns], draw.alias("_draw"))
+    limit = _hash_limit(drawn, n)
+    if limit is None:
+        return df
+    ranked = with_ordinal(drawn.where(F.col("_draw") < limit), "_draw", "_rank")
     return ranked.where(F.col("_rank") < n).select(*[_quoted(c) for c in df.columns])
+
+
+def _hash_limit(drawn: DataFrame, n: int, digits: int = 3, slack: float = 0.25) -> str | None:
+    """A hash below which there are at least ``n`` rows and few more; None if there are not more than ``n``.
+
+    Each round counts the rows by three more digits of the hash, inside the group where the n-th row lies: at most
+    4,096 counts come back. Rounds end when that group is a small part of ``n`` (or of a task's share), or when
+    the hash has no more digits.
+    """
+    prefix, before = "", 0
+    while True:
+        own = drawn.where(F.col("_draw").startswith(prefix)) if prefix else drawn
+        head = F.substring("_draw", 1, len(prefix) + digits).alias("_head")
+        counts = sorted((r["_head"], r["n"]) for r in own.groupBy(head).agg(F.count(F.lit(1)).alias("n")).collect())
+        if not prefix and sum(c for _, c in counts) <= n:
+            return None
+        for head_, count in counts:
+            if before + count >= n:
+                break
+            before += count
+        prefix = head_
+        if count <= max(slack * n, 100_000) or len(prefix) + digits > 32:
+            # "g" follows all digits of a hash.
+            return prefix + "g"
+
+

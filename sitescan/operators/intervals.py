@@ -20,6 +20,10 @@ from sitescan.defaults import BIOTYPE, DIST_GENES, HIT_BIN_BITS
 from sitescan.functions import contig, direction_label, gene_origin
 
 
+#: Nested bins widen by this many bits a level, up to the whole of a contig.
+STEP, TOP = 5, 32
+
+
 def bits_for(dist: int) -> int:
     """Bin width exponent for a search distance: about twice the distance, at least 4096 bases."""
     return max((2 * max(int(dist), 0) - 1).bit_length(), 12)
@@ -63,6 +67,85 @@ def binned_join(
     return lhs.join(rhs, on, how).drop("_l_key", "_r_key", "_l_first", "_r_first", "_l_bin", "_r_bin")
 
 
+def _level(lo: Column, hi: Column, bits: int) -> Column:
+    """The narrowest of the bin widths ``2**bits, 2**(bits + STEP), ...`` that is at least the interval's length."""
+    length = F.abs(hi.cast("bigint") - lo.cast("bigint")) + 1
+    level = F.lit(bits)
+    for b in range(bits, TOP, STEP):
+        level = F.when(length > (1 << b), min(b + STEP, TOP)).otherwise(level)
+    return level
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that occur: at most one for each bin width, whatever the table's size."""
+    return sorted(r[0] for r in df.select("_level").where("_level is not null").distinct().collect())
+
+
+def _places(low: Column, high: Column, level: Column) -> Column:
+    return F.transform(F.sequence(low, high), lambda x: F.struct(level.alias("level"), x.alias("bin"), low.alias("first")))
+
+
+def _spread(df: DataFrame, own: bool, levels: list[int], lo: Column, hi: Column, side: str, outer: bool) -> DataFrame:
+    """Rows of ``df`` for its bins at ``levels`` not below its own; ``own`` tells whether its own level counts."""
+    first, last = F.least(lo, hi).cast("bigint"), F.greatest(lo, hi).cast("bigint")
+    places = []
+    for b in levels:
+        at = _places(F.shiftright(first, b), F.shiftright(last, b), F.lit(b))
+        places.append(F.when(F.col("_level") <= b if own else F.col("_level") < b, at))
+    none = F.array().cast("array<struct<level:int,bin:bigint,first:bigint>>")
+    listed = F.flatten(F.array(*[F.coalesce(p, none) for p in places])) if places else none
+    return df.withColumn(f"_{side}_place", (F.explode_outer if outer else F.explode)(listed))
+
+
+def nested_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: Column,
+    right_key: Column,
+    left_span: tuple[Column, Column],
+    right_span: tuple[Column, Column],
+    residual: Column,
+    bits: int = 12,
+) -> DataFrame:
+    """The inner :func:`binned_join` for spans of very different lengths.
+
+    Bins are nested: a span lives on the level whose bins are just wider than it is, where it touches two at most.
+    A pair meets on the level of its longer span: the longer one stands in its own bins, the shorter one visits
+    the bins above its own, of the levels that occur on the other side. A span is so put into a few rows
+    however long it is, and long spans don't fill the bins that short ones use.
+    """
+    lhs = left.withColumn("_l_key", left_key).withColumn("_level", _level(*left_span, bits))
+    rhs = right.withColumn("_r_key", right_key).withColumn("_level", _level(*right_span, bits))
+    both = []
+    # The longer (or equally long) span on the right, then the longer one on the left.
+    for right_longer in (True, False):
+        home, guest = (rhs, lhs) if right_longer else (lhs, rhs)
+        levels = _levels(home)
+        spans = (right_span, left_span) if right_longer else (left_span, right_span)
+        sides = ("r", "l") if right_longer else ("l", "r")
+        first, last = F.least(*spans[0]).cast("bigint"), F.greatest(*spans[0]).cast("bigint")
+        low, high = (F.call_function("shiftright", x, F.col("_level")) for x in (first, last))
+        at = _places(low, high, F.col("_level"))
+        home = home.withColumn(f"_{sides[0]}_place", F.explode(at)).drop("_level")
+        guest = _spread(guest, right_longer, levels, *spans[1], sides[1], False).drop("_level")
+        lhs_, rhs_ = (guest, home) if right_longer else (home, guest)
+        on = (
+            (F.col("_l_key") == F.col("_r_key")) & (F.col("_l_place.level") == F.col("_r_place.level"))
+            & (F.col("_l_place.bin") == F.col("_r_place.bin"))
+            & (F.col("_l_place.bin") == F.greatest("_l_place.first", "_r_place.first")) & residual
+        )
+        both.append(lhs_.join(rhs_, on).drop("_l_key", "_r_key", "_l_place", "_r_place"))
+    return both[0].unionByName(both[1])
+
+
+def _joined(nested: bool, *args) -> DataFrame:
+    if not nested:
+        return binned_join(*args)
+    if args[-1] != "inner":
+        raise ValueError("nested bins make inner joins only")
+    return nested_join(*args[:-1])
+
+
 def _gene_side(genes: DataFrame, biotype: str | None) -> DataFrame:
     if biotype is not None:
         genes = genes.where(F.col("biotype") == biotype)
@@ -86,19 +169,21 @@ def nearby_genes(
     how: str = "inner",
     bits: int | None = None,
     keep_start: bool = False,
+    nested: bool = False,
 ) -> DataFrame:
     """Genes whose body overlaps ``[pos_ini - dist, pos_end + dist]``, both ends inclusive.
 
     Adds ``gene_id, pos0, biotype`` (and ``fold_change`` when the genes carry it, ``g_start`` with
-    ``keep_start``) to the peak columns.
+    ``keep_start``) to the peak columns. ``nested`` takes bins by the length of each interval, for peaks or genes
+    of very different lengths (inner joins only).
     """
     d = F.lit(int(dist)).cast("bigint")
     side = _gene_side(genes, biotype)
     clash = set(peaks.columns) & set(side.columns)
     if clash:
         raise ValueError(f"peak columns {sorted(clash)} clash with the gene columns")
-    joined = binned_join(
-        peaks, side,
+    joined = _joined(
+        nested, peaks, side,
         contig("chr_n"), F.col("_contig"),
         (F.col("pos_ini"), F.col("pos_end")),
         (F.col("_g_start") - d, F.col("_g_end") + d),
@@ -118,11 +203,12 @@ def genes_around(
     label_mode: str = "inherited",
     how: str = "inner",
     bits: int | None = None,
+    nested: bool = False,
 ) -> DataFrame:
     """Genes of the same ``chr_n`` whose origin lies strictly inside ``(pos_ini - dist, pos_end + dist)``.
 
     ``genes`` is a genes table (``gene_id, chr_n, pos0, fold_change`` and an optional ``gene_ord``).
-    Adds ``gene_id, updown, gene_pos0, gene_ord``.
+    Adds ``gene_id, updown, gene_pos0, gene_ord``. ``nested`` as in :func:`nearby_genes`.
     """
     d = F.lit(int(dist)).cast("bigint")
     order = F.col("gene_ord") if "gene_ord" in genes.columns else F.col("pos0")
@@ -133,8 +219,8 @@ def genes_around(
     )
     if label_mode == "signed":
         side = side.where(F.col("updown").isNotNull())
-    joined = binned_join(
-        sites, side,
+    joined = _joined(
+        nested, sites, side,
         F.col("chr_n"), F.col("_gene_chr"),
         (F.col("pos_ini"), F.col("pos_end")),
         (F.col("gene_pos0") - d, F.col("gene_pos0") + d),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,7 +85,7 @@ def generate(
     peaks: DataFrame,
     genes: DataFrame,
     expression: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | Callable[[], DataFrame],
     words: Sequence[str] = (),
     motifs: DataFrame | None = None,
     score_mult: float = SCORE_MULT,
@@ -95,19 +95,24 @@ def generate(
     clamp: bool = False,
     float32: bool = False,
     materialize: bool = False,
+    contigs: DataFrame | None = None,
+    ordered: bool = False,
 ) -> GenerateTables:
     """The three tables as lazy DataFrames.
 
     ``peaks`` is (peak_id, chr_n, pos_ini, pos_end, ...) with a unique, ordered ``peak_id``. Peaks on a
     chromosome without sequence leave all three tables. ``materialize=True`` stores the per-peak gene
-    counts and the hits, which two of the tables share.
+    counts and the hits, which two of the tables share. With ``contigs`` (chr_n, contig_len)
+    the lengths are not read from the chunks, and ``chunks`` may be a function that is called when the hits are
+    asked for. ``ordered`` says that no peak or gene ends before it starts.
     """
-    located = locate_sites(peaks, contig_lengths(chunks), clamp=clamp)
+    made = chunks if callable(chunks) else lambda: chunks
+    located = locate_sites(peaks, contig_lengths(made()) if contigs is None else contigs, clamp=clamp)
     with_expression = annotate_expression(genes, expression)
     return GenerateTables(
         peaks, located, with_expression, dist,
-        counted=lambda: peak_gene_stats(located, with_expression, dist),
-        hits=lambda: scan(prune_chunks(chunks, located), words, motifs, score_mult, cutoffs, float32),
+        counted=lambda: peak_gene_stats(located, with_expression, dist, ordered=ordered),
+        hits=lambda: scan(prune_chunks(made(), located), words, motifs, score_mult, cutoffs, float32),
         one_based=one_based, materialize=materialize,
     )
 
@@ -150,7 +155,7 @@ def run_generate(
     """Files in, three ``;`` tables out: ``<prefix>_peaks``, ``<prefix>_binding_sites``, ``<prefix>_genes``."""
     peaks = with_ordinal(read_bed(spark, bed_path, row_order=True), "row_ord", PEAK_ID)
     peaks = cut_lineage(sample_peaks(peaks, test_mode, seed))
-    annotation = read_annotation(spark, annotation_path)
+    annotation = cut_lineage(read_annotation(spark, annotation_path))
     expression = read_expression(
         spark, expression_path, id_col, value_col, name_col,
         annotation if name_col is not None else None, sep=expression_sep,
@@ -161,9 +166,10 @@ def run_generate(
         cutoffs = {r["motif"]: score_cutoff for r in motifs.select("motif").distinct().toLocalIterator()}
     overlap = window_overlap(words, motifs)
     chunks = stored_chunks(read_fasta_chunks(spark, fasta_path, overlap=overlap, genome=fasta_genome), peaks)
+    ordered = peaks.where("pos_end < pos_ini").isEmpty() and annotation.where("g_end < g_start").isEmpty()
     tables = generate(
         peaks, annotation, cut_lineage(expression), chunks, words, motifs, score_mult, cutoffs, dist,
-        one_based, clamp, float32, materialize=True,
+        one_based, clamp, float32, materialize=True, ordered=ordered,
     )
     write_table(
         tables.sites, f"{output_prefix}_binding_sites", order_by=site_order(),

@@ -1,12 +1,18 @@
-"""FASTA, read line by line: no task ever holds a whole chromosome.
+"""FASTA, read split by split: no task ever holds a whole chromosome.
 
-Lines are numbered inside their file split, the splits of a file are chained through one small summary
-row each, and the bases are regrouped into chunks by position. A packed (gzip) file is one split: unpack large
-genomes, or keep one file per chromosome.
+Each task joins the lines of its file splits to pieces, in the order they lie in, and the splits of a file are
+chained through one small summary row each. The bases cross one shuffle, to their chunks. A packed (gzip) file
+is one split: unpack large genomes, or keep one file per chromosome.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,33 +21,81 @@ from sitescan.operators.sequences import with_layout
 from sitescan.session import cut_lineage
 
 
-def _lines(spark: SparkSession, path: str, genome: str | None) -> DataFrame:
-    """(chr_n, offset, n, bases): each text line with its 0-based offset in its record; the head line, whose
-    ``bases`` are null, comes with offset 0, so a record without bases is there too."""
-    text = spark.read.text(path)
-    head = F.col("value").startswith(">")
-    bases = F.when(~head, F.regexp_replace("value", r"\s", "").cast("binary"))
-    if genome is None:
-        title = F.regexp_extract("value", r"^>\s*(\S*)", 1)
-    else:
-        title = F.regexp_extract(F.col("_metadata.file_name"), rf"^\Q{genome}\E_(.+)\.fasta$", 1)
-    tagged = text.select(
-        F.xxhash64("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.when(head, title).alias("_title"),
-        bases.alias("bases"),
-    ).withColumn("n", F.coalesce(F.octet_length("bases"), F.lit(0)).cast("bigint"))
-    split = Window.partitionBy("_file", "_block").orderBy("_row").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    # Row numbers hold for one layout of the scan only, so the numbered lines are fixed before they are
-    # used twice.
-    lines = cut_lineage(
-        tagged.withColumn("_cum", F.sum("n").over(split))
-        .withColumn("_name", F.last("_title", True).over(split))
-        .withColumn("_head", F.last(F.when(F.col("_title").isNotNull(), F.col("_cum")), True).over(split))
+#: Bases of a piece: lines of a split are joined up to about this size before they leave their task.
+PIECE = 1 << 16
+
+
+def _pieces_of(rows: Iterator[tuple], piece: int) -> Iterator[tuple]:
+    """(file, block, row, title, name, head, cum, n, bases) of the lines of a task, which come in file order.
+
+    Lines are (file, block, bytes, name that the file gives to its record, if it does). A head line is a row of
+    its own, with its title and no bases; the lines up to the next one are joined to pieces, a long line is cut
+    into several. ``cum`` counts the bases of the split up to the row's end, ``head`` those up to the last head line, and
+    ``name`` is that line's title.
+    """
+    split, name, head, total, row, held, size = None, None, None, 0, 0, [], 0
+
+    def flush():
+        nonlocal total, row, held, size
+        bases = b"".join(b"".join(held).split())
+        held, size = [], 0
+        for at in range(0, len(bases), piece):
+            part = bases[at:at + piece]
+            total, row = total + len(part), row + 1
+            yield (*split, row, None, name, head, total, len(part), part)
+
+    for file, block, line, own in rows:
+        if (file, block) != split:
+            yield from flush()
+            split, name, head, total, row = (file, block), None, None, 0, 0
+        if line.startswith(b">"):
+            yield from flush()
+            name = _TITLE.match(line)[1].decode("utf-8", "replace") if own is None else own
+            head, row = total, row + 1
+            yield (*split, row, name, name, head, total, 0, None)
+            continue
+        held.append(line)
+        size += len(line)
+        if size >= piece:
+            yield from flush()
+    yield from flush()
+
+
+_TITLE = re.compile(rb">\s*(\S*)")
+_KINDS = pa.schema([
+    ("_file", pa.int64()), ("_block", pa.int64()), ("_row", pa.int64()), ("_title", pa.string()), ("_name", pa.string()),
+    ("_head", pa.int64()), ("_cum", pa.int64()), ("n", pa.int64()), ("bases", pa.binary()),
+])
+
+
+def _lines(spark: SparkSession, path: str, genome: str | None, piece: int = PIECE) -> DataFrame:
+    """(chr_n, offset, n, bases): the bases in pieces, each with its 0-based offset in its record; the head line,
+    whose ``bases`` are null, comes with offset 0, so a record without bases is there too."""
+    own = F.lit(None).cast("string")
+    if genome is not None:
+        own = F.regexp_extract(F.col("_metadata.file_name"), rf"^\Q{genome}\E_(.+)\.fasta$", 1)
+    source = spark.read.text(path).select(
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").cast("binary").alias("line"), own.alias("own"),
     )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        made, size = [], 0
+        for out in _pieces_of(rows, piece):
+            made.append(out)
+            size += 100 + out[7]
+            if size >= 1 << 22:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), _KINDS.types)], schema=_KINDS)
+                made, size = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), _KINDS.types)], schema=_KINDS)
+
+    cloudpickle.register_pickle_by_value(sys.modules["sitescan"])
+    # Stored once, as they lie in the files: nothing is shuffled here.
+    lines = cut_lineage(source.mapInArrow(run, (
+        "_file bigint, _block bigint, _row bigint, _title string, _name string, _head bigint, _cum bigint, n bigint, bases binary"
+    )))
     summary = lines.groupBy("_file", "_block").agg(
         F.sum("n").alias("_total"),
         F.max_by("_name", "_row").alias("_last_name"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from sitescan.defaults import CORE_WORDS
-from sitescan_queries.views import BASES, DIST, DIST_ORIGIN, DIST_SITES, LETTERS, MULT, NOT_LETTERS, OTHER
+from sitescan_queries.views import (
+    BASES, DIST, DIST_ORIGIN, DIST_SITES, LETTERS, LONG_CHR, LONG_INI, LONG_SIZE, MANY_BASE, MULT, NOT_LETTERS, OTHER,
+)
 
 CTE: dict[str, tuple[list[str], str]] = {}
 
@@ -28,14 +30,16 @@ def _with(needs: list[str], body: str) -> str:
     return "with " + ",\n".join(f"{n} as materialized ({CTE[n][1]})" for n in done) + "\n" + body
 
 
-_CHR = "case when event_id % 3 = 0 then 'chr0' else 'chr' || (event_id // 9) end"
+_CHR = """case when event_id % 3 = 0 then 'chr0' when event_id % 50 = 1 then 'chrE' || (event_id % 25)
+ else 'chr' || (event_id // 9) end"""
 _INI = "((user_id * 37 + event_id) % 1500 - 5)"
 
 _cte("seqs", [], f"""
 select 'chr' || doc_id as chr_n,
-       case when doc_id % 50 = 7 then '' else translate(regexp_replace(
-           regexp_replace(text, '{NOT_LETTERS}', '', 'g'), '{OTHER}', 'N', 'g'), '{LETTERS}', '{BASES}') end as seq
-from documents""")
+       translate(regexp_replace(
+           regexp_replace(text, '{NOT_LETTERS}', '', 'g'), '{OTHER}', 'N', 'g'), '{LETTERS}', '{BASES}') as seq
+from documents
+union all select 'chrE' || n_nationkey, '' from nation""")
 _cte("contigs", ["seqs"], "select chr_n, length(seq) as n from seqs")
 _cte("peaks", [], f"""
 select cast(event_id as bigint) as peak_id, {_CHR} as chr_n, cast({_INI} as bigint) as pos_ini,
@@ -214,6 +218,19 @@ select word_ord, form as seq, strand, count(*) as n, cast(sum(start) as bigint)
 from places join forms on upper(places.w) = form group by all"""
 
 
+def _many_motifs() -> str:
+    """The scoring of all motifs, for a motif of each supplier."""
+    counts = f"""select 'S' || l_suppkey as motif, cast((l_linenumber - 1) % 7 as bigint) as pos,
+       substr('ACGT', cast({MANY_BASE} as bigint), 1) as base, cast(count(*) as double) as count
+from lineitem group by all"""
+    names = ["counts", "motifs", "best", "stranded"]
+    made = [f"many_{n} as materialized ({counts if n == 'counts' else CTE[n][1]})" for n in names]
+    text = ",\n".join(made)
+    for n in names:
+        text = text.replace(f"from {n} ", f"from many_{n} ").replace(f"from {n})", f"from many_{n})").replace(f"join {n} ", f"join many_{n} ")
+    return text
+
+
 _SLICE = "case when s1 > s0 then substr(seq, s0 + 1, s1 - s0) else '' end"
 _RULE = "(coalesce(source = 'click', false) or coalesce(chr_n = 'chr0', false))"
 _RESIZE = """
@@ -274,6 +291,16 @@ select g.gene_id, case when fold_change > 0 then 'upreg' else 'downreg' end as u
 from peaks p join gene_table g on g.chr_n = p.chr_n and g.pos0 > p.pos_ini - {DIST_ORIGIN} and g.pos0 < p.pos_end + {DIST_ORIGIN}
 where fold_change is not null and not isnan(fold_change) and fold_change <> 0 group by all"""),
     "j1_nearby_genes": _with(["near"], "select peak_id, chr_n, gene_id, pos0, biotype from near"),
+    "j1_mixed_lengths": f"""
+with peaks as (select cast(o_orderkey as bigint) as peak_id, {LONG_CHR.format(k='o_orderkey')} as chr_n,
+                      {LONG_INI.format(k='o_orderkey')} as pos_ini,
+                      {LONG_INI.format(k='o_orderkey')} + {LONG_SIZE.format(k='o_orderkey')} as pos_end from orders),
+genes as (select 'G' || p_partkey as gene_id, substr({LONG_CHR.format(k='p_partkey')}, 4) as contig,
+                 {LONG_INI.format(k='p_partkey * 3')} as g_start,
+                 {LONG_INI.format(k='p_partkey * 3')} + {LONG_SIZE.format(k='(p_partkey + 5)')} as g_end from part)
+select gene_id, count(*) as n, cast(sum(peak_id) as bigint) as sum_id
+from peaks p join genes g on g.contig = substr(p.chr_n, 4) and g.g_start <= p.pos_end + 1000 and g.g_end >= p.pos_ini - 1000
+group by all""",
     "j2_genes_with_expression": _with(["genes_fc"], """
 select gene_id, contig, round(fold_change, 6) as fold_change from genes_fc"""),
     "j3_translated_expression": _with(["translated"], """
@@ -359,6 +386,25 @@ select chr_n, translate(reverse(upper(seq)), 'ACGT', 'TGCA') as seq from seqs"""
     "x5_word_scan": _with(["word_hits"], "select chr_n, start, seq, strand, word_ord from word_hits"),
     "x5_many_words": _with(["seqs"], _counted_words(8, "row_number() over (order by w) - 1", "true")),
     "x5_long_word": _with(["seqs"], _counted_words(80, "0", "w = (select max(w) from given)")),
+    "x5_mixed_words": _with(["seqs"], f"""
+, given as (select distinct upper(substr(seq, 1, 5 + length(seq) % 4)) as w from seqs
+            where regexp_matches(upper(substr(seq, 1, 5 + length(seq) % 4)), '^[ACGT]{{5,}}$')),
+words as (select w, row_number() over (order by w) - 1 as word_ord from given),
+forms as (select w as form, '+' as strand, word_ord from words union all
+          select translate(reverse(w), 'ACGT', 'TGCA'), '-', word_ord from words
+          where translate(reverse(w), 'ACGT', 'TGCA') <> w),
+places as ({_windows("select distinct length(w) as len from words")})
+select word_ord, form as seq, strand, count(*) as n, cast(sum(start) as bigint) as sum_start
+from places join forms on upper(places.w) = form group by all"""),
+    "x6_many_motifs": _with(["seqs"], f"""
+, {_many_motifs()},
+places as (select w, count(*) as n, cast(sum(start) as bigint) as sum_start
+           from (select upper(w) as w, start from ({_windows("select distinct len from many_best")})) group by 1),
+scored as (select motif, strand, w, any_value(x.n) as n, any_value(x.sum_start) as sum_start, sum(log_odds) as score
+           from places x join many_stranded s on s.len = length(x.w) and s.base = substr(x.w, s.pos + 1, 1)
+           group by motif, strand, w having count(*) = any_value(len))
+select motif as tf_name, strand, cast(sum(n) as bigint) as n, cast(sum(sum_start) as bigint) as sum_start
+from scored join many_best using (motif) where score >= 0.9 * max_score group by all"""),
     "x6_motif_scan": _with(["motif_hits"], """
 select chr_n, start, seq, strand, tf_name, round(score_pssm, 6) as score_pssm from motif_hits"""),
     "x7_panel_scan_around_sites": _with(["wide", "motif_hits"], f"""

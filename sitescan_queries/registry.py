@@ -206,17 +206,17 @@ def f4_coding_genes(v: Views) -> DataFrame:
 
 @query
 def f5_sites_with_sequence(v: Views) -> DataFrame:
-    return ops.split_by_sequence(v.peaks, v.contigs)[0]
+    return ops.split_by_sequence(v.peaks, v.lengths)[0]
 
 
 @query
 def f5_sites_without_sequence(v: Views) -> DataFrame:
-    return ops.split_by_sequence(v.peaks, v.contigs)[1]
+    return ops.split_by_sequence(v.peaks, v.lengths)[1]
 
 
 @query
 def f6_skipped_count(v: Views) -> DataFrame:
-    return ops.skipped_count(v.peaks, v.contigs)
+    return ops.skipped_count(v.peaks, v.lengths)
 
 
 @query
@@ -238,6 +238,13 @@ def j1_nearby_genes(v: Views) -> DataFrame:
     return ops.nearby_genes(v.peaks, v.genes, DIST).select("peak_id", "chr_n", "gene_id", "pos0", "biotype")
 
 
+@query
+def j1_mixed_lengths(v: Views) -> DataFrame:
+    """Peaks and genes of 10 to 2,000,000 bases: bins by the length of each."""
+    pairs = ops.nearby_genes(v.long_peaks, v.long_genes, 1000, None, bits=12, nested=True)
+    return pairs.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("peak_id").alias("sum_id"))
+
+
 @query
 def j2_genes_with_expression(v: Views) -> DataFrame:
     return ops.annotate_expression(v.genes, v.expression).select("gene_id", "contig", _r6("fold_change"))
@@ -275,9 +282,11 @@ def j7_all_words_per_site(v: Views) -> DataFrame:
     )
 
 
-def _generate(v: Views):
+def _generate(v: Views, contigs: DataFrame | None = None):
+    """The views' intervals all end after their start. With ``contigs`` the sequences are left alone until needed."""
     return generate(
-        v.peaks, v.genes, v.expression, v.chunks, CORE_WORDS, v.motifs, MULT, dist=DIST
+        v.peaks, v.genes, v.expression, v.chunks if contigs is None else lambda: v.chunks, CORE_WORDS, v.motifs, MULT,
+        dist=DIST, contigs=contigs, ordered=True,
     )
 
 
@@ -478,6 +487,14 @@ def x5_many_words(v: Views) -> DataFrame:
     return _counted(ops.scan_words(v.chunks, words))
 
 
+@query
+def x5_mixed_words(v: Views) -> DataFrame:
+    """The words of five to eight bases that begin the sequences; each sequence's length picks its word's."""
+    begins = F.upper(F.expr("substring(seq, 1, cast(5 + length(seq) % 4 as int))"))
+    some = v.seqs.select(begins.alias("w")).where(F.rlike("w", F.lit("^[ACGT]{5,}$"))).distinct()
+    return _counted(ops.scan_words(v.chunks, sorted(r.w for r in some.collect())))  # at most 4**5 + ... + 4**8
+
+
 @query
 def x5_long_word(v: Views) -> DataFrame:
     """The greatest word of 80 bases that begins a sequence; the chunks overlap by 79 for it."""
@@ -492,6 +509,14 @@ def x6_motif_scan(v: Views) -> DataFrame:
     )
 
 
+@query
+def x6_many_motifs(v: Views) -> DataFrame:
+    """A motif for every supplier, in one pass over the bases."""
+    return ops.scan_motifs(v.chunks, ops.motif_log_odds(v.many_motif_counts), 0.9).groupBy("tf_name", "strand").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start")
+    )
+
+
 @query
 def x7_panel_scan_around_sites(v: Views) -> DataFrame:
     hits = ops.scan_motifs(v.chunks, v.motifs, MULT)
@@ -565,13 +590,13 @@ def p1_generate_sites(v: Views) -> DataFrame:
 
 @query
 def p1_generate_genes(v: Views) -> DataFrame:
-    return _generate(v).genes.select("gene_id", "chr_n", "pos0", "biotype", _r6("fold_change"))
+    return _generate(v, v.lengths).genes.select("gene_id", "chr_n", "pos0", "biotype", _r6("fold_change"))
 
 
 @query
 def p1_gene_order(v: Views) -> DataFrame:
     """The genes table in its written order, given to the gene strings of the sites."""
-    genes = ops.with_ordinal(_generate(v).genes, "gene_ord", "place").withColumnRenamed("place", "gene_ord")
+    genes = ops.with_ordinal(_generate(v, v.lengths).genes, "gene_ord", "place").withColumnRenamed("place", "gene_ord")
     return ops.gene_string(v.peaks, genes, DIST_ORIGIN, key="peak_id").select("peak_id", "str_genes_rnaseq_near")
 
 

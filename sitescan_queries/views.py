@@ -2,7 +2,7 @@
 
 A third of the peaks sits on one contig (``chr0``), a third of the expression rows on one gene (``G6``) and
 a third of the gene names is ``N7``, so the hot-key paths are always exercised. About a tenth of the peaks
-lies on contigs without a sequence, and some start below position 1.
+lies on contigs without a sequence, some on contigs whose sequence is empty, and some start below position 1.
 """
 
 from __future__ import annotations
@@ -28,11 +28,23 @@ BASES = "ACGTACGTACGTACGTACGTACGTANacgtacgtacgtacgtacgtacgtan"
 #: Blanks, marks and digits go; what is left and not in LETTERS, letters of other alphabets above all, is N.
 NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]"
 OTHER = r"[^A-Za-z]"
+_DROPPED = "".join(chr(c) for c in range(128) if chr(c) not in LETTERS)
 
-CHR_N = "case when event_id % 3 = 0 then 'chr0' else concat('chr', cast(floor(event_id / 9) as bigint)) end"
+CHR_N = (
+    "case when event_id % 3 = 0 then 'chr0' when event_id % 50 = 1 then concat('chrE', event_id % 25) "
+    "else concat('chr', cast(floor(event_id / 9) as bigint)) end"
+)
 POS_INI = "(user_id * 37 + event_id) % 1500 - 5"
 POS_END = f"{POS_INI} + 50 + event_id % 150"
 
+# Intervals of very different lengths, from an integer k.
+LONG_CHR = "case when {k} % 3 = 0 then 'chr0' else concat('chr', {k} % 20) end"
+LONG_INI = "({k} * 7919) % 40000000"
+LONG_SIZE = (
+    "case when {k} % 50 = 7 then 1999990 when {k} % 11 = 3 then 5000 + {k} % 90000 else 9 + {k} % 400 end"
+)
+MANY_BASE = "1 + (l_suppkey * 3 + l_linenumber * (1 + l_suppkey % 3) + case when l_quantity < 40 then 0 else l_quantity end) % 4"
+
 
 class Views:
     """Lazy DataFrames over one data directory."""
@@ -45,12 +57,20 @@ class Views:
 
     @cached_property
     def seqs(self) -> DataFrame:
-        """Every 50th text is an empty sequence, which stays a contig."""
-        letters = F.regexp_replace(F.regexp_replace("text", NOT_LETTERS, ""), OTHER, "N")
-        return self.table("documents").select("doc_id", "text").select(
+        """Every text as a contig, and an empty contig for each nation."""
+        # Letters are changed and other ASCII characters dropped in one go; what is neither counts as an N did.
+        letters = F.translate("text", LETTERS + _DROPPED, BASES)
+        texts = self.spread(self.table("documents").select("doc_id", "text")).select(
             F.expr("concat('chr', doc_id)").alias("chr_n"),
-            F.when(F.col("doc_id") % 50 == 7, "").otherwise(F.translate(letters, LETTERS, BASES)).alias("seq"),
+            F.regexp_replace(letters, OTHER, BASES[LETTERS.index("N")]).alias("seq"),
         )
+        empty = self.table("nation").select(F.expr("concat('chrE', n_nationkey)").alias("chr_n"), F.lit("").alias("seq"))
+        return texts.unionByName(empty)
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """A table of few splits dealt to all cores before the work on its texts starts."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -62,8 +82,14 @@ class Views:
 
     @cached_property
     def contigs(self) -> DataFrame:
+        """Lengths where the bases are needed too; see ``lengths``."""
         return contig_lengths(self.chunks)
 
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """Lengths straight from the texts, where no bases are needed."""
+        return self.seqs.select("chr_n", F.length("seq").cast("bigint").alias("contig_len"))
+
     @cached_property
     def peaks(self) -> DataFrame:
         return self.table("events").selectExpr(
@@ -120,6 +146,31 @@ class Views:
     def motifs(self) -> DataFrame:
         return motif_log_odds(self.motif_counts)
 
+    @cached_property
+    def long_peaks(self) -> DataFrame:
+        """Peaks of 10 to 2,000,000 bases on twenty contigs; a third lies on one."""
+        return self.table("orders").selectExpr(
+            "cast(o_orderkey as bigint) as peak_id", f"{LONG_CHR.format(k='o_orderkey')} as chr_n",
+            f"cast({LONG_INI.format(k='o_orderkey')} as bigint) as pos_ini",
+            f"cast({LONG_INI.format(k='o_orderkey')} + {LONG_SIZE.format(k='o_orderkey')} as bigint) as pos_end",
+        )
+
+    @cached_property
+    def long_genes(self) -> DataFrame:
+        return self.genes.select("gene_id", "gene_name", "strand", "biotype", F.expr("cast(substring(gene_id, 2) as bigint)").alias("k")).selectExpr(
+            "gene_id", "gene_name", "strand", "biotype", f"substring({LONG_CHR.format(k='k')}, 4) as contig",
+            f"cast({LONG_INI.format(k='k * 3')} as bigint) as g_start",
+            f"cast({LONG_INI.format(k='k * 3')} + {LONG_SIZE.format(k='(k + 5)')} as bigint) as g_end",
+        )
+
+    @cached_property
+    def many_motif_counts(self) -> DataFrame:
+        """A motif of seven positions for every supplier."""
+        return self.table("lineitem").selectExpr(
+            "concat('S', l_suppkey) as motif", "cast((l_linenumber - 1) % 7 as int) as pos",
+            f"substring('ACGT', cast({MANY_BASE} as int), 1) as base",
+        ).groupBy("motif", "pos", "base").agg(F.count(F.lit(1)).cast("double").alias("count"))
+
     @cached_property
     def sites(self) -> DataFrame:
         """A sites table with columns of its own; blank and missing chromosomes occur."""

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sitescan.operators import project_sites, rule_filter, sample_peaks, skipped_count, split_by_sequence, with_ordinal
 
@@ -45,3 +46,28 @@ def test_ordinal_of_a_sparse_order(spark):
     assert got == list(range(5000))
     empty = with_ordinal(df.where("k < 0"), "k")
     assert empty.count() == 0
+
+
+def test_sample_is_the_smallest_hashes_whatever_the_rounds(spark):
+    from sitescan.operators import filters
+
+    df = spark.range(3000).selectExpr("id % 1500 as a", "'x' as b").repartition(7)
+    want = sorted(df.selectExpr("a", "md5(concat_ws('|', '3', a, b)) as h").orderBy("h").limit(40).toPandas().a)
+    assert sorted(sample_peaks(df, 40, seed=3).toPandas().a) == want
+    drawn = df.selectExpr("a", "md5(concat_ws('|', '3', a, b)) as _draw")
+    for digits in (1, 3):
+        limit = filters._hash_limit(drawn, 40, digits)
+        assert drawn.where(F.col("_draw") < limit).count() >= 40
+    tight = filters._hash_limit(drawn, 40, 1, 0.0)  # no slack: down to a group of some rows
+    assert 40 <= drawn.where(F.col("_draw") < tight).count()
+    assert sample_peaks(df, 3000).count() == sample_peaks(df, 5000).count() == 3000
+    same = spark.range(500).selectExpr("1 as a")
+    assert sample_peaks(same, 20).count() == 20 and sample_peaks(same.limit(0), 5).count() == 0
+
+
+def test_sample_leaves_the_other_rows_where_they_are(spark):
+    """Of many rows only the counts and the drawn ones are shuffled."""
+    df = spark.range(200_000).selectExpr("id as a")
+    plan = sample_peaks(df, 100)._jdf.queryExecution().executedPlan().toString()
+    stored = plan.split("parquet")[0]
+    assert "Range (0" not in stored and sample_peaks(df, 100).count() == 100

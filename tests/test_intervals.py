@@ -139,3 +139,89 @@ def test_hot_bin_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("dist,ordered", [(0, False), (500, False), (20_000, False), (500, True)])
+def test_counts_equal_those_of_the_pairs(spark, dist, ordered):
+    """Peaks and genes that end before they start among them, unless the caller says that there are none."""
+    peaks, genes = make(spark, seed=4)
+    if ordered:
+        peaks = [p for p in peaks if p[2] <= p[3]]
+    else:
+        genes += [(f"x{j}", "n", "1", 9000 + j, 4000, "+", "protein_coding") for j in range(5)]
+        peaks += [(900, None, 1, 2), (901, "chr1", None, 5), (902, "chr1", 5, None), (903, "chrNone", 1, 9**9)]
+    draw = random.Random(8)
+    fold = {g[0]: draw.choice([None, 2.0, -2.0, 0.0, float("nan")]) for g in genes}
+    table = spark.createDataFrame([(*g, fold[g[0]]) for g in genes], GENE + ", fold_change double")
+    got = {r.peak_id: tuple(r)[4:] for r in peak_gene_stats(spark.createDataFrame(peaks, PEAK), table, dist, ordered=ordered).collect()}
+    for p in peaks:
+        near = [
+            fold[g[0]] for g in genes
+            if None not in p and g[2] == p[1][3:] and g[6] == "protein_coding" and g[3] <= p[3] + dist and g[4] >= p[2] - dist
+        ]
+        known = [f for f in near if f is not None]
+        assert got.pop(p[0]) == (len(near), len(known), sum(f > 0 for f in known), sum(f < 0 for f in known))
+    assert not got
+
+
+def test_counts_make_no_pairs(spark):
+    """All genes around all peaks: the plan has no join of peaks with genes, and no row more than there are peaks."""
+    peaks = spark.range(500).selectExpr("id as peak_id", "'chr1' as chr_n", "id * 3 as pos_ini", "id * 3 + 50 as pos_end")
+    genes = spark.range(400).selectExpr(
+        "concat('g', id) as gene_id", "'n' as gene_name", "'1' as contig", "id * 4 as g_start", "id * 4 + 9 as g_end",
+        "'+' as strand", "'protein_coding' as biotype", "1.0D as fold_change",
+    )
+    stats = peak_gene_stats(peaks, genes, 100_000, ordered=True)
+    assert stats.where("n_genes = 400 and n_upreg = 400").count() == 500
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "g_start" not in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("bits", [2, 12])
+def test_boundary_bins_have_no_gaps(spark, bits):
+    from sitescan.operators.counting import boundary_bins, sums_up_to
+
+    at = [-70_000, -3, -3, 0, 1, 7, 8, 4095, 4096, 90_000]
+    points = spark.createDataFrame([((0, "k"), x, i) for i, x in enumerate(at)], "_side struct<kind:int,key:string>, _pos bigint, w bigint")
+    bins = boundary_bins(points, ["w"], bits).cache()
+    asked = sorted({x + d for x in at for d in (-1, 0, 1)} | {-10**9, 10**9})
+    rows = spark.createDataFrame([("k", x) for x in asked], "_k string, x bigint")
+    got = {r.x: r.out.w for r in sums_up_to(rows, "x", bins, 0, ["w"], "out", bits).collect()}
+    assert got == {x: sum(i for i, p in enumerate(at) if p <= x) for x in asked}
+    bins.unpersist()
+
+
+def mixed(seed, n, contigs):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        a = r.randint(-1000, 9_000_000)
+        out.append((i, r.choice(contigs), a, a + r.choice([0, 10, 300, 5000, 90_000, 2_000_000, -400])))
+    return out
+
+
+@pytest.mark.parametrize("bits", [3, 12])
+def test_nested_bins_equal_a_plain_join(spark, rows, bits):
+    peaks = mixed(1, 250, ["chr1", "chr2", None])
+    genes = [(f"g{j}", "n", c and c[3:], a, b, "+", "protein_coding") for j, c, a, b in mixed(2, 200, ["chr1", "chr3"])]
+    left, right = spark.createDataFrame(peaks, PEAK), spark.createDataFrame(genes, GENE)
+    got = rows(nearby_genes(left, right, 50, bits=max(bits, 12), nested=True), "peak_id", "gene_id")
+    want = [(p[0], g[0]) for p in peaks for g in genes if p[1] and p[1][3:] == g[2] and g[3] <= p[3] + 50 and g[4] >= p[2] - 50]
+    assert want and got == sorted(want, key=lambda t: [str(x) for x in t])
+    table = right.selectExpr("gene_id", "concat('chr', contig) as chr_n", "g_start as pos0", "biotype", "1.0D as fold_change")
+    points = rows(genes_around(left, table, 700, nested=True), "peak_id", "gene_id")
+    want = [(p[0], g[0]) for p in peaks for g in genes if p[1] and p[1][3:] == g[2] and p[2] - 700 < g[3] < p[3] + 700]
+    assert want and points == sorted(want, key=lambda t: [str(x) for x in t])
+    with pytest.raises(ValueError):
+        nearby_genes(left, right, 0, how="left", nested=True)
+
+
+def test_nested_bins_put_an_interval_into_few_rows(spark):
+    from sitescan.operators.intervals import _level, _levels, _spread
+
+    peaks = spark.createDataFrame([p for p in mixed(5, 3000, ["chr1"])], PEAK)
+    span = F.col("pos_ini"), F.col("pos_end")
+    placed = peaks.withColumn("_level", _level(*span, 12))
+    levels = _levels(placed)
+    assert len(levels) == 3
+    assert _spread(placed, True, levels, *span, "l", False).count() < 4 * 3000

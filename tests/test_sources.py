@@ -164,3 +164,45 @@ def test_annotation(spark, rows, tmp_path):
     assert rows(io.read_annotation(spark, put(tmp_path, "a.gtf", gtf))) == [
         ("E1", "N1", "1", 100, 200, "+", "protein_coding"), ("E2", "N2", "2", 5, 20, "-", "protein_coding"),
     ]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 60, 1 << 16])
+def test_fasta_pieces(piece):
+    from sitescan.sources.fasta import _pieces_of
+
+    lines = [
+        (1, 0, b"lost", None), (1, 0, b">a one", None), (1, 0, b"ACG T", None), (1, 0, b"", None), (1, 0, b"AAAA\t", None),
+        (1, 0, b">b", None), (1, 0, b">", None), (1, 0, b"CC" * 40, None), (1, 90, b"GG", None), (1, 90, b">c", None),
+        (2, 0, b"TT", "own"), (2, 0, b">x", "own"), (2, 0, b"A", "own"),
+    ]
+    records: dict = {}
+    last = {}
+    for file, block, row, title, name, head, cum, n, bases in _pieces_of(iter(lines), piece):
+        assert row == last.get((file, block), 0) + 1 and n == len(bases or b"") and n <= piece
+        last[file, block] = row
+        assert (bases is None) == (title is not None)
+        records.setdefault((file, block, name), []).append(bases or b"")
+    assert {k: b"".join(v) for k, v in records.items()} == {
+        (1, 0, None): b"lost", (1, 0, "a"): b"ACGTAAAA", (1, 0, "b"): b"", (1, 0, ""): b"CC" * 40, (1, 90, None): b"GG",
+        (1, 90, "c"): b"", (2, 0, None): b"TT", (2, 0, "own"): b"A",
+    }
+
+
+def test_a_contig_over_many_splits_crosses_one_shuffle(spark, tmp_path):
+    import random
+
+    draw = random.Random(2)
+    seqs = {name: "".join(draw.choice("ACGTN") for _ in range(n)) for name, n in (("big", 60_000), ("small", 90), ("none", 0))}
+    path = tmp_path / "g.fa"
+    path.write_text("".join(f">{k} text\n" + "\n".join(s[i:i + 61] for i in range(0, len(s), 61)) + "\n" for k, s in seqs.items()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        chunks = io.read_fasta_chunks(spark, str(path), size=500, overlap=20)
+        plan = chunks._jdf.queryExecution().executedPlan().toString()
+        got = {(r.chr_n, r.chunk_id): bytes(r.bases).decode() for r in chunks.collect()}
+        shuffled = [line for line in plan.splitlines() if "Exchange" in line and "_piece" in line]
+        assert len(shuffled) <= 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(k, c): s[c * 500:c * 500 + 520] for k, s in seqs.items() for c in range(max(1, -(-len(s) // 500)))}
