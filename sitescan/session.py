@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -32,25 +31,26 @@ def build_session(app_name: str = "sitescan", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and intermediate tables.
 
-    The session names it in ``spark.checkpoint.dir``. Where that is unset, a local session, whose executors
-    are in the same process, gets a folder of its own, and a cluster session an error.
+    The session names it in ``spark.checkpoint.dir`` or has set a checkpoint folder. Where neither is so, the
+    folder is ``sitescan`` in the session's warehouse (``spark.sql.warehouse.dir``), which is shared as well.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
-    if named:
-        if current is None:
-            context.setCheckpointDir(named)
-        return named
     if current is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sitescan-"))
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sitescan")
         current = context.getCheckpointDir()
-    return current
+    return named or current
 
 
-_SCRATCH: list[str] = []
+#: Open scratch folders, the innermost last, of each thread and session.
+_OPEN = threading.local()
+
+
+def _stack(spark: SparkSession) -> list[str]:
+    if not hasattr(_OPEN, "folders"):
+        _OPEN.folders = {}
+    return _OPEN.folders.setdefault(spark.sparkContext.applicationId, [])
 
 
 @contextmanager
@@ -61,19 +61,24 @@ def scratch(spark: SparkSession, name: str = "job") -> Iterator[str]:
     shared folder until whoever runs the session clears it.
     """
     path = scratch_path(spark, name)
-    _SCRATCH.append(path)
+    _stack(spark).append(path)
     try:
         yield path
     finally:
-        _SCRATCH.remove(path)
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _stack(spark).remove(path)
+        drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of :func:`scratch_path`, through the file system that it lies in."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New, unused path in the job's folder, or else in the shared folder."""
-    above = _SCRATCH[-1] if _SCRATCH else shared_dir(spark).rstrip("/")
+    open_ = _stack(spark)
+    above = open_[-1] if open_ else shared_dir(spark).rstrip("/")
     return f"{above}/{name}-{uuid.uuid4().hex}"
 
 
