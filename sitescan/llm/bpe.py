@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sitescan.llm.common import columns_of, free_name, map_texts
+from sitescan.llm.common import map_column
 
 #: Pieces that a task remembers in each of two generations.
 REMEMBERED = 250_000
@@ -308,8 +307,8 @@ def encode_texts(
         encoder = Encoder(merges, remembered)
         decoder = Decoder(merges, mode) if mode else None
 
-        def work(texts: list) -> dict:
-            rows = [encoder.encode(t) if t else [] for t in texts]
+        def work(texts: pa.Array) -> dict:
+            rows = [encoder.encode(t) if t else [] for t in texts.to_pylist()]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             flat = np.fromiter((i for row in rows for i in row), np.int32, int(ends[-1]))
             made: dict = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
@@ -319,11 +318,4 @@ def encode_texts(
 
         return work
 
-    names = {c: free_name(docs, c) for c in ("ids", "decoded")}
-    own = F.struct(*columns_of(docs)).alias("_row")
-    schema = "ids array<int>" + (", decoded string" if mode else "")
-    made = map_texts(docs, [own], F.col(f"`{text}`"), kernel, schema)
-    return made.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns],
-        *[F.col(c).alias(names[c]) for c in (("ids", "decoded") if mode else ("ids",))],
-    )
+    return map_column(docs, text, kernel, "ids array<int>" + (", decoded string" if mode else ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -60,10 +62,39 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+#: Bytes of an Arrow batch in sessions that leave it at Spark's default (64 MB, held by the JVM and by Python).
+BATCH_BYTES = 8 << 20
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose function travels with the code of this package, so executors need no copy of it."""
+    """``mapInArrow`` whose function travels with the code of this package, so executors need no copy of it.
+
+    Workers are reused by later tasks, so a task gives back what it held when it ends. Batches are kept small
+    unless the session names a size.
+    """
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
-    return df.mapInArrow(run, schema)
+    spark = df.sparkSession
+    if spark.conf.get(_BYTES_SETTING, None) is None:
+        spark.conf.set(_BYTES_SETTING, BATCH_BYTES)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def map_texts(

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescan.llm.common import columns_of, free_name, map_texts, stored
+from sitescan.llm.common import columns_of, free_name, map_column, stored
 
 #: Most labelled rows that the model is fitted to, and the bytes of text of all of them together.
 TRAIN_ROWS = 4_000
@@ -275,12 +276,13 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, tex
     """At most ``most`` labelled texts and ``size`` bytes, half of them of each label where there are enough.
 
     Drawn by a hash of the id, so the same rows give the same sample in any order. Rows without text or label
-    are left out; of an id labelled both ways the label 1 counts. Texts stay where they are: ids and lengths
-    are joined with the labels, and the drawn ids, whose number is bounded, fetch their texts.
+    are left out; of an id labelled both ways the label 1 counts, and of the rows that share an id the greatest
+    text. Texts stay where they are: ids and lengths are joined with the labels, and the drawn ids, whose number
+    is bounded, fetch their texts.
     """
     marks = labels.groupBy(F.col(f"`{doc_id}`").alias("_at")).agg(F.max(f"`{label}`").alias("_label"))
     own, body = F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`")
-    narrow = docs.where(body.isNotNull()).select(own, F.octet_length(body).alias("_size"))
+    narrow = docs.where(body.isNotNull()).groupBy(own).agg(F.max(F.octet_length(body)).alias("_size"))
     pairs = stored(narrow.join(marks.where("_label is not null"), F.col("_id") == F.col("_at")).select(
         "_id", "_label", "_size", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 30)).alias("_draw")
     ))
@@ -291,7 +293,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, tex
     limit = F.when(F.col("_label") == 1, share.get(1, 0)).otherwise(share.get(0, 0))
     drawn = pairs.where(F.col("_draw") < limit).select("_id", "_label").distinct()
     texts = docs.where(body.isNotNull()).select(own, body.cast("binary").alias("_text"))
-    return [(bytes(r["_text"]), r["_label"]) for r in texts.join(F.broadcast(drawn), "_id").select("_text", "_label").collect()]
+    once = texts.join(F.broadcast(drawn), "_id").groupBy("_id", "_label").agg(F.max("_text").alias("_text"))
+    return [(bytes(r["_text"]), r["_label"]) for r in once.collect()]
 
 
 def fit_toxicity(
@@ -315,8 +318,9 @@ def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text", remembered
         index: dict[bytes, int] = {}
         weights = np.zeros((3, 0))
 
-        def work(texts: list) -> dict:
+        def work(column: pa.Array) -> dict:
             nonlocal weights
+            texts = column.cast(pa.binary()).to_pylist()
             if len(index) > remembered:
                 index.clear()
                 weights = np.zeros((3, 0))
@@ -341,13 +345,12 @@ def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text", remembered
 
         return work
 
+    made = map_column(docs, text, kernel, "_score double, _spans array<struct<start:int,end:int>>")
     names = {c: free_name(docs, c) for c in ("score", "predicted", "offending")}
-    own = F.struct(*columns_of(docs)).alias("_row")
-    schema = "_score double, _spans array<struct<start:int,end:int>>"
-    made = map_texts(docs, [own], F.col(f"`{text}`").cast("binary"), kernel, schema)
+    score, spans = (F.col(f"`{c}`") for c in made.columns[-2:])
     return made.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], F.col("_score").alias(names["score"]),
-        (F.col("_score") >= 0.5).cast("int").alias(names["predicted"]), F.col("_spans").alias(names["offending"]),
+        *columns_of(docs), score.alias(names["score"]), (score >= 0.5).cast("int").alias(names["predicted"]),
+        spans.alias(names["offending"]),
     )
 
 
