@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitescan.llm.bpe import encode_texts
-from sitescan.llm.common import columns_of, free_name, stored, table
+from sitescan.llm.common import columns_of, free_name, table
 from sitescan.llm.decontamination import decontaminate
 from sitescan.llm.edited_copies import deduplicate_copies
 from sitescan.llm.personal_data import redact
 from sitescan.llm.queries import TOKENIZER
 from sitescan.llm.toxicity import fit_toxicity, score_toxicity
+from sitescan.session import drop_path, scratch, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    """All stages over ``documents``; what a stage keeps is written in the shared folder and read again.
+
+    The inner tables of a stage go when its rows are written, and so do the rows of the stage before.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        with scratch(spark, f"{name}-inner"):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return docs
