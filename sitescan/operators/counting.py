@@ -1,4 +1,4 @@
-"""Counts of intervals and points without their pairs.
+"""Counts and minima over intervals and points without their pairs.
 
 An interval meets [lo, hi] unless it starts after hi or ends before lo, so the number of those that meet it is
 the number of starts up to hi less the number of ends before lo. Both come from sorted boundaries: a contig's
@@ -6,6 +6,10 @@ boundaries are folded by position, cut into bins, and each bin keeps its positio
 sums, and the sums of all bins before it. A count is two equi-joins on (contig, bin) and two binary searches,
 however many intervals there are around.
 
+The smallest row that meets [lo, hi] comes from bins that are no wider than the shortest [lo, hi]: a bin inside
+it gives the smallest of all its rows, its first bin the smallest of those that end at lo or later, its last
+the smallest of those that start at hi or earlier.
+
 A bin has at most ``2**bits`` different positions whatever the number of rows, so no array grows with the data.
 """
 
@@ -102,3 +106,60 @@ def count_overlaps(
     rows = sums_up_to(rows, "_hi", bins, 0, names, "_begun", bits)
     rows = sums_up_to(rows, "_lo - 1", bins, 1, names, "_ended", bits)
     return rows.selectExpr(*[f"`{c}`" for c in left.columns], *[f"_begun.{n} - _ended.{n} as {n}" for n in names])
+
+
+def count_contained(
+    left: DataFrame, left_key: Column, lo: Column, hi: Column, right: DataFrame, right_key: Column, start: Column, end: Column,
+    weights: Mapping[str, Column], bits: int = BIN_BITS,
+) -> DataFrame:
+    """``left`` with the sum of each weight over the rows of ``right`` that lie in [lo, hi), ends exclusive.
+
+    Those that end by hi less those that start before lo: exact where no row of ``right`` reaches over both, that
+    is where hi - lo is at least the longest of them.
+    """
+    return count_overlaps(left, left_key, lo, hi, right, right_key, end, start, weights, bits)
+
+
+def smallest_overlapping(
+    left: DataFrame, left_key: Column, lo: Column, hi: Column, shortest: int, right: DataFrame, right_key: Column,
+    start: Column, end: Column, smallest: Column, name: str,
+) -> DataFrame:
+    """``left`` with ``name``: the least value ``smallest`` of the rows of ``right`` whose [start, end] meets [lo, hi].
+
+    Rows of ``left`` that meet none are left out. No pair is made: ``left`` is put into the bins it covers, whose
+    width is a power of two up to ``shortest``, the least length of any [lo, hi].
+    """
+    bits = max(int(shortest), 1).bit_length() - 1
+    rows = right.select(right_key.alias("_key"), start.cast("bigint").alias("_s"), end.cast("bigint").alias("_e"), smallest.alias("_v"))
+    rows = rows.where("_key is not null and _s <= _e")
+    touched = rows.selectExpr("*", f"explode(sequence(shiftright(_s, {bits}), shiftright(_e, {bits}))) as _bin")
+    # Positions outside the bin count as its edge, so a bin has no more of them than it is wide; equal ones are
+    # folded before they meet.
+    low, high = f"shiftleft(_bin, {bits})", f"shiftleft(_bin + 1, {bits}) - 1"
+    edges = touched.selectExpr(
+        "_key", "_bin", "_v", f"explode(array(struct(0 as kind, greatest(_s, {low}) as at), struct(1 as kind, least(_e, {high}) as at))) as _edge"
+    )
+    folded = edges.groupBy("_key", "_bin", "_edge").agg(F.min("_v").alias("_v"))
+    ahead = "(partition by _key, _bin, _edge.kind order by _edge.at rows between unbounded preceding and current row)"
+    behind = "(partition by _key, _bin, _edge.kind order by _edge.at rows between current row and unbounded following)"
+    best = folded.selectExpr(
+        "_key", "_bin", "_edge.kind as kind", f"struct(_edge.at as at, if(_edge.kind = 0, min(_v) over {ahead}, min(_v) over {behind}) as v) as _row", "_v"
+    )
+    bins = cut_lineage(best.groupBy("_key", "_bin").agg(
+        F.expr("sort_array(collect_list(_row) filter (where kind = 0))").alias("_starts"),
+        F.expr("sort_array(collect_list(_row) filter (where kind = 1))").alias("_ends"), F.min("_v").alias("_least"),
+    ).selectExpr(
+        "_key as _binkey", "_bin", "transform(_starts, r -> r.at) as _start_at", "transform(_starts, r -> r.v) as _start_v",
+        "transform(_ends, r -> r.at) as _end_at", "transform(_ends, r -> r.v) as _end_v", "_least",
+    ))
+    own = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"), left_key.alias("_k"), lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"))
+    placed = own.where("_k is not null and _lo <= _hi").selectExpr(
+        "*", f"explode(sequence(shiftright(_lo, {bits}), shiftright(_hi, {bits}))) as _b"
+    )
+    met = placed.join(bins, F.expr("_k = _binkey and _b = _bin"))
+    value = (
+        f"case when _lo > shiftleft(_b, {bits}) then get(_end_v, {at_most('_end_at', '_lo - 1')}) "
+        f"when _hi < shiftleft(_b + 1, {bits}) - 1 then get(_start_v, {at_most('_start_at', '_hi')} - 1) else _least end as _v"
+    )
+    found = met.selectExpr("_left", value).where("_v is not null").groupBy("_left").agg(F.min("_v").alias("_v"))
+    return found.select(*[F.col(f"_left.`{c}`").alias(c) for c in left.columns], F.col("_v").alias(name))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.defaults import BIOTYPE, DIST_GENES, HIT_BIN_BITS
-from sitescan.functions import contig
-from sitescan.operators.counting import count_overlaps
+from sitescan.functions import contig, gene_origin
+from sitescan.operators.counting import count_contained, count_overlaps, smallest_overlapping
 from sitescan.operators.grouping import per_row
 from sitescan.operators.intervals import genes_around, hits_in_slices, nearby_genes
 from sitescan.operators.sequences import SLICE_COLUMNS
@@ -92,17 +92,59 @@ def distinct_genes(pairs: DataFrame, order_col: str, keep_order: bool = False) -
     return row.select("gene_id", *[F.col(f"_row.{c}").alias(c) for c in cols], *(order if keep_order else []))
 
 
-def peak_site_stats(peaks: DataFrame, hits: DataFrame, bits: int = HIT_BIN_BITS) -> DataFrame:
-    """Located peaks with ``n_su, n_su_list, n_su_pssm``; slice columns are dropped."""
-    keep = [c for c in peaks.columns if c not in SLICE_COLUMNS]
-    pairs = hits_in_slices(peaks, hits.select("chr_n", "start", "hit_len", "source"), "left", bits)
-    counted = per_row(
-        pairs, peaks.columns,
-        F.count("hit_source").alias("n_su"),
-        F.count_if(F.col("hit_source") == "list").alias("n_su_list"),
-        F.count_if(F.col("hit_source") == "pssm").alias("n_su_pssm"),
+def first_peaks(
+    peaks: DataFrame, genes: DataFrame, order_col: str, dist: int = DIST_GENES, biotype: str | None = BIOTYPE,
+    keep_start: bool = False,
+) -> DataFrame:
+    """The pair of each gene with its first peak, as :func:`nearby_genes` would give it, without the other pairs.
+
+    The rows feed :func:`distinct_genes` in place of all pairs. ``order_col`` orders the peaks. Peaks and genes end
+    at or after their start; genes so short that they fit into a bin (only with a distance below 32) are paired.
+    """
+    d = F.lit(int(dist)).cast("bigint")
+    some = genes if biotype is None else genes.where(F.col("biotype") == biotype)
+    kept = [F.col(c) for c in ("gene_id", "biotype", "contig", "g_start", "g_end")]
+    fold = [F.col("fold_change")] if "fold_change" in genes.columns else []
+    side = some.select(*kept, gene_origin("strand", "g_start", "g_end").alias("pos0"), *fold)
+    shortest, least = 2 * max(int(dist), 0) + 1, 64
+    first = F.struct(F.col(order_col).alias("order"), F.col("chr_n").alias("chr_n"))
+    wide = side if shortest >= least else side.where(F.col("g_end") - F.col("g_start") + shortest >= least)
+    found = smallest_overlapping(
+        wide, F.col("contig"), F.col("g_start") - d, F.col("g_end") + d, max(shortest, least), peaks, contig("chr_n"),
+        F.col("pos_ini"), F.col("pos_end"), first, "_first",
+    ).select(
+        F.col("_first.chr_n").alias("chr_n"), F.col("_first.order").alias(order_col), "gene_id", "pos0", "biotype", *fold, "g_start",
+    )
+    if shortest < least:
+        short = some.where(F.col("g_end") - F.col("g_start") + shortest < least)
+        pairs = nearby_genes(peaks.select(order_col, "chr_n", "pos_ini", "pos_end"), short, dist, None, keep_start=True)
+        found = found.unionByName(pairs.select(*found.columns))
+    return found if keep_start else found.drop("g_start")
+
+
+def peak_site_stats(peaks: DataFrame, hits: DataFrame, bits: int = HIT_BIN_BITS, longest: int | None = None) -> DataFrame:
+    """Located peaks with ``n_su, n_su_list, n_su_pssm``; slice columns are dropped.
+
+    ``longest`` is the length of the longest hit. With it the counts come from sorted hit positions, and only
+    slices shorter than that are paired with their hits, which are then few however many the hits around are.
+    """
+    keep = [F.col(f"`{c}`") for c in peaks.columns if c not in SLICE_COLUMNS]
+    names = ("n_su", "n_su_list", "n_su_pssm")
+    if longest is None:
+        pairs = hits_in_slices(peaks, hits.select("chr_n", "start", "hit_len", "source"), "left", bits)
+        counted = per_row(
+            pairs, peaks.columns, F.count("hit_source").alias("n_su"),
+            *[F.count_if(F.col("hit_source") == s).alias(f"n_su_{s}") for s in ("list", "pssm")],
+        )
+        return counted.select(*keep, *names)
+    size = F.col("slice_end") - F.col("slice_ini")
+    weights = dict(zip(names, (F.lit(1), (F.col("source") == "list").cast("int"), (F.col("source") == "pssm").cast("int"))))
+    counted = count_contained(
+        peaks.where(size >= longest), F.col("chr_n"), F.col("slice_ini"), F.col("slice_end"), hits, F.col("chr_n"),
+        F.col("start"), F.col("start") + F.col("hit_len"), weights,
     )
-    return counted.select(*[F.col(f"`{c}`") for c in keep], "n_su", "n_su_list", "n_su_pssm")
+    few = peak_site_stats(peaks.where(size < longest), hits, bits)
+    return counted.select(*keep, *names).unionByName(few)
 
 
 def reported_start(pos_ini_shift: Column | str = "slice_shift", one_based: bool = False) -> Column:

@@ -17,7 +17,7 @@ from sitescan.operators.ordering import with_ordinal
 from sitescan.operators.scan import scan
 from sitescan.operators.sequences import contig_lengths, locate_sites, prune_chunks
 from sitescan.operators.sites import site_hits
-from sitescan.operators.stats import GENE_STATS, distinct_genes, peak_gene_stats, peak_site_stats
+from sitescan.operators.stats import GENE_STATS, distinct_genes, first_peaks, peak_gene_stats, peak_site_stats
 from sitescan.session import cut_lineage
 from sitescan.sources import (
     read_annotation, read_bed, read_expression, read_fasta_chunks, read_motifs, write_table,
@@ -33,9 +33,10 @@ class GenerateTables:
     """
 
     def __init__(self, peaks: DataFrame, located: DataFrame, genes: DataFrame, dist: int, counted, hits,
-                 one_based: bool, materialize: bool):
+                 one_based: bool, materialize: bool, ordered: bool, longest: int | None):
         self._columns, self._located, self._genes, self._dist = peaks.columns, located, genes, dist
         self._make_counted, self._make_hits = counted, hits
+        self._ordered, self._longest = ordered, longest
         self._one_based, self._keep = one_based, cut_lineage if materialize else lambda df: df
 
     @cached_property
@@ -51,7 +52,7 @@ class GenerateTables:
     @cached_property
     def peaks(self) -> DataFrame:
         extra = [c for c in self._columns if c not in (PEAK_ID, "chr_n", "pos_ini", "pos_end")]
-        return peak_site_stats(self.counted, self.hits).select(
+        return peak_site_stats(self.counted, self.hits, longest=self._longest).select(
             PEAK_ID, "chr_n", "pos_ini", "pos_end", *extra, "n_genes", "n_su", "n_su_list", "n_su_pssm",
             *GENE_STATS[1:],
         )
@@ -71,7 +72,10 @@ class GenerateTables:
     def genes(self) -> DataFrame:
         """Each gene once; ``gene_ord`` sorts by the first peak near it, then by the gene's own position."""
         narrow = self._located.select(PEAK_ID, "chr_n", "pos_ini", "pos_end")
-        near = nearby_genes(narrow, self._genes, self._dist, keep_start=True)
+        if self._ordered:
+            near = first_peaks(narrow, self._genes, PEAK_ID, self._dist, keep_start=True)
+        else:
+            near = nearby_genes(narrow, self._genes, self._dist, keep_start=True)
         return distinct_genes(near, PEAK_ID, keep_order=True)
 
 
@@ -97,6 +101,7 @@ def generate(
     materialize: bool = False,
     contigs: DataFrame | None = None,
     ordered: bool = False,
+    counts: bool = False,
 ) -> GenerateTables:
     """The three tables as lazy DataFrames.
 
@@ -104,7 +109,8 @@ def generate(
     chromosome without sequence leave all three tables. ``materialize=True`` stores the per-peak gene
     counts and the hits, which two of the tables share. With ``contigs`` (chr_n, contig_len)
     the lengths are not read from the chunks, and ``chunks`` may be a function that is called when the hits are
-    asked for. ``ordered`` says that no peak or gene ends before it starts.
+    asked for. ``ordered`` says that no peak or gene ends before it starts; ``counts`` counts the hits
+    of the peaks from sorted positions, which pays where many peaks share many hits.
     """
     made = chunks if callable(chunks) else lambda: chunks
     located = locate_sites(peaks, contig_lengths(made()) if contigs is None else contigs, clamp=clamp)
@@ -113,7 +119,8 @@ def generate(
         peaks, located, with_expression, dist,
         counted=lambda: peak_gene_stats(located, with_expression, dist, ordered=ordered),
         hits=lambda: scan(prune_chunks(made(), located), words, motifs, score_mult, cutoffs, float32),
-        one_based=one_based, materialize=materialize,
+        one_based=one_based, materialize=materialize, ordered=ordered,
+        longest=max(max(map(len, words), default=0), longest_motif(motifs)) if counts else None,
     )
 
 
@@ -169,7 +176,7 @@ def run_generate(
     ordered = peaks.where("pos_end < pos_ini").isEmpty() and annotation.where("g_end < g_start").isEmpty()
     tables = generate(
         peaks, annotation, cut_lineage(expression), chunks, words, motifs, score_mult, cutoffs, dist,
-        one_based, clamp, float32, materialize=True, ordered=ordered,
+        one_based, clamp, float32, materialize=True, ordered=ordered, counts=True,
     )
     write_table(
         tables.sites, f"{output_prefix}_binding_sites", order_by=site_order(),

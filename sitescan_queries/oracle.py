@@ -366,6 +366,9 @@ select motif, round(max_score, 4) as max_score, round({MULT} * max_score, 4) as
 select site_id, row_number() over (order by site_id * 7919 % 1000003 * 1000000 + site_id) - 1 as ordinal from sites"""),
     "w2_kmer_windows": _with(["seqs"], f"""
 select w as kmer, count(*) as n, cast(sum(start) as bigint) as sum_start from ({_windows('select 6 as len')}) group by 1"""),
+    "w2_long_windows": _with(["seqs"], f"""
+select n, count(*) as n_windows, cast(sum(sum_start) as bigint) as sum_start
+from (select w, count(*) as n, sum(start) as sum_start from ({_windows('select 31 as len')}) group by w) group by n"""),
     "w3_first_row_per_key": _with(["peaks"], """
 select * from peaks qualify row_number() over (partition by chr_n order by peak_id) = 1"""),
     "o1_sample_peaks": _with(["peaks"], """

@@ -322,12 +322,12 @@ def a1_peak_gene_stats(v: Views) -> DataFrame:
 @query
 def a2_peak_site_stats(v: Views) -> DataFrame:
     hits = ops.scan(v.chunks, CORE_WORDS, v.motifs, MULT)
-    return ops.peak_site_stats(_located(v), hits)
+    return ops.peak_site_stats(_located(v), hits, longest=max(map(len, CORE_WORDS)))
 
 
 @query
 def a3_distinct_genes(v: Views) -> DataFrame:
-    pairs = ops.nearby_genes(v.peaks, ops.annotate_expression(v.genes, v.expression), DIST)
+    pairs = ops.first_peaks(v.peaks, ops.annotate_expression(v.genes, v.expression), "peak_id", DIST)
     return ops.distinct_genes(pairs, "peak_id").select("gene_id", "chr_n", "pos0", "biotype", _r6("fold_change"))
 
 
@@ -403,6 +403,13 @@ def w2_kmer_windows(v: Views) -> DataFrame:
     )
 
 
+@query
+def w2_long_windows(v: Views) -> DataFrame:
+    """Windows of 31 bases, nearly all different: how many of them occur how often."""
+    counted = ops.count_kmers(v.chunked(30), 31)
+    return counted.groupBy("n").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("sum_start").alias("sum_start"))
+
+
 @query
 def w3_first_row_per_key(v: Views) -> DataFrame:
     return ops.first_per_key(v.peaks, ["chr_n"], "peak_id")

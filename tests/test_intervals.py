@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitescan.operators import annotate_expression, distinct_genes, gene_string, genes_around, nearby_genes, peak_gene_stats
+from sitescan.operators import annotate_expression, distinct_genes, first_peaks, gene_string, genes_around, nearby_genes, peak_gene_stats
 
 PEAK = "peak_id bigint, chr_n string, pos_ini bigint, pos_end bigint"
 GENE = "gene_id string, gene_name string, contig string, g_start bigint, g_end bigint, strand string, biotype string"
@@ -225,3 +225,50 @@ def test_nested_bins_put_an_interval_into_few_rows(spark):
     levels = _levels(placed)
     assert len(levels) == 3
     assert _spread(placed, True, levels, *span, "l", False).count() < 4 * 3000
+
+
+@pytest.mark.parametrize("dist", [0, 10, 40, 3000])
+def test_first_peaks_equal_the_least_of_all_pairs(spark, rows, dist):
+    r = random.Random(dist)
+    peaks = [(i, r.choice(["chr1", "1", "chr2", None]), a, a + r.choice([0, 30, 200, 9000])) for i, a in enumerate(r.sample(range(-300, 40_000), 300))]
+    r.shuffle(peaks)
+    genes = [
+        (f"g{j}", "n", r.choice("123"), a, a + r.choice([0, 5, 60, 3000, 30_000]), r.choice("+-"), r.choice(["protein_coding", "x"]), None)
+        for j, a in enumerate(r.sample(range(1, 40_000), 120))
+    ]
+    left = spark.createDataFrame(peaks, PEAK)
+    right = spark.createDataFrame(genes, GENE + ", fold_change double")
+    got = first_peaks(left, right, "peak_id", dist)
+    assert dist < 32 or got.select("gene_id").distinct().count() == got.count()
+    pairs = nearby_genes(left, right, dist)
+    want = rows(distinct_genes(pairs, "peak_id"))
+    assert want and rows(distinct_genes(got, "peak_id")) == want
+    ordered = first_peaks(left, right, "peak_id", dist, keep_start=True)
+    assert rows(distinct_genes(ordered, "peak_id", keep_order=True)) == rows(distinct_genes(
+        nearby_genes(left, right, dist, keep_start=True), "peak_id", keep_order=True
+    ))
+
+
+def test_first_peaks_make_no_pairs(spark):
+    """Every peak is near every gene; a gene comes back once, and no join row is wider than its bins."""
+    peaks = spark.range(3000).selectExpr("3000 - id as peak_id", "'chr1' as chr_n", "id * 3 as pos_ini", "id * 3 + 50 as pos_end")
+    genes = spark.range(50).selectExpr(
+        "concat('g', id) as gene_id", "'n' as gene_name", "'1' as contig", "id * 4 as g_start", "id * 4 + 9 as g_end",
+        "'+' as strand", "'protein_coding' as biotype", "1.0D as fold_change",
+    )
+    first = first_peaks(peaks, genes, "peak_id", 50_000)
+    assert [tuple(r) for r in first.select("peak_id").distinct().collect()] == [(1,)] and first.count() == 50
+
+
+@pytest.mark.parametrize("longest", [9, 40])
+def test_hit_counts_equal_those_of_the_pairs(spark, rows, longest):
+    from sitescan.operators import peak_site_stats
+
+    r = random.Random(6)
+    peaks = [(i, r.choice(["c", "d"]), 1, 2, a, a + r.choice([0, 3, 8, 9, 50, 400]), 0) for i, a in enumerate(r.sample(range(9000), 200))]
+    peaks += [(900 + i, "c", 1, 2, 4000, 4200, 0) for i in range(50)]
+    hits = [(r.choice(["c", "d", "e"]), a, r.choice([5, 7, 9]), r.choice(["list", "pssm"])) for a in (r.randrange(9400) for _ in range(3000))]
+    located = spark.createDataFrame(peaks, PEAK + ", slice_ini bigint, slice_end bigint, slice_shift bigint")
+    found = spark.createDataFrame(hits, "chr_n string, start bigint, hit_len int, source string")
+    want = rows(peak_site_stats(located, found))
+    assert rows(peak_site_stats(located, found, longest=longest)) == want and any(x[-3] for x in want)

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitescan.operators import (
     chunk_layout, chunk_sequences, contig_lengths, extract_sequences, kmers, locate_sites, prune_chunks,
@@ -97,3 +99,32 @@ def test_chunks_tell_their_size(spark, rows, tmp_path):
     bare = spark.createDataFrame(again.collect(), "chr_n string, chunk_id long, chunk_start long, chunk_len long, bases binary")
     with pytest.raises(ValueError, match="size"):
         prune_chunks(bare, located)
+
+
+@pytest.mark.parametrize("k, m", [(1, None), (6, 2), (31, None), (31, 31)])
+def test_kmer_counts_equal_grouped_windows(spark, rows, monkeypatch, k, m):
+    import random
+
+    from sitescan.operators import kmer_counts
+
+    monkeypatch.setattr(kmer_counts, "BLOCK", 300)
+    draw = random.Random(k)
+    repeat = "".join(draw.choice("ACGT") for _ in range(90))
+    seqs = [("a", "".join(draw.choice("ACGTacgtN") for _ in range(700))), ("b", repeat * 9), ("c", "N" * 400), ("d", "AC"), ("e", "")]
+    chunks = chunk_sequences(spark.createDataFrame(seqs, "chr_n string, seq string"), 100, 40)
+    want = kmers(chunks, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"))
+    assert rows(kmer_counts.count_kmers(chunks, k, m)) == rows(want) != []
+
+
+def test_stretches_shuffle_bases_not_windows(spark):
+    import random
+
+    from sitescan.operators import kmer_counts
+
+    draw = random.Random(4)
+    seq = "".join(draw.choice("ACGT") for _ in range(300_000))
+    data = np.frombuffer(seq.encode(), np.uint8)
+    at, many, least, _ = kmer_counts.stretches(data, np.array([0, len(data)]), np.array([len(data)]), 31, 9)
+    assert many.sum() == len(seq) - 30 and (np.diff(at) == many[:-1]).all()
+    # A stretch takes its bases and 20 bytes; a window as a row of its own at least its bases and 16.
+    assert (many + 30 + 20).sum() < many.sum() * (31 + 16) / 5
