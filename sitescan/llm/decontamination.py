@@ -48,12 +48,12 @@ def window_hits(docs: DataFrame, windows: DataFrame, text: str = "text") -> Data
     """``digest, at, len, item_id``: each occurrence of an item's window in a distinct text, ``at`` from 1.
 
     Document windows are made for the lengths that the items have (at most ``n`` of them), in one scan. The join with the
-    hash set is a broadcast up to :data:`BROADCAST_WINDOWS` distinct hashes and a shuffled join beyond.
+    hash set is a broadcast up to :data:`BROADCAST_WINDOWS` distinct hashes, which sees the words at hand. Beyond,
+    it is a shuffled join of places and hashes alone; those that meet a hash fetch their words by a second join.
     """
     keys = windows.select("key").distinct()
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())
-    if keys.count() <= BROADCAST_WINDOWS:
-        keys = F.broadcast(keys)
+    near = keys.count() <= BROADCAST_WINDOWS
     whole = text_of(text)
     words = docs.select(digest(whole).alias("digest"), words_of(whole).alias("words"))
     hashed = words.where(F.size("words") >= (lengths[0] if lengths else 1)).select(
@@ -65,11 +65,17 @@ def window_hits(docs: DataFrame, windows: DataFrame, text: str = "text") -> Data
     else:
         probes = probes.withColumn("len", F.lit(lengths[0] if lengths else 1))
     probes = probes.where(F.col("at") + F.col("len") <= F.size("words") + 1).select(
-        "digest", "words", "at", "len", F.xxhash64(F.slice("hashes", F.col("at"), F.col("len"))).alias("key")
-    )
-    found = probes.join(keys, "key", "left_semi").select(
-        "digest", "at", "key", "len", F.slice("words", F.col("at"), F.col("len")).alias("gram")
+        "digest", *(["words"] if near else []), "at", "len", F.xxhash64(F.slice("hashes", F.col("at"), F.col("len"))).alias("key")
     )
+    if near:
+        found = probes.join(F.broadcast(keys), "key", "left_semi")
+    else:
+        places = probes.distinct().join(keys, "key", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("at", "len", "key")).alias("places"))
+        once = words.join(places.select(F.col("digest").alias("_digest")), F.col("digest") == F.col("_digest"), "left_semi").groupBy("digest").agg(
+            F.first("words").alias("words")
+        )
+        found = once.join(places, "digest").select("digest", "words", F.explode("places").alias("p")).select("digest", "words", "p.*")
+    found = found.select("digest", "at", "key", "len", F.slice("words", F.col("at"), F.col("len")).alias("gram"))
     # Copies of a text repeat its hits: they are folded before the items are looked up.
     once = found.distinct()
     return once.join(windows, ["key", "len", "gram"]).select("digest", "at", "len", "item_id")

@@ -1,6 +1,9 @@
 import re
 
+import pytest
+
 from conftest_llm import odd_texts
+from sitescan.llm import decontamination as D
 from sitescan.llm.decontamination import decontaminate, find_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,3 +65,13 @@ def test_modes(spark, frame):
     assert decontaminate(docs, items).columns == docs.columns
     cut = {r.doc_id: r.text for r in decontaminate(docs, items, mode="spans").collect()}
     assert cut == {1: "Keep,   !\nthis", 2: "Clean É text.", 3: None}
+
+
+@pytest.mark.parametrize("clash", [True, False])
+def test_shuffled_join_finds_the_same(frame, spark, monkeypatch, clash):
+    """More windows than are broadcast: places and hashes meet in a shuffle, and the words come afterwards."""
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "one two"), (None, "p"), (3, None)], "item_id int, text string")
+    docs = frame([*odd_texts(), (50, "x " * 40 + "a b c d e f g h i j k " + "y " * 40), (51, "One, TWO!"), (51, "One, TWO!")], clash)
+    whole = sorted(str(r) for r in D.find_contamination(docs, items).collect())
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
+    assert sorted(str(r) for r in D.find_contamination(docs, items).collect()) == whole
