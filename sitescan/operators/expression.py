@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitescan.functions import parse_number, signed_fold_change, split_ids
 
 
-def expression_rows(raw: DataFrame) -> DataFrame:
+def expression_rows(raw: DataFrame, seen: Observation | None = None) -> DataFrame:
     """(row_ord, raw_id, raw_value[, gene_name]) -> one row per identifier with its fold change.
 
-    Rows whose value is no number are dropped; a missing value is a number (NaN).
+    Rows whose value is no number are dropped; a missing value is a number (NaN). ``seen`` receives ``n_rows``,
+    the usable rows, and ``n_ids``, their identifiers, when the result is first computed.
     """
     extra = ["gene_name"] if "gene_name" in raw.columns else []
     parsed = raw.select("row_ord", "raw_id", *extra, parse_number("raw_value").alias("_log2"))
-    return parsed.where(F.col("_log2").isNotNull()).select(
+    usable = parsed.where(F.col("_log2").isNotNull())
+    if seen is not None:
+        ids = F.coalesce(F.sum(F.size(split_ids("raw_id"))), F.lit(0)).cast("bigint")
+        usable = usable.observe(seen, F.count(F.lit(1)).alias("n_rows"), ids.alias("n_ids"))
+    return usable.select(
         "row_ord", *extra,
         F.explode(split_ids("raw_id")).alias("gene_id"),
         signed_fold_change("_log2").alias("fold_change"),

@@ -9,7 +9,7 @@ a contig of length 0. Size and overlap stand in the metadata of the column ``chu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitescan.defaults import CHUNK_OVERLAP, CHUNK_SIZE
@@ -64,13 +64,15 @@ def locate_sites(
     pos_ini: str = "pos_ini",
     pos_end: str = "pos_end",
     clamp: bool = False,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Sites on a known contig with the slice they cut from it.
 
     Adds ``slice_ini`` (0-based), ``slice_end`` (exclusive) and ``slice_shift``, the difference between a
     reported and a true coordinate. Positions are 1-based inclusive. By default a start below 1 counts from
     the end of the contig, as a negative slice index does, which is normally empty; ``clamp=True`` cuts at
-    the first base instead.
+    the first base instead. ``seen`` receives ``n_sites`` and ``n_skipped``, the sites on no known contig, when the
+    result is first computed: the counts take no pass of their own.
     """
     n = F.col("contig_len")
     start0 = F.col(pos_ini).cast("bigint") - 1
@@ -81,8 +83,16 @@ def locate_sites(
     else:
         slice_ini = F.when(start0 < 0, F.greatest(n + start0, F.lit(0))).otherwise(start0)
         slice_end, shift = wrapped_end, start0 - slice_ini
+    known = contigs.select("chr_n", "contig_len")
+    if seen is None:
+        placed = sites.join(known, "chr_n")
+    else:
+        lost = F.count_if(F.col("contig_len").isNull())
+        placed = sites.join(known, "chr_n", "left").observe(
+            seen, F.count(F.lit(1)).alias("n_sites"), lost.alias("n_skipped")
+        ).where("contig_len is not null")
     return (
-        sites.join(contigs.select("chr_n", "contig_len"), "chr_n")
+        placed
         .select(
             *[F.col(f"`{c}`") for c in sites.columns],
             slice_ini.alias("slice_ini"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitescan.functions import fasta_id
@@ -33,10 +33,13 @@ def filtered_sites(
 
 
 def fasta_records(
-    filtered: DataFrame, chunks: DataFrame, clamp: bool = False
+    filtered: DataFrame, chunks: DataFrame, clamp: bool = False, seen: Observation | None = None
 ) -> DataFrame:
-    """(ordinal, id, seq); sites without a sequence leave a gap in the ordinals."""
-    located = locate_sites(filtered, contig_lengths(chunks), clamp=clamp)
+    """(ordinal, id, seq); sites without a sequence leave a gap in the ordinals, and ``seen`` receives how many
+    they are (see ``locate_sites``)."""
+    located = locate_sites(filtered, contig_lengths(chunks), clamp=clamp, seen=seen)
+    if seen is not None:
+        located = cut_lineage(located)  # its rows are read twice below, and counted once
     return extract_sequences(located, chunks).select(
         "ordinal", fasta_id("ordinal", "chr_n", "pos_ini", "pos_end").alias("id"), "seq"
     )
@@ -53,10 +56,14 @@ def run_fasta_export(
     length: int = 0,
     clamp: bool = False,
     fasta_genome: str | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
-    """A ``;`` table in, FASTA parts in record order out; returns the filtered sites."""
+    """A ``;`` table in, FASTA parts in record order out; returns the filtered sites.
+
+    ``seen`` receives ``n_sites`` and ``n_skipped``, counted while the job runs.
+    """
     sites = read_table(spark, sites_path, row_order=True)
     filtered = cut_lineage(filtered_sites(sites, "row_ord", rules, default_pass, cols, length))
     chunks = stored_chunks(read_fasta_chunks(spark, fasta_path, genome=fasta_genome), filtered)
-    write_fasta(fasta_records(filtered, chunks, clamp), output_path)
+    write_fasta(fasta_records(filtered, chunks, clamp, seen), output_path)
     return filtered

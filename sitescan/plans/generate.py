@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitescan.defaults import CHUNK_OVERLAP, CORE_WORDS, DIST_GENES, PSEUDOCOUNT, SCORE_MULT
@@ -29,7 +29,9 @@ PEAK_ID = "peak_id"
 class GenerateTables:
     """The three tables; each plan is built when it is first asked for.
 
-    ``peak_id`` orders the peaks; ``site_order()`` orders the sites.
+    ``peak_id`` orders the peaks; ``site_order()`` orders the sites. ``counts`` has what was counted on the way
+    where the tables were materialized: ``n_sites`` and ``n_skipped``, and of a job over files ``n_rows``,
+    ``n_ids`` and ``n_genes`` of its expression table.
     """
 
     def __init__(self, peaks: DataFrame, located: DataFrame, genes: DataFrame, dist: int, counted, hits,
@@ -37,6 +39,7 @@ class GenerateTables:
         self._columns, self._located, self._genes, self._dist = peaks.columns, located, genes, dist
         self._make_counted, self._make_hits = counted, hits
         self._ordered, self._longest = ordered, longest
+        self.counts: dict[str, int] = {}
         self._one_based, self._keep = one_based, cut_lineage if materialize else lambda df: df
 
     @cached_property
@@ -113,15 +116,21 @@ def generate(
     of the peaks from sorted positions, which pays where many peaks share many hits.
     """
     made = chunks if callable(chunks) else lambda: chunks
-    located = locate_sites(peaks, contig_lengths(made()) if contigs is None else contigs, clamp=clamp)
+    seen = Observation("sites") if materialize else None
+    located = locate_sites(peaks, contig_lengths(made()) if contigs is None else contigs, clamp=clamp, seen=seen)
+    if materialize:
+        located = cut_lineage(located)
     with_expression = annotate_expression(genes, expression)
-    return GenerateTables(
+    tables = GenerateTables(
         peaks, located, with_expression, dist,
         counted=lambda: peak_gene_stats(located, with_expression, dist, ordered=ordered),
         hits=lambda: scan(prune_chunks(made(), located), words, motifs, score_mult, cutoffs, float32),
         one_based=one_based, materialize=materialize, ordered=ordered,
         longest=max(max(map(len, words), default=0), longest_motif(motifs)) if counts else None,
     )
+    if seen:
+        tables.counts.update(seen.get)
+    return tables
 
 
 def window_overlap(words: Sequence[str] = (), motifs: DataFrame | None = None) -> int:
@@ -163,10 +172,12 @@ def run_generate(
     peaks = with_ordinal(read_bed(spark, bed_path, row_order=True), "row_ord", PEAK_ID)
     peaks = cut_lineage(sample_peaks(peaks, test_mode, seed))
     annotation = cut_lineage(read_annotation(spark, annotation_path))
+    loaded = Observation("expression")
     expression = read_expression(
         spark, expression_path, id_col, value_col, name_col,
-        annotation if name_col is not None else None, sep=expression_sep,
+        annotation if name_col is not None else None, sep=expression_sep, seen=loaded,
     )
+    expression = cut_lineage(expression)
     motifs = cut_lineage(read_motifs(spark, motif_path, pseudocount)) if motif_path else None
     cutoffs = None
     if motifs is not None and score_cutoff is not None:
@@ -175,9 +186,10 @@ def run_generate(
     chunks = stored_chunks(read_fasta_chunks(spark, fasta_path, overlap=overlap, genome=fasta_genome), peaks)
     ordered = peaks.where("pos_end < pos_ini").isEmpty() and annotation.where("g_end < g_start").isEmpty()
     tables = generate(
-        peaks, annotation, cut_lineage(expression), chunks, words, motifs, score_mult, cutoffs, dist,
+        peaks, annotation, expression, chunks, words, motifs, score_mult, cutoffs, dist,
         one_based, clamp, float32, materialize=True, ordered=ordered, counts=True,
     )
+    tables.counts.update(loaded.get, n_genes=expression.count())
     write_table(
         tables.sites, f"{output_prefix}_binding_sites", order_by=site_order(),
         drop=[PEAK_ID, "strand", "hit_ord"],

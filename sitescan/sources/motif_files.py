@@ -52,17 +52,21 @@ def read_motif_counts(
     # Files of equal name in different folders are told apart by the folder.
     twins = F.size(F.collect_set("path").over(Window.partitionBy("file"))) > 1
     shown = F.when(twins, F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)).otherwise(F.col("file"))
-    # One row per motif: metadata-sized.
     rank_by: list = ["file", "path", "_k"]
     if names:
         shown = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("file")]
         place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
         rank_by = [place[F.col("file")], "path", "_k"]
     title = F.when(F.col("_k") == 0, shown).otherwise(F.concat(shown, F.lit(":"), F.col("_title")))
-    return ranked.select(
-        F.coalesce(title, F.concat(shown, F.lit(":"), F.col("_k"))).alias("motif"),
-        (F.dense_rank().over(Window.orderBy(*rank_by)) - 1).alias("motif_ord"),
-        F.col("pos"),
+    # The distinct motifs are ranked, not their cells.
+    each = ranked.groupBy("file", "path", "_k").agg(F.lit(1).alias("_one"))
+    places = each.select(
+        F.col("path").alias("_path"), F.col("_k").alias("_which"),
+        (F.row_number().over(Window.orderBy(*rank_by)) - 1).alias("motif_ord"),
+    )
+    ranked = ranked.withColumn("_shown", F.coalesce(title, F.concat(shown, F.lit(":"), F.col("_k"))))
+    return ranked.join(places, (F.col("path") == F.col("_path")) & (F.col("_k") == F.col("_which"))).select(
+        F.col("_shown").alias("motif"), "motif_ord", F.col("pos"),
         F.posexplode("_n").alias("_b", "count"),
     ).select("motif", "motif_ord", "pos", F.element_at(F.array(*map(F.lit, BASES)), F.col("_b") + 1).alias("base"), "count")
 

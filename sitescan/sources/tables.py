@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,16 +126,19 @@ def read_expression_rows(
     return rows if annotation is None else translate_names(rows, annotation)
 
 
-def _expression_rows(spark, path, id_col, value_col, name_col, annotation, sep) -> DataFrame:
+def _expression_rows(spark, path, id_col, value_col, name_col, annotation, sep, seen=None) -> DataFrame:
     if (name_col is None) != (annotation is None):
         raise ValueError("translating names needs both name_col and annotation")
-    return expression_rows(read_raw_expression(spark, path, id_col, value_col, name_col, sep))
+    return expression_rows(read_raw_expression(spark, path, id_col, value_col, name_col, sep), seen)
 
 
 def read_expression(
     spark: SparkSession, path: str, id_col: int = 0, value_col: int = 3, name_col: int | None = None,
-    annotation: DataFrame | None = None, sep: str = ";",
+    annotation: DataFrame | None = None, sep: str = ";", seen: Observation | None = None,
 ) -> DataFrame:
-    """(gene_id, fold_change): log2 values turned into signed fold changes, first row per gene."""
-    rows = _expression_rows(spark, path, id_col, value_col, name_col, annotation, sep)
+    """(gene_id, fold_change): log2 values turned into signed fold changes, first row per gene.
+
+    ``seen`` as in ``expression_rows``: the counts of the load, taken while it runs.
+    """
+    rows = _expression_rows(spark, path, id_col, value_col, name_col, annotation, sep, seen)
     return first_fold_change(rows) if annotation is None else first_translated(rows, annotation)

@@ -451,6 +451,11 @@ select p.peak_id, coalesce(string_agg(
 from peaks p left join written w
   on w.chr_n = p.chr_n and w.pos0 > p.pos_ini - {DIST_ORIGIN} and w.pos0 < p.pos_end + {DIST_ORIGIN}
 group by 1"""),
+    "p1_skipped_peaks": _with(["peaks", "contigs"], """
+select count(*) as n_sites, count(*) filter (where chr_n not in (select chr_n from contigs)) as n_skipped from peaks"""),
+    "p2_skipped_sites": _with(["sites", "contigs"], """
+select count(*) as n_sites, count(*) filter (where chr_n is null or chr_n not in (select chr_n from contigs)) as n_skipped
+from sites where coalesce(source <> 'click', true) and (chr_n <> '' or chr_n is null)"""),
     "p2_fasta_export": _with(["sites", "contigs", "seqs"], f"""
 , kept as (select chr_n, {_RESIZE.format(t=120)}, row_number() over (order by site_id) as ordinal
            from sites where coalesce(source <> 'click', true) and (chr_n <> '' or chr_n is null)),

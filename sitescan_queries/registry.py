@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitescan import operators as ops
@@ -607,6 +607,28 @@ def p1_gene_order(v: Views) -> DataFrame:
     return ops.gene_string(v.peaks, genes, DIST_ORIGIN, key="peak_id").select("peak_id", "str_genes_rnaseq_near")
 
 
+def _counts(v: Views, counts: dict[str, int]) -> DataFrame:
+    return v.spark.createDataFrame([(counts["n_sites"], counts["n_skipped"])], "n_sites bigint, n_skipped bigint")
+
+
+@query
+def p1_skipped_peaks(v: Views) -> DataFrame:
+    """Peaks without a sequence, counted by the pass that locates the others."""
+    tables = generate(
+        v.peaks, v.genes, v.expression, lambda: v.chunks, contigs=v.lengths, dist=DIST, materialize=True, ordered=True
+    )
+    return _counts(v, tables.counts)
+
+
+@query
+def p2_skipped_sites(v: Views) -> DataFrame:
+    """Sites that the export leaves out, counted while it reads the others."""
+    seen = Observation("export")
+    kept = filtered_sites(v.sites, "site_id", [("source", "click")], True, [1, 2, 3], 120)
+    fasta_records(kept, v.chunks, seen=seen)
+    return _counts(v, seen.get)
+
+
 @query
 def p2_fasta_export(v: Views) -> DataFrame:
     kept = filtered_sites(v.sites, "site_id", [("source", "click")], True, [1, 2, 3], 120)

@@ -51,7 +51,9 @@ def generate(spark, inputs, **kwargs):
 
 
 def test_generate(spark, inputs):
-    generate(spark, inputs)
+    tables = generate(spark, inputs)
+    # One of the four peaks lies on a chromosome without a sequence.
+    assert tables.counts == {"n_sites": 4, "n_skipped": 1, "n_rows": 3, "n_ids": 3, "n_genes": 3}
     head, body = lines(inputs["out"] + "/x_peaks")
     assert head == "chr_n;pos_ini;pos_end;n_genes;n_su;n_su_list;n_su_pssm;n_updown_total;n_upreg;n_downreg"
     # chrZ has no sequence and leaves all tables; E3 counts as changed although it is 0; E4 is not coding.
