@@ -1,9 +1,10 @@
 """Personal data: fixed formats first, then contextual extraction bootstrapped from them.
 
-Only DataFrame functions. What the formats find are the seeds. The words beside a seed are a lexical pattern;
-patterns and the values met in them form a graph. In turns a pattern is scored by the share of known values
-among its different values, and a value by the patterns it is met in; patterns that end with a high score
-report values of other formats too. Different values count, not occurrences, so copies add nothing.
+Only DataFrame functions. What the formats find are the seeds, whole. The words beside a seed are a lexical
+pattern; patterns and the values met in them form a graph. In turns a pattern is scored by the share of known
+values among its different values, and a value by the patterns it is met in; a value found so is known to the
+next turn, until no further pattern is trusted. Trusted patterns report values of other formats too. Different
+values count, not occurrences, so copies add nothing.
 
 What is found depends on the text alone: it is gathered per text digest and joined back to the rows.
 """
@@ -16,34 +17,49 @@ from pyspark.sql import functions as F
 from sitescan.llm.common import columns_of, digest, free_name, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone", "context")
-#: The formats. Repetitions that nothing follows are possessive, which changes no match.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+#: The formats. Repetitions that nothing follows are possessive, and a run of letters or digits is
+#: only tried from its beginning, or from the end of the match before: neither changes a match, and the time
+#: stays in proportion to the text.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"  # runs of fewer digits would be dropped
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: A value a pattern may report: letters, digits and marks inside, with a digit.
+#: A value a pattern may report: letters, digits, marks and brackets with a digit, and up to four more such groups
+#: after single spaces between digits or brackets. Marks at its ends are cut off.
 VALUE = (
-    r"(?<![A-Za-z0-9])(?=[A-Za-z._@:/+#-]*[0-9])[A-Za-z0-9+#](?:[A-Za-z0-9._@:/+#-]*[A-Za-z0-9])?"
+    r"(?<![A-Za-z0-9._@:/+#()-])(?=[A-Za-z._@:/+#()-]*+[0-9])[A-Za-z0-9._@:/+#()-]++"
+    r"(?:(?<=[0-9)])\x20(?=[0-9(])[A-Za-z0-9._@:/+#()-]++){0,4}+"
 )
 LEAST_LENGTH, LEAST_DIGITS = 6, 4
-ROUNDS = 3
-#: Different seeds a pattern needs, its least score, and what damps the score of patterns with few values.
+#: Longest stretch beside a value in which its neighbour words are looked for; longer words make no pattern.
+REACH = 120
+#: Different known values a pattern needs, its least score, and what damps the score of patterns with few values.
 LEAST_SEEDS, LEAST_SCORE, DAMPING = 3, 0.6, 1.0
 
 _FOUND = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 _SPANS = "array<struct<start:int,k:int,end:int,value:string>>"
+_SEEDS = "array<struct<start:int,k:int,end:int,value:string,patterns:array<string>>>"
+_VALUES = "array<struct<start:int,end:int,value:string,patterns:array<string>>>"
+_BLOCK = 64
+
+
+def none(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Matches from left to right with start, end (code points) and the text before and after, up to the next.
 
-    The text is split at the matches; the lengths of the pieces give the offsets.
+    The text is split at the matches; the lengths of the pieces give the offsets. They are added up block by
+    block, so that no long array is copied once a match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     pieces = F.split(text, pattern)
     rows = F.arrays_zip(pieces.alias("p"), found.alias("f"), F.slice(pieces, 2, F.size(found)).alias("n"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_FOUND})").alias("out"))
+    named = rows.cast("array<struct<p:string,f:string,n:string>>")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(_BLOCK)), lambda i: F.slice(named, i, _BLOCK))
+    begin = lambda at, kind: F.struct(at.alias("at"), none(kind).alias("out"))
 
     def step(held: Column, row: Column) -> Column:
         first = held["at"] + F.length(row["p"])
@@ -54,8 +70,31 @@ def matches(text: Column, pattern: str) -> Column:
         out = F.when(row["f"].isNull(), held["out"]).otherwise(F.concat(held["out"], F.array(one)))
         return F.struct(last.alias("at"), out.alias("out"))
 
-    named = rows.cast("array<struct<p:string,f:string,n:string>>")
-    return F.aggregate(named, start, step, lambda held: held["out"])
+    def block(held: Column, part: Column) -> Column:
+        made = F.aggregate(part, begin(held["at"], _FOUND), step)
+        return F.struct(made["at"].alias("at"), F.concat(held["out"], F.array(made["out"])).alias("out"))
+
+    return F.aggregate(blocks, begin(F.lit(0), f"array<{_FOUND}>"), block, lambda held: F.flatten(held["out"]))
+
+
+def patterns_of(before: Column, after: Column) -> Column:
+    """The two words before a value, and the words on either side, as far as they are there whole."""
+    ahead = F.when(F.length(before) <= REACH, F.concat(F.lit(" "), before)).otherwise(
+        F.substring(before, F.length(before) - REACH, F.lit(REACH + 1))
+    )
+    behind = F.when(F.length(after) <= REACH, F.concat(after, F.lit(" "))).otherwise(F.substring(after, 1, REACH + 1))
+    word = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]++"
+
+    def last(n: int) -> Column:
+        met = F.regexp_extract(ahead, r"[\x20\x09-\x0D]((?:%s){%d})$" % (word, n), 1)
+        return F.lower(F.rtrim(F.regexp_replace(met, r"[\x20\x09-\x0D]++", " ")))
+
+    two, one = last(2), last(1)
+    follows = F.lower(F.regexp_extract(behind, r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]", 1))
+    return F.array_compact(F.array(
+        F.when(two != "", F.concat(F.lit("2 "), two)),
+        F.when((one != "") & (follows != ""), F.concat(F.lit("1 "), one, F.lit(" _ "), follows)),
+    ))
 
 
 def digits_of(value: Column) -> Column:
@@ -79,101 +118,132 @@ def _octets(value: Column) -> Column:
     )
 
 
-def base_spans(text: Column) -> Column:
-    """Spans of the four formats as (start, k, end, value), k the kind's place in :data:`KINDS`.
+def format_spans(text: Column) -> list[Column]:
+    """For each format its spans in order, as (start, k, end, value, patterns); k is the kind's place in :data:`KINDS`.
 
     A cheap test of the text goes first: most texts have none of what a format needs.
     """
-    none = F.expr(f"cast(array() as {_SPANS})")
-
     def of(k: int, pattern: str, needed: Column, valid) -> Column:
         good = F.filter(matches(text, pattern), lambda m: valid(m["value"]))
         spans = F.transform(good, lambda m: F.struct(
-            m["start"].alias("start"), F.lit(k).alias("k"), m["end"].alias("end"), m["value"].alias("value")
+            m["start"].alias("start"), F.lit(k).alias("k"), m["end"].alias("end"), m["value"].alias("value"),
+            patterns_of(m["before"], m["after"]).alias("patterns"),
         ))
-        return F.when(needed, spans).otherwise(none)
+        return F.when(needed, spans).otherwise(none(_SEEDS))
 
     size = lambda v: F.length(digits_of(v))
-    return F.sort_array(F.concat(
+    return [
         of(0, EMAIL, F.contains(text, F.lit("@")), lambda v: F.lit(True)),
         of(1, IP, F.rlike(text, F.lit(r"[0-9]\.[0-9]")), _octets),
         of(2, CARD, F.rlike(text, F.lit(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]")),
            lambda v: size(v).between(14, 19) & luhn(digits_of(v))),
         of(3, PHONE, F.rlike(text, F.lit(r"\+[0-9]")), lambda v: size(v).between(10, 15)),
-    ))
+    ]
+
+
+def spans_of(seeds: Column) -> Column:
+    return F.transform(seeds, lambda s: F.struct(s["start"], s["k"], s["end"], s["value"])).cast(_SPANS)
 
 
-def facts_of(docs: DataFrame, text: str) -> DataFrame:
-    """The rows of ``docs`` with ``_digest``, ``_base`` and ``_values``: candidate values with their patterns.
+def candidates(text: Column, formats: list[Column]) -> Column:
+    """Candidate values outside the formats' spans as (start, end, value, patterns).
 
-    A value's patterns are the two words before it, and the words on either side. ``seed`` tells whether a
-    span of the formats begins at the value, ``inside`` whether it lies in one.
+    The spans of one format don't overlap, so the last one that begins before a value ends tells whether it
+    reaches into it.
     """
-    whole = text_of(text)
-    based = docs.select(*columns_of(docs), digest(whole).alias("_digest"), base_spans(whole).alias("_base"))
-    last = lambda piece, n: F.lower(F.regexp_extract(
-        F.substring(piece, F.greatest(F.length(piece) - 120, F.lit(0)) + 1, F.lit(121)),
-        r"((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d})$" % n, 1))
-    first = lambda piece: F.lower(F.regexp_extract(F.substring(piece, 1, 60), r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)", 1))
-    trimmed = lambda piece, n: F.regexp_replace(F.trim(last(piece, n)), r"[\x20\x09-\x0D]+", " ")
-    base = F.col("_base")
+    def reaches(spans: Column, m: Column) -> Column:
+        top = F.length(F.bin(F.size(spans))) - 1
+        steps = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda b: F.call_function("shiftleft", F.lit(1), b))
+        many = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (at + step <= F.size(spans)) & (F.get(spans, at + step - 1)["start"] < m["end"]), at + step
+        ).otherwise(at))
+        return F.coalesce(F.get(spans, many - 1)["end"] > m["start"], F.lit(False))
 
     def value(m: Column) -> Column:
-        two, one, after = trimmed(m["before"], 2), trimmed(m["before"], 1), first(m["after"])
-        patterns = F.array_compact(F.array(
-            F.when(two != "", F.concat(F.lit("2 "), two)),
-            F.when((one != "") & (after != ""), F.concat(F.lit("1 "), one, F.lit(" _ "), after)),
-        ))
+        left = F.ltrim(m["value"], F.when(F.contains(m["value"], F.lit(")")), "._@:/)-").otherwise("._@:/)-("))
+        core = F.rtrim(left, F.when(F.contains(m["value"], F.lit("(")), "._@:/+#(-").otherwise("._@:/+#(-)"))
+        start = m["start"] + F.length(m["value"]) - F.length(left)
+        # What was cut off stands between the value and its neighbour.
+        before = F.when(start == m["start"], m["before"]).otherwise("")
+        after = F.when(F.length(left) == F.length(core), m["after"]).otherwise("")
         return F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), patterns.alias("patterns"),
-            F.exists(base, lambda b: b["start"] == m["start"]).alias("seed"),
-            F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])).alias("inside"),
+            start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), patterns_of(before, after).alias("patterns"),
         )
 
-    found = F.transform(matches(whole, VALUE), value)
-    kind = "array<struct<start:int,end:int,value:string,patterns:array<string>,seed:boolean,inside:boolean>>"
-    return based.withColumn("_values", F.when(F.rlike(whole, F.lit("[0-9]")), found).otherwise(F.expr(f"cast(array() as {kind})")))
+    def outside(m: Column) -> Column:
+        inside = F.lit(False)
+        for spans in formats:
+            inside = inside | reaches(spans, m)
+        return ~inside
+
+    found = F.transform(F.filter(matches(text, VALUE), outside), value)
+    return F.when(F.rlike(text, F.lit("[0-9]")), found).otherwise(none(_VALUES))
+
+
+def facts_of(docs: DataFrame, own: list[Column], text: Column) -> DataFrame:
+    """``own, digest, base, edges, values``: the columns ``own`` as one struct, what the formats find, the seeds with
+    their patterns, and the candidate values with theirs."""
+    whole = docs.select(F.struct(*own).alias("own"), F.coalesce(text, F.lit("")).alias("text"))
+    formats = whole.select("own", "text", *[c.alias(f"f{k}") for k, c in enumerate(format_spans(F.col("text")))])
+    found = [F.col(f"f{k}") for k in range(len(KINDS) - 1)]
+    every = F.sort_array(F.concat(*[spans_of(f) for f in found]))
+    return formats.select(
+        "own", digest(F.col("text")).alias("digest"), every.alias("base"), F.concat(*found).alias("seeds"),
+        candidates(F.col("text"), found).alias("values"),
+    )
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
+def score_patterns(edges: DataFrame, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
     """``pattern, score`` of the patterns that end up trusted.
 
-    ``edges`` has ``pattern, value, seed``, one row each pair. Known values weigh 1, the others what their
-    patterns make of them: 1 - prod(1 - score). A value's weight never includes a pattern below the least score.
+    ``edges`` has ``pattern, value, seed``, one row each pair. Known values weigh 1, the others what the trusted
+    patterns they are met in make of them: 1 - prod(1 - score). A pattern is trusted if enough of its values, known
+    or made so, are at least as sure as a trusted pattern, and it scores enough. Weights only grow, and so do the
+    trusted patterns: the rounds end when a round trusts no other than the one before.
     """
-    weights, scored = None, None
-    for turn in range(rounds):
+    weights, before = None, -1
+    while True:
         if weights is None:
             now = edges.withColumn("weight", F.col("seed").cast("double"))
         else:
             now = edges.join(weights, "value", "left").select(
                 "pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("w", F.lit(0.0))).alias("weight")
             )
-        scored = now.groupBy("pattern").agg(
-            F.sum("weight").alias("known"), F.count(F.lit(1)).alias("values"), F.sum(F.col("seed").cast("int")).alias("seeds"),
-        ).select("pattern", (F.col("known") / (F.col("values") + DAMPING)).alias("score"), "seeds").where(
-            (F.col("seeds") >= least_seeds) & (F.col("score") >= least_score)
-        )
-        scored = stored(scored.select("pattern", "score"))
-        if turn < rounds - 1:
-            weights = stored(edges.where("not seed").join(scored, "pattern").groupBy("value").agg(
-                (1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("w")
-            ))
-    return scored
-
-
-def context_spans(facts: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``_at, _context``: per text digest the spans that trusted patterns report outside the formats' spans."""
-    values = facts.select("_digest", F.explode("_values").alias("v")).select("_digest", "v.*")
-    met = values.select(F.explode("patterns").alias("pattern"), "value", "seed", "inside")
-    edges = stored(met.where("seed or not inside").groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    trusted = score_patterns(edges, rounds, least_seeds, least_score)
-    open_values = values.where(
-        ~F.col("inside") & (F.length("value") >= LEAST_LENGTH) & (F.length(digits_of(F.col("value"))) >= LEAST_DIGITS)
-    ).select("_digest", "start", "end", "value", F.explode("patterns").alias("pattern"))
-    reported = open_values.join(trusted.select("pattern"), "pattern").select("_digest", "start", "end", "value").distinct()
+        scored = stored(now.groupBy("pattern").agg(
+            F.sum("weight").alias("known"), F.count(F.lit(1)).alias("values"), F.count_if(F.col("weight") >= least_score).alias("sure"),
+        ).select("pattern", (F.col("known") / (F.col("values") + DAMPING)).alias("score"), "sure").where(
+            (F.col("sure") >= least_seeds) & (F.col("score") >= least_score)
+        ).select("pattern", "score"))
+        trusted = scored.count()
+        if trusted <= before or not trusted:
+            return scored
+        before = trusted
+        weights = stored(edges.where("not seed").join(scored, "pattern").groupBy("value").agg(
+            (1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("w")
+        ))
+
+
+def context_spans(facts: DataFrame, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
+    """``at, context``: per text digest the spans that trusted patterns report outside the formats' spans."""
+    def met(column: str, seed: bool) -> DataFrame:
+        listed = facts.select(F.explode(column).alias("v")).select(F.explode("v.patterns").alias("pattern"), F.col("v.value").alias("value"))
+        return listed.withColumn("seed", F.lit(seed))
+
+    edges = stored(met("seeds", True).unionByName(met("values", False)).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    trusted = score_patterns(edges, least_seeds, least_score)
+    open_values = facts.select("digest", F.explode("values").alias("v")).select("digest", "v.*").where(
+        (F.length("value") >= LEAST_LENGTH) & (F.length(digits_of(F.col("value"))) >= LEAST_DIGITS)
+    ).select("digest", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    reported = open_values.join(trusted.select("pattern"), "pattern").select("digest", "start", "end", "value").distinct()
     span = F.struct("start", F.lit(4).alias("k"), "end", "value")
-    return reported.groupBy("_digest").agg(F.sort_array(F.collect_list(span)).alias("_context")).withColumnRenamed("_digest", "_at")
+    return reported.groupBy("digest").agg(F.sort_array(F.collect_list(span)).alias("context")).withColumnRenamed("digest", "at")
+
+
+def _all_spans(facts: DataFrame, **options: float) -> DataFrame:
+    """``own, spans`` of every row of the stored ``facts``."""
+    context = stored(context_spans(facts, **options))
+    joined = facts.select("own", "digest", "base").join(context, F.col("digest") == F.col("at"), "left")
+    return joined.select("own", F.sort_array(F.concat("base", F.coalesce("context", none(_SPANS)))).alias("spans"))
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", keep: list[str] | None = None, **options: float) -> DataFrame:
@@ -181,15 +251,13 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: list[str] | No
 
     ``keep`` names the columns to return (all by default); others, a text above all, are then not stored. A
     missing text counts as empty and has no findings. Texts are searched whole; rows that repeat are searched
-    alike; a clashing name gets a trailing underscore.
+    alike; an empty table gives no rows; columns may have any name, and a clashing one gives the findings a
+    trailing underscore.
     """
     kept = docs.columns if keep is None else keep
-    facts = facts_of(docs, text).select(*[F.col(f"`{c}`") for c in kept], "_digest", "_base", "_values")
-    facts = stored(facts)
-    context = stored(context_spans(facts, **options))
-    joined = facts.join(context, F.col("_digest") == F.col("_at"), "left")
-    every = F.sort_array(F.concat("_base", F.coalesce("_context", F.expr(f"cast(array() as {_SPANS})"))))
-    return joined.select(*[F.col(f"`{c}`") for c in kept], every.alias(free_name(docs, "findings")))
+    facts = stored(facts_of(docs, [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`")))
+    found = _all_spans(facts, **options)
+    return found.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(kept)], F.col("spans").alias(free_name(docs, "findings")))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -211,15 +279,16 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", **options: float) -> DataFrame:
     """``docs`` with personal data masked in the text; the columns stay.
 
-    A text without a digit and an at sign can have no findings and is passed on; only the others are shuffled.
+    A text without a digit and an at sign can have no findings and is passed on; only the others are searched,
+    and of these only rows with findings are made anew. Missing texts stay missing.
     """
     possible = F.rlike(text_of(text), F.lit("[0-9@]"))
-    some = docs.where(possible)
-    facts = stored(facts_of(some.select(F.col(f"`{text}`").alias("text")), "text").select("_digest", "_base", "_values"))
-    context = stored(context_spans(facts, **options))
-    key = free_name(docs, "digest")
-    marked = some.withColumn(key, digest(text_of(text))).join(context, F.col(f"`{key}`") == F.col("_at"), "left")
-    spans = F.sort_array(F.concat(base_spans(F.col(f"`{text}`")), F.coalesce("_context", F.expr(f"cast(array() as {_SPANS})"))))
-    spanned = marked.select(*columns_of(docs), spans.alias("_all_spans"))
-    new = F.when(F.size("_all_spans") > 0, masked(F.col(f"`{text}`"), F.col("_all_spans"))).otherwise(F.col(f"`{text}`"))
-    return spanned.withColumn(text, new).select(*columns_of(docs)).unionByName(docs.where(~possible))
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    at = docs.columns.index(text)
+    facts = stored(facts_of(docs.where(possible), own, F.col(f"`{text}`")))
+    body = F.col(f"own.c{at}")
+    new = F.when(F.size("spans") > 0, masked(body, F.col("spans"))).otherwise(body)
+    made = _all_spans(facts, **options).select(
+        *[(new if i == at else F.col(f"own.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    )
+    return made.union(docs.where(~possible).select(*columns_of(docs)))
