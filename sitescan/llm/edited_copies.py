@@ -237,7 +237,7 @@ def link_copies(
     sets = stored(shingle_sets(texts, total, size, similar))
     # ``room`` counts the shingles from this one on: a bound of what a pair that meets here first can share.
     posted = stored(sets.select(F.col("doc").alias("x"), "n", "before", "indexed", F.posexplode("prefix").alias("i", "h")).select(
-        "x", "n", "h", (F.col("n") - F.col("before") - F.col("i")).alias("room"), (F.col("i") < F.col("indexed")).alias("short"),
+        "x", "n", "h", "before", (F.col("n") - F.col("before") - F.col("i")).alias("room"), (F.col("i") < F.col("indexed")).alias("short"),
     ))
     now = stored(classes.join(sets.select("doc"), "doc").groupBy(F.col("doc").alias("x")).agg(F.min("root").alias("a")))
     edges = classes.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0)
@@ -250,18 +250,19 @@ def link_copies(
     before = None
     while True:
         held = posted.join(now, "x")
-        one = F.min(F.struct((~F.col("short")).alias("long"), "x", "n", "room", "short")).alias("one")
+        # The one with the fewest shingles of its own: a text is so preferred to what was made of it.
+        one = F.max(F.struct((-F.col("before")).alias("own"), "short", "x", "n", "room")).alias("one")
         groups = held.groupBy("h", "a").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("short")).alias("s"), one)
         buckets = stored(groups.groupBy("h").agg(
             F.sum("c").alias("all"), F.sum("s").alias("brief"), F.sum(F.col("c") * F.col("s")).alias("same"),
-            F.max(F.struct("c", "a", "one")).alias("top"),
+            F.max(F.struct("c", "one", "a")).alias("top"),
         ).where("`all` * brief > same"))
         rows, left = buckets.agg(
             F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(F.col("all") * F.col("brief") - F.col("same")), F.lit(0)),
         ).first()
         if not rows:
             return edges
-        last = left <= PAIRS * rows or before is not None and left * 2 > before
+        last = left <= PAIRS * rows or before is not None and left * 10 > before * 9
         if last:
             open_ = held.join(buckets.select("h"), "h")
             other = open_.where("short").select(
