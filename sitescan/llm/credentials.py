@@ -1,14 +1,16 @@
 """Secret scan with multipart credential linking.
 
 Strong findings stand alone. Weak ones (a short assigned secret, a random-looking string, an account name, an
-address) are reported only where a complementary part lies in the same scope: the parts' intervals, widened by
-the reach and cut at blank lines, are joined by a sweep over the sorted starts of each kind.
+address) are reported only where a complementary part lies in the same scope, however far apart the two are. A
+scope is a block between blank lines; blank lines inside braces part nothing, so an object is in one scope. A
+text without either is running text: there the parts' intervals, widened by a distance, have to meet. Both joins
+are sweeps over sorted intervals.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ IDENTIFIER = re.compile(
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII)
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 WEAK_ASSIGN_LENGTH = 6
-#: Code points between two parts of one credential.
+#: Code points between two parts of one credential in running text.
 REACH = 200
 BREAK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -61,44 +63,77 @@ def random_looking(part: str) -> bool:
     return kinds == 3 and len(set(part)) * 2 >= min(len(part), 32)
 
 
-def near(spans: list[Span], starts: list[int], longest: int, breaks: list[int], span: Span, reach: int) -> bool:
-    """Whether one of the sorted ``spans`` lies within the reach of ``span`` in the same scope."""
-    _, first, last = span
-    scope = bisect_left(breaks, first + 1)
-    for k in range(bisect_left(starts, first - reach - longest), len(spans)):
-        _, a, b = spans[k]
-        if a > last + reach:
-            return False
-        if b >= first - reach and bisect_left(breaks, a + 1) == scope:
-            return True
-    return False
+def objects(text: str) -> list[tuple[int, int]]:
+    """The outermost pairs of braces, by start; a brace without its partner is none."""
+    opened, found = [], []
+    for m in re.finditer("[{}]", text):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened:
+            first = opened.pop()
+            while found and found[-1][0] > first:
+                found.pop()
+            found.append((first, m.end()))
+    return found
+
+
+def scope_borders(text: str) -> list[int] | None:
+    """Where one scope ends and the next begins; None in running text."""
+    inside = objects(text) if "{" in text else []
+    starts = [a for a, _ in inside]
+    breaks = [m.start() for m in BREAK.finditer(text)]
+    if not breaks and not inside:
+        return None
+    out = []
+    for at in breaks:
+        k = bisect_left(starts, at)
+        if not k or inside[k - 1][1] <= at:
+            out.append(at)
+    return out
+
+
+class Near:
+    """Whether one of many spans lies in the scope of another, or within reach of it in running text."""
+
+    def __init__(self, spans: list[Span], borders: list[int] | None, reach: int):
+        self.borders, self.reach = borders, reach
+        if borders is not None:
+            self.scopes = {bisect_left(borders, a + 1) for _, a, _ in spans}
+            return
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        # The furthest end so far: one long span makes no look back over the others.
+        self.ends = list(accumulate((b for _, b in ordered), max))
+
+    def __call__(self, span: Span) -> bool:
+        _, first, last = span
+        if self.borders is not None:
+            return bisect_left(self.borders, first + 1) in self.scopes
+        at = bisect_right(self.starts, last + self.reach)
+        return at > 0 and self.ends[at - 1] >= first - self.reach
 
 
 def find_credentials(text: str, reach: int = REACH) -> list[Span]:
     """All spans by start and then by kind: the strong ones and the weak ones that complement each other.
 
-    A weak secret needs an identifier, an access id or an endpoint nearby; an identifier needs a secret; an
+    A weak secret needs an identifier, an access id or an endpoint in its scope; an identifier needs a secret; an
     endpoint needs a secret and so is reported with it. Parts inside a strong span are not reported again.
     """
     strong, weak = base_spans(text)
     identifiers = [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
     endpoints = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
-    names = sorted([s for s in strong if s[0] == "access"] + identifiers + endpoints, key=lambda s: s[1:])
+    names = [s for s in strong if s[0] == "access"] + identifiers + endpoints
     if not names:
         return sorted(strong, key=_order)
     inside, named = _Cover(strong), _Cover(endpoints + identifiers)
     weak += [("secret", *m.span()) for m in RANDOM.finditer(text) if random_looking(m.group())]
     weak = [s for s in weak if not inside(s) and not named(s)]
-    secrets = sorted([s for s in strong if s[0] != "access"] + weak, key=lambda s: s[1:])
+    secrets = [s for s in strong if s[0] != "access"] + weak
     if not secrets:
         return sorted(strong, key=_order)
-    breaks = [m.start() for m in BREAK.finditer(text)]
-
-    def joined(left: list[Span], right: list[Span]) -> list[Span]:
-        starts, longest = [s[1] for s in right], max((s[2] - s[1] for s in right), default=0)
-        return [s for s in left if near(right, starts, longest, breaks, s, reach)]
-
-    found = joined(weak, names) + joined([s for s in identifiers + endpoints if not inside(s)], secrets)
+    borders = scope_borders(text)
+    found = list(filter(Near(names, borders, reach), weak))
+    found += filter(Near(secrets, borders, reach), [s for s in identifiers + endpoints if not inside(s)])
     return sorted({*strong, *found}, key=_order)
 
 
