@@ -1,7 +1,8 @@
 """URL filter: host and path rules, then a weighted vocabulary counted by an Aho-Corasick automaton.
 
-A term counts where neither neighbour in the lower-cased URL is an ASCII letter or digit. One strict term, or
-``soft_limit`` different soft terms, block the URL.
+A term counts where neither neighbour in the lower-cased URL is an ASCII letter or digit. One strict term blocks
+the URL, and so do different soft terms whose weights add up to ``soft_limit``. The vocabulary is a table of terms,
+classes and weights; the one below is the default.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SOFT = (
     "sex", "click", "offer", "promo", "sale", "dating", "x", "farm",
 )
 SOFT_LIMIT = 2
+#: Terms that a vocabulary may have: the automaton goes to every task.
+MOST_TERMS = 1_000_000
 
 _INNER = frozenset(LOWER + UPPER + "0123456789")
 
@@ -59,60 +62,84 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
-    """Terms as (strict?, term); a term on both lists is strict."""
+def vocabulary_of(table: DataFrame | None = None) -> list[tuple[str, bool, float]]:
+    """(term, strict?, weight) of a table ``term, class, weight``, where class is ``strict`` or ``soft``.
+
+    Without a table the default terms, each of weight 1. Terms are lower-cased; empty or missing ones are left out,
+    a term that repeats is strict if any of its rows is, and has the greatest of its weights (missing: 1).
+    """
+    if table is None:
+        return [(t, True, 1.0) for t in STRICT] + [(t, False, 1.0) for t in SOFT if t not in STRICT]
+    term, strict = lower_az(F.col("term")), F.col("class") == "strict"
+    wrong = table.where(~F.col("class").isin("strict", "soft") | F.col("class").isNull()).select("class").limit(1).collect()
+    if wrong:
+        raise ValueError(f"a term of class {wrong[0][0]!r}")
+    rows = table.where(F.length("term") > 0).groupBy(term.alias("t")).agg(
+        F.max(strict).alias("s"), F.max(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("w")
+    ).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return sorted((r["t"], r["s"], r["w"]) for r in rows)
+
+
+def automaton(vocabulary: Sequence[tuple[str, bool, float]]) -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
-    for term in soft:
-        made.add_word(term, (False, term))
-    for term in strict:
-        made.add_word(term, (True, term))
+    for term, strict, weight in vocabulary:
+        made.add_word(term, (term, strict, weight))
     if len(made):
         made.make_automaton()
     return made
 
 
-def count_terms(text: str, terms: ahocorasick.Automaton) -> tuple[list[str], list[str]]:
-    """Different strict and soft terms that stand alone in a lower-cased text, sorted."""
-    found: tuple[set, set] = (set(), set())
+def count_terms(text: str, terms: ahocorasick.Automaton) -> tuple[list[str], list[str], float]:
+    """Different strict and soft terms that stand alone in a lower-cased text, sorted, and the weight of the soft ones."""
+    strict_terms: set[str] = set()
+    soft_terms: dict[str, float] = {}
     if len(terms):
-        for last, (strict, term) in terms.iter(text):
+        for last, (term, strict, weight) in terms.iter(text):
             first = last - len(term) + 1
             if (first == 0 or text[first - 1] not in _INNER) and (last + 1 == len(text) or text[last + 1] not in _INNER):
-                found[0 if strict else 1].add(term)
-    return sorted(found[0]), sorted(found[1])
+                if strict:
+                    strict_terms.add(term)
+                else:
+                    soft_terms[term] = weight
+    return sorted(strict_terms), sorted(soft_terms), sum(soft_terms.values())
 
 
 def judge_urls(
-    pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT, soft_limit: int = SOFT_LIMIT,
+    pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, vocabulary: DataFrame | None = None,
+    soft_limit: float = SOFT_LIMIT,
 ) -> DataFrame:
-    """Every row of ``pages`` with ``host, path, rule, verdict, strict_terms, soft_terms`` added.
+    """Every row of ``pages`` with ``host, path, rule, verdict, strict_terms, soft_terms, soft_weight`` added.
 
-    The whole URL is searched, so terms in a path or query count too. A missing URL and one without ``://``
+    ``vocabulary`` is a table ``term, class, weight``, see :func:`vocabulary_of`. The whole URL is searched, so terms in a path or query count too. A missing URL and one without ``://``
     have empty host and path; the terms of the latter still count, the former is allowed. Names that clash
     with columns of ``pages`` get a trailing underscore. Rows that repeat are judged alike.
     """
 
+    shared = pages.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
+
     def kernel():
-        terms, lower = automaton(strict, soft), str.maketrans(UPPER, LOWER)
+        terms, lower = automaton(shared.value), str.maketrans(UPPER, LOWER)
 
         def work(texts: list) -> dict:
-            pairs = [count_terms((t or "").translate(lower), terms) for t in texts]
-            return {"strict_terms": [p[0] for p in pairs], "soft_terms": [p[1] for p in pairs]}
+            found = [count_terms((t or "").translate(lower), terms) for t in texts]
+            return dict(zip(("strict_terms", "soft_terms", "soft_weight"), map(list, zip(*found))))
 
         return work
 
-    names = {c: free_name(pages, c) for c in ("host", "path", "rule", "verdict", "strict_terms", "soft_terms")}
+    names = {c: free_name(pages, c) for c in ("host", "path", "rule", "verdict", "strict_terms", "soft_terms", "soft_weight")}
     own = F.struct(*columns_of(pages)).alias("_row")
-    counted = map_texts(pages, [own], F.col(f"`{url}`"), kernel, "strict_terms array<string>, soft_terms array<string>")
+    counted = map_texts(pages, [own], F.col(f"`{url}`"), kernel, "strict_terms array<string>, soft_terms array<string>, soft_weight double")
     address = F.col(f"_row.`{url}`")
     host, path = host_of(address), path_of(address)
     parts = counted.select("*", host.alias("_host"), path.alias("_path"))
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
-    bad = (F.size("strict_terms") > 0) | (F.size("soft_terms") >= soft_limit)
+    bad = (F.size("strict_terms") > 0) | (F.col("soft_weight") >= soft_limit)
     return parts.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in pages.columns],
         F.col("_host").alias(names["host"]), F.col("_path").alias(names["path"]), rule.alias(names["rule"]),
         F.coalesce(verdict, F.when(bad, "block").otherwise("allow")).alias(names["verdict"]),
         F.col("strict_terms").alias(names["strict_terms"]), F.col("soft_terms").alias(names["soft_terms"]),
+        F.col("soft_weight").alias(names["soft_weight"]),
     )
