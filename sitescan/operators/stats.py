@@ -193,17 +193,31 @@ def gene_string(
 
 def cooccupancy_flags(
     located: DataFrame, hits: DataFrame, names: Sequence[str], bits: int = HIT_BIN_BITS, key: str | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
-    """Located sites with one 0/1 column per motif name; ``key`` as in :func:`gene_string`."""
+    """Located sites with one 0/1 column per motif name; ``key`` as in :func:`gene_string`.
+
+    With ``longest``, the length of the longest hit, the flags come from sorted hit positions as the counts of
+    :func:`peak_site_stats` do, and only shorter slices are paired with their hits.
+    """
     clash = set(names) & set(located.columns)
     if clash:
         raise ValueError(f"motif names {sorted(clash)} are also site columns")
     if not names:
         return located
+    narrow = hits.select("chr_n", "start", "hit_len", "tf_name")
+    if longest is not None:
+        size = F.col("slice_end") - F.col("slice_ini")
+        counts = {f"_n{i}": F.coalesce(F.col("tf_name") == n, F.lit(False)).cast("int") for i, n in enumerate(names)}
+        counted = count_contained(
+            located.where(size >= longest), F.col("chr_n"), F.col("slice_ini"), F.col("slice_end"), narrow, F.col("chr_n"),
+            F.col("start"), F.col("start") + F.col("hit_len"), counts,
+        )
+        most = counted.select(*_columns(located), *[(F.col(f"_n{i}") > 0).cast("int").alias(n) for i, n in enumerate(names)])
+        return most.unionByName(cooccupancy_flags(located.where(size < longest), hits, names, bits, key))
     flags = [
         F.coalesce(F.max(F.when(F.col("hit_tf_name") == n, 1)), F.lit(0)).alias(n) for n in names
     ]
-    narrow = hits.select("chr_n", "start", "hit_len", "tf_name")
     return _per_key(
         located, key, lambda left: hits_in_slices(left, narrow, "left", bits), ("chr_n", *SLICE_COLUMNS), *flags
     )

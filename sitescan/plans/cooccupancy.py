@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitescan.defaults import DIST_GENES, DIST_SITES, PSEUDOCOUNT, SCORE_MULT
 from sitescan.operators.filters import SITE_COLUMNS, site_key_columns, skipped_count
-from sitescan.operators.motifs import motif_cutoffs
+from sitescan.operators.motifs import longest_motif, motif_cutoffs
 from sitescan.operators.ordering import with_ordinal
 from sitescan.operators.scan import scan
 from sitescan.operators.sequences import contig_lengths, locate_sites, prune_chunks
@@ -57,12 +57,14 @@ def cooccupancy(
     clamp: bool = False,
     float32: bool = False,
     materialize: bool = False,
+    counts: bool = False,
 ) -> CooccupancyTables:
     """Both tables as lazy DataFrames.
 
     ``sites`` has a unique ``site_id`` next to its own columns; its coordinates are found by name, else as
     the first three other columns. ``names`` are the motif names that get a flag column. In the hits table a
-    site column wins over a hit column of the same name; the hit's own values stay in ``hit_*`` columns.
+    site column wins over a hit column of the same name; the hit's own values stay in ``hit_*`` columns. ``counts``
+    takes the flags from sorted hit positions, which pays where many sites share many hits.
     """
     own = [c for c in sites.columns if c != SITE_ID]
     clash = set(own) & {*names, GENES}
@@ -82,7 +84,8 @@ def cooccupancy(
     tail = [F.col(f"`{c}`") for c in (GENES, *names)]
 
     def sites_table() -> DataFrame:
-        return cooccupancy_flags(named, hits, names, key=SITE_ID).select(SITE_ID, *carried, *tail)
+        longest = longest_motif(motifs) if counts else None
+        return cooccupancy_flags(named, hits, names, key=SITE_ID, longest=longest).select(SITE_ID, *carried, *tail)
 
     def hits_table() -> DataFrame:
         # A site in the hits table has its hits at hand, so its flags need no second pass over the scan;
@@ -162,7 +165,7 @@ def run_cooccupancy(
     chunks = stored_chunks(read_fasta_chunks(spark, fasta_path, overlap=overlap, genome=fasta_genome), named)
     tables = cooccupancy(
         sites, cut_lineage(genes), chunks, motifs, columns, dist_sites, dist_genes, score_mult,
-        label_mode, one_based, clamp, float32, materialize=True,
+        label_mode, one_based, clamp, float32, materialize=True, counts=True,
     )
     own_ids = [SITE_ID]
     write_table(tables.sites, f"{output_prefix}_sites_genes", order_by=[SITE_ID], drop=own_ids)

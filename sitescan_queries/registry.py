@@ -363,7 +363,7 @@ def a7_gene_string(v: Views) -> DataFrame:
 def a8_cooccupancy_flags(v: Views) -> DataFrame:
     hits = ops.scan_motifs(v.chunks, v.motifs, MULT)
     names = ["M0", "M1", "M2", "absent"]
-    return ops.cooccupancy_flags(_located(v), hits, names, key="peak_id").select("peak_id", *names)
+    return ops.cooccupancy_flags(_located(v), hits, names, key="peak_id", longest=7).select("peak_id", *names)
 
 
 @query

@@ -272,3 +272,16 @@ def test_hit_counts_equal_those_of_the_pairs(spark, rows, longest):
     found = spark.createDataFrame(hits, "chr_n string, start bigint, hit_len int, source string")
     want = rows(peak_site_stats(located, found))
     assert rows(peak_site_stats(located, found, longest=longest)) == want and any(x[-3] for x in want)
+
+
+def test_flags_equal_those_of_the_pairs(spark, rows):
+    from sitescan.operators import cooccupancy_flags
+
+    r = random.Random(16)
+    sites = [(i, r.choice(["c", "d"]), 1, 2, a, a + r.choice([0, 3, 8, 9, 50, 400]), 0) for i, a in enumerate(r.sample(range(9000), 150))]
+    hits = [(r.choice(["c", "e"]), a, r.choice([5, 7, 9]), r.choice(["m 1", "m`2", "other", None])) for a in (r.randrange(9400) for _ in range(900))]
+    located = spark.createDataFrame(sites, PEAK + ", slice_ini bigint, slice_end bigint, slice_shift bigint")
+    found = spark.createDataFrame(hits, "chr_n string, start bigint, hit_len int, tf_name string")
+    names = ["m 1", "other", "never"]
+    want = rows(cooccupancy_flags(located, found, names, key="peak_id"))
+    assert rows(cooccupancy_flags(located, found, names, key="peak_id", longest=9)) == want and sum(x[-2] for x in want) > 5
