@@ -59,9 +59,12 @@ class Motif(NamedTuple):
 
 
 def motif_rows(
-    motifs: DataFrame, score_mult: float = SCORE_MULT, cutoffs: dict[str, float] | None = None
+    motifs: DataFrame, score_mult: float = SCORE_MULT, cutoffs: dict[str, float] | float | None = None
 ) -> DataFrame:
-    """One row a motif: ``motif, motif_ord, cells (pos, base, log_odds), cutoff``."""
+    """One row a motif: ``motif, motif_ord, cells (pos, base, log_odds), cutoff``.
+
+    ``cutoffs`` is one number for all motifs or names them; without it a cutoff is ``score_mult`` of the best score.
+    """
     if "motif_ord" not in motifs.columns:
         motifs = motifs.withColumn("motif_ord", F.lit(0))
     rows = motifs.groupBy("motif").agg(
@@ -69,6 +72,8 @@ def motif_rows(
     )
     if cutoffs is None:
         return rows.join(motif_cutoffs(motifs, score_mult).select("motif", "cutoff"), "motif")
+    if not isinstance(cutoffs, dict):
+        return rows.withColumn("cutoff", F.lit(float(cutoffs)))
     given = F.create_map(*[F.lit(x) for kv in cutoffs.items() for x in (kv[0], float(kv[1]))]) if cutoffs else None
     return rows.withColumn("cutoff", given[F.col("motif")] if cutoffs else F.lit(None).cast("double"))
 

@@ -347,7 +347,7 @@ def scan(
     words: Sequence[str] = (),
     motifs: DataFrame | None = None,
     score_mult: float = SCORE_MULT,
-    cutoffs: dict[str, float] | None = None,
+    cutoffs: dict[str, float] | float | None = None,
     float32: bool = False,
     max_cells: int = PANEL_CELLS,
 ) -> DataFrame:
@@ -355,7 +355,7 @@ def scan(
 
     Words: exact, case-insensitive, overlapping, upper-case ``seq``; a palindrome hits once per position and
     a word given twice hits twice. Motifs: ``score >= cutoff`` (``score_mult`` of the best score unless
-    ``cutoffs`` names them); ``seq`` keeps its case; letters other than ACGT give no hit. ``float32``
+    ``cutoffs`` names them or is one for all); ``seq`` keeps its case; letters other than ACGT give no hit. ``float32``
     rounds the scores to single precision before the test.
 
     The chunks are read where they lie and never shuffled. All words go to every task as one table; motifs do in
@@ -391,7 +391,7 @@ def scan(
 
 
 def _panels(
-    motifs: DataFrame, score_mult: float, cutoffs: dict[str, float] | None, max_cells: int, overlap: int,
+    motifs: DataFrame, score_mult: float, cutoffs: dict[str, float] | float | None, max_cells: int, overlap: int,
 ) -> Iterator[list[Motif]]:
     """The motifs in their order, in panels of at most ``max_cells`` weights; the driver holds one at a time."""
     rows = motif_rows(motifs, score_mult, cutoffs).orderBy("motif_ord", "motif")
@@ -419,7 +419,7 @@ def scan_words(chunks: DataFrame, words: Sequence[str], method: str = "arrow") -
 
 def scan_motifs(
     chunks: DataFrame, motifs: DataFrame, score_mult: float = SCORE_MULT,
-    cutoffs: dict[str, float] | None = None, float32: bool = False, method: str = "arrow",
+    cutoffs: dict[str, float] | float | None = None, float32: bool = False, method: str = "arrow",
 ) -> DataFrame:
     """Weighted motifs on both strands; ``method='native'`` sums column expressions over JVM windows."""
     if method == "arrow":

@@ -96,7 +96,7 @@ def generate(
     words: Sequence[str] = (),
     motifs: DataFrame | None = None,
     score_mult: float = SCORE_MULT,
-    cutoffs: dict[str, float] | None = None,
+    cutoffs: dict[str, float] | float | None = None,
     dist: int = DIST_GENES,
     one_based: bool = False,
     clamp: bool = False,
@@ -179,14 +179,11 @@ def run_generate(
     )
     expression = cut_lineage(expression)
     motifs = cut_lineage(read_motifs(spark, motif_path, pseudocount)) if motif_path else None
-    cutoffs = None
-    if motifs is not None and score_cutoff is not None:
-        cutoffs = {r["motif"]: score_cutoff for r in motifs.select("motif").distinct().toLocalIterator()}
     overlap = window_overlap(words, motifs)
     chunks = stored_chunks(read_fasta_chunks(spark, fasta_path, overlap=overlap, genome=fasta_genome), peaks)
     ordered = peaks.where("pos_end < pos_ini").isEmpty() and annotation.where("g_end < g_start").isEmpty()
     tables = generate(
-        peaks, annotation, expression, chunks, words, motifs, score_mult, cutoffs, dist,
+        peaks, annotation, expression, chunks, words, motifs, score_mult, score_cutoff, dist,
         one_based, clamp, float32, materialize=True, ordered=ordered, counts=True,
     )
     tables.counts.update(loaded.get, n_genes=expression.count())
