@@ -5,6 +5,7 @@ from sitescan.operators.expression import (
     first_translated, translate_names,
 )
 from sitescan.operators.filters import project_sites, rule_filter, sample_peaks, skipped_count, split_by_sequence
+from sitescan.operators.hit_counts import count_motif_hits, count_windows, count_word_hits
 from sitescan.operators.intervals import genes_around, hits_in_slices, nearby_genes
 from sitescan.operators.kmer_counts import count_kmers
 from sitescan.operators.motifs import motif_cutoffs, motif_log_odds
@@ -19,7 +20,8 @@ from sitescan.operators.stats import (
 )
 
 __all__ = [
-    "annotate_expression", "chunk_layout", "chunk_sequences", "contig_lengths", "cooccupancy_flags", "count_kmers", "distinct_genes",
+    "annotate_expression", "chunk_layout", "chunk_sequences", "contig_lengths", "cooccupancy_flags", "count_kmers",
+    "count_motif_hits", "count_windows", "count_word_hits", "distinct_genes",
     "expand_sites", "expression_conflicts", "expression_rows", "expression_summary", "extract_sequences",
     "first_fold_change", "first_peaks", "first_per_key", "first_translated", "gene_string", "genes_around", "hits_in_slices", "kmers",
     "locate_sites", "motif_cutoffs", "motif_log_odds", "nearby_genes", "peak_gene_stats", "peak_site_stats",

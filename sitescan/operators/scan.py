@@ -107,6 +107,11 @@ def _pack_scores(weights: np.ndarray) -> np.ndarray:
     return reduce(lambda acc, w: (acc[:, None] + w[None, :]).ravel(), rows[1:], rows[0])
 
 
+def _slack(cutoff: float, single: bool) -> float:
+    """What sums in another order, or of single precision, may lack of the cutoff."""
+    return (1e-4 if single else 1e-9) * max(1.0, abs(cutoff))
+
+
 class Lanes:
     """The windows of up to 64 motifs and strands, proposed together.
 
@@ -121,7 +126,7 @@ class Lanes:
         self.masks = np.zeros((packs, 4 ** _PACK), np.uint64)
         for bit, (weights, cutoff) in enumerate(lanes):
             best = weights.max(axis=1)
-            limit = cutoff - (1e-4 if single else 1e-9) * max(1.0, abs(cutoff))
+            limit = cutoff - _slack(cutoff, single)
             for k in range(packs):
                 part = weights[k * _PACK:(k + 1) * _PACK]
                 others = best[:k * _PACK].sum() + best[(k + 1) * _PACK:].sum()
@@ -311,7 +316,8 @@ def _scan_slice(chr_n: pa.Array, start: np.ndarray, bases: _Bases, words: WordIn
             yield batch(at, row, len(motif.weights), "pssm", strand, motif.order, motif.name, score)
 
 
-def _scan_batch(whole: pa.RecordBatch, words: WordIndex | None, panel: Panel | None) -> Iterator[pa.RecordBatch]:
+def _slices(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, _Bases]]:
+    """The batch in slices of about ``_SLICE_BYTES``, with the bases of each end to end."""
     rows = max(1, int(whole.num_rows * _SLICE_BYTES / max(whole.nbytes, 1)))
     for first in range(0, whole.num_rows, rows):
         part = whole.slice(first, rows)
@@ -324,10 +330,12 @@ def _scan_batch(whole: pa.RecordBatch, words: WordIndex | None, panel: Panel | N
         off = np.frombuffer(off_buf, dtype=np.int32)[column.offset:column.offset + len(column) + 1]
         data = np.frombuffer(data_buf, dtype=np.uint8)[off[0]:off[-1]]
         if len(data):
-            bases = _Bases(data, (off - off[0]).astype(np.int64), part.column("chunk_len").to_numpy())
-            yield from _scan_slice(
-                part.column("chr_n"), part.column("chunk_start").to_numpy(), bases, words, panel
-            )
+            yield part, _Bases(data, (off - off[0]).astype(np.int64), part.column("chunk_len").to_numpy())
+
+
+def _scan_batch(whole: pa.RecordBatch, words: WordIndex | None, panel: Panel | None) -> Iterator[pa.RecordBatch]:
+    for part, bases in _slices(whole):
+        yield from _scan_slice(part.column("chr_n"), part.column("chunk_start").to_numpy(), bases, words, panel)
 
 
 def _ship() -> None:

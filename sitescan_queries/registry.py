@@ -519,9 +519,7 @@ def x6_motif_scan(v: Views) -> DataFrame:
 @query
 def x6_many_motifs(v: Views) -> DataFrame:
     """A motif for every supplier, in one pass over the bases."""
-    return ops.scan_motifs(v.chunks, ops.motif_log_odds(v.many_motif_counts), 0.9).groupBy("tf_name", "strand").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start")
-    )
+    return ops.count_motif_hits(v.chunks, ops.motif_log_odds(v.many_motif_counts), 0.9)
 
 
 @query
