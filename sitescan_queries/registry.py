@@ -481,17 +481,15 @@ def _words_of(v: Views, length: int) -> DataFrame:
     ).distinct()
 
 
-def _counted(hits: DataFrame) -> DataFrame:
-    return hits.groupBy(F.col("hit_ord").cast("bigint").alias("word_ord"), "seq", "strand").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start")
-    )
+def _word_counts(chunks: DataFrame, words: list[str]) -> DataFrame:
+    return ops.count_word_hits(chunks, words).withColumn("hit_ord", F.col("hit_ord").cast("bigint")).withColumnRenamed("hit_ord", "word_ord")
 
 
 @query
 def x5_many_words(v: Views) -> DataFrame:
     """Every word of eight bases that begins a sequence: about as many words as there are sequences."""
     words = sorted(r.w for r in _words_of(v, 8).collect())  # at most 4**8
-    return _counted(ops.scan_words(v.chunks, words))
+    return _word_counts(v.chunks, words)
 
 
 @query
@@ -499,14 +497,14 @@ def x5_mixed_words(v: Views) -> DataFrame:
     """The words of five to eight bases that begin the sequences; each sequence's length picks its word's."""
     begins = F.upper(F.expr("substring(seq, 1, cast(5 + length(seq) % 4 as int))"))
     some = v.seqs.select(begins.alias("w")).where(F.rlike("w", F.lit("^[ACGT]{5,}$"))).distinct()
-    return _counted(ops.scan_words(v.chunks, sorted(r.w for r in some.collect())))  # at most 4**5 + ... + 4**8
+    return _word_counts(v.chunks, sorted(r.w for r in some.collect()))  # at most 4**5 + ... + 4**8
 
 
 @query
 def x5_long_word(v: Views) -> DataFrame:
     """The greatest word of 80 bases that begins a sequence; the chunks overlap by 79 for it."""
     word = _words_of(v, 80).agg(F.max("w")).first()[0]
-    return _counted(ops.scan_words(v.chunked(window_overlap([word]), 1000), [word]))
+    return _word_counts(v.chunked(window_overlap([word]), 1000), [word])
 
 
 @query
