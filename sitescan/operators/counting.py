@@ -47,22 +47,29 @@ def boundary_bins(points: DataFrame, names: list[str], bits: int = BIN_BITS) ->
     running = folded.selectExpr("*", f"shiftright(_pos, {bits}) as _bin").selectExpr(
         "_side", "_bin", *names, f"struct(_pos, struct({', '.join(f'sum({n}) over {inside} as {n}' for n in names)}) as _sum) as _row"
     )
-    packed = running.groupBy("_side", "_bin").agg(
+    # Stored, so that the bins' sums below are rows of a few numbers and their window holds no positions.
+    packed = cut_lineage(running.groupBy("_side", "_bin").agg(
         F.expr("sort_array(collect_list(_row)) as _rows"), *[F.sum(n).alias(n) for n in names]
-    )
+    ).selectExpr(
+        "_side", "_bin", "transform(_rows, r -> r._pos) as _at", "transform(_rows, r -> r._sum) as _sums", f"struct({listed}) as _own"
+    ))
     # One row a bin: at most the contig's length over the bin's width.
     earlier = "(partition by _side order by _bin rows between unbounded preceding and 1 preceding)"
     bins = packed.selectExpr(
-        "_side", "_bin", "_rows", "lead(_bin) over (partition by _side order by _bin) as _next", f"struct({listed}) as _own",
-        f"struct({', '.join(f'coalesce(sum({n}) over {earlier}, 0L) as {n}' for n in names)}) as _before",
+        "_side", "_bin", "lead(_bin) over (partition by _side order by _bin) as _next", "_own",
+        f"struct({', '.join(f'coalesce(sum(_own.{n}) over {earlier}, 0L) as {n}' for n in names)}) as _before",
     )
     # Empty bins up to the next one carry the sums on, so that every lookup is an equi-join.
     spread = bins.selectExpr("*", "explode(sequence(_bin, coalesce(_next - 1, _bin))) as _b")
     total = f"struct({', '.join(f'_before.{n} + _own.{n} as {n}' for n in names)})"
-    return spread.selectExpr(
-        "_side", "_b as _bin", "if(_b = _bin, transform(_rows, r -> r._pos), slice(transform(_rows, r -> r._pos), 1, 0)) as _at",
-        "if(_b = _bin, transform(_rows, r -> r._sum), slice(transform(_rows, r -> r._sum), 1, 0)) as _sums",
-        f"if(_b = _bin, _before, {total}) as _before", "_next is null as _last",
+    sums = spread.selectExpr(
+        "struct(_side, _b as _bin) as _key", f"if(_b = _bin, _before, {total}) as _before", "_next is null as _last"
+    )
+    # Joined by both as one struct: a hot side is many bins, and no partitioning by the side alone will do.
+    filled = packed.selectExpr("struct(_side, _bin) as _packed", "_at", "_sums")
+    joined = sums.join(filled, F.expr("_key = _packed"), "left")
+    return joined.selectExpr(
+        "_key._side as _side", "_key._bin as _bin", "coalesce(_at, cast(array() as array<bigint>)) as _at", "_sums", "_before", "_last",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,23 @@ def peak_gene_stats(
     return most.select(*_columns(peaks), *added).unionByName(crossed)
 
 
+def gene_peak_sums(
+    peaks: DataFrame, genes: DataFrame, weights: Mapping[str, Column], dist: int = DIST_GENES, biotype: str | None = BIOTYPE,
+) -> DataFrame:
+    """``gene_id`` with the sum of each weight over the peaks near it, as grouping the pairs of :func:`nearby_genes` gives.
+
+    ``n``, the number of pairs, is added. No pair is made, whatever the lengths: the sums come from sorted boundaries
+    (see :mod:`counting`). Peaks and genes end at or after their start; genes without a peak are left out.
+    """
+    d = F.lit(int(dist)).cast("bigint")
+    some = genes if biotype is None else genes.where(F.col("biotype") == biotype)
+    counted = count_overlaps(
+        some.select("gene_id", "contig", "g_start", "g_end"), F.col("contig"), F.col("g_start") - d, F.col("g_end") + d,
+        peaks, contig("chr_n"), F.col("pos_ini"), F.col("pos_end"), {"n": F.lit(1), **weights},
+    )
+    return counted.where("n > 0").groupBy("gene_id").agg(*[F.sum(c).alias(c) for c in ("n", *weights)])
+
+
 def distinct_genes(pairs: DataFrame, order_col: str, keep_order: bool = False) -> DataFrame:
     """(gene_id, chr_n, pos0, biotype, fold_change): each gene once, as its first peak saw it.
 

@@ -240,9 +240,8 @@ def j1_nearby_genes(v: Views) -> DataFrame:
 
 @query
 def j1_mixed_lengths(v: Views) -> DataFrame:
-    """Peaks and genes of 10 to 2,000,000 bases: bins by the length of each."""
-    pairs = ops.nearby_genes(v.long_peaks, v.long_genes, 1000, None, bits=12, nested=True)
-    return pairs.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("peak_id").alias("sum_id"))
+    """Peaks and genes of 10 to 2,000,000 bases, whose pairs grow with both: the peaks of a gene by sorted boundaries."""
+    return ops.gene_peak_sums(v.long_peaks, v.long_genes, {"sum_id": F.col("peak_id")}, 1000, None)
 
 
 @query

@@ -285,3 +285,23 @@ def test_flags_equal_those_of_the_pairs(spark, rows):
     names = ["m 1", "other", "never"]
     want = rows(cooccupancy_flags(located, found, names, key="peak_id"))
     assert rows(cooccupancy_flags(located, found, names, key="peak_id", longest=9)) == want and sum(x[-2] for x in want) > 5
+
+
+def test_sums_over_the_peaks_of_a_gene_make_no_pairs(spark, rows, monkeypatch):
+    """Lengths of 10 to 2,000,000 bases, gaps of many bins, contigs of one side only; the pairs are left alone."""
+    from sitescan.operators import gene_peak_sums, stats
+
+    peaks = spark.range(400).selectExpr(
+        "id as peak_id", "concat('chr', id % 3) as chr_n", "id * 79190 % 5000000 as pos_ini",
+        "id * 79190 % 5000000 + if(id % 20 = 3, 1999990, 9 + id % 300) as pos_end",
+    )
+    genes = spark.range(90).selectExpr(
+        "concat('G', id % 80) as gene_id", "cast(id % 4 as string) as contig", "id * 131071 % 6000000 as g_start",
+        "id * 131071 % 6000000 + if(id % 9 = 5, 700000, 20 + id) as g_end", "'+' as strand", "'protein_coding' as biotype",
+    )
+    pairs = nearby_genes(peaks, genes, 1000, None, bits=12, nested=True).groupBy("gene_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("peak_id").alias("s")
+    )
+    want = rows(pairs)
+    monkeypatch.setattr(stats, "nearby_genes", lambda *a, **k: pytest.fail("pairs"))
+    assert rows(gene_peak_sums(peaks, genes, {"s": F.col("peak_id")}, 1000, None)) == want != []
