@@ -4,6 +4,9 @@ Windows that lie next to each other share most of their bases, and mostly their
 ``m`` bases in a window the one with the least hash. Neighbours with one minimizer travel as one stretch of
 bases, so bases cross the shuffle and not windows; equal windows have equal minimizers, so each window is counted
 in one part. Equal stretches of a batch are folded first, which takes the weight out of repeats and runs of N.
+
+There are as many parts as there are blocks of bases, so a part does not grow with the table. A part that a frequent
+minimizer makes heavy all the same is not counted in one task: its windows are grouped by Spark, which can spill.
 """
 
 from __future__ import annotations
@@ -15,13 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitescan.operators.sequences import check_window, chunk_layout
+from sitescan.session import cut_lineage
 
 #: Windows that are counted together before their counts are added up.
 BLOCK = 1 << 20
 _SLICE = 1 << 20
-_PACKED = "part int, lens binary, times binary, sums binary, bases binary"
+#: Windows of a part up to which one task counts them, and the least number of parts (it bounds a row's length).
+HEAVY = 1 << 22
+PARTS = 256
+_PACKED = "part int, windows bigint, lens binary, times binary, sums binary, bases binary"
 
 
 def word_hashes(data: np.ndarray, m: int) -> np.ndarray:
@@ -83,18 +91,19 @@ def _added(tables: list[pa.Table]) -> pa.Table:
     return made.select(["kmer", "n_sum", "sum_start_sum"]).rename_columns(["kmer", "n", "sum_start"])
 
 
-def count_kmers(chunks: DataFrame, k: int, m: int | None = None) -> DataFrame:
+def count_kmers(chunks: DataFrame, k: int, m: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """``kmer, n, sum_start``: every different window of ``k`` bases, how often and the sum of its 0-based starts.
 
     The same as grouping ``kmers(chunks, k)``; letters count as they stand. ``m`` is the length of a minimizer, by
-    default 9 or less for short windows.
+    default 9 or less for short windows; a part of more than ``heavy`` windows is grouped by Spark.
     """
     check_window(k, chunk_layout(chunks)[1])
     m = min(9, max(1, k // 2)) if m is None else m
     if not 1 <= m <= k:
         raise ValueError(f"a minimizer has 1 to {k} bases, not {m}")
     spark = chunks.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    total = chunks.agg(F.sum("chunk_len")).first()[0] or 0
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, total // BLOCK)
     cloudpickle.register_pickle_by_value(sys.modules["sitescan"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +112,8 @@ def count_kmers(chunks: DataFrame, k: int, m: int | None = None) -> DataFrame:
             for first in range(0, whole.num_rows, rows):
                 yield from _stretch_batch(whole.slice(first, rows), k, m, parts)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[pa.RecordBatch]:
+        """The counts of each part; without ``whole`` those of each block, which are still to be added up."""
         now, held, windows, made = None, [], 0, []
 
         def block() -> None:
@@ -122,19 +132,30 @@ def count_kmers(chunks: DataFrame, k: int, m: int | None = None) -> DataFrame:
             made = []
 
         for batch in batches:
-            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != now:
+            for part, many, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if whole and part != now:
                     yield from rest()
                     now = part
                 held.append(row)
-                windows += len(row[3])
+                windows += many
                 if windows >= BLOCK:
                     block()
+                    if not whole:
+                        yield from rest()
         yield from rest()
 
     source = chunks.select("chunk_start", "chunk_len", "bases")
-    sent = source.mapInArrow(cut, _PACKED).repartition("part").sortWithinPartitions("part")
-    return sent.mapInArrow(count, "kmer string, n bigint, sum_start bigint")
+    sent = cut_lineage(source.mapInArrow(cut, _PACKED))
+    sizes = sent.groupBy("part").agg(F.sum("windows").alias("windows"))
+    # At most one number for each ``heavy`` windows of the table.
+    over = [r.part for r in sizes.where(F.col("windows") > heavy).collect()]
+    schema = "kmer string, n bigint, sum_start bigint"
+    light = sent.where(~F.col("part").isin(over)) if over else sent
+    counted = light.repartition("part").sortWithinPartitions("part").mapInArrow(count, schema)
+    if not over:
+        return counted
+    pieces = sent.where(F.col("part").isin(over)).mapInArrow(lambda batches: count(batches, False), schema)
+    return counted.unionByName(pieces.groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("sum_start").alias("sum_start")))
 
 
 def _stretch_batch(part: pa.RecordBatch, k: int, m: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -168,9 +189,10 @@ def _stretch_batch(part: pa.RecordBatch, k: int, m: int, parts: int) -> Iterator
     if rows:
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([part_[a] for a, _ in rows], pa.int32()), pa.array([size[a:b].astype(np.int32).tobytes() for a, b in rows], pa.binary()),
+                pa.array([part_[a] for a, _ in rows], pa.int32()),
+                pa.array([int((size[a:b] - k + 1).sum()) for a, b in rows], pa.int64()), pa.array([size[a:b].astype(np.int32).tobytes() for a, b in rows], pa.binary()),
                 pa.array([times[a:b].tobytes() for a, b in rows], pa.binary()), pa.array([sums[a:b].tobytes() for a, b in rows], pa.binary()),
                 pa.array([body[ends[a]:ends[b]].tobytes() for a, b in rows], pa.binary()),
             ],
-            names=["part", "lens", "times", "sums", "bases"],
+            names=["part", "windows", "lens", "times", "sums", "bases"],
         )

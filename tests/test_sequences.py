@@ -128,3 +128,20 @@ def test_stretches_shuffle_bases_not_windows(spark):
     assert many.sum() == len(seq) - 30 and (np.diff(at) == many[:-1]).all()
     # A stretch takes its bases and 20 bytes; a window as a row of its own at least its bases and 16.
     assert (many + 30 + 20).sum() < many.sum() * (31 + 16) / 5
+
+
+def test_parts_of_long_windows_do_not_grow_with_the_table(spark, rows, monkeypatch):
+    """More bases make more parts, and a part of many windows is grouped by Spark and not in one task."""
+    from sitescan.operators import kmer_counts
+
+    monkeypatch.setattr(kmer_counts, "BLOCK", 500)
+    r = random.Random(4)
+    seqs = [("a", "".join(r.choices("ACGT", k=150_000))), ("b", "ACGTTGCA" * 300 + "N" * 400), ("c", "ACG")]
+    chunks = chunk_sequences(spark.createDataFrame(seqs, "chr_n string, seq string"), 1000, 30)
+    want = kmers(chunks, 31).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"))
+    seen = []
+    monkeypatch.setattr(kmer_counts, "cut_lineage", lambda df: seen.append(df) or df)
+    got = rows(kmer_counts.count_kmers(chunks, 31, heavy=700))
+    assert got == rows(want) == rows(kmer_counts.count_kmers(chunks, 31, heavy=0))
+    sizes = [r.n for r in seen[0].groupBy("part").agg(F.sum("windows").alias("n")).collect()]
+    assert len(sizes) > 256 and max(sizes) > 700 > sorted(sizes)[len(sizes) // 2]
