@@ -124,12 +124,17 @@ def first_peaks(
     fold = [F.col("fold_change")] if "fold_change" in genes.columns else []
     side = some.select(*kept, gene_origin("strand", "g_start", "g_end").alias("pos0"), *fold)
     shortest, least = 2 * max(int(dist), 0) + 1, 64
-    first = F.struct(F.col(order_col).alias("order"), F.col("chr_n").alias("chr_n"))
     wide = side if shortest >= least else side.where(F.col("g_end") - F.col("g_start") + shortest >= least)
-    found = smallest_overlapping(
-        wide, F.col("contig"), F.col("g_start") - d, F.col("g_end") + d, max(shortest, least), peaks, contig("chr_n"),
-        F.col("pos_ini"), F.col("pos_end"), first, "_first",
-    ).select(
+    # A gene asks for both spellings of its chromosome. The peaks then fold to a plain number: in a hash table, where
+    # a pair of number and name would have each task sort all its peaks.
+    bare = F.when(~F.startswith(F.col("contig"), F.lit("chr")), F.col("contig"))
+    spelled = wide.withColumn("chr_n", F.explode(F.array(F.concat(F.lit("chr"), "contig"), bare))).where("chr_n is not null")
+    least_of = smallest_overlapping(
+        spelled, F.col("chr_n"), F.col("g_start") - d, F.col("g_end") + d, max(shortest, least), peaks, F.col("chr_n"),
+        F.col("pos_ini"), F.col("pos_end"), F.col(order_col), "_order",
+    )
+    first = F.min(F.struct(F.col("_order").alias("order"), "chr_n")).alias("_first")
+    found = per_row(least_of.select(*_columns(wide), "_order", "chr_n"), wide.columns, first).select(
         F.col("_first.chr_n").alias("chr_n"), F.col("_first.order").alias(order_col), "gene_id", "pos0", "biotype", *fold, "g_start",
     )
     if shortest < least:

@@ -305,3 +305,23 @@ def test_sums_over_the_peaks_of_a_gene_make_no_pairs(spark, rows, monkeypatch):
     want = rows(pairs)
     monkeypatch.setattr(stats, "nearby_genes", lambda *a, **k: pytest.fail("pairs"))
     assert rows(gene_peak_sums(peaks, genes, {"s": F.col("peak_id")}, 1000, None)) == want != []
+
+
+def test_first_peaks_fold_numbers_in_hash_tables(spark, rows, monkeypatch):
+    """Both spellings of a chromosome, and no struct of the peaks is folded: those made every task sort its peaks."""
+    from sitescan.operators import counting
+
+    peaks = spark.createDataFrame(
+        [(5, "1", 10, 90), (3, "chr1", 400, 500), (4, "1", 420, 430), (1, "chrchr1", 10, 90), (2, "chr1", 9000, 9100)],
+        "peak_id bigint, chr_n string, pos_ini bigint, pos_end bigint",
+    )
+    genes = spark.createDataFrame(
+        [("a", "1", 50, 60), ("b", "1", 300, 450), ("c", "chr1", 20, 30), ("d", None, 20, 30), ("e", "1", 5000, 5001)],
+        "gene_id string, contig string, g_start bigint, g_end bigint",
+    ).selectExpr("*", "'+' as strand", "'protein_coding' as biotype")
+    folded, plain = [], counting.cut_lineage
+    monkeypatch.setattr(counting, "cut_lineage", lambda df: folded.append(df) or plain(df))
+    got = rows(first_peaks(peaks, genes, "peak_id", 100).select("gene_id", "peak_id", "chr_n"))
+    assert got == [("a", 5, "1"), ("b", 3, "chr1"), ("c", 1, "chrchr1")]
+    plan = folded[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
