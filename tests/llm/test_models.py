@@ -79,6 +79,73 @@ def test_exchange_step_keeps_the_tables_right():
         assert class_lm.likelihood(counts) == pytest.approx(max(options))
 
 
+def test_best_classes_are_those_of_the_likelihood():
+    rng, size = np.random.default_rng(5), 7
+    text = rng.integers(0, 40, 4000)
+    text = text[np.append(True, np.diff(text) != 0)]
+    classes = np.array([0, *(1 + rng.integers(0, size - 1, 39))])
+    table = lambda c: np.histogram2d(c[text[:-1]], c[text[1:]], bins=size, range=[[0, size]] * 2)[0]
+    entries = Counter()
+    for a, b in zip(text.tolist(), text[1:].tolist()):
+        entries[b, int(classes[a])] += 1
+        entries[a, size + int(classes[b])] += 1
+    moved = sorted((w - 1, c, n) for (w, c), n in entries.items() if w)
+    got = class_lm.best_classes(table(classes), classes[1:], *map(np.array, zip(*moved)))
+    for w in range(1, 40):
+        options = []
+        for k in range(1, size):
+            tried = classes.copy()
+            tried[w] = k
+            options.append(class_lm.likelihood(table(tried)))
+        assert options[got[w - 1] - 1] == pytest.approx(max(options), abs=1e-5)
+
+
+def zipf(n, seed=1):
+    """Words of two kinds in turn, most of them rare."""
+    rnd = random.Random(seed)
+    word = lambda kind: kind + str(int(rnd.paretovariate(0.7)) % 400) + rnd.choice("xyz")
+    return [(i, " ".join(word("ab"[k % 2]) for k in range(rnd.randint(0, 60)))) for i in range(n)]
+
+
+def test_all_words_are_clustered_and_scored(frame, monkeypatch):
+    monkeypatch.setattr(class_lm, "RARE_BUCKET", 50)
+    monkeypatch.setattr(class_lm, "MID_BUCKET", 7)
+    monkeypatch.setattr(class_lm, "FLUSH", 900)
+    train, rest = zipf(150) + odd_texts(), [*zipf(20, 4), *odd_texts(), (70, "never a1x b2y seen seen")]
+    model = class_lm.fit(frame(train), core=10, held=60, clusters=5, endings=4, rounds=3)
+    counts = Counter(w for _, t in train for w in tokens(t))
+    others = {r.word: (r.c, r.k) for r in model.rest.collect()}
+    held = {w.decode(): k for w, k in zip(model.words, model.classes)}
+    assert {w: c for w, (c, _) in others.items()} == {w: c for w, c in counts.items() if w and w not in held}
+    # Words outside the core, held and not, were moved from the class of their ending.
+    start = lambda w: 1 + class_lm.ending(w.encode(), 4)
+    assert sum(k != start(w) for w, (_, k) in others.items()) > len(others) / 3
+    assert sum(held[w.decode()] != start(w.decode()) for w in model.words[10:]) > 15
+    # The model's tables are those of the classes, from the texts again.
+    kind = {**held, **{w: k for w, (_, k) in others.items()}}
+    size, table, mass = len(model.log_step), np.zeros((len(model.log_step),) * 2), np.zeros(len(model.log_step))
+    for _, t in train:
+        path = [0, *(kind[w] if w else 0 for w in tokens(t))]
+        for a, b in zip(path, path[1:]):
+            table[a, b] += 1
+    for w, c in counts.items():
+        mass[kind[w] if w else 0] += c + 1
+    mass[1:5] += 1
+    assert model.likelihoods == sorted(model.likelihoods) and model.likelihoods[-1] == pytest.approx(class_lm.likelihood(table))
+    share = (table.sum(0) + 1) / (table.sum() + size)
+    step = (table + class_lm.PRIOR * share) / (table.sum(1, keepdims=True) + class_lm.PRIOR)
+    log_step = np.log10(model.weight * step / np.maximum(mass, 1) + (1 - model.weight) / (model.total + model.distinct + 4))
+    assert np.allclose(model.log_step, log_step)
+    rows = class_lm.score(frame(rest), model).collect()
+    assert len(rows) == len(rest)
+    for r in rows:
+        own = tokens(r.text)
+        path = [0, *(kind.get(w, start(w)) if w else 0 for w in own)]
+        want = sum(math.log10(counts[w] + 1) for w in own) + sum(log_step[a, b] for a, b in zip(path, path[1:]))
+        assert r.score_ == pytest.approx(want, rel=1e-9)
+        assert r.n_known == sum(counts[w] > 0 for w in own)
+
+
 def test_model_of_nothing(frame):
     model = class_lm.fit(frame([]))
     assert [r.n_known for r in class_lm.score(frame([(1, "a b"), (2, None)]), model).collect()] == [0, 0]
