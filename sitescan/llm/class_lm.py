@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitescan.llm.common import free_name, lower_az, map_batches, map_column, runs, slices, stored, text_of
+from sitescan.llm.common import free_name, map_batches, map_column, runs, slices, stored, text_of
 
 #: Words that are exchanged one by one, and words whose counts and classes every task holds.
 CORE = 8192
@@ -38,20 +38,14 @@ WEIGHT = 0.9
 #: Weight of the class frequencies in the transition probabilities.
 PRIOR = 10.0
 
-#: Words of a bucket, in which other words meet their neighbours, and tokens that a task counts at once.
+#: Words of a bucket, in which other words meet their neighbours, and tokens (or sixteens of bytes) that a task
+#: counts at once.
 MID_BUCKET, RARE_BUCKET = 2048, 16384
 FLUSH = 4_000_000
 #: What the text pass returns: counted pairs, held words and other words with their neighbours, others in a row.
 PAIRS, MID, RARE, LINKS = range(4)
 TEXT_SCHEMA = "kind int, bucket int, codes array<bigint>, n array<bigint>, words array<binary>, others array<binary>"
 
-SPACES = r"[\x20\x09-\x0D]+"
-
-
-def tokens_of(text: Column) -> Column:
-    """Words of the lower-cased text and the end, which is the empty word."""
-    return F.concat(F.array_remove(F.split(lower_az(text), SPACES), ""), F.array(F.lit("")))
-
 
 def ending(word: bytes, endings: int = ENDINGS) -> int:
     """Class, from 0, of a word outside the core."""
@@ -89,9 +83,34 @@ def between_ends(lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray,
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, c``: each token of the documents, the end as an empty word, with its count."""
-    return docs.select(F.explode(tokens_of(text_of(text))).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("c")
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        room = ends = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            counted = pc.value_counts(pa.concat_arrays(held))
+            words, c = (counted.field(name) for name in ("values", "counts"))
+            for low in range(0, len(words), 1 << 16):
+                yield pa.RecordBatch.from_arrays([words.slice(low, 1 << 16), c.slice(low, 1 << 16)], names=["w", "c"])
+            held.clear()
+
+        for batch in batches:
+            for piece in slices(batch):
+                lengths, flat = words_of(piece.column(0))
+                held.append(flat)
+                ends += len(lengths)
+                room += max(len(flat), flat.nbytes >> 4)
+                if room > FLUSH:
+                    yield from flush()
+                    room = 0
+        if held:
+            yield from flush()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([b""]), pa.array([ends])], names=["w", "c"])
+
+    made = map_batches(docs.select(text_of(text).cast("binary").alias("_text")), count, "w binary, c bigint")
+    return made.groupBy(F.col("w").cast("string").alias("word")).agg(F.sum("c").alias("c"))
 
 
 def cut_for(histogram: list[tuple[int, int]], most: int) -> int:
@@ -408,7 +427,7 @@ def text_pass(
                 beside = np.flatnonzero(np.diff(at) == 1)
                 held["left"].append(others.take(pa.array(beside)))
                 held["right"].append(others.take(pa.array(beside + 1)))
-                room += len(row)
+                room += max(len(row), flat.nbytes >> 4)
                 if room > FLUSH:
                     yield from flush()
                     room = 0
@@ -492,6 +511,18 @@ class Neighbours:
 def settle(around: DataFrame, classes: np.ndarray, table: np.ndarray, full: int) -> DataFrame:
     """``symbol, k``: the best class of each held word outside the core, all other words where they are."""
     shared, size = around.sparkSession.sparkContext.broadcast((classes, table)), len(table)
+    code, kind = (pa.int32(), "int") if MID_BUCKET * size * size < 1 << 31 else (pa.int64(), "bigint")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The word's place in its bucket and the classes on its sides as one number."""
+        now = shared.value[0]
+        for batch in batches:
+            cuts, codes = batch.column(1).offsets, batch.column(1).values.to_numpy(zero_copy_only=False)
+            codes = (codes // full % full % MID_BUCKET * size + now[codes // full // full]) * size + now[codes % full]
+            for low, high in zip(cuts.to_pylist(), cuts.to_pylist()[1:]):
+                codes[low:high].sort()
+            made = pa.ListArray.from_arrays(cuts, pa.array(codes, code))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["bucket", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table = shared.value
@@ -499,7 +530,8 @@ def settle(around: DataFrame, classes: np.ndarray, table: np.ndarray, full: int)
 
         def done() -> pa.RecordBatch:
             met.gather()
-            symbols, word = np.unique(met.codes // (2 * size), return_inverse=True)
+            places, word = np.unique(met.codes // (2 * size), return_inverse=True)
+            symbols = bucket * MID_BUCKET + places
             k = best_classes(table, now[symbols], word.ravel(), met.codes % (2 * size), met.n)
             return pa.RecordBatch.from_arrays([pa.array(symbols, pa.int32()), pa.array(k, pa.int32())], names=["symbol", "k"])
 
@@ -509,14 +541,15 @@ def settle(around: DataFrame, classes: np.ndarray, table: np.ndarray, full: int)
                     yield done()
                     met = Neighbours()
                 bucket = b
-                codes = codes.values.to_numpy(zero_copy_only=False)
-                word = codes // full % full * (2 * size)
-                met.add(word + now[codes // full // full])
-                met.add(word + size + now[codes % full])
+                codes = codes.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                word = codes // (size * size) * (2 * size)
+                met.add(word + codes // size % size)
+                met.add(word + size + codes % size)
         if bucket is not None:
             yield done()
 
-    return map_batches(by_bucket(around, "codes"), run, "symbol int, k int")
+    small = map_batches(around.select("bucket", "codes"), packed, f"bucket int, codes array<{kind}>")
+    return map_batches(by_bucket(small, "codes"), run, "symbol int, k int")
 
 
 def place(around: DataFrame, classes: np.ndarray, table: np.ndarray, full: int, first: int, endings: int) -> DataFrame:
