@@ -304,15 +304,22 @@ def fit(
     if len(words) > n_core:
         base = class_bigrams(seen, classes, size, first)
         around = met.where(F.col("kind") == MID)
-        for _ in range(passes):
-            tried = np.array(now)
-            for symbol, k in settle(around, now, table, len(small)).collect():
-                tried[symbol] = k
-            made = base + mid_bigrams(around, tried, size, first, mid)
-            likelihoods.append(likelihood(made.sum(0)))
-            if likelihoods[-1] <= likelihood(table):
+        for turn in range(passes):
+            moves = settle(around, now, table, len(small)).collect()
+            # Where words that move at once spoil each other's choice, a part of them moves.
+            for share in (1, 2, 4, 8):
+                tried = np.array(now)
+                for symbol, k in moves:
+                    if symbol % share == turn % share:
+                        tried[symbol] = k
+                made = base + mid_bigrams(around, tried, size, first, mid)
+                value = likelihood(made.sum(0))
+                if value > likelihood(table):
+                    break
+            else:
                 break
             now, table, tables = tried, made.sum(0), made
+            likelihoods.append(value)
         if tables is None:
             tables = base + mid_bigrams(around, now, size, first, mid)
     rest = vocabulary.where((F.col("c") < held_from) & (F.col("word") != ""))
