@@ -38,10 +38,12 @@ WEIGHT = 0.9
 #: Weight of the class frequencies in the transition probabilities.
 PRIOR = 10.0
 
-#: Words of a bucket, in which other words meet their neighbours, and tokens (or sixteens of bytes) that a task
-#: counts at once.
+#: Words of a bucket, in which other words meet their neighbours.
 MID_BUCKET, RARE_BUCKET = 2048, 16384
-FLUSH = 4_000_000
+#: Entries (or sixteens of bytes) that a task holds of a kind before it sends them, and entries of a stored row: Parquet
+#: looks at the size of a page every hundred rows only, and a reader takes 4,096 rows at once.
+FLUSH = 1 << 20
+ENTRIES = 2048
 #: What the text pass returns: counted pairs, held words and other words with their neighbours, others in a row.
 PAIRS, MID, RARE, LINKS = range(4)
 TEXT_SCHEMA = "kind int, bucket int, codes array<bigint>, n array<bigint>, words array<binary>, others array<binary>"
@@ -89,18 +91,23 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         room = ends = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            counted = pc.value_counts(pa.concat_arrays(held))
-            words, c = (counted.field(name) for name in ("values", "counts"))
-            for low in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([words.slice(low, 1 << 16), c.slice(low, 1 << 16)], names=["w", "c"])
+            coded = pc.dictionary_encode(pa.concat_arrays([words for words, _ in held]))
+            n = np.concatenate([n for _, n in held])
             held.clear()
+            words = coded.dictionary
+            c = np.bincount(coded.indices.to_numpy(), weights=n, minlength=len(words)).astype(np.int64)
+            for low in range(0, len(words), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                yield pa.RecordBatch.from_arrays([words[part], pa.array(c[part])], names=["w", "c"])
 
         for batch in batches:
             for piece in slices(batch):
                 lengths, flat = words_of(piece.column(0))
-                held.append(flat)
                 ends += len(lengths)
-                room += max(len(flat), flat.nbytes >> 4)
+                counted = pc.value_counts(flat)
+                words = counted.field("values")
+                held.append((words, counted.field("counts").to_numpy()))
+                room += max(len(words), words.nbytes >> 4)
                 if room > FLUSH:
                     yield from flush()
                     room = 0
@@ -366,80 +373,82 @@ def text_pass(
     """
     shared = train.sparkSession.sparkContext.broadcast((words, small))
     endings, width, full = first - 1, mid + first - 1, len(small)
-    buckets = 1 + others // RARE_BUCKET
+    buckets, code = 1 + others // RARE_BUCKET, np.int32 if width * width < 1 << 31 else np.int64
     lists = pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())
 
-    def batch_of(kind: int, bucket: np.ndarray, cuts: np.ndarray, values: list) -> pa.RecordBatch:
-        at = pa.array(cuts.astype(np.int32))
-        columns = [
-            pa.nulls(len(bucket), t) if v is None else pa.ListArray.from_arrays(at, v).cast(t) for v, t in zip(values, lists)
-        ]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(bucket), kind, dtype=np.int32)), pa.array(bucket.astype(np.int32)), *columns],
-            names=["kind", "bucket", "codes", "n", "words", "others"],
-        )
-
-    def dealt(kind: int, bucket: np.ndarray, codes: np.ndarray, words: pa.Array | None) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket, a batch for some of them."""
-        order = np.argsort(bucket, kind="stable")
-        bucket, codes, words = bucket[order], codes[order], words if words is None else words.take(pa.array(order))
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    def dealt(kind: int, bucket: np.ndarray, values: list) -> Iterator[pa.RecordBatch]:
+        """Rows of at most ``ENTRIES`` entries of a bucket, a batch for some of them; the entries lie by bucket."""
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+        place = np.arange(len(bucket)) - np.repeat(heads, np.diff(np.append(heads, len(bucket))))
+        cuts = np.append(np.flatnonzero(place % ENTRIES == 0), len(bucket))
         for i in range(0, len(cuts) - 1, 64):
             some = cuts[i : i + 65]
-            part = slice(some[0], some[-1])
-            yield batch_of(kind, bucket[some[:-1]], some - some[0], [
-                pa.array(codes[part]), None, words if words is None else words.slice(some[0], some[-1] - some[0]), None])
+            part, at = slice(some[0], some[-1]), pa.array((some - some[0]).astype(np.int32))
+            columns = [
+                pa.nulls(len(some) - 1, t) if v is None
+                else pa.ListArray.from_arrays(at, v[part] if isinstance(v, pa.Array) else pa.array(v[part])).cast(t)
+                for v, t in zip(values, lists)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some) - 1, kind, dtype=np.int32)), pa.array(bucket[some[:-1]].astype(np.int32)), *columns],
+                names=["kind", "bucket", "codes", "n", "words", "others"],
+            )
+
+    def sent(kind: int, parts: list) -> Iterator[pa.RecordBatch]:
+        """What a task has held of a kind; empties ``parts``."""
+        columns = [pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*parts)]
+        parts.clear()
+        if kind == PAIRS:
+            columns = gathered(*columns)
+            yield from dealt(kind, np.zeros(len(columns[0])), [*columns, None, None])
+        elif kind == MID:
+            bucket = columns[0] // full % full // MID_BUCKET
+            order = np.argsort(bucket, kind="stable")
+            yield from dealt(kind, bucket[order], [columns[0][order], None, None, None])
+        elif kind == RARE:
+            codes, rare = columns
+            some = (rare[low : low + (1 << 16)].to_pylist() for low in range(0, len(rare), 1 << 16))
+            bucket = np.fromiter((zlib.crc32(w) % buckets for part in some for w in part), np.int64, len(rare))
+            order = np.argsort(bucket, kind="stable")
+            yield from dealt(kind, bucket[order], [codes[order], None, rare.take(pa.array(order)), None])
+        else:
+            yield from dealt(kind, np.zeros(len(columns[0])), [None, None, *columns])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, small = shared.value
         known = pa.array(words, pa.binary())
-        held: dict = {"pairs": [], "mid": [], "rare": [], "words": [], "left": [], "right": []}
-        room = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            codes, n = np.unique(np.concatenate(held["pairs"]), return_counts=True)
-            for low in range(0, len(codes), 1 << 16):
-                part = slice(low, low + (1 << 16))
-                ends = np.array([0, len(codes[part])])
-                yield batch_of(PAIRS, np.zeros(1), ends, [pa.array(codes[part]), pa.array(n[part]), None, None])
-            codes = np.concatenate(held["mid"])
-            if len(codes):
-                yield from dealt(MID, codes // full % full // MID_BUCKET, codes, None)
-            rare = pa.concat_arrays(held["words"])
-            if len(rare):
-                at = np.array([zlib.crc32(w) % buckets for w in rare.to_pylist()], dtype=np.int64)
-                yield from dealt(RARE, at, np.concatenate(held["rare"]), rare)
-            left, right = (pa.concat_arrays(held[k]) for k in ("left", "right"))
-            for low in range(0, len(left), 1 << 16):
-                part = [x.slice(low, 1 << 16) for x in (left, right)]
-                yield batch_of(LINKS, np.zeros(1), np.array([0, len(part[0])]), [None, None, *part])
-            for some in held.values():
-                some.clear()
+        held: dict = {kind: [] for kind in (PAIRS, MID, RARE, LINKS)}
+        room = dict.fromkeys(held, 0)
+
+        def met(piece: pa.RecordBatch) -> dict:
+            lengths, flat = words_of(piece.column(0))
+            symbols = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False) + np.int64(first)
+            unheld = symbols < first
+            others = flat.filter(pa.array(unheld))
+            symbols[unheld] = 1 + endings_of(others, endings)
+            row, places = between_ends(lengths, symbols)
+            seen = small[row]
+            mid_at, at = np.flatnonzero(row >= mid), places[unheld]
+            beside = np.flatnonzero(np.diff(at) == 1)
+            codes, n = np.unique((seen[:-1] * width + seen[1:]).astype(code), return_counts=True)
+            return {
+                PAIRS: (codes, n.astype(np.int32)),
+                MID: ((row[mid_at - 1] * full + row[mid_at]) * full + row[mid_at + 1],),
+                RARE: (row[at - 1] * full + row[at + 1], others),
+                LINKS: (others.take(pa.array(beside)), others.take(pa.array(beside + 1))),
+            }
 
         for batch in batches:
-            for piece in slices(batch):
-                lengths, flat = words_of(piece.column(0))
-                symbols = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False) + np.int64(first)
-                unheld = symbols < first
-                others = flat.filter(pa.array(unheld))
-                symbols[unheld] = 1 + endings_of(others, endings)
-                row, places = between_ends(lengths, symbols)
-                seen = small[row]
-                held["pairs"].append(seen[:-1] * width + seen[1:])
-                at = np.flatnonzero(row >= mid)
-                held["mid"].append((row[at - 1] * full + row[at]) * full + row[at + 1])
-                at = places[unheld]
-                held["rare"].append(row[at - 1] * full + row[at + 1])
-                held["words"].append(others)
-                beside = np.flatnonzero(np.diff(at) == 1)
-                held["left"].append(others.take(pa.array(beside)))
-                held["right"].append(others.take(pa.array(beside + 1)))
-                room += max(len(row), flat.nbytes >> 4)
-                if room > FLUSH:
-                    yield from flush()
-                    room = 0
-        if room:
-            yield from flush()
+            for piece in slices(batch, 2 << 20):
+                for kind, columns in met(piece).items():
+                    held[kind].append(columns)
+                    room[kind] += max(len(columns[0]), sum(c.nbytes for c in columns) >> 4)
+                    if room[kind] > FLUSH:
+                        yield from sent(kind, held[kind])
+                        room[kind] = 0
+        for kind, parts in held.items():
+            if parts:
+                yield from sent(kind, parts)
 
     return map_batches(train.select(text_of(text).cast("binary").alias("_text")), count, TEXT_SCHEMA)
 

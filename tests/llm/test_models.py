@@ -146,6 +146,41 @@ def test_all_words_are_clustered_and_scored(frame, monkeypatch):
         assert r.n_known == sum(counts[w] > 0 for w in own)
 
 
+def test_stored_rows_are_small(frame):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    # One long text: more pairs, and more words of a bucket, than a row may hold.
+    texts = [" ".join(rnd.choice(words) if rnd.random() < 0.8 else f"r{rnd.randint(0, 4000)}" for _ in range(40_000)), None, ""]
+    known, small = [w.encode() for w in words], np.concatenate([np.arange(203), 203 + np.arange(100) % 2])
+    rows = class_lm.text_pass(frame(list(enumerate(texts))), "text", known, small, 3, 203, 4000).collect()
+    kinds = (class_lm.PAIRS, class_lm.MID, class_lm.RARE, class_lm.LINKS)
+    sizes = {kind: [len(r.codes or r.words) for r in rows if r.kind == kind] for kind in kinds}
+    assert all(len(x) > 1 and max(x) <= 2048 for kind, x in sizes.items() if kind != class_lm.LINKS)
+    at = {w: 3 + i for i, w in enumerate(words)}
+    path = [[0, *(at.get(w, -1) for w in (t or "").split()), 0] for t in texts]
+    low = lambda i, w: int(small[at[w] if w in at else 1 + class_lm.ending(w.encode(), 2)]) if w else 0
+    own = [[0, *(low(i, w) for w in (t or "").split()), 0] for i, t in enumerate(texts)]
+    pairs = Counter(a * 205 + b for x in own for a, b in zip(x, x[1:]))
+    got = Counter()
+    for r in rows:
+        got.update(dict(zip(r.codes, r.n)) if r.kind == class_lm.PAIRS else {})
+    assert got == pairs
+    assert sum(sizes[class_lm.MID]) == sum(s >= 203 for x in path for s in x)
+    assert sum(sizes[class_lm.RARE]) == sum(s < 0 for x in path for s in x)
+    assert sum(sizes[class_lm.LINKS]) == sum(a < 0 and b < 0 for x in path for a, b in zip(x, x[1:]))
+
+
+def test_words_are_counted_before_they_are_sent(frame, monkeypatch):
+    sent = []
+    inner = class_lm.map_batches
+    monkeypatch.setattr(class_lm, "map_batches", lambda *a: sent.append(inner(*a)) or sent[-1])
+    # Over 4 MB of one word pass by in pieces.
+    texts = [(i, "abc " * 1_200_000) for i in range(5)]
+    counts = {r.word: r.c for r in class_lm.word_counts(frame(texts).coalesce(1), "text").collect()}
+    assert counts == {"abc": 6_000_000, "": 5}
+    assert sorted((r.w, r.c) for r in sent[0].collect()) == [(b"", 5), (b"abc", 6_000_000)]
+
+
 def test_model_of_nothing(frame):
     model = class_lm.fit(frame([]))
     assert [r.n_known for r in class_lm.score(frame([(1, "a b"), (2, None)]), model).collect()] == [0, 0]
