@@ -40,6 +40,8 @@ PRIOR = 10.0
 
 #: Words of a bucket, in which other words meet their neighbours.
 MID_BUCKET, RARE_BUCKET = 2048, 16384
+#: Different pairs of a bucket, at most.
+PAIR_BUCKET = 1 << 16
 #: Entries (or sixteens of bytes) that a task holds of a kind before it sends them, and entries of a stored row: Parquet
 #: looks at the size of a page every hundred rows only, and a reader takes 4,096 rows at once.
 FLUSH = 1 << 20
@@ -58,6 +60,17 @@ def ending_of(word: Column, endings: int = ENDINGS) -> Column:
     return F.crc32(F.substring(word.cast("binary"), -3, 3)) % endings
 
 
+def bytes_of(words: pa.Array) -> list[bytes]:
+    """``to_pylist`` of words without nulls, from one copy of their bytes."""
+    if not len(words):
+        return []
+    offsets, data = words.buffers()[1:]
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    held = memoryview(data or b"")[at[0] : at[-1]].tobytes()
+    cuts = (at - at[0]).tolist()
+    return [held[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Number of words of each text, and all words of the lower-cased texts, as bytes."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
@@ -71,7 +84,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def endings_of(words: pa.Array, endings: int) -> np.ndarray:
     """:func:`ending` of each word."""
     coded = pc.dictionary_encode(pc.binary_slice(words, -3))
-    kinds = np.array([ending(w, endings) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    kinds = np.array([ending(w, endings) for w in bytes_of(coded.dictionary)], dtype=np.int64)
     return kinds[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else kinds
 
 
@@ -209,12 +222,16 @@ def best_classes(counts: np.ndarray, own: np.ndarray, word: np.ndarray, context:
         most = int(k.max(initial=0)) + 1
         pairs, inverse = np.unique(c * most + k.astype(np.int64), return_inverse=True)
         at = pairs // most
-        added = entropy(both[at] + (pairs % most)[:, None]) - now[at]
-        gain = np.zeros((some, size - 1))
-        heads = starts[low:high] - starts[low]
-        filled = np.diff(starts[low : high + 1]) > 0
-        if len(w):
-            gain[filled] = np.add.reduceat(added[inverse.ravel()][:, 1:], heads[filled], axis=0)
+        added = (entropy(both[at] + (pairs % most)[:, None]) - now[at])[:, 1:]
+        # The first entry of each word, then the second, and so on: words with many entries come first.
+        many = np.diff(starts[low : high + 1])
+        order, inverse = np.argsort(-many, kind="stable"), inverse.ravel()
+        heads, sums = (starts[low:high] - starts[low])[order], np.zeros((some, size - 1))
+        for i in range(int(many.max(initial=0))):
+            filled = int(np.searchsorted(-many[order], -i))
+            sums[:filled] += added[inverse[heads[:filled] + i]]
+        gain = np.empty_like(sums)
+        gain[order] = sums
         sides = np.zeros((some, 2 * size))
         sides[w, c] = k
         before, after = sides[:, :size], sides[:, size:]
@@ -299,10 +316,7 @@ def fit(
     small = np.concatenate([np.arange(mid), mid + np.array(outside, dtype=np.int64)])
     met = stored(text_pass(train, text, words, small, first, mid, others))
     width = mid + endings
-    pairs = met.where(F.col("kind") == PAIRS).select(F.inline(F.arrays_zip("codes", "n")))
-    pairs = stored(pairs.groupBy("codes").agg(F.sum("n").alias("n")).select(
-        F.floor(F.col("codes") / width).cast("int").alias("a"), (F.col("codes") % width).cast("int").alias("b"), "n"
-    ))
+    pairs = stored(summed_pairs(met.where(F.col("kind") == PAIRS), width))
     classes = np.concatenate([np.arange(first), first + np.arange(n_core) % clusters, 1 + np.arange(endings)])
     classes, table = exchange(pairs, classes.astype(np.int64), first, mid, clusters, rounds)
     likelihoods = [likelihood(table)]
@@ -399,15 +413,17 @@ def text_pass(
         columns = [pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*parts)]
         parts.clear()
         if kind == PAIRS:
-            columns = gathered(*columns)
-            yield from dealt(kind, np.zeros(len(columns[0])), [*columns, None, None])
+            codes, n = gathered(*columns)
+            bucket = codes % (1 + width * width // PAIR_BUCKET)
+            order = np.argsort(bucket, kind="stable")
+            yield from dealt(kind, bucket[order], [codes[order], n[order], None, None])
         elif kind == MID:
             bucket = columns[0] // full % full // MID_BUCKET
             order = np.argsort(bucket, kind="stable")
             yield from dealt(kind, bucket[order], [columns[0][order], None, None, None])
         elif kind == RARE:
             codes, rare = columns
-            some = (rare[low : low + (1 << 16)].to_pylist() for low in range(0, len(rare), 1 << 16))
+            some = (bytes_of(rare[low : low + (1 << 16)]) for low in range(0, len(rare), 1 << 16))
             bucket = np.fromiter((zlib.crc32(w) % buckets for part in some for w in part), np.int64, len(rare))
             order = np.argsort(bucket, kind="stable")
             yield from dealt(kind, bucket[order], [codes[order], None, rare.take(pa.array(order)), None])
@@ -420,9 +436,7 @@ def text_pass(
         held: dict = {kind: [] for kind in (PAIRS, MID, RARE, LINKS)}
         room = dict.fromkeys(held, 0)
 
-        def met(piece: pa.RecordBatch) -> dict:
-            lengths, flat = words_of(piece.column(0))
-            symbols = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False) + np.int64(first)
+        def met(lengths: np.ndarray, flat: pa.Array, symbols: np.ndarray) -> dict:
             unheld = symbols < first
             others = flat.filter(pa.array(unheld))
             symbols[unheld] = 1 + endings_of(others, endings)
@@ -439,8 +453,13 @@ def text_pass(
             }
 
         for batch in batches:
-            for piece in slices(batch, 2 << 20):
-                for kind, columns in met(piece).items():
+            pieces = [words_of(piece.column(0)) for piece in slices(batch, 2 << 20)]
+            # All words of a batch are looked up at once: a call makes an index of the held words.
+            flats = pa.chunked_array([flat for _, flat in pieces], pa.binary())
+            found = pc.fill_null(pc.index_in(flats, value_set=known), -1).to_numpy() + np.int64(first)
+            ends = np.cumsum([len(flat) for _, flat in pieces])
+            for (lengths, flat), end in zip(pieces, ends):
+                for kind, columns in met(lengths, flat, found[end - len(flat) : end]).items():
                     held[kind].append(columns)
                     room[kind] += max(len(columns[0]), sum(c.nbytes for c in columns) >> 4)
                     if room[kind] > FLUSH:
@@ -505,6 +524,37 @@ def by_bucket(around: DataFrame, *columns: str) -> DataFrame:
     return around.select("bucket", *columns).repartition("bucket").sortWithinPartitions("bucket")
 
 
+def summed_pairs(around: DataFrame, width: int) -> DataFrame:
+    """``a, b, n``: each pair of symbols with its count, added up by buckets of pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, room = None, [], 0
+
+        def gather() -> tuple[np.ndarray, np.ndarray]:
+            return gathered(*(np.concatenate(x) for x in zip(*held)))
+
+        def done() -> pa.RecordBatch:
+            codes, n = gather()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(codes // width, pa.int32()), pa.array(codes % width, pa.int32()), pa.array(n)], names=["a", "b", "n"]
+            )
+
+        for batch in batches:
+            for b, codes, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if b != bucket and bucket is not None:
+                    yield done()
+                    held, room = [], 0
+                bucket = b
+                held.append((codes.values.to_numpy(), n.values.to_numpy()))
+                room += len(codes.values)
+                if room > 1 << 20:
+                    held, room = [gather()], 0
+        if bucket is not None:
+            yield done()
+
+    return map_batches(by_bucket(around, "codes", "n"), run, "a int, b int, n bigint")
+
+
 class Neighbours:
     """Sums of the codes of a bucket's words, of a size that the number of words and classes bounds."""
 
@@ -603,7 +653,7 @@ def place(around: DataFrame, classes: np.ndarray, table: np.ndarray, full: int,
                     index, met = {}, Neighbours()
                 bucket = b
                 coded = pc.dictionary_encode(words.values)
-                own = np.array([index.setdefault(w, len(index)) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+                own = np.array([index.setdefault(w, len(index)) for w in bytes_of(coded.dictionary)], dtype=np.int64)
                 word = own[coded.indices.to_numpy(zero_copy_only=False)] * (4 * size)
                 codes = codes.values.to_numpy(zero_copy_only=False)
                 for symbol, side in ((codes // full, 0), (codes % full, size)):
