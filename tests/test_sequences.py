@@ -145,3 +145,102 @@ def test_parts_of_long_windows_do_not_grow_with_the_table(spark, rows, monkeypat
     assert got == rows(want) == rows(kmer_counts.count_kmers(chunks, 31, heavy=0))
     sizes = [r.n for r in seen[0].groupBy("part").agg(F.sum("windows").alias("n")).collect()]
     assert len(sizes) > 256 and max(sizes) > 700 > sorted(sizes)[len(sizes) // 2]
+
+
+def _cut_windows(seq, k, size):
+    """(bases, lengths, times, sums) of stretches of ``size`` windows."""
+    pieces = [seq[i:i + size + k - 1] for i in range(0, len(seq) - k + 1, size)]
+    lens = np.array([len(p) for p in pieces])
+    return np.frombuffer("".join(pieces).encode(), np.uint8), lens, np.ones(len(lens), np.int64), np.arange(len(lens)) * size
+
+
+def test_counting_long_windows_holds_no_row_for_each():
+    """What a task holds while it counts a part: some numbers for each window, and not its letters. A process of its own."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import numpy as np
+from sitescan.operators import kmer_counts
+
+def most():
+    return 1024 * next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("VmHWM"))
+
+seq = np.frombuffer(b"ACGT", np.uint8)[np.random.default_rng(5).integers(0, 4, 1_000_000, np.uint8)]
+bases = np.lib.stride_tricks.sliding_window_view(seq, 42)[::12].reshape(-1)
+lens = np.full(len(bases) // 42, 42)
+ones, at = np.ones(len(lens), np.int64), np.arange(len(lens)) * 12
+for _ in kmer_counts._counted(bases[:420], lens[:10], ones[:10], at[:10], 31):
+    pass
+before = most()
+for _ in kmer_counts._counted(bases, lens, ones, at, 31):
+    pass
+print((most() - before) / (len(lens) * 12))
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert 0 < float(done.stdout) < 120
+
+
+@pytest.mark.parametrize("hash_bits", [64, 2, 0])
+def test_long_windows_of_one_hash_are_told_apart(monkeypatch, hash_bits):
+    from sitescan.operators import kmer_counts
+
+    true_hash, mask = kmer_counts.word_hashes, np.uint64(((1 << hash_bits) - 1) << (64 - hash_bits))
+    monkeypatch.setattr(kmer_counts, "word_hashes", lambda data, m: true_hash(data, m) & mask)
+    monkeypatch.setattr(kmer_counts, "_SLICE", 100)
+    monkeypatch.setattr(kmer_counts, "_OUT", 31 * 50)
+    r = random.Random(6)
+    seq = "".join(r.choices("ACGT", k=200)) * 2 + "N" * 90 + "".join(r.choices("acgt", k=150))
+    bases, lens, times, sums = _cut_windows(seq, 31, 7)
+    times, sums = times * 3, sums * 3
+    want = {}
+    for at in range(len(seq) - 30):
+        n, total = want.get(seq[at:at + 31], (0, 0))
+        want[seq[at:at + 31]] = n + 3, total + 3 * at
+    got = [x for b in kmer_counts._counted(bases, lens, times, sums, 31) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(got) == len(want) and {w: (n, total) for w, n, total in got} == want
+
+
+def test_stretches_travel_compressed():
+    """The stretches of a part come back from their row as they were, equal ones folded, in two bytes a window at most."""
+    import pyarrow as pa
+
+    from sitescan.operators import kmer_counts
+
+    seq = "".join(random.Random(7).choices("acgt", k=100_000)) + "acgtn" * 40
+    bases, lens, times, sums = _cut_windows(seq, 31, 10)
+    part = np.array([sum(seq[i * 10:i * 10 + n].encode()) % 5 for i, n in enumerate(lens)], np.int32)
+    want = {}
+    for p, at, n in zip(part.tolist(), sums.tolist(), lens.tolist()):
+        many, total = want.get((p, seq[at:at + n]), (0, 0))
+        want[p, seq[at:at + n]] = many + 1, total + at
+    got, held = {}, 0
+    for batch in kmer_counts._packed(part, sums, lens, bases):
+        held += batch.nbytes
+        for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            letters, sizes, many, total = kmer_counts._unpacked(*row, pa.Codec("zstd"))
+            ends = np.cumsum(sizes)
+            for a, b, n, t in zip((ends - sizes).tolist(), ends.tolist(), many.tolist(), total.tolist()):
+                assert (p, letters[a:b].tobytes().decode()) not in got
+                got[p, letters[a:b].tobytes().decode()] = n, t
+    assert got == want and held < 2 * len(seq) and max(n for n, _ in got.values()) > 1
+
+
+def test_runs_of_one_letter_are_counted_in_blocks(spark, rows, monkeypatch):
+    """A heavy part is made of texts without a single known letter: few stretches of many windows each."""
+    from sitescan.operators import kmer_counts
+
+    monkeypatch.setattr(kmer_counts, "BLOCK", 500)
+    seqs = [(f"n{i}", "N" * (40 + 37 * i)) for i in range(60)] + [("a", "ACGTTGCANN" * 30), ("e", "")]
+    chunks = chunk_sequences(spark.createDataFrame(seqs, "chr_n string, seq string"), 1000, 30)
+    want = kmers(chunks, 31).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"))
+    assert rows(kmer_counts.count_kmers(chunks, 31, heavy=700)) == rows(kmer_counts.count_kmers(chunks, 31)) == rows(want)
+    run = np.frombuffer(("N" * 1030).encode(), np.uint8)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"chunk_start": [0] * 40, "chunk_len": [1000] * 40, "bases": [run.tobytes()] * 40})
+    monkeypatch.setattr(kmer_counts, "_SLICE", 2000)
+    blocks = list(kmer_counts._stretches([batch], 31, 13, 256, np.ones(256, bool), 5000))
+    assert sum(len(b[0]) for b in blocks) == 40 and max(len(b[3]) for b in blocks) < 5000 + 2000
