@@ -110,10 +110,10 @@ def _counted(bases: np.ndarray, lens: np.ndarray, times: np.ndarray, sums: np.nd
     """``kmer, n, sum_start`` of the windows of some stretches that lie end to end in ``bases``."""
     many, starts = lens - k + 1, np.cumsum(lens) - lens
     # The places of the windows: the numbers of a window take most of the memory, so these are short and made in place.
-    at = np.arange(many.sum(), dtype=np.int32)
+    at = np.arange(many.sum(), dtype=np.int32 if len(bases) < 1 << 31 else np.int64)
     if not len(at):
         return
-    at += np.repeat((starts - np.cumsum(many) + many).astype(np.int32), many)
+    at += np.repeat((starts - np.cumsum(many) + many).astype(at.dtype), many)
     n = np.repeat(times, many)
     total = np.repeat(sums - starts * times, many)
     total += at * n
